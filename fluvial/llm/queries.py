@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluvial.llm import exact_dedup, sharding
+from fluvial.llm import bpe, exact_dedup, packing, sharding, token_counts, toxicity
+from fluvial.staging import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,9 +17,31 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), sharding.topology(24), sharding.topology(25))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a model of the labels outside the held-out fold."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(toxicity.training_rows(docs, _table(spark, sf_dir, "labels"))))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_exact_dedup)}
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup of all documents, committed as one batch."""
+    rollup = token_counts.Rollup(spark, new_path(spark, "token_counts"))
+    counts = token_counts.count_tokens(_table(spark, sf_dir, "documents"), "byte_bpe_50k")
+    rollup.commit("documents", token_counts.inserts(counts))
+    return rollup.totals()
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_exact_dedup, op5_packing, op6_token_counts, op8_bpe)}
 ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE}
