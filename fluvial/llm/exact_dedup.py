@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluvial.staging import HOT_GROUPS, materialize
+from fluvial.staging import HOT_GROUPS, materialize, pick
 
 WHITESPACE = r"[\x20\x09-\x0D]+"
 SALTS = 32
@@ -77,6 +77,25 @@ def _by_text(source: DataFrame) -> DataFrame:
     )
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of docs that exact_groups keeps, with all their columns.
+
+    Rows go by doc_id alone, and texts stay where they are if the dropped ids are few enough to broadcast. An id that
+    has kept and dropped rows (it repeats, or is null) is settled by digest; of its equal rows one stays.
+    """
+    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("_key")
+    rows = materialize(exact_groups(docs).select(key, "kept", F.unhex("text_sha256").alias("_sha")), "marks")
+    dropped = materialize(rows.filter(~F.col("kept")).select("_key").distinct(), "dropped")
+    both = materialize(rows.filter("kept").join(dropped, "_key", "left_semi").select("_key", "_sha"), "both")
+    keyed = docs.select("*", key)
+    out = pick(keyed, dropped, "_key", "left_anti").drop("_key")
+    if both.isEmpty():
+        return out
+    again = pick(keyed, both.select("_key").distinct(), "_key").withColumn("_sha", F.unhex(F.sha2(normalized(F.col("text")).cast("binary"), 256)))
+    again = again.join(both, ["_key", "_sha"], "left_semi").dropDuplicates(["_key", "_sha"])
+    return out.unionByName(again.drop("_key", "_sha"))
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluvial.llm import bpe, exact_dedup, packing, sharding, token_counts, toxicity
+from fluvial.llm import bpe, exact_dedup, jaccard_join, packing, sharding, token_counts, toxicity
 from fluvial.staging import new_path
 
 
@@ -27,6 +27,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_components(_table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -43,5 +47,5 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_exact_dedup, op5_packing, op6_token_counts, op8_bpe)}
-ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_exact_dedup, op4_jaccard_join, op5_packing, op6_token_counts, op8_bpe)}
+ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE, "op4_jaccard_join": jaccard_join.ORACLE}
