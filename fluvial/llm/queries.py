@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluvial.llm import bpe, exact_dedup, jaccard_join, packing, sharding, token_counts, toxicity
+from fluvial.llm import bpe, exact_dedup, html_extract, jaccard_join, packing, sharding, token_counts, topk, toxicity, warc
 from fluvial.staging import new_path
 
 
@@ -43,9 +43,24 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives and read back."""
+    path = new_path(spark, "archives")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_exact_dedup, op4_jaccard_join, op5_packing, op6_token_counts, op8_bpe)}
-ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE, "op4_jaccard_join": jaccard_join.ORACLE}
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_exact_dedup, op4_jaccard_join, op5_packing, op6_token_counts, op7_warc, op8_bpe, op9_html_extract, op10_topk)}
+ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE, "op4_jaccard_join": jaccard_join.ORACLE, "op7_warc": warc.ORACLE, "op10_topk": topk.ORACLE}
