@@ -51,3 +51,16 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str,
     cold = groups.filter(F.col(size) <= floor)
     rest = rows.join(F.broadcast(groups.filter(F.col(size) > floor).select(*key)), key, "left_anti")
     return rows.join(hot, key).unionByName(rest.join(cold.hint("shuffle_merge"), key))
+
+
+#: So many keys may be broadcast to pick rows by; 8 bytes each.
+BROADCAST_KEYS = 2_000_000
+
+
+def pick(rows: DataFrame, keys: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """rows with (left_semi) or without (left_anti) a key in `keys`, a stored table of distinct values.
+
+    Keys are counted: up to BROADCAST_KEYS are broadcast and rows stay where they are, beyond that both are shuffled.
+    """
+    few = keys.count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(keys) if few else keys.hint("shuffle_merge"), key, how)
