@@ -2,9 +2,12 @@
 
 Only sets that share one of their first shingles can be that similar (a prefix filter; the order puts frequent
 shingles last, as a sketch over all documents tells). Sets that share such a shingle form its list.
-1. In each list, the first set is tried against the others: pairs in proportion to the list. Frequent shingles' lists
-   are dealt over salts, and the salts' first sets are tried against the first of them. Links make components.
-2. What is left are pairs of one list in different components. Lists in one component are done; the other ones are
+1. In each list, the first set is tried against the others: pairs in proportion to the list. The first is the one
+   with the fewest shingles that aren't frequent: of many near copies, the one that differs least from the rest.
+   Frequent shingles' lists are dealt over salts, and the salts' first sets are tried against the first of them.
+   Links make components.
+2. In lists of several components, the set with the most links so far is tried against those of other components.
+3. What is left are pairs of one list in different components. Lists in one component are done; the other ones are
    cut into size-banded tiles of bounded size, in which bitmap signatures are compared.
 A pair goes to the exact intersection of sorted arrays only if the bit counts allow it: the bitmaps are parities, so
 bits that differ are no more than shingles that are not shared, which bounds the overlap from above.
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from fluvial.components import connected_components
 from fluvial.llm.shingles import bitmap, byte_arrays, fold, name, shingle_set
-from fluvial.staging import attach_groups, materialize, pick
+from fluvial.staging import attach_groups, bounded_batches, materialize, pick
 
 WORDS = 5
 #: Counters of the sketch that tells frequent shingles, at least and at most (4 bytes each); frequent: so many times the mean, and more than LEAST.
@@ -93,17 +96,20 @@ def shingle_table(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
 
 def lists(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(token, salted, a, b, la, lb): the sets that have the token among their first ones, and the first set of their list."""
+    """(token, salted, own, a, b, la, lb): the sets that have the token among their first ones, and the first set of their list.
+
+    own: the set's shingles that aren't frequent.
+    """
     frequent = sketch > max(LEAST, TIMES * sketch.mean())
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))  # a bit a counter
     counters, shift = len(sketch), np.uint64(64 - len(sketch).bit_length() + 1)
-    fields = ["token", "salt", "a", "b"]
+    fields = ["token", "salt", "a", "b", "own"]
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.unpackbits(shared.value, count=counters).astype(bool)
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            tokens, salts, names, lengths = [], [], [], []
+            tokens, salts, names, lengths, owned = [], [], [], [], []
             for data in byte_arrays(batch["text"]):
                 s = shingle_set(data, WORDS)
                 own = name(s)
@@ -120,43 +126,44 @@ def lists(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                 salts += [np.full(len(rare), -1), np.full(len(common), own[0] % SALTS)]
                 names.append(own)
                 lengths.append(k)
+                owned.append(len(s) - int(late.sum()))
             if names:
                 ab = np.array(names, np.int64).repeat(lengths, axis=0)
-                yield pa.record_batch([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(salts).astype(np.int32)), pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy())], fields)
+                yield pa.record_batch([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(salts).astype(np.int32)), pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy()), pa.array(np.array(owned, np.int32).repeat(lengths))], fields)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by (token, salt, a, b). A token's first row is held back until a second set has it, unless it is salted."""
-        held = None  # the last row so far: token, salt, a, b, its list's first set, whether it was told
+        """Rows come by (token, salt, own, a, b). A token's first row is held back until a second set has it, unless it is salted."""
+        held = None  # the last row so far: token, salt, a, b, own, its list's first set, whether it was told
         for batch in batches:
-            t, s, a, b = (batch[c].to_numpy() for c in fields)
+            t, s, a, b, o = (batch[c].to_numpy() for c in fields)
             if held is not None:
-                t, s, a, b = (np.concatenate([[x], y]) for x, y in zip(held[:4], (t, s, a, b), strict=True))
+                t, s, a, b, o = (np.concatenate([[x], y]) for x, y in zip(held[:5], (t, s, a, b, o), strict=True))
             new = np.concatenate([[True], (t[1:] != t[:-1]) | (s[1:] != s[:-1])])
             again = np.concatenate([[False], ~new[1:] & (a[1:] == a[:-1]) & (b[1:] == b[:-1])])
             at = np.maximum.accumulate(np.where(new, np.arange(len(t)), 0))
             la, lb = a[at], b[at]
             if held is not None:
                 of_held = at == 0
-                la[of_held], lb[of_held] = held[4], held[5]
+                la[of_held], lb[of_held] = held[5], held[6]
             followed = np.zeros(len(t), bool)  # the first of a list, and another set comes
             other = ~new & ~again
             followed[at[other]] = True
             tell = (other | (followed & new) | (new & (s >= 0))) & ~again
             if held is not None:
-                tell[0] = not held[6] and (followed[0] or s[0] >= 0)
-                told_held = held[6] or tell[0]
+                tell[0] = not held[7] and (followed[0] or s[0] >= 0)
+                told_held = held[7] or tell[0]
             last = len(t) - 1
             told = tell.copy()
             if held is not None:
                 told[0] = told_held
             done = bool(told[last]) if not again[last] else bool(told[np.flatnonzero(~again)[-1]])
-            held = (t[last], s[last], a[last], b[last], la[last], lb[last], done)
+            held = (t[last], s[last], a[last], b[last], o[last], la[last], lb[last], done)
             if tell.any():
-                yield pa.record_batch([pa.array(t[tell]), pa.array(s[tell] >= 0), pa.array(a[tell]), pa.array(b[tell]), pa.array(la[tell]), pa.array(lb[tell])], ["token", "salted", "a", "b", "la", "lb"])
+                yield pa.record_batch([pa.array(t[tell]), pa.array(s[tell] >= 0), pa.array(o[tell].astype(np.int32)), pa.array(a[tell]), pa.array(b[tell]), pa.array(la[tell]), pa.array(lb[tell])], ["token", "salted", "own", "a", "b", "la", "lb"])
 
-    entries = docs.select("text").mapInArrow(prefixes, "token long, salt int, a long, b long")
-    dealt = entries.repartition("token", "salt").sortWithinPartitions("token", "salt", "a", "b")
-    return materialize(dealt.mapInArrow(meet, "token long, salted boolean, a long, b long, la long, lb long"), "lists")
+    entries = docs.select("text").mapInArrow(prefixes, "token long, salt int, a long, b long, own int")
+    dealt = entries.repartition("token", "salt").sortWithinPartitions("token", "salt", "own", "a", "b")
+    return materialize(dealt.mapInArrow(meet, "token long, salted boolean, own int, a long, b long, la long, lb long"), "lists")
 
 
 def _sets(docs: DataFrame, table: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -248,15 +255,29 @@ def _tile(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"a": a[xs], "b": b[xs], "c": a[ys], "d": b[ys]})
 
 
-def _left_over(met: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b, c, d) of one list in different components that bit counts allow."""
+def _open_lists(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """token, a, b, label_a, label_b of the lists of three sets or more that aren't in one component."""
     known = met.select("token", "a", "b").join(labels, ["a", "b"], "left")
     known = known.withColumn("label_a", F.coalesce("label_a", "a")).withColumn("label_b", F.coalesce("label_b", "b"))
     known = materialize(known, "labelled")
     label = F.struct("label_a", "label_b")
     open_ = known.groupBy("token").agg(F.count("*").alias("k"), F.min(label).alias("lo"), F.max(label).alias("hi")).filter("k > 2 and lo <> hi").select("token")
+    return materialize(known.join(open_, "token", "left_semi"), "open_lists")
+
+
+def _around_linked(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs (a, b, c, d): each open list's set with the most links, if it has any, and those in other components."""
+    degrees = links.select("a", "b").unionAll(links.select("c", "d")).groupBy("a", "b").agg(F.count("*").alias("degree"))
+    known = lists.join(degrees, ["a", "b"])
+    middle = known.groupBy("token").agg(F.max_by(F.struct("a", "b", "label_a", "label_b"), F.struct("degree", "a", "b")).alias("m"))
+    tried = lists.join(middle, "token").filter("label_a <> m.label_a or label_b <> m.label_b")
+    return tried.select(F.col("m.a").alias("a"), F.col("m.b").alias("b"), F.col("a").alias("c"), F.col("b").alias("d")).distinct()
+
+
+def _left_over(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b, c, d) of one list in different components that bit counts allow."""
     signs = sets.select("a", "b", "n", "bits", F.floor(F.log("n") / _BAND).cast("int").alias("band"))
-    rows = materialize(known.join(open_, "token", "left_semi").join(signs, ["a", "b"]), "open_lists")
+    rows = materialize(lists.join(signs, ["a", "b"]), "open_sets")
     if rows.isEmpty():
         return rows.select("a", "b", F.col("a").alias("c"), F.col("b").alias("d"))
     rows = rows.withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") - 1))).withColumn("own", F.col("tile") == F.col("band"))
@@ -283,17 +304,19 @@ def near_components(docs: DataFrame) -> DataFrame:
     component_id is the least doc_id of a component, null only if all are null. An empty table gives an empty result;
     other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     table, sketch = shingle_table(docs)
     met = lists(docs, sketch)
     sets = _sets(docs, table, met.select("a", "b").distinct())
     star = met.filter("a <> la or b <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"), F.col("a").alias("c"), F.col("b").alias("d"))
-    firsts = met.filter("salted and a = la and b = lb").select("token", F.struct("a", "b").alias("s"))
+    firsts = met.filter("salted and a = la and b = lb").select("token", F.struct("own", "a", "b").alias("s"))
     over = firsts.join(firsts.groupBy("token").agg(F.min("s").alias("f")), "token").filter("s <> f").select("f.a", "f.b", F.col("s.a").alias("c"), F.col("s.b").alias("d"))
     links = materialize(_verify(star.union(over).distinct(), sets), "links")
-    labels = materialize(_labels(links), "labels")
-    more = _left_over(met, sets, labels)
-    links = links.union(materialize(_verify(more, sets), "links"))
+    open_ = _open_lists(met, materialize(_labels(links), "labels"))
+    links = links.union(materialize(_verify(_around_linked(open_, links), sets), "links"))
+    open_ = _open_lists(met, materialize(_labels(links), "labels"))
+    links = links.union(materialize(_verify(_left_over(open_, sets), sets), "links"))
     labels = _labels(links)
 
     own = table.filter("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"))
