@@ -53,33 +53,34 @@ def _close(n: str, m: str) -> Column:
 
 
 def shingle_table(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, n, a, b (the set's name) and text_hash for each document; and the counters of all documents' shingles."""
+    """doc_id, n, a, b (the set's name), bits and text_hash for each document; and the counters of all documents' shingles."""
     counters = min(MAX_COUNTERS, max(MIN_COUNTERS, 1 << (4 * max(docs.count(), 1)).bit_length()))
     shift = np.uint64(64 - counters.bit_length() + 1)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(counters, np.int64)
         for batch in batches:
-            found, ns, names = [], [], []
+            found, ns, names, bits = [], [], [], []
             for data in byte_arrays(batch["text"]):
                 s = shingle_set(data, WORDS)
                 ns.append(len(s))
                 names.append(name(s))
+                bits.append(bitmap(s).tobytes())
                 found.append((s >> shift).astype(np.int64))
             if found:
                 total += np.bincount(np.concatenate(found), minlength=counters)
             a, b = zip(*names, strict=True) if names else ((), ())
             none = pa.nulls(len(ns), pa.int64())
-            yield pa.record_batch([batch["doc_id"], pa.array(ns, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), batch["text_hash"], none, pa.nulls(len(ns), pa.binary())], names_)
+            yield pa.record_batch([batch["doc_id"], pa.array(ns, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bits, pa.binary()), batch["text_hash"], none, pa.nulls(len(ns), pa.binary())], names_)
         for k in range(counters // CHUNK):
             part = np.minimum(total[k * CHUNK : (k + 1) * CHUNK], 2**31 - 1).astype(np.int32)
             if part.any():
                 none = pa.nulls(1, pa.int64())
-                yield pa.record_batch([none, none, none, none, none, pa.array([k], pa.int64()), pa.array([part.tobytes()], pa.binary())], names_)
+                yield pa.record_batch([none, none, none, none, pa.nulls(1, pa.binary()), none, pa.array([k], pa.int64()), pa.array([part.tobytes()], pa.binary())], names_)
 
-    names_ = ["doc_id", "n", "a", "b", "text_hash", "chunk", "counts"]
+    names_ = ["doc_id", "n", "a", "b", "bits", "text_hash", "chunk", "counts"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    both = materialize(rows.mapInArrow(scan, "doc_id long, n long, a long, b long, text_hash long, chunk long, counts binary"), "shingles")
+    both = materialize(rows.mapInArrow(scan, "doc_id long, n long, a long, b long, bits binary, text_hash long, chunk long, counts binary"), "shingles")
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CHUNK, np.int64)
@@ -92,7 +93,7 @@ def shingle_table(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     sketch = np.zeros(counters, np.int64)
     for k, part in sums:
         sketch[k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(part, np.int64)
-    return both.filter("chunk is null").select("doc_id", "n", "a", "b", "text_hash"), sketch
+    return both.filter("chunk is null").select("doc_id", "n", "a", "b", "bits", "text_hash"), sketch
 
 
 def lists(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
@@ -166,10 +167,14 @@ def lists(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     return materialize(dealt.mapInArrow(meet, "token long, salted boolean, own int, a long, b long, la long, lb long"), "lists")
 
 
-def _sets(docs: DataFrame, table: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b, n, bits, shingles of the named sets, each from one of its documents."""
-    chosen = table.join(nodes, ["a", "b"]).groupBy("a", "b").agg(F.min("text_hash").alias("text_hash"))
-    chosen = materialize(chosen.select("text_hash").distinct(), "chosen")
+def _signs(table: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b, n, bits of the named sets, and text_hash of one of their documents."""
+    own = table.select("a", "b", F.struct("n", "bits", "text_hash").alias("s")).join(nodes, ["a", "b"], "left_semi")
+    return materialize(own.groupBy("a", "b").agg(F.max_by("s", "s.text_hash").alias("s")).select("a", "b", "s.*"), "signs")
+
+
+def _arrays(docs: DataFrame, hashes: DataFrame) -> DataFrame:
+    """a, b, shingles of the sets whose documents' text_hash is given, read from their texts again."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -182,14 +187,13 @@ def _sets(docs: DataFrame, table: DataFrame, nodes: DataFrame) -> DataFrame:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(own)
-                    out.append((*own, len(s), bitmap(s).tobytes(), s.tobytes()))
-            columns = zip(*out, strict=True) if out else [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "n", "bits", "shingles"])
+                    out.append((*own, s.tobytes()))
+            columns = zip(*out, strict=True) if out else [()] * 3
+            kinds = [pa.int64(), pa.int64(), pa.binary()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "shingles"])
 
-    rows = pick(docs.select("text", F.xxhash64("text").alias("text_hash")), chosen, "text_hash").select("text")
-    found = rows.mapInArrow(read, "a long, b long, n long, bits binary, shingles binary")
-    return materialize(found.dropDuplicates(["a", "b"]), "sets")
+    rows = pick(docs.select("text", F.xxhash64("text").alias("text_hash")), materialize(hashes, "hashes"), "text_hash").select("text")
+    return materialize(rows.mapInArrow(read, "a long, b long, shingles binary").dropDuplicates(["a", "b"]), "arrays")
 
 
 def _allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,13 +221,13 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b", "c", "d"])
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b, c, d), the links."""
-    signs = sets.select("a", "b", "n", "bits")
-    other = signs.toDF("c", "d", "m", "bits2")
-    near = pairs.join(signs, ["a", "b"]).join(other, ["c", "d"]).filter(_close("n", "m"))
-    near = near.select("a", "b", "c", "d", "n", "m", "bits", "bits2").mapInArrow(_allowed, "a long, b long, c long, d long")
-    arrays = sets.select("a", "b", "shingles")
+def _verify(pairs: DataFrame, signs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of pairs (a, b, c, d), the links. Only sets of pairs that the bits allow are read again for their arrays."""
+    left = signs.select("a", "b", "n", "bits")
+    near = pairs.join(left, ["a", "b"]).join(left.toDF("c", "d", "m", "bits2"), ["c", "d"]).filter(_close("n", "m"))
+    near = materialize(near.select("a", "b", "c", "d", "n", "m", "bits", "bits2").mapInArrow(_allowed, "a long, b long, c long, d long"), "near")
+    nodes = near.select("a", "b").union(near.select("c", "d")).distinct()
+    arrays = _arrays(docs, signs.join(nodes, ["a", "b"], "left_semi").select("text_hash").distinct())
     full = near.join(arrays, ["a", "b"]).join(arrays.toDF("c", "d", "shingles2"), ["c", "d"])
     return full.select("a", "b", "c", "d", "shingles", "shingles2").mapInArrow(_linked, "a long, b long, c long, d long")
 
@@ -274,10 +278,10 @@ def _around_linked(lists: DataFrame, links: DataFrame) -> DataFrame:
     return tried.select(F.col("m.a").alias("a"), F.col("m.b").alias("b"), F.col("a").alias("c"), F.col("b").alias("d")).distinct()
 
 
-def _left_over(lists: DataFrame, sets: DataFrame) -> DataFrame:
+def _left_over(lists: DataFrame, signs: DataFrame) -> DataFrame:
     """Pairs (a, b, c, d) of one list in different components that bit counts allow."""
-    signs = sets.select("a", "b", "n", "bits", F.floor(F.log("n") / _BAND).cast("int").alias("band"))
-    rows = materialize(lists.join(signs, ["a", "b"]), "open_sets")
+    banded = signs.select("a", "b", "n", "bits", F.floor(F.log("n") / _BAND).cast("int").alias("band"))
+    rows = materialize(lists.join(banded, ["a", "b"]), "open_sets")
     if rows.isEmpty():
         return rows.select("a", "b", F.col("a").alias("c"), F.col("b").alias("d"))
     rows = rows.withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") - 1))).withColumn("own", F.col("tile") == F.col("band"))
@@ -308,15 +312,15 @@ def near_components(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     table, sketch = shingle_table(docs)
     met = lists(docs, sketch)
-    sets = _sets(docs, table, met.select("a", "b").distinct())
+    signs = _signs(table, met.select("a", "b").distinct())
     star = met.filter("a <> la or b <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"), F.col("a").alias("c"), F.col("b").alias("d"))
     firsts = met.filter("salted and a = la and b = lb").select("token", F.struct("own", "a", "b").alias("s"))
     over = firsts.join(firsts.groupBy("token").agg(F.min("s").alias("f")), "token").filter("s <> f").select("f.a", "f.b", F.col("s.a").alias("c"), F.col("s.b").alias("d"))
-    links = materialize(_verify(star.union(over).distinct(), sets), "links")
+    links = materialize(_verify(star.union(over).distinct(), signs, docs), "links")
     open_ = _open_lists(met, materialize(_labels(links), "labels"))
-    links = links.union(materialize(_verify(_around_linked(open_, links), sets), "links"))
+    links = links.union(materialize(_verify(_around_linked(open_, links), signs, docs), "links"))
     open_ = _open_lists(met, materialize(_labels(links), "labels"))
-    links = links.union(materialize(_verify(_left_over(open_, sets), sets), "links"))
+    links = links.union(materialize(_verify(_left_over(open_, signs), signs, docs), "links"))
     labels = _labels(links)
 
     own = table.filter("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"))
