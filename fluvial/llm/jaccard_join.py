@@ -97,14 +97,14 @@ def shingle_table(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
 
 def lists(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(token, salted, own, a, b, la, lb): the sets that have the token among their first ones, and the first set of their list.
+    """(token, salted, own, pos, a, b, la, lb): the sets that have the token among their first ones, and the first set of their list.
 
-    own: the set's shingles that aren't frequent.
+    own: the set's shingles that aren't frequent; pos: the token's place in the set's order.
     """
     frequent = sketch > max(LEAST, TIMES * sketch.mean())
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))  # a bit a counter
     counters, shift = len(sketch), np.uint64(64 - len(sketch).bit_length() + 1)
-    fields = ["token", "salt", "a", "b", "own"]
+    fields = ["token", "salt", "a", "b", "own", "pos"]
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.unpackbits(shared.value, count=counters).astype(bool)
@@ -130,41 +130,41 @@ def lists(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                 owned.append(len(s) - int(late.sum()))
             if names:
                 ab = np.array(names, np.int64).repeat(lengths, axis=0)
-                yield pa.record_batch([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(salts).astype(np.int32)), pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy()), pa.array(np.array(owned, np.int32).repeat(lengths))], fields)
+                yield pa.record_batch([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(salts).astype(np.int32)), pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy()), pa.array(np.array(owned, np.int32).repeat(lengths)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in lengths]))], fields)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by (token, salt, own, a, b). A token's first row is held back until a second set has it, unless it is salted."""
-        held = None  # the last row so far: token, salt, a, b, own, its list's first set, whether it was told
+        held = None  # the last row so far: token, salt, a, b, own, pos, its list's first set, whether it was told
         for batch in batches:
-            t, s, a, b, o = (batch[c].to_numpy() for c in fields)
+            t, s, a, b, o, p = (batch[c].to_numpy() for c in fields)
             if held is not None:
-                t, s, a, b, o = (np.concatenate([[x], y]) for x, y in zip(held[:5], (t, s, a, b, o), strict=True))
+                t, s, a, b, o, p = (np.concatenate([[x], y]) for x, y in zip(held[:6], (t, s, a, b, o, p), strict=True))
             new = np.concatenate([[True], (t[1:] != t[:-1]) | (s[1:] != s[:-1])])
             again = np.concatenate([[False], ~new[1:] & (a[1:] == a[:-1]) & (b[1:] == b[:-1])])
             at = np.maximum.accumulate(np.where(new, np.arange(len(t)), 0))
             la, lb = a[at], b[at]
             if held is not None:
                 of_held = at == 0
-                la[of_held], lb[of_held] = held[5], held[6]
+                la[of_held], lb[of_held] = held[6], held[7]
             followed = np.zeros(len(t), bool)  # the first of a list, and another set comes
             other = ~new & ~again
             followed[at[other]] = True
             tell = (other | (followed & new) | (new & (s >= 0))) & ~again
             if held is not None:
-                tell[0] = not held[7] and (followed[0] or s[0] >= 0)
-                told_held = held[7] or tell[0]
+                tell[0] = not held[8] and (followed[0] or s[0] >= 0)
+                told_held = held[8] or tell[0]
             last = len(t) - 1
             told = tell.copy()
             if held is not None:
                 told[0] = told_held
             done = bool(told[last]) if not again[last] else bool(told[np.flatnonzero(~again)[-1]])
-            held = (t[last], s[last], a[last], b[last], o[last], la[last], lb[last], done)
+            held = (t[last], s[last], a[last], b[last], o[last], p[last], la[last], lb[last], done)
             if tell.any():
-                yield pa.record_batch([pa.array(t[tell]), pa.array(s[tell] >= 0), pa.array(o[tell].astype(np.int32)), pa.array(a[tell]), pa.array(b[tell]), pa.array(la[tell]), pa.array(lb[tell])], ["token", "salted", "own", "a", "b", "la", "lb"])
+                yield pa.record_batch([pa.array(t[tell]), pa.array(s[tell] >= 0), pa.array(o[tell].astype(np.int32)), pa.array(p[tell].astype(np.int32)), pa.array(a[tell]), pa.array(b[tell]), pa.array(la[tell]), pa.array(lb[tell])], ["token", "salted", "own", "pos", "a", "b", "la", "lb"])
 
-    entries = docs.select("text").mapInArrow(prefixes, "token long, salt int, a long, b long, own int")
+    entries = docs.select("text").mapInArrow(prefixes, "token long, salt int, a long, b long, own int, pos int")
     dealt = entries.repartition("token", "salt").sortWithinPartitions("token", "salt", "own", "a", "b")
-    return materialize(dealt.mapInArrow(meet, "token long, salted boolean, own int, a long, b long, la long, lb long"), "lists")
+    return materialize(dealt.mapInArrow(meet, "token long, salted boolean, own int, pos int, a long, b long, la long, lb long"), "lists")
 
 
 def _signs(table: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -232,36 +232,78 @@ def _verify(pairs: DataFrame, signs: DataFrame, docs: DataFrame) -> DataFrame:
     return full.select("a", "b", "c", "d", "shingles", "shingles2").mapInArrow(_linked, "a long, b long, c long, d long")
 
 
-def _tile(key: tuple, table: pa.Table) -> pa.Table:
-    """Pairs of a tile that are in different components, close in size, and not too different by their bits."""
-    n, a, b, la, lb = (table[c].to_numpy() for c in ("n", "a", "b", "label_a", "label_b"))
-    own, block = table["own"].to_numpy(), table["block"].to_numpy()
-    i, j = key[2].as_py(), key[3].as_py()
-    raw = [np.frombuffer(x, np.uint64) for x in table["bits"].to_pylist()]
-    width = min(map(len, raw))
-    bits = np.stack([fold(x, width) for x in raw])
-    left = np.flatnonzero(own & ((block == i) | (block == j)))
+TILE_KEY = ["token", "tile", "i", "j"]
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates (a, b, c, d) of tiles, whose rows come together; of a tile that batches cut, what has come is held back."""
+    held: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        keys = np.stack([rows[c].to_numpy() for c in TILE_KEY])
+        starts = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1])
+        held = rows.slice(starts[-1])
+        yield from _pairs_of(rows.slice(0, starts[-1]), starts)
+    if held is not None and held.num_rows:
+        yield from _pairs_of(held, np.array([0, held.num_rows]))
+
+
+def _pairs_of(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if not rows.num_rows:
+        return
+    columns = {c: rows[c].to_numpy() for c in (*TILE_KEY, "block", "pos", "a", "b", "n", "label_a", "label_b")}
+    bits = rows["bits"].to_pylist()
     out = []
-    for x in left:
-        ok = ((la != la[x]) | (lb != lb[x])) & (100 * np.minimum(n, n[x]) >= 80 * np.maximum(n, n[x]))
+    for start, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        x, y = _tile({c: v[start:end] for c, v in columns.items()}, bits[start:end])
+        if len(x):
+            out.append((start + x, start + y))
+    if out:
+        x, y = (np.concatenate(c) for c in zip(*out, strict=True))
+        a, b = columns["a"], columns["b"]
+        swap = (a[x] > a[y]) | ((a[x] == a[y]) & (b[x] > b[y]))
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        yield pa.record_batch([pa.array(c) for c in (a[x], b[x], a[y], b[y])], ["a", "b", "c", "d"])
+
+
+def _tile(t: dict[str, np.ndarray], raw: list[bytes], step: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a tile that are in different components, close in size, and may meet in the token first and have enough in common by their bits."""
+    n, pos, la, lb, block = t["n"], t["pos"], t["label_a"], t["label_b"], t["block"]
+    own, i, j = _band(n) == t["tile"][0], t["i"][0], t["j"][0]
+    words = np.array([len(x) // 8 for x in raw])
+    width = int(words.min())
+    bits = np.empty((len(raw), width), np.uint64)
+    for w in np.unique(words).tolist():
+        at = np.flatnonzero(words == w)
+        bits[at] = fold(np.frombuffer(b"".join([raw[k] for k in at]), np.uint64).reshape(len(at), w), width)
+    left, order = np.flatnonzero(own), np.arange(len(n))
+    xs, ys = [], []
+    for at in range(0, len(left), step):
+        x = left[at : at + step, None]
+        both = n[x] + n
+        ok = ((la[x] != la) | (lb[x] != lb)) & (9 * (n[x] - pos[x]) >= 4 * both) & (9 * (n - pos) >= 4 * both) & (9 * np.minimum(n[x], n) >= 4 * both)
+        ok &= ~own | (order > x)  # two of its own once
         if i != j:
-            ok &= block != block[x]
-        ok &= ~own | (np.arange(len(n)) > x)  # two of its own once
-        at = np.flatnonzero(ok)
-        if len(at):
-            differ = np.bitwise_count(bits[at] ^ bits[x]).sum(axis=1, dtype=np.int64)
-            overlap = (n[at] + n[x] - differ) // 2
-            at = at[100 * overlap >= 80 * (n[at] + n[x] - overlap)]
-            out += [(x, y) for y in at]
-    xs, ys = (np.array(c, np.int64) for c in (zip(*out, strict=True) if out else ((), ())))
-    swap = (a[xs] > a[ys]) | ((a[xs] == a[ys]) & (b[xs] > b[ys]))
-    xs, ys = np.where(swap, ys, xs), np.where(swap, xs, ys)
-    return pa.table({"a": a[xs], "b": b[xs], "c": a[ys], "d": b[ys]})
+            ok &= block[x] != block
+        p, q = np.nonzero(ok)
+        for k in range(0, len(p), 1 << 14):
+            xp, yq = x[p[k : k + (1 << 14)], 0], q[k : k + (1 << 14)]
+            total = n[xp] + n[yq]
+            differ = np.bitwise_count(bits[xp] ^ bits[yq]).sum(axis=1, dtype=np.int64)
+            keep = 9 * ((total - differ) // 2) >= 4 * total
+            xs.append(xp[keep])
+            ys.append(yq[keep])
+    return (np.concatenate(xs), np.concatenate(ys)) if xs else (order[:0], order[:0])
+
+
+def _band(n: np.ndarray) -> np.ndarray:
+    """Of two sets that are similar, the larger one is in the band of the smaller or in the next."""
+    return np.floor(np.log(n) / _BAND).astype(np.int32)
 
 
 def _open_lists(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """token, a, b, label_a, label_b of the lists of three sets or more that aren't in one component."""
-    known = met.select("token", "a", "b").join(labels, ["a", "b"], "left")
+    """token, pos, a, b, label_a, label_b of the lists of three sets or more that aren't in one component."""
+    known = met.select("token", "pos", "a", "b").join(labels, ["a", "b"], "left")
     known = known.withColumn("label_a", F.coalesce("label_a", "a")).withColumn("label_b", F.coalesce("label_b", "b"))
     known = materialize(known, "labelled")
     label = F.struct("label_a", "label_b")
@@ -284,14 +326,18 @@ def _left_over(lists: DataFrame, signs: DataFrame) -> DataFrame:
     rows = materialize(lists.join(banded, ["a", "b"]), "open_sets")
     if rows.isEmpty():
         return rows.select("a", "b", F.col("a").alias("c"), F.col("b").alias("d"))
-    rows = rows.withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") - 1))).withColumn("own", F.col("tile") == F.col("band"))
-    sizes = rows.groupBy("token", "tile").agg(F.count("*").alias("k"), F.count_if("own").alias("own_k")).filter("own_k > 0 and k > 1")
-    rows = rows.join(sizes.select("token", "tile", F.ceil(F.col("k") / TILE).cast("int").alias("blocks")), ["token", "tile"])
+    rows = rows.withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+    # the smaller of two similar sets, one of the tile's own, has the first token that they share early
+    early = (F.col("tile") == F.col("band")) & (F.expr("9 * (n - pos) >= 8 * n"))
+    label = F.struct("label_a", "label_b")
+    sizes = rows.groupBy("token", "tile").agg(F.count("*").alias("k"), F.count_if(early).alias("early"), F.min(label).alias("lo"), F.max(label).alias("hi"))
+    sizes = sizes.filter("early > 0 and lo <> hi").select("token", "tile", F.ceil(F.col("k") / TILE).cast("int").alias("blocks"))
+    rows = rows.join(sizes, ["token", "tile"])
     rows = rows.withColumn("block", F.pmod(F.xxhash64("a", "b"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    tiles = rows.select("token", "tile", "i", "j", "own", "block", "a", "b", "n", "label_a", "label_b", "bits").groupBy("token", "tile", "i", "j")
-    return tiles.applyInArrow(_tile, "a long, b long, c long, d long").distinct()
+    tiles = rows.select(*TILE_KEY, "block", "pos", "a", "b", "n", "label_a", "label_b", "bits").repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY)
+    return tiles.mapInArrow(_tiles, "a long, b long, c long, d long").distinct()
 
 
 def _labels(links: DataFrame) -> DataFrame:

@@ -93,8 +93,8 @@ def byte_arrays(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def bitmap(shingles: np.ndarray, least: int = 64) -> np.ndarray:
-    """A parity bitmap of about two bits a shingle: each flips the bit that its hash picks. Powers of two wide (uint64 words)."""
-    width = max(least, 1 << int(2 * len(shingles) - 1).bit_length()) if len(shingles) else least
+    """A parity bitmap of one or two bits a shingle: each flips the bit that its hash picks. Powers of two wide (uint64 words)."""
+    width = max(least, 1 << int(len(shingles) - 1).bit_length()) if len(shingles) else least
     bits = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
 

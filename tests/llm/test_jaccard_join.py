@@ -76,9 +76,12 @@ def test_tile_finds_all_pairs_of_different_components():
         own = base.copy()
         own[rng.integers(0, 200, rng.integers(0, 40))] = rng.integers(0, 2**63)
         found.append(np.unique(own))
-    table = pa.table({"n": [len(s) for s in found], "a": list(range(60)), "b": [0] * 60, "label_a": [i % 7 for i in range(60)], "label_b": [0] * 60, "own": [True] * 60, "block": [0] * 60, "bits": [shingles.bitmap(s).tobytes() for s in found]})
-    key = tuple(pa.scalar(x) for x in (0, 0, 0, 0))
-    got = {(r["a"], r["c"]) for r in jaccard_join._tile(key, table).to_pylist()}
+    rows = []
+    for i, s in enumerate(found):
+        band = int(jaccard_join._band(np.array([len(s)]))[0])
+        rows += [{"token": 5, "tile": tile, "i": 0, "j": 0, "block": 0, "pos": 0, "a": i, "b": 0, "n": len(s), "label_a": i % 7, "label_b": 0, "bits": shingles.bitmap(s).tobytes()} for tile in (band, band - 1)]
+    batches = pa.Table.from_pylist(sorted(rows, key=lambda r: r["tile"])).to_batches(max_chunksize=17)
+    got = {(r["a"], r["c"]) for b in jaccard_join._tiles(iter(batches)) for r in b.to_pylist()}
     similar = {(i, j) for i in range(60) for j in range(i + 1, 60) if i % 7 != j % 7 and jaccard_join.similar(len(np.intersect1d(found[i], found[j])), len(found[i]), len(found[j]))}
     assert similar and similar <= got
 
