@@ -17,6 +17,7 @@ No pair over the threshold is lost, and copies of a set count as one set through
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from fluvial.components import connected_components
 from fluvial.llm.shingles import bitmap, byte_arrays, fold, name, shingle_set
-from fluvial.staging import attach_groups, bounded_batches, materialize, pick
+from fluvial.staging import attach_groups, bounded_batches, discard, materialize, pick
 
 WORDS = 5
 #: Counters of the sketch that tells frequent shingles, at least and at most (4 bytes each); frequent: so many times the mean, and more than LEAST.
@@ -73,10 +74,11 @@ def shingle_table(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             none = pa.nulls(len(ns), pa.int64())
             yield pa.record_batch([batch["doc_id"], pa.array(ns, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bits, pa.binary()), batch["text_hash"], none, pa.nulls(len(ns), pa.binary())], names_)
         for k in range(counters // CHUNK):
-            part = np.minimum(total[k * CHUNK : (k + 1) * CHUNK], 2**31 - 1).astype(np.int32)
+            part = np.minimum(total[k * CHUNK : (k + 1) * CHUNK], 2**31 - 1)
+            part = part.astype(np.uint8 if part.max() < 256 else np.int32)  # a task's counts are small
             if part.any():
                 none = pa.nulls(1, pa.int64())
-                yield pa.record_batch([none, none, none, none, pa.nulls(1, pa.binary()), none, pa.array([k], pa.int64()), pa.array([part.tobytes()], pa.binary())], names_)
+                yield pa.record_batch([none, none, none, none, pa.nulls(1, pa.binary()), none, pa.array([k], pa.int64()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names_)
 
     names_ = ["doc_id", "n", "a", "b", "bits", "text_hash", "chunk", "counts"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
@@ -86,7 +88,8 @@ def shingle_table(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         total = np.zeros(CHUNK, np.int64)
         for batch in batches:
             for c in batch["counts"]:
-                total += np.frombuffer(c.as_py(), np.int32)
+                part = zlib.decompress(c.as_py())
+                total += np.frombuffer(part, np.uint8 if len(part) == CHUNK else np.int32)
         yield pa.record_batch([pa.array([key[0].as_py()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["chunk", "counts"])
 
     sums = both.filter("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk long, counts binary").collect()  # one row a chunk, MAX_COUNTERS in all
@@ -301,14 +304,16 @@ def _band(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log(n) / _BAND).astype(np.int32)
 
 
-def _open_lists(met: DataFrame, labels: DataFrame) -> DataFrame:
+def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """token, pos, a, b, label_a, label_b of the lists of three sets or more that aren't in one component."""
-    known = met.select("token", "pos", "a", "b").join(labels, ["a", "b"], "left")
+    known = lists.select("token", "pos", "a", "b").join(labels, ["a", "b"], "left")
     known = known.withColumn("label_a", F.coalesce("label_a", "a")).withColumn("label_b", F.coalesce("label_b", "b"))
     known = materialize(known, "labelled")
     label = F.struct("label_a", "label_b")
     open_ = known.groupBy("token").agg(F.count("*").alias("k"), F.min(label).alias("lo"), F.max(label).alias("hi")).filter("k > 2 and lo <> hi").select("token")
-    return materialize(known.join(open_, "token", "left_semi"), "open_lists")
+    found = materialize(known.join(open_, "token", "left_semi"), "open_lists")
+    discard(known)
+    return found
 
 
 def _around_linked(lists: DataFrame, links: DataFrame) -> DataFrame:
@@ -322,7 +327,7 @@ def _around_linked(lists: DataFrame, links: DataFrame) -> DataFrame:
 
 def _left_over(lists: DataFrame, signs: DataFrame) -> DataFrame:
     """Pairs (a, b, c, d) of one list in different components that bit counts allow."""
-    banded = signs.select("a", "b", "n", "bits", F.floor(F.log("n") / _BAND).cast("int").alias("band"))
+    banded = signs.select("a", "b", "n", F.floor(F.log("n") / _BAND).cast("int").alias("band"))
     rows = materialize(lists.join(banded, ["a", "b"]), "open_sets")
     if rows.isEmpty():
         return rows.select("a", "b", F.col("a").alias("c"), F.col("b").alias("d"))
@@ -336,7 +341,8 @@ def _left_over(lists: DataFrame, signs: DataFrame) -> DataFrame:
     rows = rows.withColumn("block", F.pmod(F.xxhash64("a", "b"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    tiles = rows.select(*TILE_KEY, "block", "pos", "a", "b", "n", "label_a", "label_b", "bits").repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY)
+    rows = rows.select(*TILE_KEY, "block", "pos", "a", "b", "n", "label_a", "label_b").join(signs.select("a", "b", "bits"), ["a", "b"])
+    tiles = rows.repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY)
     return tiles.mapInArrow(_tiles, "a long, b long, c long, d long").distinct()
 
 
@@ -364,9 +370,12 @@ def near_components(docs: DataFrame) -> DataFrame:
     over = firsts.join(firsts.groupBy("token").agg(F.min("s").alias("f")), "token").filter("s <> f").select("f.a", "f.b", F.col("s.a").alias("c"), F.col("s.b").alias("d"))
     links = materialize(_verify(star.union(over).distinct(), signs, docs), "links")
     open_ = _open_lists(met, materialize(_labels(links), "labels"))
+    discard(met)
     links = links.union(materialize(_verify(_around_linked(open_, links), signs, docs), "links"))
-    open_ = _open_lists(met, materialize(_labels(links), "labels"))
-    links = links.union(materialize(_verify(_left_over(open_, signs), signs, docs), "links"))
+    still = _open_lists(open_, materialize(_labels(links), "labels"))
+    discard(open_)
+    links = links.union(materialize(_verify(_left_over(still, signs), signs, docs), "links"))
+    discard(still, signs)
     labels = _labels(links)
 
     own = table.filter("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"))
