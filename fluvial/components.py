@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluvial.staging import materialize
+from fluvial.staging import discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -19,9 +19,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels, both.y == labels.node).groupBy("x").agg(F.min("label").alias("near"))
         step = labels.join(near, labels.node == near.x).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        step = materialize(step, "labels")
+        before, step = labels, materialize(step, "labels")
+        discard(before)
         up = step.select(F.col("node").alias("label"), F.col("label").alias("up"))
         labels = materialize(step.join(up, "label").select("node", "old", F.least("label", "up").alias("label")), "labels")
+        discard(step)
         if labels.filter("old <> label").isEmpty():
+            discard(both)
             return labels.select("node", "label")
         labels = labels.select("node", "label")
