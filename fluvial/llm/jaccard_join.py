@@ -232,7 +232,9 @@ def _verify(pairs: DataFrame, signs: DataFrame, docs: DataFrame) -> DataFrame:
     nodes = near.select("a", "b").union(near.select("c", "d")).distinct()
     arrays = _arrays(docs, signs.join(nodes, ["a", "b"], "left_semi").select("text_hash").distinct())
     full = near.join(arrays, ["a", "b"]).join(arrays.toDF("c", "d", "shingles2"), ["c", "d"])
-    return full.select("a", "b", "c", "d", "shingles", "shingles2").mapInArrow(_linked, "a long, b long, c long, d long")
+    links = materialize(full.select("a", "b", "c", "d", "shingles", "shingles2").mapInArrow(_linked, "a long, b long, c long, d long"), "links")
+    discard(near, arrays)
+    return links
 
 
 TILE_KEY = ["token", "tile", "i", "j"]
@@ -328,7 +330,7 @@ def _around_linked(lists: DataFrame, links: DataFrame) -> DataFrame:
 def _left_over(lists: DataFrame, signs: DataFrame) -> DataFrame:
     """Pairs (a, b, c, d) of one list in different components that bit counts allow."""
     banded = signs.select("a", "b", "n", F.floor(F.log("n") / _BAND).cast("int").alias("band"))
-    rows = materialize(lists.join(banded, ["a", "b"]), "open_sets")
+    rows = open_sets = materialize(lists.join(banded, ["a", "b"]), "open_sets")
     if rows.isEmpty():
         return rows.select("a", "b", F.col("a").alias("c"), F.col("b").alias("d"))
     rows = rows.withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") - 1)))
@@ -343,7 +345,9 @@ def _left_over(lists: DataFrame, signs: DataFrame) -> DataFrame:
     rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     rows = rows.select(*TILE_KEY, "block", "pos", "a", "b", "n", "label_a", "label_b").join(signs.select("a", "b", "bits"), ["a", "b"])
     tiles = rows.repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY)
-    return tiles.mapInArrow(_tiles, "a long, b long, c long, d long").distinct()
+    found = materialize(tiles.mapInArrow(_tiles, "a long, b long, c long, d long").distinct(), "tiled")
+    discard(open_sets)
+    return found
 
 
 def _labels(links: DataFrame) -> DataFrame:
@@ -368,13 +372,13 @@ def near_components(docs: DataFrame) -> DataFrame:
     star = met.filter("a <> la or b <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"), F.col("a").alias("c"), F.col("b").alias("d"))
     firsts = met.filter("salted and a = la and b = lb").select("token", F.struct("own", "a", "b").alias("s"))
     over = firsts.join(firsts.groupBy("token").agg(F.min("s").alias("f")), "token").filter("s <> f").select("f.a", "f.b", F.col("s.a").alias("c"), F.col("s.b").alias("d"))
-    links = materialize(_verify(star.union(over).distinct(), signs, docs), "links")
+    links = _verify(star.union(over).distinct(), signs, docs)
     open_ = _open_lists(met, materialize(_labels(links), "labels"))
     discard(met)
-    links = links.union(materialize(_verify(_around_linked(open_, links), signs, docs), "links"))
+    links = links.union(_verify(_around_linked(open_, links), signs, docs))
     still = _open_lists(open_, materialize(_labels(links), "labels"))
     discard(open_)
-    links = links.union(materialize(_verify(_left_over(still, signs), signs, docs), "links"))
+    links = links.union(_verify(_left_over(still, signs), signs, docs))
     discard(still, signs)
     labels = _labels(links)
 
