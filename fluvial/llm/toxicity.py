@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -72,6 +73,8 @@ def select_features(rows: list) -> list[str]:
     for text, y in rows:
         if not y:
             found = set()
+            if len(seen) > CACHED_WORDS // 4:
+                seen.clear()
             for w in {w for _, _, words in sentences(text) for w in words}:
                 if (own := seen.get(w)) is None:
                     own = seen[w] = tuple(f for f in features(w) if f in counts)
@@ -95,8 +98,8 @@ def fit(rows: list, steps: int = 300, rate: float = 0.1, ridge: float = 2e-5) ->
     names = select_features(rows)
     index = {f: i for i, f in enumerate(names)}
     of_word: dict[str, tuple[int, ...]] = {}
-    doc_of, plain, at, sent = [], np.zeros(len(rows)), [], 0
-    cols: list[int] = []
+    plain, sent = np.zeros(len(rows)), 0
+    doc_of, at, cols = array("q"), array("q"), array("q")
     for d, (text, _) in enumerate(rows):
         for _, _, words in sentences(text):
             own: list[int] = []
@@ -105,14 +108,15 @@ def fit(rows: list, steps: int = 300, rate: float = 0.1, ridge: float = 2e-5) ->
                     found = of_word[w] = tuple(index[f] for f in features(w) if f in index)
                 own += found
             if own:
-                cols += own
-                at += [sent] * len(own)
+                cols.extend(own)
+                at.extend([sent] * len(own))
                 doc_of.append(d)
                 sent += 1
             else:
                 plain[d] += 1
     y = np.array([bool(t) for _, t in rows], float)
-    cols_, at_, doc_ = np.array(cols, np.int64), np.array(at, np.int64), np.array(doc_of, np.int64)
+    del of_word
+    cols_, at_, doc_ = (np.frombuffer(x, np.int64) if x else np.empty(0, np.int64) for x in (cols, at, doc_of))
     theta = np.append(np.full(len(names), 1.5), -6.0)
     m = v = np.zeros_like(theta)
     for t in range(1, steps + 1):
