@@ -136,7 +136,9 @@ def described(page: list[Block]) -> np.ndarray:
 
 def fit(pages: DataFrame, sample: int = SAMPLE, steps: int = 300) -> np.ndarray:
     """Weights of a logistic classifier of blocks in telling elements. Without both kinds of them: zeros."""
-    few = pages.filter(F.length("html").between(1, SAMPLE_CHARS)).orderBy(F.xxhash64("page_id"), "page_id").limit(sample).select("html").collect()
+    fit_for = pages.filter(F.length("html").between(1, SAMPLE_CHARS))
+    drawn = fit_for.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).distinct()  # ids first: a task sends no html that isn't drawn
+    few = fit_for.select("page_id", "html").join(F.broadcast(drawn), "page_id").select("html").limit(2 * sample).collect()
     rows, said = [], []
     for r in few:
         page = blocks(r["html"])
