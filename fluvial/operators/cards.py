@@ -55,10 +55,10 @@ def similar_pairs(cards: DataFrame, threshold: float = 0.86) -> DataFrame:
     sets = cards.select("card_id", "section", F.explode(tokens(F.concat_ws("\n", "front", "back"))).alias("token"))
     often = sets.groupBy("token").agg(F.count("*").alias("often"))
     ordered = sets.join(often, "token").groupBy("section", "card_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "token"))), lambda x: x["token"]).alias("t"))
-    length = F.size("t") - F.ceil(F.lit(threshold) * F.size("t")).cast("int") + 1
+    length = F.size("t") - F.ceil(F.lit(threshold) * F.size("t") - 1e-9).cast("int") + 1
     prefix = ordered.select("section", "card_id", "t", F.explode(F.slice("t", 1, length)).alias("token"))
     other = prefix.select("section", F.col("card_id").alias("second_id"), F.col("t").alias("u"), "token")
-    close = (F.least(F.size("t"), F.size("u")) >= F.lit(threshold) * F.greatest(F.size("t"), F.size("u")))
+    close = (F.least(F.size("t"), F.size("u")) >= F.lit(threshold) * F.greatest(F.size("t"), F.size("u")) - 1e-9)
     pairs = prefix.join(other, ["section", "token"]).filter(F.col("card_id") < F.col("second_id")).filter(close)
     pairs = pairs.select(F.col("card_id").alias("first_id"), "second_id", "t", "u").dropDuplicates(["first_id", "second_id"])
     return pairs.withColumn("similarity", jaccard(F.col("t"), F.col("u"))).filter(F.col("similarity") >= threshold).select("first_id", "second_id", F.round("similarity", 3).alias("similarity"))
