@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluvial.functions.text import collapsed, folded, jaccard, tokens
+from fluvial.functions.text import collapsed, folded, jaccard, tokens, trigrams
+from fluvial.staging import discard, materialize
 
 
 def from_conversations(turns: DataFrame) -> DataFrame:
@@ -47,18 +48,31 @@ def to_append(cards: DataFrame, notes: DataFrame) -> DataFrame:
     return first.select("c.card_id", "section", "c.front", "c.back")
 
 
-def similar_pairs(cards: DataFrame, threshold: float = 0.86) -> DataFrame:
-    """first_id, second_id, similarity (3 places) of cards of one section whose token sets are at least that similar.
+def word_set() -> Column:
+    return tokens(F.concat_ws("\n", "front", "back"))
 
-    Cards meet in the rarest tokens of their own (a prefix of each set in one order), not all with all.
+
+def letters(side: str) -> Column:
+    """A side in lower case without punctuation and white space; symbols stay."""
+    return F.regexp_replace(F.lower(F.coalesce(side, F.lit(""))), r"(?U)[\p{P}\p{Z}\s]", "")
+
+
+def run_set() -> Column:
+    return trigrams(F.concat(letters("front"), F.lit("\n"), letters("back")))
+
+
+def similar_pairs(cards: DataFrame, threshold: float = 0.86, elements: Column | None = None) -> DataFrame:
+    """first_id, second_id, similarity (3 places) of cards of one section whose sets (of words, else `elements`) are at least that similar.
+
+    Cards meet in the rarest elements of their own (a prefix of each set in one order), not all with all.
     """
-    sets = cards.select("card_id", "section", F.explode(tokens(F.concat_ws("\n", "front", "back"))).alias("token"))
+    sets = cards.select("card_id", "section", F.explode(word_set() if elements is None else elements).alias("token"))
     often = sets.groupBy("token").agg(F.count("*").alias("often"))
     ordered = sets.join(often, "token").groupBy("section", "card_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "token"))), lambda x: x["token"]).alias("t"))
     length = F.size("t") - F.ceil(F.lit(threshold) * F.size("t") - 1e-9).cast("int") + 1
     prefix = ordered.select("section", "card_id", "t", F.explode(F.slice("t", 1, length)).alias("token"))
     other = prefix.select("section", F.col("card_id").alias("second_id"), F.col("t").alias("u"), "token")
-    close = (F.least(F.size("t"), F.size("u")) >= F.lit(threshold) * F.greatest(F.size("t"), F.size("u")) - 1e-9)
+    close = F.least(F.size("t"), F.size("u")) >= F.lit(threshold) * F.greatest(F.size("t"), F.size("u")) - 1e-9
     pairs = prefix.join(other, ["section", "token"]).filter(F.col("card_id") < F.col("second_id")).filter(close)
     pairs = pairs.select(F.col("card_id").alias("first_id"), "second_id", "t", "u").dropDuplicates(["first_id", "second_id"])
     return pairs.withColumn("similarity", jaccard(F.col("t"), F.col("u"))).filter(F.col("similarity") >= threshold).select("first_id", "second_id", F.round("similarity", 3).alias("similarity"))
@@ -80,3 +94,51 @@ def write_gates(rows: DataFrame) -> DataFrame:
     """Add reasons (codes of what forbids the write, in order) and allowed. A condition that is null counts as unmet."""
     hits = (F.when(F.coalesce(F.expr(c), F.lit(True)), F.lit(code)) for code, c in GATES.items())
     return rows.withColumn("reasons", F.array_compact(F.array(*hits))).withColumn("allowed", F.size("reasons") == 0)
+
+
+def deduplicate(cards: DataFrame, threshold: float = 0.86) -> DataFrame:
+    """card_id, matched_id, kind, reason, similarity: each card that repeats a kept one, decided in card_id order.
+
+    A card is kept unless an earlier kept one has its texts (`exact`), has them but for case, punctuation and white
+    space (`canonical`) or, in the same section, is at least `threshold` similar in words or in runs of three letters
+    (`similar`); the first such card is its match. Null sides are empty.
+
+    Equal cards of a section share all their partners, so the first stands for them. Of the others each round decides
+    all whose earlier partners are decided; equal canonical texts are never paired, a group's first kept and first open
+    card say all about it. A round's tables are written and the round before deleted.
+    """
+    canon = F.sha2(F.concat(letters("front"), F.lit("\x1f"), letters("back")), 256)
+    exact = F.sha2(F.concat(F.coalesce("front", F.lit("")), F.lit("\x1f"), F.coalesce("back", F.lit(""))), 256)
+    keyed = materialize(cards.select(F.col("card_id").cast("long").alias("card_id"), "section", canon.alias("canon"), exact.alias("exact"), "front", "back"), "dedup_cards")
+    first = materialize(keyed.groupBy("exact", "section").agg(F.min_by(F.struct("card_id", "canon", "front", "back"), "card_id").alias("s")).select("exact", "section", "s.*"), "dedup_first")
+    words = similar_pairs(first, threshold).withColumn("words", F.lit(True))
+    runs = similar_pairs(first, threshold, run_set()).withColumn("words", F.lit(False))
+    best = F.max(F.struct("similarity", "words"))  # of equal ones, the words'
+    near = materialize(words.unionAll(runs).groupBy("first_id", "second_id").agg(best.alias("b")).select("first_id", F.col("second_id").alias("card_id"), "b.*"), "dedup_pairs")
+    start = first.select("card_id", "canon", F.lit(None).cast("boolean").alias("kept"), F.lit(None).cast("struct<first_id:bigint,similarity:double,words:boolean>").alias("hit"))
+    state = materialize(start, "dedup_state")
+    while not state.filter("kept is null").isEmpty():
+        known = state.select(F.col("card_id").alias("first_id"), F.col("kept").alias("_kept"))
+        links = near.join(known, "first_id").groupBy("card_id").agg(
+            F.min(F.when(F.col("_kept"), F.struct("first_id", "similarity", "words"))).alias("near"),
+            F.min(F.when(F.col("_kept").isNull(), F.col("first_id"))).alias("near_open"),
+        )
+        groups = state.groupBy("canon").agg(F.min(F.when(F.col("kept"), F.col("card_id"))).alias("same"), F.min(F.when(F.col("kept").isNull(), F.col("card_id"))).alias("same_open"))
+        own = F.col("card_id")
+        same = F.when(F.col("same") < own, F.struct(F.col("same").alias("first_id"), F.lit(1.0).alias("similarity"), F.lit(True).alias("words")))
+        hit = F.when(F.col("same_hit.first_id") <= F.coalesce("near.first_id", "same_hit.first_id"), F.col("same_hit")).otherwise(F.col("near"))
+        ahead = F.least("near_open", F.when(F.col("same_open") < own, F.col("same_open")))
+        rows = state.withColumnRenamed("hit", "_old").join(links, "card_id", "left").join(groups, "canon", "left")
+        rows = rows.withColumn("same_hit", same).withColumn("_hit", hit).withColumn("_ahead", ahead)
+        now = F.when(F.col("_ahead").isNull(), F.col("_hit").isNull()).when(F.col("_hit.first_id") < F.col("_ahead"), False)
+        rows = rows.select("card_id", "canon", F.coalesce("kept", now).alias("kept"), F.coalesce("_old", F.when(F.col("kept").isNull() & ~now, F.col("_hit"))).alias("hit"))
+        before, state = state, materialize(rows, "dedup_state")
+        discard(before)
+    stands = first.select("exact", "section", F.col("card_id").alias("_stand")).join(state.select(F.col("card_id").alias("_stand"), "hit"), "_stand")
+    rows = keyed.drop("front", "back").join(stands, (keyed["exact"] == stands["exact"]) & keyed["section"].eqNullSafe(stands["section"])).select(keyed["card_id"], keyed["exact"], keyed["canon"], "_stand", "hit")
+    rows = rows.withColumn("matched_id", F.coalesce("hit.first_id", F.when(F.col("card_id") > F.col("_stand"), F.col("_stand")))).filter("matched_id is not null")
+    other = keyed.select(F.col("card_id").alias("matched_id"), F.col("exact").alias("_exact"), F.col("canon").alias("_canon"))
+    rows = rows.join(other, "matched_id")
+    kind = F.when(F.col("exact") == F.col("_exact"), "exact").when(F.col("canon") == F.col("_canon"), "canonical").otherwise("similar")
+    reason = F.when(F.col("kind") == "exact", "exact_text").when(F.col("kind") == "canonical", "normalized_text").when(F.col("hit.words"), "shared_source_token_overlap").otherwise("shared_source_character_overlap")
+    return rows.withColumn("kind", kind).select("card_id", "matched_id", "kind", reason.alias("reason"), F.when(F.col("kind") == "similar", F.col("hit.similarity")).otherwise(1.0).alias("similarity"))

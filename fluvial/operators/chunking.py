@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Characters of a piece, wanted and at most; where to cut, best first.
@@ -36,3 +36,123 @@ def text_chunks(docs: DataFrame, target: int = TARGET, most: int = MOST) -> Data
             yield pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.string())], ["doc_id", "sequence", "start", "text"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, sequence int, start int, text string")
+
+
+def _units(blocks: list[dict], place: tuple[str, ...]) -> Iterator[dict]:
+    """Blocks that stay together: a paragraph with the code or formula below it, list items that follow each other, others alone."""
+    todo = iter(blocks)
+    held = next(todo, None)
+    while held is not None:
+        unit, after = [held], next(todo, None)
+        if held["kind"] == "paragraph" and after is not None and after["kind"] in ("code", "formula"):
+            unit.append(after)
+            after = next(todo, None)
+        while held["kind"] == "list_item" and after is not None and after["kind"] == "list_item":
+            unit.append(after)
+            after = next(todo, None)
+        yield {"blocks": unit, "text": "\n\n".join(b["text"] for b in unit), "place": tuple(unit[0].get(c) for c in place), "table": any(b["kind"] == "table" for b in unit)}
+        held = after
+
+
+def _groups(units: Iterator[dict], target: int, most: int) -> Iterator[list[dict]]:
+    """Units that share a chunk: of one place, within the target together. A table and a unit beyond the bound are alone."""
+    group: list[dict] = []
+    size = 0
+    for u in units:
+        n = len(u["text"])
+        alone = u["table"] or n > most
+        if group and (u["table"] or group[-1]["place"] != u["place"] or size + 2 + n > min(target, most)):
+            yield group
+            group = []
+        size = size + 2 + n if group else n
+        group.append(u)
+        if alone:
+            yield group
+            group = []
+    if group:
+        yield group
+
+
+def table_cuts(text: str, target: int, most: int) -> Iterator[str]:
+    """A table's rows in pieces that each repeat its header; a row beyond the bound is cut as a text."""
+    header, *rows = text.split("\n")
+    if len(text) <= most or not rows:
+        yield from (text[a:b] for a, b in cuts(text, target, most))
+        return
+    if len(header) + 1 >= most:
+        raise ValueError("table header exceeds the bound")
+    room, held = most - len(header) - 1, []
+    wanted = max(1, target - len(header) - 1)
+    for row in rows:
+        if held and (sum(map(len, held)) + len(held) + len(row) > wanted or len(row) > room):
+            yield "\n".join([header, *held])
+            held = []
+        if len(row) > room:
+            yield from (f"{header}\n{row[a:b]}" for a, b in cuts(row, wanted, room))
+            continue
+        held.append(row)
+        if sum(map(len, held)) + len(held) - 1 >= wanted:
+            yield "\n".join([header, *held])
+            held = []
+    if held:
+        yield "\n".join([header, *held])
+
+
+def _pieces(group: list[dict], target: int, most: int) -> Iterator[str]:
+    text = "\n\n".join(u["text"] for u in group)
+    blocks = group[0]["blocks"]
+    context = blocks[0]["text"] + "\n\n" if len(blocks) == 2 and blocks[0]["kind"] == "paragraph" else ""
+    if len(text) <= most or len(group) > 1:
+        yield text
+    elif group[0]["table"] and len(blocks) == 1:
+        yield from table_cuts(text, target, most)
+    elif context and len(context) < most:
+        code = blocks[1]["text"]
+        yield from (context + code[a:b] for a, b in cuts(code, max(1, target - len(context)), most - len(context)))
+    else:
+        yield from (text[a:b] for a, b in cuts(text, target, most))
+
+
+def prefix(path: list[str]) -> tuple[str, list[str]]:
+    """The line that opens each chunk of a section, and the parts of its path that don't look like file paths."""
+    unsafe = lambda p: p.startswith(("/", "\\")) or p[1:3] in (":/", ":\\") or ".." in p.replace("\\", "/").split("/")
+    parts = [p.strip() for p in path if p.strip() and not unsafe(p)]
+    return ("# " + " > ".join(parts) + "\n\n" if parts else ""), parts
+
+
+def structural_chunks(blocks: DataFrame, key: str = "doc_id", target: int = TARGET, most: int = MOST, place: tuple[str, ...] = ("line_start", "line_end")) -> DataFrame:
+    """key, sequence, section_ord, heading_path, text, block_ords, block_kinds, chunk_id, error.
+
+    Blocks of a section share a chunk while they have one `place` and fit the target; what is larger than the bound is cut
+    without loss, tables by rows under their header, code under its paragraph. A section whose heading or table header
+    is beyond the bound is one row with an error. Sections are dealt out one by one; no section is larger than its document.
+    """
+    import pandas as pd
+
+    kinds, places = blocks.schema, [c for c in place if c in blocks.columns]
+    row = F.struct("block_ord", "kind", F.coalesce("text", F.lit("")).alias("text"), *places)
+    path = F.when(F.size("heading_path") > 0, F.col("heading_path")).otherwise(F.array_compact(F.array("heading")))
+    sections = blocks.groupBy(key, "section_ord").agg(F.first(path).alias("path"), F.array_sort(F.collect_list(row)).alias("blocks"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc, section, own_path, own in batch.itertuples(index=False):
+                head, parts = prefix([p for p in own_path if p])
+                found, error = [], "heading_too_long" if len(head) >= most else None
+                try:
+                    for group in [] if error else _groups(_units(list(own), place), max(1, target - len(head)), most - len(head)):
+                        inside = [b for u in group for b in u["blocks"]]
+                        found += [(head + t, [b["block_ord"] for b in inside], [b["kind"] for b in inside]) for t in _pieces(group, max(1, target - len(head)), most - len(head))]
+                except ValueError:
+                    error = "table_header_too_long"
+                rows = [(None, None, None)] if error else found
+                out += [(doc, section, n, parts, *r, error) for n, r in enumerate(rows)]
+            yield pd.DataFrame(out, columns=[key, "section_ord", "piece", "heading_path", "text", "block_ords", "block_kinds", "error"])
+
+    types = f"{key} {kinds[key].dataType.simpleString()}, section_ord int, piece int, heading_path array<string>, text string, block_ords array<int>, block_kinds array<string>, error string"
+    pieces = sections.mapInPandas(cut, types)
+    order = Window.partitionBy(key).orderBy("section_ord", "piece")
+    numbered = pieces.withColumn("sequence", (F.row_number().over(order) - 1).cast("int"))
+    own = F.concat_ws("\x1f", F.col(key).cast("string"), F.col("section_ord").cast("string"), F.col("sequence").cast("string"), F.transform("block_ords", lambda x: x.cast("string")))
+    return numbered.withColumn("chunk_id", F.concat(F.lit("chunk-"), F.substring(F.sha2(own, 256), 1, 16))).drop("piece")

@@ -20,7 +20,7 @@ def analyze(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
         F.count("*").alias("block_count"),
         F.sum(F.when(full, n).otherwise(0)).cast("long").alias("characters"),
         F.count_if(full & (F.col("kind") == "code")).alias("code_blocks"),
-        F.least(F.lit(MOST_POINTS), F.sum(F.when(full, F.greatest(F.lit(1), F.ceil(n / POINT_CHARS)))).cast("long")).alias("estimated_points"),
+        F.least(F.lit(MOST_POINTS), F.sum(F.when(full, F.greatest(F.lit(1), F.ceil(n / POINT_CHARS))).otherwise(0)).cast("long")).alias("estimated_points"),
         language(cjk, latin).alias("language"),
     )
 

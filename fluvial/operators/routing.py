@@ -52,7 +52,7 @@ def signals(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
         seen(text.rlike(DEFINITION)).alias("definition"), seen(text.rlike(COMPARISON)).alias("comparison"), seen(F.regexp_count(text, F.lit(STEP)) >= 2).alias("process"),
         *(seen(F.col("kind") == k).alias(k) for k in SPECIAL),
         F.count_if(F.col("kind").isin(*STRUCTURED)).alias("_structured"),
-        F.coalesce(F.least(F.lit(MOST_POINTS), F.sum(F.when(full, F.greatest(F.lit(1), F.ceil(n / POINT_CHARS)))).cast("long")), F.lit(0)).cast("long").alias("estimated_points"),
+        F.least(F.lit(MOST_POINTS), F.sum(F.when(full, F.greatest(F.lit(1), F.ceil(n / POINT_CHARS))).otherwise(0))).cast("long").alias("estimated_points"),
         language(letters(CJK_LETTER), letters("[A-Za-z]")).alias("language"),
     )
     some = lambda *names: sum((F.when(F.col(c) > 0, 1).otherwise(0) for c in names), F.lit(0))
