@@ -85,6 +85,29 @@ def style(cards: DataFrame, key: str) -> DataFrame:
     )
 
 
+def evidence(points: DataFrame, chunks: DataFrame, most: int = 12_000) -> DataFrame:
+    """(point_id, chunks, missing, text): the texts of each point's chunk_ids in their order, by lines, cut; missing ones are counted."""
+    refs = points.select("point_id", F.posexplode_outer("chunk_ids").alias("ord", "chunk_id")).join(chunks.select("chunk_id", "text"), "chunk_id", "left")
+    own = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("ord", "text"))))
+    counts = refs.groupBy("point_id").agg(F.count("text").cast("int").alias("chunks"), F.count_if(F.col("chunk_id").isNotNull() & F.col("text").isNull()).alias("missing"), own.alias("own"))
+    return counts.select("point_id", "chunks", "missing", F.substring(F.array_join(F.transform("own", lambda x: x["text"]), "\n"), 1, most).alias("text"))
+
+
+# The upper bounds of size classes.
+SIZE_CLASSES = (32, 64, 128)
+
+
+def size_classes(rows: DataFrame, size: Column, bounds: tuple[int, ...] = SIZE_CLASSES) -> DataFrame:
+    """(class, n): rows of each size class, classes without rows too."""
+    names = [f"{low + 1 if low else 0}-{high}" for low, high in zip((0, *bounds), bounds, strict=False)] + [f"{bounds[-1] + 1}+"]
+    of = F.lit(names[-1])
+    for name, high in reversed(list(zip(names, bounds, strict=False))):
+        of = F.when(size <= high, name).otherwise(of)
+    counts = rows.groupBy(of.alias("class")).agg(F.count("*").alias("n"))
+    classes = rows.sparkSession.createDataFrame([(x,) for x in names], "class string")
+    return classes.join(counts, "class", "left").select("class", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 def top_tags(tags: DataFrame, k: int = 16) -> DataFrame:
     """The k most frequent tags; of equal counts the one seen first."""
     return tags.groupBy("tag").agg(F.count("*").alias("n"), F.min("ord").alias("first_ord")).orderBy(F.desc("n"), "first_ord").limit(k)

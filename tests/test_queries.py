@@ -5,7 +5,9 @@ import math
 import duckdb
 import pytest
 
-from fluvial.plans.queries import ORACLES, QUERIES
+from fluvial.plans import documents, queries
+
+QUERIES, ORACLES = queries.QUERIES | documents.QUERIES, queries.ORACLES | documents.ORACLES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -34,3 +36,8 @@ def test_equals_sql(spark, duck, name):
     rows = sorted((tuple(plain(v) for v in r) for r in got.select(*columns).collect()), key=repr)
     assert rows == sorted((tuple(plain(v) for v in r) for r in want.fetchall()), key=repr)
     assert rows or name == "similar_cards"
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_runs(spark, name):
+    assert QUERIES[name](spark, SF).count() > 0 or name == "duplicate_decisions"
