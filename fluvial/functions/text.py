@@ -32,8 +32,7 @@ def letters_only(text: Column) -> Column:
 def cjk_pairs(text: Column) -> Column:
     """Each two neighbours of all CJK characters of the text, put together."""
     together = F.regexp_replace(text, r"[^\x{3400}-\x{9fff}]", "")
-    n = F.length(together)
-    return F.when(n >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(together, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.regexp_extract_all(together, F.lit("(?=(.{2}))."), F.lit(1)))
 
 
 def tokens(text: Column) -> Column:
@@ -44,8 +43,8 @@ def tokens(text: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """The set of runs of three characters; a shorter text is its own only run."""
-    n = F.length(text)
-    return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(text, i, F.lit(3))))).otherwise(F.filter(F.array(text), lambda x: x != ""))
+    runs = F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))."), F.lit(1)))
+    return F.when(F.length(text) >= 3, runs).otherwise(F.filter(F.array(text), lambda x: x != ""))
 
 
 def jaccard(x: Column, y: Column) -> Column:

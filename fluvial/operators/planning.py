@@ -15,7 +15,7 @@ def analyze(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per document: counts, estimated points and language in one aggregation. Blank blocks count as blocks alone."""
     n = F.length("text")
     full = F.trim(F.col("text")) != ""
-    cjk, latin = (F.sum(F.when(full, F.regexp_count("text", F.lit(p))).otherwise(0)) for p in (r"[\x{3400}-\x{9fff}]", "[A-Za-z]"))
+    cjk, latin = (F.sum(F.when(full, n - F.length(F.regexp_replace("text", p, ""))).otherwise(0)) for p in (r"[\x{3400}-\x{9fff}]+", "[A-Za-z]+"))
     return blocks.groupBy(key).agg(
         F.count("*").alias("block_count"),
         F.sum(F.when(full, n).otherwise(0)).cast("long").alias("characters"),

@@ -43,10 +43,10 @@ def signals(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     `blocks` has kind and text. Blank and null texts count as blocks alone; a document without any other is `empty`.
     """
     text = F.coalesce("text", F.lit(""))
-    full = F.regexp_replace(text, r"(?U)\s+", "") != ""
+    full = text.rlike(r"(?U)\S")
     n = F.length(text)
     seen = lambda hit: F.count_if(full & hit)
-    letters = lambda p: F.sum(F.when(full, F.regexp_count(text, F.lit(p))).otherwise(0))
+    letters = lambda p: F.sum(F.when(full, n - F.length(F.regexp_replace(text, p + "+", ""))).otherwise(0))
     counts = blocks.groupBy(key).agg(
         F.count("*").alias("block_count"), seen(F.lit(True)).alias("content_blocks"), F.sum(F.when(full, n).otherwise(0)).alias("char_count"),
         seen(text.rlike(DEFINITION)).alias("definition"), seen(text.rlike(COMPARISON)).alias("comparison"), seen(F.regexp_count(text, F.lit(STEP)) >= 2).alias("process"),

@@ -13,18 +13,20 @@ def blocks(docs: DataFrame, kind: str = "paragraph", key: str = "doc_id", text:
     where they are: no shuffle, and no more in memory than a document. Blank and null texts have no blocks.
     """
     clean = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\r\n?", "\n")
-    lines = F.split(clean, "\n")
     if kind != "code":
-        lines = F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)\s+$", ""))
-    numbered = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"), (F.trim(F.regexp_replace(x, r"(?U)\s+", " ")) == "").alias("blank")))
+        clean = F.regexp_replace(clean, r"(?U)[^\S\n]++(?=\n|\z)", "")
+    lines = F.split(clean, "\n")
+    numbered = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x.alias("text")))
     # a run's lines have their number less their place among the non-blank lines in common
-    full = F.filter(numbered, lambda x: ~x["blank"])
+    full = F.filter(numbered, lambda x: x["text"].rlike(r"(?U)\S"))
     placed = F.transform(full, lambda x, i: F.struct((x["line"] - i).alias("run"), x["line"].alias("line"), x["text"].alias("text")))
     rows = docs.select(key, placed.alias("placed"))
-    runs = F.array_distinct(F.transform("placed", lambda x: x["run"]))
-    rows = rows.select(key, "placed", F.posexplode(runs).alias("block_ord", "run"))
-    own = F.filter("placed", lambda x: x["run"] == F.col("run"))
-    return rows.withColumn("own", own).select(
+    starts = F.array_compact(F.transform("placed", lambda x, i: F.when((i == 0) | (x["run"] != F.get("placed", i - 1)["run"]), i)))
+    rows = rows.withColumn("starts", starts)
+    # only the pieces are dealt out, so a row doesn't carry all lines of its document
+    pieces = F.transform("starts", lambda s, k: F.slice("placed", s + 1, F.coalesce(F.get("starts", k + 1), F.size("placed")) - s))
+    rows = rows.select(key, F.posexplode(pieces).alias("block_ord", "own"))
+    return rows.select(
         key,
         "block_ord",
         F.lit(kind).alias("kind"),
