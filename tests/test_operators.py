@@ -196,3 +196,14 @@ def test_signals_and_routes(spark):
     assert route(F.lit("auto"), F.lit("Definition"), F.array(F.lit("table")))[1] == ("table_relationship", "compare_contrast", "auto.table", 0.92)
     levels = {r.level: (r.card_min, r.card_max, r.call_max, r.confirm) for r in routing.estimate(got.filter("doc_id = 1")).collect()}
     assert levels == {"fast": (2, 3, 3, False), "standard": (3, 4, 8, True), "deep": (3, 5, 12, True)}
+
+
+def test_point_types_gate_and_replacement(spark):
+    rows = spark.createDataFrame([(0, "A cell is a unit", ["code", "formula"]), (1, "cats versus dogs", ["paragraph"]), (2, "First mix, then pour", []), (3, "A cell is a unit", []), (4, "Cells", []), (5, "x", ["transcript"])], "i int, title string, kinds array<string>")
+    got = rows.select("i", routing.point_type(F.col("title"), F.col("kinds")).alias("t")).orderBy("i").collect()
+    assert [r.t for r in got] == ["formula", "comparison", "process", "definition", "concept", "transcript"]
+    rated = spark.createDataFrame([(1, ["empty_back", "long_back"]), (2, [])], "card_id int, rule_ids array<string>")
+    assert [[tuple(i) for i in r.issues] for r in critic.as_gate(rated).orderBy("card_id").collect()] == [[("empty_back", "error"), ("long_back", "warning")], []]
+    new = spark.createDataFrame([(2, None)], "card_id int, front string")
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "card_id int, front string")
+    assert {r.card_id: r.front for r in runs.replaced(old, new, "card_id").collect()} == {1: "a", 2: None}
