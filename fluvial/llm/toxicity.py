@@ -1,10 +1,13 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's score is the sigmoid of a bias and the weights of its words' features;
-a document's score is the noisy-or of its sentences', 1 - prod(1 - s). Labels are known for documents only, and the
+a document's score is the noisy-or of its sentences', 1 - prod(1 - s), over those of LEAST or more. The
+many that score less say nothing together, so that length alone makes no text toxic; without any above, the highest
+score of one sentence is the document's. Sentences without a feature score 0. Labels are known for documents only, and the
 weights are fitted through the noisy-or, so the sentences that make a document toxic are found along the way.
 
-The fit takes at most MAX_ROWS labelled documents of at most MAX_CHARS characters, those whose doc_id hashes lowest.
+The fit takes labelled documents of any length, those whose doc_id hashes lowest: at most MAX_ROWS of them, and each if
+its whole text still fits into MAX_BYTES with those before it.
 Scoring takes every document and its whole text, sentence by sentence.
 """
 
@@ -22,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_ROWS, MAX_CHARS = 12_000, 20_000
+MAX_ROWS, MAX_BYTES = 12_000, 32 << 20
 #: A feature must be in so many toxic documents of the sample; so many features are kept.
 MIN_TOXIC, MAX_FEATURES = 3, 4_000
+#: A sentence of a lower score adds nothing to others.
+LEAST = 0.1
 FOLDS = 5
 SENTENCE = re.compile(r"[^.!?\n。！？]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -53,12 +58,22 @@ def sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
             yield m.start(), m.end(), words
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> list:
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> list:
     """(text, toxic) of the sample. Labels without a doc_id or a value take no part."""
     known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
     drawn = known.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows)
     few = F.broadcast(drawn)  # max_rows rows
-    return docs.filter((F.length("text") > 0) & (F.length("text") <= max_chars)).select("doc_id", "text").join(few, "doc_id").orderBy("doc_id", "text").limit(2 * max_rows).select("text", "toxic").collect()
+    texts = docs.filter(F.length("text") > 0).select("doc_id", "text")
+    sizes = texts.join(few, "doc_id").groupBy("doc_id").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.count("*").alias("n"))
+    taken, room, rows = [], max_bytes, 2 * max_rows
+    for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # max_rows rows, without texts
+        if r.bytes <= room and r.n <= rows:
+            taken.append((r.doc_id,))
+            room, rows = room - r.bytes, rows - r.n
+    if not taken:
+        return []
+    ids = docs.sparkSession.createDataFrame(taken, sizes.select("doc_id").schema)
+    return texts.join(F.broadcast(few.join(F.broadcast(ids), "doc_id")), "doc_id").orderBy("doc_id", "text").select("text", "toxic").collect()
 
 
 def select_features(rows: list) -> list[str]:
@@ -98,7 +113,7 @@ def fit(rows: list, steps: int = 300, rate: float = 0.1, ridge: float = 2e-5) ->
     names = select_features(rows)
     index = {f: i for i, f in enumerate(names)}
     of_word: dict[str, tuple[int, ...]] = {}
-    plain, sent = np.zeros(len(rows)), 0
+    sent = 0
     doc_of, at, cols = array("q"), array("q"), array("q")
     for d, (text, _) in enumerate(rows):
         for _, _, words in sentences(text):
@@ -112,8 +127,6 @@ def fit(rows: list, steps: int = 300, rate: float = 0.1, ridge: float = 2e-5) ->
                 at.extend([sent] * len(own))
                 doc_of.append(d)
                 sent += 1
-            else:
-                plain[d] += 1
     y = np.array([bool(t) for _, t in rows], float)
     del of_word
     cols_, at_, doc_ = (np.frombuffer(x, np.int64) if x else np.empty(0, np.int64) for x in (cols, at, doc_of))
@@ -121,12 +134,12 @@ def fit(rows: list, steps: int = 300, rate: float = 0.1, ridge: float = 2e-5) ->
     m = v = np.zeros_like(theta)
     for t in range(1, steps + 1):
         z = theta[-1] + np.bincount(at_, theta[cols_], sent)
-        s, s0 = 1 / (1 + np.exp(-z)), 1 / (1 + math.exp(-theta[-1]))
-        none = np.bincount(doc_, -np.logaddexp(0, z), len(rows)) + plain * math.log1p(-s0)  # log of prod(1 - s)
+        s = 1 / (1 + np.exp(-z))
+        none = np.bincount(doc_, -np.logaddexp(0, z), len(rows))  # log of prod(1 - s)
         p = -np.expm1(np.minimum(none, -1e-12))
         pull = np.where(y > 0, -np.exp(none) / p, 1.0)  # of the loss by each z, over its s
         dz = pull[doc_] * s
-        grad = np.append(np.bincount(cols_, dz[at_], len(names)), dz.sum() + (pull * plain).sum() * s0) / len(rows)
+        grad = np.append(np.bincount(cols_, dz[at_], len(names)), dz.sum()) / len(rows)
         grad[:-1] += ridge * theta[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -138,7 +151,6 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model, self.known = model, {}
-        self.plain = 0.0 if model.bias == -math.inf else 1 / (1 + math.exp(-model.bias))
 
     def weight(self, word: str) -> float:
         if (w := self.known.get(word)) is None:
@@ -149,21 +161,20 @@ class Scorer:
 
     def score(self, text: str, least: float = 0.5) -> tuple[float, list[tuple[int, int, float]]]:
         """The document's score, and (start, length, score) of the sentences that score `least` or more."""
-        none, found, weight, plain = 0.0, [], self.weight, 0
+        none, most, found, weight = 0.0, 0.0, [], self.weight
         for start, end, words in sentences(text):
             # each distinct feature counts once a sentence, as in the fit; words without weight are most of them
             heavy = [w for w in words if weight(w)]
             if not heavy:
-                plain += 1
                 continue
             z = self.model.bias + sum(map(weight, set(heavy)))
-            none -= max(z, 0) + math.log1p(math.exp(-abs(z)))
             s = 1 / (1 + math.exp(-max(z, -700)))
+            most = max(most, s)
+            if s >= LEAST:
+                none -= max(z, 0) + math.log1p(math.exp(-abs(z)))
             if s >= least:
                 found.append((start, end - start, s))
-        if plain and self.plain:
-            none += plain * math.log1p(-self.plain)
-        return min(1.0, max(0.0, -math.expm1(none))), found
+        return min(1.0, max(most, -math.expm1(none))), found
 
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_offending long, offending array<struct<start: long, length: long, score: double>>"

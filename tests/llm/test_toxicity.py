@@ -63,3 +63,25 @@ def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     model = t.fit(t.training_rows(docs, spark.createDataFrame([], "doc_id long, toxic int")))
     assert t.score_documents(docs, model).first().score == 0 and t.score_documents(docs.limit(0), model).count() == 0
+
+
+def test_length_alone_is_not_toxic(scored):
+    rows, docs, model = scored
+    got = {r.doc_id: r for r in t.score_documents(docs.filter("doc_id = 9002"), model).collect()}
+    assert got[9002].predicted == 0 and t.keep_clean(docs.filter("doc_id = 9002"), model).count() == 1
+    rng, weak = random.Random(2), sorted(w for w in model.weights if w[0] != "=")
+    scorer = t.Scorer(model._replace(weights=model.weights | {"=mild": 1.0}))
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 6)))
+    plain = "".join(" ".join(word() for _ in range(6)) + (" mild. " if i % 2 else ". ") for i in range(100_000))
+    assert len(plain) > 3_000_000 and weak and scorer.score(plain)[0] < 0.5
+    assert scorer.score(plain + "grumbox schnorfling.")[0] > 0.5
+
+
+def test_long_labelled_rows_are_learnt_from(spark):
+    ids = [i for i in range(20) if zlib.crc32(str(i).encode()) % 5][:10]
+    docs = spark.createDataFrame([(i, f"{i} " * 20_000) for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    assert sorted(r.text[:2].strip() for r in t.training_rows(docs, labels)) == sorted(map(str, ids))
+    few = t.training_rows(docs, labels, max_bytes=200_000)
+    assert few and sum(len(r.text) for r in few) <= 200_000 and all(len(r.text) >= 40_000 for r in few)
+    assert t.training_rows(docs, labels, max_bytes=1) == []
