@@ -46,6 +46,12 @@ AWAY = re.compile(
 )
 TOWARDS = re.compile(r"(?:^|[-_\s])(?:article|content|main|post|entry|story|body)(?:$|[-_\s])", re.I)
 AWAY_TAGS, TOWARDS_TAGS = frozenset("nav footer aside form head menu dialog button".split()), frozenset("article main".split())
+#: Tags on which names that speak of boilerplate say nothing; tags that hold for all inside; words that do; names that tell what a page has; words of a state, which may be the page's.
+FRAME, LASTING_TAGS = frozenset("html body article main".split()), frozenset("nav aside footer menu dialog button".split())
+COMMENTS = re.compile(r"(?:^|[-_])(?:comments?|replies|disqus)(?:$|[-_])", re.I)
+FOREIGN = re.compile(r"(?:^|[-_])(?:ads?|adverts?|advertisement|advertising|promo|sponsor(?:ed)?|cookies?|consent|related|recommended)(?:$|[-_])", re.I)
+WITHOUT = re.compile(r"(?:no|not|has|with|without)[-_]", re.I)
+STATE = re.compile(r"(?:^|[-_])(?:is|show|hide|open|opened|closed?|enabled|disabled|fixed|sticky|visible|hidden|on|off)(?:$|[-_])", re.I)
 
 
 class Block(NamedTuple):
@@ -56,20 +62,57 @@ class Block(NamedTuple):
     said: int  # what the nearest telling element says: 1 content, -1 boilerplate, 0 nothing
 
 
-def _says(tag: str, attributes: str, around: int, inside: bool) -> tuple[int, bool]:
-    """What an element says of its text, and whether it is inside an article."""
-    names = " ".join(filter(None, (x for m in HINT.findall(attributes) for x in m))) if attributes else ""
-    if tag in AWAY_TAGS or (tag == "header" and not inside) or (names and AWAY.search(names)):
-        return -1, inside
-    if around >= 0 and (tag in TOWARDS_TAGS or (names and TOWARDS.search(names))):
-        return 1, True
-    return around, inside
+class Element(NamedTuple):
+    tag: str
+    names: str
+    around: int
+
+
+def _said(elements: list[Element]) -> list[int]:
+    """What each element says of its text. The first is the page.
+
+    A name that speaks of boilerplate says nothing on the page's frame: on html, body, article and main, on what holds
+    an article or a main, and on what holds all that is named as content in a page without those. Comments hold for all
+    inside, unless a main is; advertisements and related pages do, unless all of the page's articles are inside.
+    """
+    tagged = [e.tag in TOWARDS_TAGS for e in elements]
+    mains = [e.tag == "main" for e in elements]
+    named = [bool(e.names and TOWARDS.search(e.names)) and e.tag not in ("html", "body") for e in elements]
+    held = [list(map(int, x)) for x in (tagged, mains, named)]
+    for i in range(len(elements) - 1, 0, -1):
+        for x in held:
+            x[elements[i].around] += x[i]
+    articles, main, content = held
+    out = [(0, False, False)]  # what it says, whether that holds for all inside, whether it is inside an article
+    for i, e in enumerate(elements[1:], 1):
+        said, firm, inside = out[e.around]
+        if e.tag in ("html", "body"):
+            said, firm = 0, False
+        words = [x for x in e.names.split() if AWAY.search(x) and not WITHOUT.match(x)] if e.names and e.tag not in FRAME else []
+        away, lasting = bool(words), False
+        if away:
+            words = [x for x in words if not STATE.search(x)]
+            if any(map(COMMENTS.search, words)):
+                away, lasting = not main[i], not main[i]
+            elif any(map(FOREIGN.search, words)):
+                away = lasting = not articles[i] or articles[i] < articles[0]
+            else:
+                away = not articles[i] and bool(words or not named[i]) and (bool(articles[0]) or not content[i] - named[i] or content[i] < content[0])
+                lasting = away and bool(words)
+        if e.tag in AWAY_TAGS or (e.tag == "header" and not inside) or away:
+            out.append((-1, firm or lasting or e.tag in LASTING_TAGS, inside))
+        elif not firm and (e.tag in TOWARDS_TAGS or named[i] or (e.tag in ("html", "body") and TOWARDS.search(e.names))):
+            out.append((1, False, True))
+        else:
+            out.append((said, firm, inside))
+    return [x[0] for x in out]
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order. Tags need not be closed; text outside of any block is a block, too."""
-    out: list[Block] = []
-    stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]  # tag, number, what it says, inside an article
+    out: list[tuple[str, int, str, int, int]] = []
+    elements = [Element("", "", 0)]
+    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, number, place in elements
     parts: list[str] = []
     linked, in_link, number = 0, False, 0
 
@@ -78,9 +121,9 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                tag, own, said, _ = stack[-1]
+                tag, own, element = stack[-1]
                 parent = stack[-2][1] if len(stack) > 1 and tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "dd", "dt") else own
-                out.append(Block(text, min(linked, len(text)), tag, parent, said))
+                out.append((text, min(linked, len(text)), tag, parent, element))
             parts.clear()
         linked = 0
 
@@ -100,7 +143,8 @@ def blocks(page: str) -> list[Block]:
             elif tag == "br":
                 parts.append(" ")
             elif tag == "button" and not m[2]:
-                stack.append((tag, number, -1, stack[-1][3]))
+                elements.append(Element(tag, "", stack[-1][2]))
+                stack.append((tag, number, len(elements) - 1))
             elif tag == "button" and stack[-1][0] == "button":
                 close()
                 stack.pop()
@@ -117,11 +161,13 @@ def blocks(page: str) -> list[Block]:
         ended = ENDED.get(tag, ("p",))
         while stack[-1][0] in ended:
             stack.pop()
-        said, inside = _says(tag, m[4], stack[-1][2], stack[-1][3])
+        names = " ".join(filter(None, (x for h in HINT.findall(m[4]) for x in h))) if m[4] else ""
         number += 1
-        stack.append((tag, number, said, inside))
+        elements.append(Element(tag, names, stack[-1][2]))
+        stack.append((tag, number, len(elements) - 1))
     close()
-    return out
+    said = _said(elements)
+    return [Block(text, n, tag, parent, said[element]) for text, n, tag, parent, element in out]
 
 
 def described(page: list[Block]) -> np.ndarray:

@@ -52,3 +52,26 @@ def test_classifier_learns_from_telling_elements(spark):
     found = h.blocks(page)
     judged = h.described(found) @ w
     assert judged[2] > judged[0] and judged[2] > judged[1]
+
+
+TEXT = "<h1>Title</h1><p>First one.</p><p>Second one.</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="no-sidebar"><article>{}</article></body>',
+        '<body class="has-sidebar page"><main>{}</main></body>',
+        '<body class="nav-fixed"><div class="content">{}</div></body>',
+        '<article class="post comments-open">{}</article>',
+        '<div class="has-sidebar"><div class="content">{}</div><div class="sidebar">Other</div></div>',
+        '<div class="comments-open widget"><main>{}</main></div>',
+        '<div class="content nav-fixed">{}</div>',
+        '<div class="with-sidebar"><article>{}</article></div>',
+        '<form id="login"><article>{}</article></form>',
+        '<div id="menu"><article>{}<section class="comments"><article>Reply</article></section></article></div>',
+        '<article>{}</article><div class="related"><article>Other</article></div><div class="footer"><div class="content">Us</div></div><nav><article>Way</article></nav>',
+    ],
+)
+def test_names_on_the_frame_lose_no_text(page):
+    assert h.main_text(page.format(TEXT), np.zeros(10)).split("\n") == ["Title", "First one.", "Second one."]
