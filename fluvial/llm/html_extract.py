@@ -14,7 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -29,7 +29,7 @@ TELLING, JUDGED, NEXT, TOGETHER = 6.0, 2.0, 0.4, 0.8
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)"
-    r"|<(script|style|noscript|template|svg|iframe|object|textarea|select|title|math|canvas|audio|video)\b[^>]*>.*?(?:</\1\s*>|$)"
+    r"|<(script|style|noscript|template|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|$)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|[^<]+|<",
     re.S | re.I,
@@ -37,6 +37,8 @@ TOKEN = re.compile(
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements whose content is no text of the page. Without an end tag in the block around them, the next block ends them.
+SKIPPED = frozenset("svg object select canvas audio video".split())
 #: An opening block ends these if they are open directly around it.
 ENDED = {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p")}
 HINT = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -62,6 +64,37 @@ class Block(NamedTuple):
     said: int  # what the nearest telling element says: 1 content, -1 boilerplate, 0 nothing
 
 
+def _skips(tokens: list[re.Match]) -> dict[int, int]:
+    """Places of opening tags of SKIPPED elements, with that of the end tag, or of the next block's tag if there is none."""
+    found: dict[int, int] = {}
+    around: list[tuple[str, int]] = []
+    number = Counter()  # of open elements by tag
+    for i, m in enumerate(tokens):
+        if (tag := (m[3] or "").lower()) not in SKIPPED and (tag not in BLOCK or tag == "hr"):
+            continue
+        if not m[2]:
+            if tag != "svg" or not m[4].endswith("/"):
+                around.append((tag, i))
+                number[tag] += 1
+        elif number[tag]:
+            if tag in SKIPPED:
+                at = next(k for k in range(len(around) - 1, -1, -1) if around[k][0] == tag)
+                found[around[at][1]] = i
+            while True:
+                own, _ = around.pop()
+                number[own] -= 1
+                if own == tag:
+                    break
+    last = len(tokens)
+    for i in range(len(tokens) - 1, -1, -1):
+        tag = (tokens[i][3] or "").lower()
+        if tag in SKIPPED and not tokens[i][2] and not (tag == "svg" and tokens[i][4].endswith("/")):
+            found.setdefault(i, last - 1)
+        elif tag in BLOCK:
+            last = i
+    return found
+
+
 class Element(NamedTuple):
     tag: str
     names: str
@@ -114,7 +147,7 @@ def blocks(page: str) -> list[Block]:
     elements = [Element("", "", 0)]
     stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, number, place in elements
     parts: list[str] = []
-    linked, in_link, number = 0, False, 0
+    linked, in_link, number, skip = 0, False, 0, -1
 
     def close() -> None:
         nonlocal linked
@@ -127,7 +160,11 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page):
+    tokens = list(TOKEN.finditer(page))
+    skips = _skips(tokens)
+    for i, m in enumerate(tokens):
+        if i <= skip:
+            continue
         tag = m[3]
         if tag is None:
             token = m[0]
@@ -148,6 +185,8 @@ def blocks(page: str) -> list[Block]:
             elif tag == "button" and stack[-1][0] == "button":
                 close()
                 stack.pop()
+            else:
+                skip = skips.get(i, skip)
             continue
         close()
         in_link = False

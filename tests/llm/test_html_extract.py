@@ -75,3 +75,19 @@ TEXT = "<h1>Title</h1><p>First one.</p><p>Second one.</p>"
 )
 def test_names_on_the_frame_lose_no_text(page):
     assert h.main_text(page.format(TEXT), np.zeros(10)).split("\n") == ["Title", "First one.", "Second one."]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>One <svg width=1/> two</p><p>Three</p>", ["One two", "Three"]),
+        ("<p>One <svg><g><svg/></g><text>no</text></svg> two</p><p>Three</p>", ["One two", "Three"]),
+        ("<p>Sum <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds<math/>.</p><p>Three</p>", ["Sum x=1 holds.", "Three"]),
+        ("<p>One <select><option>no<p>Two</p><p>Three <video><p>no</p></video></p>", ["One", "Two", "Three"]),
+        ("<div>One <object data=x>no</div><p>Two</p><p>a<object>no<object>no</object>no</object>b</p>", ["One", "Two", "ab"]),
+        ("<p>One<canvas>no</p><p>Two<audio>no", ["One", "Two"]),
+        ("<p>One<script/>no<p>no</p></script></p><p>Two</p>", ["One", "Two"]),
+    ],
+)
+def test_only_skipped_elements_are_dropped(page, want):
+    assert h.main_text(f"<article>{page}</article>", np.zeros(10)).split("\n") == want
