@@ -10,11 +10,27 @@ from fluvial.staging import discard, materialize
 
 
 def from_conversations(turns: DataFrame) -> DataFrame:
-    """A card for each user turn that an assistant answers: card_id, section, front, back."""
+    """A card for each user turn that an assistant answers: card_id (its conv_id and turn), section, front, back."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = turns.select("conv_id", "turn", "role", "text", F.lead("role").over(w).alias("next_role"), F.lead("text").over(w).alias("back"))
     rows = rows.filter("role = 'user' and next_role = 'assistant'")
-    return rows.select((F.col("conv_id") * 10_000 + F.col("turn")).alias("card_id"), F.col("conv_id").alias("section"), F.coalesce("text", F.lit("")).alias("front"), F.coalesce("back", F.lit("")).alias("back"))
+    return rows.select(F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.struct("conv_id", "turn")).alias("card_id"), F.col("conv_id").alias("section"), F.coalesce("text", F.lit("")).alias("front"), F.coalesce("back", F.lit("")).alias("back"))
+
+
+def numbered(rows: DataFrame, *names: str) -> DataFrame:
+    """Ids of from_conversations as numbers for a result: conv_id * 10000 + turn, and below -2**62 from turn 10,000 on.
+
+    No two ids share a number; those that have none (turns below 0; later turns of 2**31 and more, or of such conv_ids)
+    are errors. The numbers of later turns are not in the ids' order, so operators take the ids themselves.
+    """
+
+    def number(name: str) -> Column:
+        conv, turn = (F.col(f"{name}.{x}").cast("long") for x in ("conv_id", "turn"))
+        late = (turn >= 10_000) & (turn < 1 << 31) & conv.between(0, (1 << 31) - 1)
+        found = F.when(F.col(name).isNull(), F.lit(None).cast("long")).when(turn.between(0, 9_999), conv * 10_000 + turn)
+        return found.when(late, F.lit(-(1 << 62)) - conv * (1 << 31) - turn).otherwise(F.raise_error(F.lit("no number for a card's conv_id and turn")).cast("long"))
+
+    return rows.withColumns({n: number(n) for n in names})
 
 
 def mark_duplicates(cards: DataFrame) -> DataFrame:
@@ -109,13 +125,14 @@ def deduplicate(cards: DataFrame, threshold: float = 0.86) -> DataFrame:
     """
     canon = F.sha2(F.concat(letters("front"), F.lit("\x1f"), letters("back")), 256)
     exact = F.sha2(F.concat(F.coalesce("front", F.lit("")), F.lit("\x1f"), F.coalesce("back", F.lit(""))), 256)
-    keyed = materialize(cards.select(F.col("card_id").cast("long").alias("card_id"), "section", canon.alias("canon"), exact.alias("exact"), "front", "back"), "dedup_cards")
+    keyed = materialize(cards.select("card_id", "section", canon.alias("canon"), exact.alias("exact"), "front", "back"), "dedup_cards")
     first = materialize(keyed.groupBy("exact", "section").agg(F.min_by(F.struct("card_id", "canon", "front", "back"), "card_id").alias("s")).select("exact", "section", "s.*"), "dedup_first")
     words = similar_pairs(first, threshold).withColumn("words", F.lit(True))
     runs = similar_pairs(first, threshold, run_set()).withColumn("words", F.lit(False))
     best = F.max(F.struct("similarity", "words"))  # of equal ones, the words'
     near = materialize(words.unionAll(runs).groupBy("first_id", "second_id").agg(best.alias("b")).select("first_id", F.col("second_id").alias("card_id"), "b.*"), "dedup_pairs")
-    start = first.select("card_id", "canon", F.lit(None).cast("boolean").alias("kept"), F.lit(None).cast("struct<first_id:bigint,similarity:double,words:boolean>").alias("hit"))
+    kind_of_id = cards.schema["card_id"].dataType.simpleString()
+    start = first.select("card_id", "canon", F.lit(None).cast("boolean").alias("kept"), F.lit(None).cast(f"struct<first_id:{kind_of_id},similarity:double,words:boolean>").alias("hit"))
     state = materialize(start, "dedup_state")
     while not state.filter("kept is null").isEmpty():
         known = state.select(F.col("card_id").alias("first_id"), F.col("kept").alias("_kept"))

@@ -64,14 +64,14 @@ def structural_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.deduplicate(base._cards(spark, sf_dir))
+    return C.numbered(C.deduplicate(base._cards(spark, sf_dir)), "card_id", "matched_id")
 
 
 def critic_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each card judged against its front; every third was repaired before, the model flags every fourth."""
     rated = Q.evaluate(base._cards(spark, sf_dir), F.col("front"), F.lit("concept"))
     out = critic.decide(rated, F.col("front"), F.when(F.col("section") % 4 == 0, "flag"), F.lit(None).cast("array<string>"), F.col("section") % 3 == 0)
-    return out.select("card_id", "action", F.array_join("reason_codes", ",").alias("reason_codes"), "local_blocking")
+    return C.numbered(out, "card_id").select("card_id", "action", F.array_join("reason_codes", ",").alias("reason_codes"), "local_blocking")
 
 
 def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,7 @@ def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.first_of_each(base._cards(spark, sf_dir), "section", "card_id", 2)
+    return C.numbered(runs.first_of_each(base._cards(spark, sf_dir), "section", "card_id", 2), "card_id")
 
 
 def block_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:

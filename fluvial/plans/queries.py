@@ -47,28 +47,28 @@ def block_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def card_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = Q.evaluate(_cards(spark, sf_dir), F.col("front"), F.lit("concept"))
-    return rated.select("card_id", F.array_join("rule_ids", ",").alias("rule_ids"), "score", "status")
+    return C.numbered(rated, "card_id").select("card_id", F.array_join("rule_ids", ",").alias("rule_ids"), "score", "status")
 
 
 def structural_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _cards(spark, sf_dir).withColumn("card_type", F.lit("basic")).withColumn("source", F.col("section").cast("string"))
-    return Q.structural_gate(rows).select("card_id", F.array_join("codes", ",").alias("codes"), "passed")
+    return C.numbered(Q.structural_gate(rows), "card_id").select("card_id", F.array_join("codes", ",").alias("codes"), "passed")
 
 
 def duplicate_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.mark_duplicates(_cards(spark, sf_dir)).select("card_id", "duplicate")
+    return C.numbered(C.mark_duplicates(_cards(spark, sf_dir)), "card_id").select("card_id", "duplicate")
 
 
 def existing_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.match_existing(_cards(spark, sf_dir), _notes(spark, sf_dir))
+    return C.numbered(C.match_existing(_cards(spark, sf_dir), _notes(spark, sf_dir)), "card_id", "note_id")
 
 
 def notes_to_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.to_append(_cards(spark, sf_dir), _notes(spark, sf_dir))
+    return C.numbered(C.to_append(_cards(spark, sf_dir), _notes(spark, sf_dir)), "card_id")
 
 
 def similar_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.similar_pairs(_cards(spark, sf_dir).withColumn("section", F.lit(0)), 0.5)
+    return C.numbered(C.similar_pairs(_cards(spark, sf_dir).withColumn("section", F.lit(0)), 0.5), "first_id", "second_id")
 
 
 _STATE = {"mapping_complete": "section % 2 = 0", "duplicate_check_complete": "section % 3 <> 0", "final_confirmation_confirmed": "section % 5 <> 0", "target_valid": "section % 11 <> 0", "generation_complete": "section % 7 <> 0"}

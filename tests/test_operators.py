@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from fluvial.functions import labels
 from fluvial.operators import cards, chunking, critic, quality, render, routing, runs
+from fluvial.plans import queries
 from fluvial.sources import islands, paths
+from fluvial.staging import new_path
 
 
 def test_cuts_lose_nothing():
@@ -207,3 +209,18 @@ def test_point_types_gate_and_replacement(spark):
     new = spark.createDataFrame([(2, None)], "card_id int, front string")
     old = spark.createDataFrame([(1, "a"), (2, "b")], "card_id int, front string")
     assert {r.card_id: r.front for r in runs.replaced(old, new, "card_id").collect()} == {1: "a", 2: None}
+
+
+def test_cards_of_a_long_conversation_have_ids_of_their_own(spark):
+    text = {(1, 10_006): "same ask here", (1, 10_007): "same reply there", (2, 6): "same ask here", (2, 7): "same reply there"}
+    rows = [(c, t, ("user", "assistant")[t % 2], text.get((c, t), f"w{c}x{t} v{c}x{t}")) for c, n in ((1, 10_012), (2, 12)) for t in range(n)]
+    folder = new_path(spark, "tables")
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    late = lambda turn: -(1 << 62) - (1 << 31) - turn
+    marked = queries.duplicate_cards(spark, folder).collect()
+    assert len({r.card_id for r in marked}) == len(marked) == 5_012 and [r.card_id for r in marked if r.duplicate] == [20_006]
+    notes = queries.existing_notes(spark, folder).collect()
+    assert len(notes) == 5_012 and {r.card_id: r.note_id for r in notes if r.note_id is not None} == {20_000 + t: 20_000 + t for t in range(0, 12, 2)} | {late(10_006): 20_006}
+    assert [tuple(r) for r in queries.similar_cards(spark, folder).collect()] == [(late(10_006), 20_006, 1.0)]
+    few = cards.from_conversations(spark.createDataFrame([r for r in rows if r[1] % 10_000 < 12 and (r[0] == 2 or r[1] > 9_999)], "conv_id long, turn long, role string, text string")).withColumn("section", F.lit(0))
+    assert [(tuple(r.card_id), tuple(r.matched_id), r.kind) for r in cards.deduplicate(few).collect()] == [((2, 6), (1, 10_006), "exact")]
