@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluvial.staging import discard, materialize
+from fluvial.staging import discard, hot_keys, join_skewed, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -13,18 +13,25 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Every round takes the least label among neighbours and then the label's own label, so the number of rounds
     follows the logarithm of the longest path. Each round's labels are written, so a lost executor costs one round.
+    Neither a node with very many neighbours nor a component of very many nodes is one task's: such keys are salted.
     """
     both = materialize(edges.select("x", "y").union(edges.select("y", "x")).distinct(), "edges")
+    hubs = hot_keys(both, ["y"])
+    hubs = hubs if hubs is None else materialize(hubs, "hubs")
     labels = materialize(both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("node"), F.least("x", "y").alias("label")), "labels")
+
+    def of_neighbours(table: DataFrame) -> DataFrame:
+        return both.join(table, "y") if hubs is None else join_skewed(both, table, ["y"], ["x"], hot=hubs)
+
     while True:
-        near = both.join(labels, both.y == labels.node).groupBy("x").agg(F.min("label").alias("near"))
+        near = of_neighbours(labels.toDF("y", "label")).groupBy("x").agg(F.min("label").alias("near"))
         step = labels.join(near, labels.node == near.x).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         before, step = labels, materialize(step, "labels")
         discard(before)
         up = step.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        labels = materialize(step.join(up, "label").select("node", "old", F.least("label", "up").alias("label")), "labels")
+        labels = materialize(join_skewed(step, up, ["label"], ["node"]).select("node", "old", F.least("label", "up").alias("label")), "labels")
         discard(step)
         if labels.filter("old <> label").isEmpty():
-            discard(both)
+            discard(both, *([] if hubs is None else [hubs]))
             return labels.select("node", "label")
         labels = labels.select("node", "label")

@@ -8,8 +8,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Joins broadcast at most so many groups: those that each hold over 1/HOT_GROUPS of all rows.
-HOT_GROUPS = 256
+#: Hot keys hold over 1/hot_groups of all rows each: so many at least, and at most.
+HOT_GROUPS, MOST_GROUPS = 256, 65_536
+
+
+def hot_groups(spark: SparkSession) -> int:
+    """A key is hot if it holds over this part of all rows; the part follows the number of tasks that share a shuffle's rows."""
+    return min(MOST_GROUPS, max(HOT_GROUPS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,18 +63,34 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def attach_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str, total: int) -> DataFrame:
-    """Inner join of rows with one row a key, whatever share of the rows a key holds.
+#: No key of fewer rows is hot: they are no load for a task.
+LEAST_HOT = 4_096
+
+
+def hot_keys(rows: DataFrame, key: list[str]) -> DataFrame | None:
+    """key and _salts of the hot keys of a stored table: into so many parts a key's rows must be dealt. None if the table is too small to have any."""
+    n = rows.count()
+    if n <= LEAST_HOT:
+        return None
+    floor = max(n // hot_groups(rows.sparkSession), LEAST_HOT)
+    return rows.groupBy(*key).count().filter(F.col("count") > floor).select(*key, F.ceil(F.col("count") / floor).cast("int").alias("_salts"))
+
+
+def join_skewed(rows: DataFrame, table: DataFrame, key: list[str], by: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """rows joined (inner or left) with a table of one row a key, whatever share of the rows a key holds.
 
-    groups has a row for each key, with the number of its rows in `size`; these add up to `total`. Keys over
-    total / HOT_GROUPS rows are at most HOT_GROUPS in number, so they are broadcast; the others are shuffled,
-    none of them with more than that share. Both inputs should be stored tables, as each is read twice.
+    A hot key's rows are dealt over salts by a hash of the columns `by`, and its one row of the table is repeated for
+    each salt, so no task gets more than the share that makes a key hot. Only the hot keys themselves are broadcast,
+    MOST_GROUPS at most. rows should be a stored table, as it is read twice, or `hot` given. Null keys find nothing.
     """
-    floor = max(total // HOT_GROUPS, 1000)
-    hot = F.broadcast(groups.filter(F.col(size) > floor))
-    cold = groups.filter(F.col(size) <= floor)
-    rest = rows.join(F.broadcast(groups.filter(F.col(size) > floor).select(*key)), key, "left_anti")
-    return rows.join(hot, key).unionByName(rest.join(cold.hint("shuffle_merge"), key))
+    hot = hot_keys(rows, key) if hot is None else hot
+    if hot is None:
+        return rows.join(table, key, how)
+    turn = F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(*by), F.col("_salts")).cast("int")).otherwise(0)
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", turn).drop("_salts")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
+    repeated = table.join(F.broadcast(hot), key, "left").withColumn("_salt", copies).drop("_salts")
+    return dealt.join(repeated, [*key, "_salt"], how).drop("_salt")
 
 
 #: So many keys may be broadcast to pick rows by; 8 bytes each.
@@ -81,5 +102,7 @@ def pick(rows: DataFrame, keys: DataFrame, key: str, how: str = "left_semi") ->
 
     Keys are counted: up to BROADCAST_KEYS are broadcast and rows stay where they are, beyond that both are shuffled.
     """
-    few = keys.count() <= BROADCAST_KEYS
-    return rows.join(F.broadcast(keys) if few else keys.hint("shuffle_merge"), key, how)
+    if keys.count() <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(keys), key, how)
+    found = join_skewed(rows, keys.withColumn("_there", F.lit(True)), [key], [c for c in rows.columns if c != key], "left")
+    return found.filter(F.col("_there").isNotNull() if how == "left_semi" else F.col("_there").isNull()).select(*rows.columns)
