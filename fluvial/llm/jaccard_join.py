@@ -11,12 +11,15 @@ shingles last, as a sketch over all documents tells). Sets that share such a shi
    cut into size-banded tiles of bounded size, in which bitmap signatures are compared.
 A pair goes to the exact intersection of sorted arrays only if the bit counts allow it: the bitmaps are parities, so
 bits that differ are no more than shingles that are not shared, which bounds the overlap from above.
-No pair over the threshold is lost, and copies of a set count as one set throughout.
+No pair over the threshold is lost, and copies of a set count as one set throughout. Words are told apart by 128 bits,
+shingles by 96 in the exact intersection, under a key drawn for each job (see shingles.py).
+No join rests on a key being rare: whatever holds a large share of the rows is dealt over salts.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -26,15 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluvial.components import connected_components
-from fluvial.llm.shingles import bitmap, byte_arrays, fold, name, shingle_set
-from fluvial.staging import attach_groups, bounded_batches, discard, materialize, pick
+from fluvial.llm.shingles import KEY, bitmap, fold, name, overlap, shingle_sets
+from fluvial.staging import bounded_batches, discard, hot_keys, join_skewed, materialize, pick
 
 WORDS = 5
-#: Counters of the sketch that tells frequent shingles, at least and at most (4 bytes each); frequent: so many times the mean, and more than LEAST.
-MIN_COUNTERS, MAX_COUNTERS, CHUNK, TIMES, LEAST = 1 << 16, 1 << 22, 1 << 14, 4, 64
+#: Counters of the sketch that tells frequent shingles, at least and at most (4 bytes each in a task); frequent: so many times the mean, and more than LEAST.
+MIN_COUNTERS, MAX_COUNTERS, CHUNK, TIMES, LEAST = 1 << 16, 1 << 24, 1 << 14, 4, 64
 SALTS = 16
-#: Sets of a tile.
-TILE = 1024
+#: Sets of a block; a tile compares two blocks.
+TILE = 512
 SEEN = 300_000
 _BAND = math.log(1.25)
 
@@ -53,28 +56,28 @@ def _close(n: str, m: str) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * 80
 
 
-def shingle_table(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, n, a, b (the set's name), bits and text_hash for each document; and the counters of all documents' shingles."""
+def shingle_table(docs: DataFrame, key: bytes = KEY) -> tuple[DataFrame, np.ndarray]:
+    """doc_id, n, a, b (the set's name), bits and text_hash for each document; and a bit for each counter of all documents' shingles: frequent or not."""
     counters = min(MAX_COUNTERS, max(MIN_COUNTERS, 1 << (4 * max(docs.count(), 1)).bit_length()))
     shift = np.uint64(64 - counters.bit_length() + 1)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(counters, np.int64)
+        total = np.zeros(counters, np.int32)
         for batch in batches:
             found, ns, names, bits = [], [], [], []
-            for data in byte_arrays(batch["text"]):
-                s = shingle_set(data, WORDS)
+            for s, low in shingle_sets(batch["text"], WORDS, key):
                 ns.append(len(s))
-                names.append(name(s))
+                names.append(name(s, low))
                 bits.append(bitmap(s).tobytes())
                 found.append((s >> shift).astype(np.int64))
             if found:
-                total += np.bincount(np.concatenate(found), minlength=counters)
+                places, n = np.unique(np.concatenate(found), return_counts=True)
+                total[places] = np.minimum(total[places].astype(np.int64) + n, 2**31 - 1)
             a, b = zip(*names, strict=True) if names else ((), ())
             none = pa.nulls(len(ns), pa.int64())
             yield pa.record_batch([batch["doc_id"], pa.array(ns, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bits, pa.binary()), batch["text_hash"], none, pa.nulls(len(ns), pa.binary())], names_)
         for k in range(counters // CHUNK):
-            part = np.minimum(total[k * CHUNK : (k + 1) * CHUNK], 2**31 - 1)
+            part = total[k * CHUNK : (k + 1) * CHUNK]
             part = part.astype(np.uint8 if part.max() < 256 else np.int32)  # a task's counts are small
             if part.any():
                 none = pa.nulls(1, pa.int64())
@@ -83,6 +86,8 @@ def shingle_table(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     names_ = ["doc_id", "n", "a", "b", "bits", "text_hash", "chunk", "counts"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     both = materialize(rows.mapInArrow(scan, "doc_id long, n long, a long, b long, bits binary, text_hash long, chunk long, counts binary"), "shingles")
+    table = both.filter("chunk is null").select("doc_id", "n", "a", "b", "bits", "text_hash")
+    least = max(LEAST, TIMES * (table.agg(F.sum("n")).first()[0] or 0) / counters)
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CHUNK, np.int64)
@@ -90,23 +95,23 @@ def shingle_table(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             for c in batch["counts"]:
                 part = zlib.decompress(c.as_py())
                 total += np.frombuffer(part, np.uint8 if len(part) == CHUNK else np.int32)
-        yield pa.record_batch([pa.array([key[0].as_py()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["chunk", "counts"])
+        yield pa.record_batch([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(total > least).tobytes()], pa.binary())], ["chunk", "frequent"])
 
-    sums = both.filter("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk long, counts binary").collect()  # one row a chunk, MAX_COUNTERS in all
-    sketch = np.zeros(counters, np.int64)
-    for k, part in sums:
-        sketch[k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(part, np.int64)
-    return both.filter("chunk is null").select("doc_id", "n", "a", "b", "bits", "text_hash"), sketch
+    found = both.filter("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk long, frequent binary").collect()  # a bit a counter
+    frequent = np.zeros(counters // 8, np.uint8)
+    for k, part in found:
+        frequent[k * CHUNK // 8 : (k + 1) * CHUNK // 8] = np.frombuffer(part, np.uint8)
+    return table, frequent
 
 
-def lists(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
+def lists(docs: DataFrame, frequent: np.ndarray, key: bytes = KEY) -> DataFrame:
     """(token, salted, own, pos, a, b, la, lb): the sets that have the token among their first ones, and the first set of their list.
 
     own: the set's shingles that aren't frequent; pos: the token's place in the set's order.
     """
-    frequent = sketch > max(LEAST, TIMES * sketch.mean())
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))  # a bit a counter
-    counters, shift = len(sketch), np.uint64(64 - len(sketch).bit_length() + 1)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # a bit a counter
+    counters = 8 * len(frequent)
+    shift = np.uint64(64 - counters.bit_length() + 1)
     fields = ["token", "salt", "a", "b", "own", "pos"]
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,9 +119,8 @@ def lists(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             tokens, salts, names, lengths, owned = [], [], [], [], []
-            for data in byte_arrays(batch["text"]):
-                s = shingle_set(data, WORDS)
-                own = name(s)
+            for s, low in shingle_sets(batch["text"], WORDS, key):
+                own = name(s, low)
                 if not len(s) or own in seen:
                     continue
                 if len(seen) >= SEEN:
@@ -176,21 +180,20 @@ def _signs(table: DataFrame, nodes: DataFrame) -> DataFrame:
     return materialize(own.groupBy("a", "b").agg(F.max_by("s", "s.text_hash").alias("s")).select("a", "b", "s.*"), "signs")
 
 
-def _arrays(docs: DataFrame, hashes: DataFrame) -> DataFrame:
-    """a, b, shingles of the sets whose documents' text_hash is given, read from their texts again."""
+def _arrays(docs: DataFrame, hashes: DataFrame, key: bytes) -> DataFrame:
+    """a, b, shingles (hi, lo) of the sets whose documents' text_hash is given, read from their texts again."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             out = []
-            for data in byte_arrays(batch["text"]):
-                s = shingle_set(data, WORDS)
-                own = name(s)
+            for s, low in shingle_sets(batch["text"], WORDS, key):
+                own = name(s, low)
                 if own not in seen:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(own)
-                    out.append((*own, s.tobytes()))
+                    out.append((*own, s.tobytes() + low.tobytes()))
             columns = zip(*out, strict=True) if out else [()] * 3
             kinds = [pa.int64(), pa.int64(), pa.binary()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "shingles"])
@@ -211,29 +214,42 @@ def _allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b", "c", "d"])
 
 
+def _set(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // 12
+    return np.frombuffer(data, np.uint64, n), np.frombuffer(data, np.uint32, n, 8 * n)
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose sorted arrays have enough in common."""
     for batch in batches:
         keep = []
-        for p, q in zip(batch["shingles"].to_pylist(), batch["shingles2"].to_pylist(), strict=True):
-            x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            keep.append(similar(int((y[at] == x).sum()), len(x), len(y)))
+        for p, q in zip(batch["shingles"], batch["shingles2"], strict=True):
+            x, y = _set(p.as_buffer()), _set(q.as_buffer())
+            keep.append(similar(overlap(x, y), len(x[0]), len(y[0])))
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b", "c", "d"])
 
 
-def _verify(pairs: DataFrame, signs: DataFrame, docs: DataFrame) -> DataFrame:
+def _with_both(pairs: DataFrame, sets: DataFrame, other: dict[str, str]) -> DataFrame:
+    """Pairs (a, b, c, d), a stored table, with the columns of both sets, those of the second renamed. A set may be in very many pairs."""
+    one = join_skewed(pairs, sets, ["a", "b"], ["c", "d"])
+    second, hot = sets.withColumnsRenamed({"a": "c", "b": "d"} | other), hot_keys(pairs, ["c", "d"])
+    return one.join(second, ["c", "d"]) if hot is None else join_skewed(one, second, ["c", "d"], ["a", "b"], hot=hot)
+
+
+def _verify(pairs: DataFrame, signs: DataFrame, docs: DataFrame, key: bytes) -> DataFrame:
     """Of pairs (a, b, c, d), the links. Only sets of pairs that the bits allow are read again for their arrays."""
-    left = signs.select("a", "b", "n", "bits")
-    near = pairs.join(left, ["a", "b"]).join(left.toDF("c", "d", "m", "bits2"), ["c", "d"]).filter(_close("n", "m"))
+    pairs = materialize(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
+    near = _with_both(pairs, signs.select("a", "b", "n", "bits"), {"n": "m", "bits": "bits2"}).filter(_close("n", "m"))
     near = materialize(near.select("a", "b", "c", "d", "n", "m", "bits", "bits2").mapInArrow(_allowed, "a long, b long, c long, d long"), "near")
+    if near.isEmpty():
+        return near
     nodes = near.select("a", "b").union(near.select("c", "d")).distinct()
-    arrays = _arrays(docs, signs.join(nodes, ["a", "b"], "left_semi").select("text_hash").distinct())
-    full = near.join(arrays, ["a", "b"]).join(arrays.toDF("c", "d", "shingles2"), ["c", "d"])
+    arrays = _arrays(docs, signs.join(nodes, ["a", "b"], "left_semi").select("text_hash").distinct(), key)
+    full = _with_both(near, arrays, {"shingles": "shingles2"})
     links = materialize(full.select("a", "b", "c", "d", "shingles", "shingles2").mapInArrow(_linked, "a long, b long, c long, d long"), "links")
-    discard(near, arrays)
+    discard(pairs, near, arrays)
     return links
 
 
@@ -313,7 +329,7 @@ def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
     known = materialize(known, "labelled")
     label = F.struct("label_a", "label_b")
     open_ = known.groupBy("token").agg(F.count("*").alias("k"), F.min(label).alias("lo"), F.max(label).alias("hi")).filter("k > 2 and lo <> hi").select("token")
-    found = materialize(known.join(open_, "token", "left_semi"), "open_lists")
+    found = materialize(join_skewed(known, open_, ["token"], ["a", "b"]), "open_lists")
     discard(known)
     return found
 
@@ -323,7 +339,7 @@ def _around_linked(lists: DataFrame, links: DataFrame) -> DataFrame:
     degrees = links.select("a", "b").unionAll(links.select("c", "d")).groupBy("a", "b").agg(F.count("*").alias("degree"))
     known = lists.join(degrees, ["a", "b"])
     middle = known.groupBy("token").agg(F.max_by(F.struct("a", "b", "label_a", "label_b"), F.struct("degree", "a", "b")).alias("m"))
-    tried = lists.join(middle, "token").filter("label_a <> m.label_a or label_b <> m.label_b")
+    tried = join_skewed(lists, middle, ["token"], ["a", "b"]).filter("label_a <> m.label_a or label_b <> m.label_b")
     return tried.select(F.col("m.a").alias("a"), F.col("m.b").alias("b"), F.col("a").alias("c"), F.col("b").alias("d")).distinct()
 
 
@@ -333,27 +349,27 @@ def _left_over(lists: DataFrame, signs: DataFrame) -> DataFrame:
     rows = open_sets = materialize(lists.join(banded, ["a", "b"]), "open_sets")
     if rows.isEmpty():
         return rows.select("a", "b", F.col("a").alias("c"), F.col("b").alias("d"))
-    rows = rows.withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+    rows = banded_rows = materialize(rows.withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") - 1))), "banded")
     # the smaller of two similar sets, one of the tile's own, has the first token that they share early
     early = (F.col("tile") == F.col("band")) & (F.expr("9 * (n - pos) >= 8 * n"))
     label = F.struct("label_a", "label_b")
     sizes = rows.groupBy("token", "tile").agg(F.count("*").alias("k"), F.count_if(early).alias("early"), F.min(label).alias("lo"), F.max(label).alias("hi"))
     sizes = sizes.filter("early > 0 and lo <> hi").select("token", "tile", F.ceil(F.col("k") / TILE).cast("int").alias("blocks"))
-    rows = rows.join(sizes, ["token", "tile"])
+    rows = join_skewed(rows, sizes, ["token", "tile"], ["a", "b"])
     rows = rows.withColumn("block", F.pmod(F.xxhash64("a", "b"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     rows = rows.select(*TILE_KEY, "block", "pos", "a", "b", "n", "label_a", "label_b").join(signs.select("a", "b", "bits"), ["a", "b"])
     tiles = rows.repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY)
     found = materialize(tiles.mapInArrow(_tiles, "a long, b long, c long, d long").distinct(), "tiled")
-    discard(open_sets)
+    discard(open_sets, banded_rows)
     return found
 
 
 def _labels(links: DataFrame) -> DataFrame:
-    """(a, b, label_a, label_b) of the sets that have links."""
+    """(a, b, label_a, label_b) of the sets that have links, as a stored table."""
     found = connected_components(links.select(F.struct("a", "b").alias("x"), F.struct(F.col("c").alias("a"), F.col("d").alias("b")).alias("y")))
-    return found.select("node.a", "node.b", F.col("label.a").alias("label_a"), F.col("label.b").alias("label_b"))
+    return materialize(found.select("node.a", "node.b", F.col("label.a").alias("label_a"), F.col("label.b").alias("label_b")), "labels")
 
 
 def near_components(docs: DataFrame) -> DataFrame:
@@ -361,46 +377,71 @@ def near_components(docs: DataFrame) -> DataFrame:
 
     Words are runs without ASCII white space, A-Z lower-cased; a set is the distinct shingles of five words. A null or
     empty text, or one of white space, has no shingles and is a component of its own. Rows with equal sets are linked.
-    component_id is the least doc_id of a component, null only if all are null. An empty table gives an empty result;
-    other columns are ignored.
+    component_id is the least doc_id of a component, null only if all are null. Texts of any length are read whole, in
+    slices; a repeated row is a copy like another. An empty table gives an empty result; other columns, whatever their
+    names, are ignored.
     """
+    return _components(docs, os.urandom(16)).select("doc_id", "n_shingles", "component_id")
+
+
+def _components(docs: DataFrame, key: bytes) -> DataFrame:
+    """near_components with a, b, the name of each row's set under the key."""
     bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    table, sketch = shingle_table(docs)
-    met = lists(docs, sketch)
+    table, frequent = shingle_table(docs, key)
+    met = lists(docs, frequent, key)
     signs = _signs(table, met.select("a", "b").distinct())
     star = met.filter("a <> la or b <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"), F.col("a").alias("c"), F.col("b").alias("d"))
     firsts = met.filter("salted and a = la and b = lb").select("token", F.struct("own", "a", "b").alias("s"))
     over = firsts.join(firsts.groupBy("token").agg(F.min("s").alias("f")), "token").filter("s <> f").select("f.a", "f.b", F.col("s.a").alias("c"), F.col("s.b").alias("d"))
-    links = _verify(star.union(over).distinct(), signs, docs)
-    open_ = _open_lists(met, materialize(_labels(links), "labels"))
-    discard(met)
-    links = links.union(_verify(_around_linked(open_, links), signs, docs))
-    still = _open_lists(open_, materialize(_labels(links), "labels"))
-    discard(open_)
-    links = links.union(_verify(_left_over(still, signs), signs, docs))
-    discard(still, signs)
+    links = _verify(star.union(over).distinct(), signs, docs, key)
     labels = _labels(links)
-
-    own = table.filter("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"))
-    own = materialize(own, "own")
-    whole = labels.join(own, ["a", "b"]).groupBy("label_a", "label_b").agg(F.min("least").alias("component_id"))
-    linked = labels.join(whole, ["label_a", "label_b"]).select("a", "b", "component_id")
-    groups = own.join(linked, ["a", "b"], "left").select("a", "b", "size", F.coalesce("component_id", "least").alias("component_id"))
-    groups = materialize(groups, "groups")
-    full = attach_groups(table.filter("n > 0"), groups, ["a", "b"], "size", table.count())
-    alone = table.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return full.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
+    for candidates in (lambda rest: _around_linked(rest, links), lambda rest: _left_over(rest, signs)):
+        before, met = met, _open_lists(met, labels)
+        discard(before)
+        if met.isEmpty():
+            break
+        more = _verify(candidates(met), signs, docs, key)
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = _labels(links)
+    discard(met, signs)
+
+    own = materialize(table.filter("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("least")), "own")
+    known = materialize(own.join(labels, ["a", "b"], "left").withColumns({f"label_{x}": F.coalesce(f"label_{x}", x) for x in ("a", "b")}), "known")
+    whole = known.groupBy("label_a", "label_b").agg(F.min("least").alias("component_id"))
+    sets = materialize(join_skewed(known, whole, ["label_a", "label_b"], ["a", "b"]).select("a", "b", "component_id"), "components")
+    discard(own, known, labels)
+    full = join_skewed(table.filter("n > 0").select("doc_id", "n", "a", "b"), sets, ["a", "b"], ["doc_id"])
+    alone = table.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "a", "b")
+    return full.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "a", "b").unionByName(alone)
 
 
 def keep_least(docs: DataFrame) -> DataFrame:
-    """The rows of docs with the least doc_id of their component, with all their columns.
+    """The rows of docs with the least doc_id of their component, with all their columns, whatever their names.
 
-    Rows without shingles and rows with a null doc_id stay; so do all rows of a doc_id that stays.
+    Rows without shingles and rows with a null doc_id stay. If a doc_id repeats, each of its rows goes by its own text.
+    Equal rows of a doc_id that stays all stay. An empty table gives an empty result.
     """
-    found = near_components(docs)
-    dropped = found.filter("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    return pick(docs, materialize(dropped, "dropped"), "doc_id", "left_anti")
+    key = os.urandom(16)
+    marks = _components(docs, key).select("doc_id", "a", "b", F.expr("n_shingles > 0 and doc_id <> component_id").alias("goes"))
+    marks = materialize(marks.filter("doc_id is not null"), "marks")
+    dropped = materialize(marks.filter("goes").select("doc_id").distinct(), "dropped")
+    both = marks.filter("not goes").join(dropped, "doc_id", "left_semi").select("doc_id", "a", "b").distinct()
+    both = materialize(both, "both")  # rows that stay although their doc_id goes with another text
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    out = pick(rows.drop("text"), dropped, "doc_id", "left_anti").select("row.*")
+    if both.isEmpty():
+        return out
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = np.array([name(*s) for s in shingle_sets(batch["text"], WORDS, key)], np.int64).reshape(-1, 2)
+            yield pa.record_batch([batch["doc_id"], pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), batch["row"]], ["doc_id", "a", "b", "row"])
+
+    again = pick(rows, materialize(both.select("doc_id").distinct(), "ids"), "doc_id").select("doc_id", "text", "row")
+    schema = again.select("doc_id", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "row").schema
+    return out.unionByName(again.mapInArrow(named, schema).join(both, ["doc_id", "a", "b"], "left_semi").select("row.*"))
 
 
 ORACLE = r"""

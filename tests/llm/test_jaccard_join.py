@@ -64,6 +64,36 @@ def test_components(spark, monkeypatch, seed):
     assert kept == {d for d, n, c in expected(rows) if d is None or not n or d == c}
 
 
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n))
+
+
+def test_words_of_a_pattern_stay_apart(spark):
+    """Such words and their complements have equal polynomial hashes, whatever the base."""
+    words = [w for n in (8, 16, 64, 128, 1024, 4096) for w in (thue_morse(n), thue_morse(n).translate(str.maketrans("ab", "ba")))]
+    rows = [(i, w) for i, w in enumerate(words)] + [(100 + i, f"one two three four {w}") for i, w in enumerate(words)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard_join.near_components(docs).collect()) == [(i, 1, i) for i, _ in rows]
+
+
+def test_keep_least_of_a_repeated_id_goes_by_text(spark):
+    texts = {1: "a b c d e f g", 2: "q w e r t y u"}
+    rows = [(1, texts[1], "x"), (5, texts[1], "x"), (5, texts[2], "y"), (7, texts[2], "z"), (None, texts[1], "n"), (5, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, a string")
+    assert sorted(map(tuple, jaccard_join.keep_least(docs).collect()), key=repr) == sorted([rows[0], rows[2], rows[4], rows[5]], key=repr)
+    assert jaccard_join.keep_least(docs.limit(0)).count() == 0
+
+
+def test_hot_keys_are_dealt_over_salts(spark, monkeypatch):
+    from fluvial import staging
+
+    monkeypatch.setattr(staging, "hot_groups", lambda spark: 10**9)
+    monkeypatch.setattr(staging, "LEAST_HOT", 100)
+    rows = [(i, " ".join(f"w{j}" for j in range(30)) + f" x{i % 500}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.n_shingles, r.component_id) for r in jaccard_join.near_components(docs).collect()} == {(27, 0)}
+
+
 def test_empty_table(spark):
     assert jaccard_join.near_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -104,7 +134,9 @@ def test_shingles_equal_definition(monkeypatch):
     names = {}
     for size in (64, 1 << 20):
         monkeypatch.setattr(shingles, "SLICE", size)
-        got = [shingles.shingle_set(np.frombuffer(t.encode(), np.uint8)).tolist() for t in texts]
+        got = [list(zip(*map(np.ndarray.tolist, shingles.shingle_set(np.frombuffer(t.encode(), np.uint8))), strict=True)) for t in texts]
+        together = [list(zip(*map(np.ndarray.tolist, x), strict=True)) for x in shingles.shingle_sets(pa.array(texts))]
+        assert got == together
         want = sets([(0, t) for t in texts])
         for g, w in zip(got, want, strict=True):
             assert len(g) == len(w)
