@@ -1,16 +1,22 @@
 """Main text of web pages by minimum cuts.
 
 A page becomes a chain of text blocks. Each block has the cost of calling it content and that of calling it
-boilerplate; blocks that stand next to each other, or next to each other within one element, pay for different
-labels. The labelling of least cost is a minimum cut, found by maximum flow, page by page.
-
-The costs are a logistic classifier's log-odds and what the nearest telling element says (nav, article, class="ad").
-The classifier sees lengths, links, punctuation and tags. It is fitted on blocks that stand inside telling elements
-of at most SAMPLE pages, those whose page_id hashes lowest, and then judges blocks everywhere.
+boilerplate, a classifier's log-odds; these are the capacities of its terminals. Blocks that stand next to each other
+pay for different labels, the more the fewer elements lie between them, and so do neighbours within one element and a
+block and what stands before it in an element around. The labelling of least cost is a minimum cut, found by maximum flow, page by page. No block's own cost is above that of
+its edges within an element, so the cut decides, whatever a block's tags and names say.
+
+The classifier is logistic. It sees lengths, links, punctuation and tags, and, as two features among others, whether
+tags and names around the block speak of content or of boilerplate. Its weights start from PRIOR and are fitted to
+votes, of which no source decides alone: what the markup says, whether a text is on several pages, whether it is the
+page's title, and whether it is prose or links. Every block is learnt twice, with and without what the markup says, so
+pages without telling markup are judged as well. The fit takes the pages whose page_id hashes lowest: SAMPLE of them at
+most, and each if its whole html still fits into SAMPLE_BYTES.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import math
 import re
@@ -23,9 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, SAMPLE_CHARS = 2_000, 100_000
-#: Weight of what a telling element says, bound of what the classifier says, cost of a change between neighbours in the page and in an element.
-TELLING, JUDGED, NEXT, TOGETHER = 6.0, 2.0, 0.4, 0.8
+from fluvial.staging import bounded_batches
+
+SAMPLE, SAMPLE_BYTES = 2_000, 32 << 20
+#: Bound of a block's log-odds; cost of a change between neighbours in the page, at no distance, and in an element.
+JUDGED, NEXT, TOGETHER = 4.0, 1.0, 1.6
+FEATURES = ("one", "length", "words", "linked", "linked_before", "linked_after", "marks", "word_length", "paragraph", "item", "heading", "towards", "away")
+#: Log-odds of content before any page is seen, by feature.
+PRIOR = np.array([0.0, 2.0, 2.0, -3.0, -0.3, -0.3, 3.0, 0.0, 0.3, -0.3, 1.0, 3.4, -4.4])
+#: Elements that are no step between blocks unless they have a name.
+LEAVES = frozenset("p li h1 h2 h3 h4 h5 h6 td th tr dd dt".split())
+#: Elements between two blocks from which on their nearness in the tree costs nothing.
+FAR = 8
+TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)"
@@ -62,6 +78,9 @@ class Block(NamedTuple):
     tag: str
     parent: int
     said: int  # what the nearest telling element says: 1 content, -1 boilerplate, 0 nothing
+    steps: int  # elements that end or begin between the block before and this one
+    above: int = -1  # the last block before that stands in an element around this one's, and the elements between
+    depth: int = 0
 
 
 def _skips(tokens: list[re.Match]) -> dict[int, int]:
@@ -145,17 +164,17 @@ def blocks(page: str) -> list[Block]:
     """Text blocks in page order. Tags need not be closed; text outside of any block is a block, too."""
     out: list[tuple[str, int, str, int, int]] = []
     elements = [Element("", "", 0)]
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, number, place in elements
+    stack: list[tuple[str, int]] = [("", 0)]  # tag, place in elements
     parts: list[str] = []
-    linked, in_link, number, skip = 0, False, 0, -1
+    linked, in_link, skip = 0, False, -1
 
     def close() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                tag, own, element = stack[-1]
-                parent = stack[-2][1] if len(stack) > 1 and tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "dd", "dt") else own
+                tag, element = stack[-1]
+                parent = stack[-2][1] if len(stack) > 1 and tag in LEAVES else element
                 out.append((text, min(linked, len(text)), tag, parent, element))
             parts.clear()
         linked = 0
@@ -180,8 +199,8 @@ def blocks(page: str) -> list[Block]:
             elif tag == "br":
                 parts.append(" ")
             elif tag == "button" and not m[2]:
-                elements.append(Element(tag, "", stack[-1][2]))
-                stack.append((tag, number, len(elements) - 1))
+                elements.append(Element(tag, "", stack[-1][1]))
+                stack.append((tag, len(elements) - 1))
             elif tag == "button" and stack[-1][0] == "button":
                 close()
                 stack.pop()
@@ -201,44 +220,117 @@ def blocks(page: str) -> list[Block]:
         while stack[-1][0] in ended:
             stack.pop()
         names = " ".join(filter(None, (x for h in HINT.findall(m[4]) for x in h))) if m[4] else ""
-        number += 1
-        elements.append(Element(tag, names, stack[-1][2]))
-        stack.append((tag, number, len(elements) - 1))
+        elements.append(Element(tag, names, stack[-1][1]))
+        stack.append((tag, len(elements) - 1))
     close()
-    said = _said(elements)
-    return [Block(text, n, tag, parent, said[element]) for text, n, tag, parent, element in out]
+    said, steps = _said(elements), _steps(elements, [x[4] for x in out])
+    above = _above(elements, [x[3] for x in out])
+    return [Block(text, n, tag, parent, said[element], d, *a) for (text, n, tag, parent, element), d, a in zip(out, steps, above, strict=True)]
+
+
+def _step(e: Element) -> bool:
+    return not (e.tag in LEAVES and not e.names)
+
+
+def _above(elements: list[Element], parents: list[int]) -> list[tuple[int, int]]:
+    """For each block, the last one before it whose parent is around its own, at less than FAR elements, and how many they are; -1 if none."""
+    last: dict[int, int] = {}
+    out = []
+    for i, own in enumerate(parents):
+        at, n = own, 0
+        while at and n < FAR:
+            n += _step(elements[at])
+            at = elements[at].around
+            if at in last:
+                break
+        out.append((last[at], n) if at in last and at != own and n < FAR else (-1, 0))
+        last[own] = i
+    return out
+
+
+def _steps(elements: list[Element], places: list[int]) -> list[int]:
+    """For each place in the tree, the elements between it and the place before, LEAVES without a name not counted."""
+    depth = [0] * len(elements)
+    for i in range(1, len(elements)):
+        depth[i] = depth[elements[i].around] + 1
+    out, before = [], 0
+    for place in places:
+        x, y, n = before, place, 0
+        while x != y:
+            if depth[x] < depth[y]:
+                x, y = y, x
+            n += _step(elements[x])
+            x = elements[x].around
+        out.append(n)
+        before = place
+    return out
 
 
 def described(page: list[Block]) -> np.ndarray:
-    """What the classifier sees of each block: nothing of telling elements."""
-    out = np.zeros((len(page), 10))
+    """The FEATURES of each block."""
+    linked = [b.linked / len(b.text) for b in page]
+    out = np.zeros((len(page), len(FEATURES)))
     for i, b in enumerate(page):
         n, words = len(b.text), b.text.count(" ") + 1
-        before = page[i - 1].linked / max(1, len(page[i - 1].text)) if i else 0.5
-        out[i] = (1, math.log1p(n) / 5, math.log1p(words) / 4, b.linked / n, before, sum(map(b.text.count, ".!?,;")) / words, n / words / 10, b.tag == "p", b.tag in ("li", "td", "th", ""), b.tag[:1] == "h" and b.tag[1:].isdigit())
+        around = linked[i - 1] if i else 0.5, linked[i + 1] if i + 1 < len(page) else 0.5
+        marks = min(1.0, sum(map(b.text.count, ".!?,;。，！？")) / words)
+        tags = b.tag == "p", b.tag in ("li", "td", "th"), b.tag[:1] == "h" and b.tag[1:].isdigit()
+        out[i] = (1, (math.log1p(n) - 4) / 3, (math.log1p(words) - 2.5) / 3, linked[i], *around, marks, min(n / words, 30) / 10 - 0.5, *tags, b.said > 0, b.said < 0)
     return out
 
 
-def fit(pages: DataFrame, sample: int = SAMPLE, steps: int = 300) -> np.ndarray:
-    """Weights of a logistic classifier of blocks in telling elements. Without both kinds of them: zeros."""
-    fit_for = pages.filter(F.length("html").between(1, SAMPLE_CHARS))
-    drawn = fit_for.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).distinct()  # ids first: a task sends no html that isn't drawn
-    few = fit_for.select("page_id", "html").join(F.broadcast(drawn), "page_id").select("html").limit(2 * sample).collect()
-    rows, said = [], []
-    for r in few:
-        page = blocks(r["html"])
-        told = [i for i, b in enumerate(page) if b.said]
-        if told:
-            rows.append(described(page)[told])
-            said += [page[i].said > 0 for i in told]
-    w = np.zeros(10)
-    if len(set(said)) < 2:
-        return w
-    x, y = np.concatenate(rows), np.array(said, float)
+def votes(page: list[Block], title: str) -> np.ndarray:
+    """What speaks for each block as content (above 0) or boilerplate, but for its text being on other pages."""
+    out = np.zeros(len(page))
+    for i, b in enumerate(page):
+        share, words = b.linked / len(b.text), b.text.count(" ") + 1
+        out[i] = b.said + (words >= 25 and share < 0.2) - (share > 0.6) + (bool(title) and b.text == title)
+    return out
+
+
+OBSERVED = "page long, text long, vote double, seen array<double>"
+
+
+def fit(pages: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES, steps: int = 300, trust: float = 0.02) -> np.ndarray:
+    """Weights of the classifier: PRIOR, moved by the votes on blocks of the sample. Without both kinds of blocks: PRIOR."""
+    rows = pages.filter("page_id is not null and html <> ''").select(F.col("page_id").cast("long").alias("page_id"), F.xxhash64("html").alias("page"), F.octet_length("html").alias("n"), "html")
+    taken, room = [], most_bytes
+    for r in rows.select("page_id", "page", "n").orderBy(F.xxhash64("page_id"), "page_id", "page").limit(sample).distinct().orderBy(F.xxhash64("page_id"), "page_id", "page").collect():  # `sample` rows, without html
+        if r.n <= room:
+            taken.append((r.page_id, r.page))
+            room -= r.n
+    if not taken:
+        return PRIOR.copy()
+    few = pages.sparkSession.createDataFrame(taken, "page_id long, page long")
+    drawn = rows.join(F.broadcast(few), ["page_id", "page"]).select("page", "html").dropDuplicates(["page"])  # copies of a page count once
+
+    def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch["page"].to_pylist(), batch["html"], strict=True):
+                page = blocks(text.as_py())
+                m = TITLE.search(text.as_py())
+                title = " ".join(html.unescape(m[1]).split()) if m else ""
+                hashes = [int.from_bytes(hashlib.blake2b(b.text.encode(errors="replace"), digest_size=8).digest(), "little", signed=True) for b in page]
+                yield pa.record_batch([pa.array([key] * len(page), pa.int64()), pa.array(hashes, pa.int64()), pa.array(votes(page, title)), pa.array(described(page).tolist(), pa.list_(pa.float64()))], ["page", "text", "vote", "seen"])
+
+    found = drawn.mapInArrow(observe, OBSERVED).toArrow()  # some hundred bytes a block of the sample
+    order = np.lexsort((found["vote"].to_numpy(), found["text"].to_numpy(), found["page"].to_numpy()))  # the fit is the same however rows come
+    texts, key = found["text"].to_numpy()[order], found["page"].to_numpy()[order]
+    pairs = np.unique(np.stack([texts, key]), axis=1)[0] if len(order) else texts
+    several = {t for t, n in Counter(pairs.tolist()).items() if n > 1}
+    vote = found["vote"].to_numpy()[order] - np.array([t in several for t in texts.tolist()], float)
+    x = found["seen"].combine_chunks().flatten().to_numpy().reshape(len(order), len(FEATURES))[order] if len(order) else np.zeros((0, len(FEATURES)))
+    x, y = x[vote != 0], vote[vote != 0] > 0
+    if y.all() or not y.any():
+        return PRIOR.copy()
+    blind = x.copy()
+    blind[:, -2:] = 0  # without what the markup says
+    x, y = np.concatenate([x, blind]), np.concatenate([y, y]).astype(float)
     even = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    w = PRIOR.copy()
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-x @ w))
-        w += 2.0 * (((y - p) * even) @ x / len(y) - 1e-3 * w)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w += 1.0 * (((y - p) * even) @ x / len(y) - trust * (w - PRIOR))
     return w
 
 
@@ -305,24 +397,27 @@ def minimum_cut(gain: np.ndarray, edges: list[tuple[int, int, float]]) -> np.nda
             x = to[e]
 
 
-def labels(page: list[Block], weights: np.ndarray) -> np.ndarray:
-    """True for the blocks of the main text."""
-    if not page:
-        return np.zeros(0, bool)
-    judged = np.clip(described(page) @ weights, -JUDGED, JUDGED)
-    gain = judged + TELLING * np.array([b.said for b in page])
+def costs(page: list[Block], weights: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
+    """What calling each block content saves, and the edges (block, block, cost of different labels)."""
     edges: list[tuple[int, int, float]] = []
     last: dict[int, int] = {}
     for i, b in enumerate(page):
         if i:
-            edges.append((i - 1, i, NEXT))
+            edges.append((i - 1, i, NEXT / (1 + b.steps)))
         if b.parent in last:
-            edges.append((last[b.parent], i, TOGETHER))
+            edges.append((last[b.parent], i, TOGETHER / (1 + b.steps) if last[b.parent] == i - 1 else TOGETHER))
         last[b.parent] = i
-    return minimum_cut(gain, edges)
+        if b.above >= 0:
+            edges.append((b.above, i, TOGETHER / (1 + b.depth)))
+    return np.clip(described(page) @ weights, -JUDGED, JUDGED), edges
+
+
+def labels(page: list[Block], weights: np.ndarray) -> np.ndarray:
+    """True for the blocks of the main text."""
+    return minimum_cut(*costs(page, weights)) if page else np.zeros(0, bool)
 
 
-def main_text(page: str, weights: np.ndarray) -> str:
+def main_text(page: str, weights: np.ndarray = PRIOR) -> str:
     found = blocks(page)
     return "\n".join(b.text for b, keep in zip(found, labels(found, weights), strict=True) if keep)
 
@@ -330,9 +425,11 @@ def main_text(page: str, weights: np.ndarray) -> str:
 def extract(pages: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars.
 
-    A null or empty html, and one without main text, gives empty text. Repeated rows give repeated results, an empty
-    table an empty one; other columns are ignored.
+    A null or empty html, and one without main text, gives empty text. A page of any length is read whole. A null page_id
+    or url stays null. Repeated rows give repeated results, an empty table an empty one; other columns, whatever their
+    names, are ignored.
     """
+    bounded_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(fit(pages) if weights is None else weights)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
