@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fluvial.llm import bpe, exact_dedup, html_extract, jaccard_join, packing, sharding, token_counts, topk, toxicity, warc
-from fluvial.staging import new_path
+from fluvial.staging import materialize, new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,22 +24,36 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the one of its equal texts that stays. Null is empty; rows, ids and texts may repeat; no column but doc_id and text is read."""
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the least document that links reach. Null and empty texts link with nothing; repeated rows are copies."""
     return jaccard_join.near_components(_table(spark, sf_dir, "documents"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences. Null and empty texts are their end id alone; repeated rows are packed each by itself."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rollup of all documents, committed as one batch."""
+    """The rollup of all documents after batches of inserts, revisions and deletes, some of them committed again.
+
+    All documents come with estimated counts; every count is revised to that of the tokenizer, all rows leave and come back.
+    The totals are those of a recount of all documents. Null sources and languages are groups of their own.
+    """
+    docs = _table(spark, sf_dir, "documents")
     rollup = token_counts.Rollup(spark, new_path(spark, "token_counts"))
-    counts = token_counts.count_tokens(_table(spark, sf_dir, "documents"), "byte_bpe_50k")
-    rollup.commit("documents", token_counts.inserts(counts))
+    first = token_counts.estimate_tokens(docs)
+    counts = materialize(token_counts.count_tokens(docs, "byte_bpe_50k"), "counts")
+    rollup.commit("load", token_counts.inserts(first))
+    rollup.commit("load", token_counts.inserts(first))  # a retry
+    rollup.commit("tokenize", token_counts.revisions(first, counts))
+    rollup.commit("withdraw", token_counts.deletes(counts))
+    rollup.commit("restore", token_counts.inserts(counts))
+    rollup.commit("tokenize", token_counts.revisions(first, counts))  # again, after later batches
     return rollup.totals()
 
 
@@ -51,14 +65,17 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all documents' ids and of what they decode to. Null is empty; texts of any length are encoded whole."""
     return bpe.encode_documents(_table(spark, sf_dir, "documents"))
 
 
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages, by costs fitted on a sample of them. Null is empty; pages of any length are read whole."""
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all vectors for every vec_id divisible by 20. Null and non-finite vectors take no part; ties go to the smaller id."""
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 

@@ -2,8 +2,8 @@
 
 Each batch of changes is summed to signed totals by source, language and tokenizer version and stored under its
 batch id. Storing a batch again replaces its own totals and nothing else, so a batch that is retried, or committed
-twice, counts once. The rollup is the sum of all batches: sums of sums, so its cost follows the number of groups and
-batches, never the corpus.
+twice, counts once; so does one that is committed again with other changes, or with none left. The rollup is the sum of
+all batches: sums of sums, so its cost follows the number of groups and batches, never the corpus.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluvial.llm.bpe import encoder, share_vocabulary, texts
+from fluvial.staging import bounded_batches
 
 DIMENSIONS = ("source", "lang", "tokenizer_version")
 MEASURES = ("n_docs", "n_tokens", "n_bytes")
@@ -22,7 +23,12 @@ STORED = "batch_id string, source string, lang string, tokenizer_version string,
 
 
 def count_tokens(docs: DataFrame, version: str, vocabulary: str | None = None) -> DataFrame:
-    """docs' doc_id, source, lang with tokenizer_version, n_tokens and n_bytes of the whole text; null texts have none."""
+    """docs' doc_id, source, lang with tokenizer_version, n_tokens and n_bytes of the whole text; null and empty texts have none.
+
+    One row per row of docs, repeated ones too; texts of any length are counted whole. An empty table gives an empty
+    result; other columns, whatever their names, are ignored.
+    """
+    bounded_batches(docs.sparkSession)
     spec = share_vocabulary(docs.sparkSession, vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,6 +42,12 @@ def count_tokens(docs: DataFrame, version: str, vocabulary: str | None = None) -
     return rows.mapInArrow(count, "doc_id long, source string, lang string, n_tokens long, n_bytes long").withColumn("tokenizer_version", F.lit(version))
 
 
+def estimate_tokens(docs: DataFrame, version: str = "bytes_by_4") -> DataFrame:
+    """The same columns with a quarter of the bytes, rounded up, as n_tokens: what is known of documents before they are tokenized."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.ceil(size / 4).alias("n_tokens"), size.alias("n_bytes"), F.lit(version).alias("tokenizer_version"))
+
+
 def inserts(counts: DataFrame) -> DataFrame:
     return counts.select(*DIMENSIONS, F.lit(1).cast("long").alias("n_docs"), "n_tokens", "n_bytes")
 
@@ -57,10 +69,15 @@ class Rollup:
         spark.createDataFrame([], STORED).write.mode("append").partitionBy("batch_id").parquet(path)
 
     def commit(self, batch_id: str, deltas: DataFrame) -> None:
-        """Store the batch's signed totals, in place of those it may have. A batch without rows changes nothing."""
+        """Store the batch's signed totals, in place of those it may have. Of a batch without rows nothing counts any more.
+
+        Deltas may repeat; each counts. Null dimensions are groups of their own, null measures count nothing.
+        """
         if not batch_id:
             raise ValueError("a batch needs an id")
         totals = deltas.groupBy(*DIMENSIONS).agg(*(F.sum(m).alias(m) for m in MEASURES))
+        mark = self.spark.range(1).select(*(F.lit(None).cast("string").alias(d) for d in DIMENSIONS), *(F.lit(0).cast("long").alias(m) for m in MEASURES))
+        totals = totals.unionByName(mark)  # a row of nothing, so that the batch's folder is replaced even if no rows are left
         totals.select(*DIMENSIONS, *MEASURES, F.lit(batch_id).alias("batch_id")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(self.path)
 
     def totals(self) -> DataFrame:
