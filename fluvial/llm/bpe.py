@@ -3,13 +3,14 @@
 A text is cut into leaves of bounded size, the leaves are encoded apart, and their ids are joined pairwise up a tree.
 Most cuts fall where the split pattern starts a new piece whatever stands to the left: before white space that
 follows something else, and where a run of letters or of digits ends. There the joined ids are the ids of the whole.
-Only inside an unsplit run longer than a leaf is a cut "tight". Then the pieces' last and first ids are encoded anew
-as one window, which grows until its first and last ids are those that both sides already have. Ids of a byte-level
-BPE are the encoding of their bytes exactly if every two neighbours are, so such a join is exact; if a window
-would leave the run, both sides are encoded again as one.
-
-Texts over LONG characters are cut into leaves in a first step and the leaves dealt out over tasks; the ids of one
-text then meet in one task, as bytes.
+Only inside an unsplit run longer than half a leaf is a cut "tight". Then the pieces' last and first ids are encoded anew
+as one window, which grows until its first and last ids are those that both sides already have, or until it is all of a
+side. Ids of a byte-level BPE are the encoding of their bytes exactly if every two neighbours are, so such a join is
+exact. Each leaf knows how far the run goes to either side of its cut; only a window that would leave the run gives way to
+encoding both sides again as one.
+
+Leaves make segments of SEGMENT characters. A text of one segment is encoded where it is; the segments of a longer one
+are dealt out over tasks, each joined up its own tree, and the ids of the text then meet in one task, as bytes.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import functools
 import hashlib
 import json
 import os
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -28,10 +30,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fluvial.staging import bounded_batches
+
 #: The split pattern of the byte-level vocabularies (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters of a leaf, and of a text that is cut over several tasks.
-LEAF, LONG = 1 << 16, 1 << 22
+#: Characters of a leaf, and of a segment of a text.
+LEAF, SEGMENT = 1 << 12, 1 << 16
+_RUN = regex.compile(r"\p{L}+|\p{N}+|\s+|[^\s\p{L}\p{N}]+")
 _SAFE = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?!\p{L})|(?<=\p{N})(?!\p{N})")
 _LAST_SAFE = regex.compile(_SAFE.pattern, regex.REVERSE)
 
@@ -65,32 +70,33 @@ class Encoder:
         self.core = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
         self.size = max(ranks.values()) + 1 + len(self.special)
         self.leaf = leaf
+        self.joins: Counter[str] = Counter()  # joins so far: where a piece begins, by a window, by encoding both sides again
 
     def encode(self, text: str) -> np.ndarray:
         """All ids of the text (uint32)."""
-        if len(text) <= self.leaf:
-            return self.plain(text)
-        return self.join(self.leaves(text), lambda x: self.plain(x))
+        return self.join(self.leaves(text, self.leaf), self.plain)
 
     def plain(self, text: str) -> np.ndarray:
         return self.core.encode_to_numpy(text, allowed_special="all", disallowed_special=())
 
-    def leaves(self, text: str) -> Iterator[tuple[bool, str]]:
-        """(tight, leaf) from left to right; tight: the leaf goes on with the run in which the one before it ends."""
-        at, tight, n = 0, False, len(text)
+    def leaves(self, text: str, size: int) -> Iterator[tuple[int, int, str]]:
+        """(behind, ahead, leaf) from left to right: how far the run that the cut before the leaf divides goes to both sides; 0, 0 where a piece begins."""
+        at, behind, ahead, n = 0, 0, 0, len(text)
+        run = (0, 0)  # the last run that was cut, so that a long one is measured once
         while at < n:
-            end = min(at + self.leaf, n)
-            cut, usable = end, True
+            end = min(at + size, n)
+            cut, rooms = end, (0, 0)
             if end < n:
-                low = at + self.leaf // 2
+                low = at + size // 2
                 cut = self._safe_cut(text, low, end)
-                usable = cut > 0
-                if not usable:
-                    cut = self._tight_cut(text, low, end)
-                if cut < 0:  # no run is long enough: a longer leaf
-                    usable, cut = True, next(self._safe_after(text, end), n)
-            yield tight, text[at:cut]
-            tight, at = not usable, cut
+                if cut < 0:
+                    cut, run = self._tight_cut(text, low, end, run, size)
+                    if cut >= 0:
+                        rooms = cut - run[0], run[1] - cut  # characters, so as many bytes at least
+                    else:  # no run is long enough: a longer leaf
+                        cut = next(self._safe_after(text, end), n)
+            yield behind, ahead, text[at:cut]
+            at, (behind, ahead) = cut, rooms
 
     def _safe_cut(self, text: str, low: int, end: int) -> int:
         """The last place in (low, end] where a piece begins in any context; -1 if there is none."""
@@ -107,43 +113,53 @@ class Encoder:
             if m.start() > at and not self._in_special(text, m.start()):
                 yield m.start()
 
-    def _tight_cut(self, text: str, low: int, end: int) -> int:
-        """A place inside a run of one kind, with a good part of the run on either side; -1 if there is none."""
-        for kind in (r"\p{L}+", r"\p{N}+", r"\s+", r"[^\s\p{L}\p{N}]+"):
-            for m in regex.finditer(kind, text, pos=low, endpos=end):
-                if len(m[0]) >= self.leaf // 8:
-                    at = (m.start() + m.end()) // 2
-                    return -1 if self._in_special(text, at) else at
-        return -1
-
-    def join(self, leaves: Iterable[tuple[bool, object]], ids_of: Callable[[object], np.ndarray]) -> np.ndarray:
-        """Ids of the whole from (tight, leaf) pairs; two neighbours of equal height become one, as in a binary counter."""
-        stack: list[tuple[int, bool, np.ndarray]] = []
+    def _tight_cut(self, text: str, low: int, end: int, run: tuple[int, int], size: int) -> tuple[int, tuple[int, int]]:
+        """A place inside a run of one kind, with a good part of the run on either side, and that run; -1 if there is none."""
+        at = low
+        while at < end:
+            if not run[0] <= at < run[1]:
+                run = _RUN.match(text, at).span()  # it may have begun before `at`, which makes no difference
+            if min(run[1], end) - at >= size // 8:
+                cut = (at + min(run[1], end)) // 2
+                if not self._in_special(text, cut):
+                    return cut, run
+            at = run[1]
+        return -1, run
+
+    def join(self, leaves: Iterable[tuple[int, int, object]], ids_of: Callable[[object], np.ndarray]) -> np.ndarray:
+        """Ids of the whole from (behind, ahead, leaf); two neighbours of equal height become one, as in a binary counter."""
+        stack: list[tuple[int, int, int, np.ndarray]] = []
 
         def merge() -> None:
-            (_, right_tight, right), (height, tight, left) = stack.pop(), stack.pop()
-            stack.append((height + 1, tight, self.concatenate(left, right) if right_tight else np.concatenate([left, right])))
+            (_, behind, ahead, right), (height, *before, left) = stack.pop(), stack.pop()
+            stack.append((height + 1, *before, self.concatenate(left, right, behind, ahead)))
 
-        for tight, leaf in leaves:
-            stack.append((0, tight, ids_of(leaf)))
+        for behind, ahead, leaf in leaves:
+            stack.append((0, behind, ahead, ids_of(leaf)))
             while len(stack) > 1 and stack[-2][0] <= stack[-1][0]:
                 merge()
         while len(stack) > 1:
             merge()
-        return stack[0][2] if stack else np.empty(0, np.uint32)
-
-    def concatenate(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Join two encodings whose meeting point lies inside one piece of the split pattern."""
-        k = 4
-        while k < min(len(left), len(right)):
-            window = self.core._core_bpe.decode_bytes(left[-k:].tolist() + right[:k].tolist())
-            a = self.core._core_bpe.decode_bytes(left[-k:].tolist())
-            if len(a) > self.leaf // 32 or len(window) - len(a) > self.leaf // 32:
+        return stack[0][3] if stack else np.empty(0, np.uint32)
+
+    def concatenate(self, left: np.ndarray, right: np.ndarray, behind: int, ahead: int) -> np.ndarray:
+        """Join two encodings. If they meet inside a run, which goes `behind` and `ahead` bytes to the sides at least, by a window that grows."""
+        if not ahead:
+            self.joins["safe"] += 1
+            return np.concatenate([left, right])
+        k, core = 4, self.core._core_bpe
+        while True:
+            head, tail = left[-k:], right[:k]
+            a, b = core.decode_bytes(head.tolist()), core.decode_bytes(tail.tolist())
+            if len(a) > behind or len(b) > ahead:
                 break
-            ids = self.core._core_bpe.encode_single_piece(window)
-            if ids[0] == left[-k] and ids[-1] == right[k - 1]:
-                return np.concatenate([left[:-k], np.array(ids, np.uint32), right[k:]])
+            ids = core.encode_single_piece(a + b)
+            # an end of the window that is the end of its side is checked when that side is joined
+            if (len(head) == len(left) or ids[0] == head[0]) and (len(tail) == len(right) or ids[-1] == tail[-1]):
+                self.joins["window"] += 1
+                return np.concatenate([left[: len(left) - len(head)], np.array(ids, np.uint32), right[len(tail) :]])
             k *= 2
+        self.joins["whole"] += 1
         return self.plain(self.decode(np.concatenate([left, right])))
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
@@ -195,12 +211,14 @@ def texts(column: pa.Array) -> Iterator[str]:
         yield x.as_py() or ""
 
 
-def encode_documents(docs: DataFrame, vocabulary: str | None = None, long: int = LONG) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str | None = None, segment: int = SEGMENT) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     Null and empty texts have no ids and the digests of the empty string. The special tokens' strings in a text are
-    their ids. Repeated rows give repeated results, an empty table an empty one; other columns are ignored.
+    their ids. Texts of any length are encoded whole. Repeated rows give repeated results, an empty table an empty one;
+    other columns, whatever their names, are ignored.
     """
+    bounded_batches(docs.sparkSession)
     spec = share_vocabulary(docs.sparkSession, vocabulary)
     rows = docs.select("doc_id", "text")
 
@@ -210,8 +228,8 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, long: int =
             found = [digests(enc, enc.encode(t)) for t in texts(batch["text"])]
             yield _result(batch["doc_id"], found)
 
-    short = rows.filter(F.coalesce(F.length("text"), F.lit(0)) <= long).mapInArrow(whole, RESULT)
-    return short.unionByName(_over_tasks(rows.filter(F.length("text") > long), spec))
+    one = rows.filter(F.coalesce(F.length("text"), F.lit(0)) <= segment).mapInArrow(whole, RESULT)
+    return one.unionByName(_over_tasks(rows.filter(F.length("text") > segment), spec, segment))
 
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -222,40 +240,42 @@ def _result(ids: pa.Array, found: list[tuple[int, str, str]]) -> pa.RecordBatch:
     return pa.record_batch([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def _over_tasks(rows: DataFrame, spec: Broadcast) -> DataFrame:
-    """Long texts: leaves are dealt out and encoded by themselves, then each text's ids are joined in leaf order."""
+def _over_tasks(rows: DataFrame, spec: Broadcast, segment: int) -> DataFrame:
+    """Texts of several segments: these are dealt out and encoded by themselves, then each text's ids are joined in order."""
+    parts = ["_row", "doc_id", "segment", "behind", "ahead"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(spec.value)
         for batch in batches:
             for i, text in enumerate(texts(batch["text"])):
-                for k, (tight, leaf) in enumerate(enc.leaves(text)):
-                    yield pa.record_batch([batch["_row"][i : i + 1], batch["doc_id"][i : i + 1], pa.array([k]), pa.array([tight]), pa.array([leaf])], ["_row", "doc_id", "leaf", "tight", "text"])
+                for k, (behind, ahead, part) in enumerate(enc.leaves(text, segment)):
+                    yield pa.record_batch([batch["_row"][i : i + 1], batch["doc_id"][i : i + 1], pa.array([k]), pa.array([behind]), pa.array([ahead]), pa.array([part])], [*parts, "text"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(spec.value)
         for batch in batches:
-            ids = pa.array([enc.plain(t).astype("<u4").tobytes() for t in texts(batch["text"])], pa.binary())
-            yield pa.record_batch([batch["_row"], batch["doc_id"], batch["leaf"], batch["tight"], ids], ["_row", "doc_id", "leaf", "tight", "ids"])
+            ids = pa.array([enc.encode(t).astype("<u4").tobytes() for t in texts(batch["text"])], pa.binary())
+            yield pa.record_batch([*(batch[c] for c in parts), ids], [*parts, "ids"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(spec.value)
-        row, leaves = None, []
+        row, segments = None, []
 
         def done() -> pa.RecordBatch:
-            ids = enc.join(leaves, lambda b: np.frombuffer(b, "<u4"))
+            ids = enc.join(segments, lambda b: np.frombuffer(b, "<u4"))
             return _result(pa.array([row[1]], pa.int64()), [digests(enc, ids)])
 
         for batch in batches:
-            for key, doc, tight, ids in zip(*(batch[c].to_pylist() for c in ("_row", "doc_id", "tight", "ids")), strict=True):
+            for key, doc, behind, ahead, ids in zip(*(batch[c].to_pylist() for c in ("_row", "doc_id", "behind", "ahead", "ids")), strict=True):
                 if row is not None and row[0] != key:
                     yield done()
-                    leaves = []
+                    segments = []
                 row = (key, doc)
-                leaves.append((tight, ids))
+                segments.append((behind, ahead, ids))
         if row is not None:
             yield done()
 
-    cuts = rows.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(cut, "_row long, doc_id long, leaf long, tight boolean, text string")
-    encoded = cuts.repartition("_row", "leaf").mapInArrow(encode, "_row long, doc_id long, leaf long, tight boolean, ids binary")
-    return encoded.repartition("_row").sortWithinPartitions("_row", "leaf").mapInArrow(join, RESULT)
+    shape = "_row long, doc_id long, segment long, behind long, ahead long"
+    cuts = rows.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(cut, f"{shape}, text string")
+    encoded = cuts.repartition("_row", "segment").mapInArrow(encode, f"{shape}, ids binary")
+    return encoded.repartition("_row").sortWithinPartitions("_row", "segment").mapInArrow(join, RESULT)

@@ -42,8 +42,8 @@ def test_query_and_long_path(spark):
     rng = random.Random(5)
     rows = [(i, words(rng, 200)) for i in range(5)] + [(7, None), (8, ""), (9, "q" * 3000), (9, "q" * 3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n_tokens", "text AS ids")
-    for long in (bpe.LONG, 100):
-        got = sorted(map(tuple, bpe.encode_documents(docs, long=long).collect()))
+    for segment in (bpe.SEGMENT, 100):
+        got = sorted(map(tuple, bpe.encode_documents(docs, segment=segment).collect()))
         want = []
         for i, t in rows:
             ids = expected(t or "")
@@ -56,3 +56,23 @@ def test_digest_chunks():
     enc = bpe.Encoder(SPEC)
     ids = enc.encode("naïve 😀 中文 text " * 50)
     assert bpe.digests(enc, ids, step=3) == bpe.digests(enc, ids)
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "a", "acegikmo", "0", " ", "é中", "#-"])
+def test_production_sizes_with_unsplit_runs(alphabet):
+    """Runs of a million characters without a cut, between ordinary text, with the sizes of the query."""
+    enc, rng = bpe.Encoder(SPEC), random.Random(alphabet)
+    text = "It was said, that " + "".join(rng.choice(alphabet) for _ in range(1_000_000)) + " and so on, as it was. " * 3
+    assert enc.encode(text).tolist() == expected(text)
+    assert enc.joins["window"] > 0
+    segments = [(b, a, enc.encode(t)) for b, a, t in enc.leaves(text, bpe.SEGMENT)]
+    assert len(segments) > 10 and enc.join(segments, lambda x: x).tolist() == expected(text)
+
+
+def test_window_grows_to_a_whole_side():
+    """A run whose ids depend on where it begins: no short window will do."""
+    for leaf in (16, 64):
+        enc = bpe.Encoder(SPEC, leaf)
+        for n in range(leaf, 9 * leaf, 7):
+            for text in ("a" * n, " " * n + "x", "ab" * n, "-" * n + "\n" * n, "x" + "=" * n):
+                assert enc.encode(text).tolist() == expected(text)
