@@ -44,9 +44,9 @@ def test_a_batch_again_with_nothing_left(spark):
     rollup.commit("b1", token_counts.inserts(counts))
     rollup.commit("b2", token_counts.inserts(counts.filter("doc_id = 1")))
     rollup.commit("b2", token_counts.inserts(counts.limit(0)))
-    assert totals(rollup) == {("a", "en", "v1"): (1, 2, 7), ("a", "de", "v1"): (1, 2, 4)}
+    assert totals(rollup) == {("a", "en", "v1"): (1, 2, 7), ("a", "de", "v1"): (1, 3, 4)}
     rollup.commit("b1", token_counts.inserts(counts.filter("doc_id = 2")))
-    assert totals(rollup) == {("a", "de", "v1"): (1, 2, 4)}
+    assert totals(rollup) == {("a", "de", "v1"): (1, 3, 4)}
 
 
 def test_query_equals_a_recount(spark):
