@@ -24,6 +24,11 @@ def folded(text: Column) -> Column:
     return F.lower(collapsed(text))
 
 
+def casefolded(text: Column) -> Column:
+    """Lower case that is blind to case throughout: ß as ss, and one form of s and of sigma."""
+    return F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), "ſς", "sσ")
+
+
 def letters_only(text: Column) -> Column:
     """Letters and digits in lower case: the key of point titles."""
     return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]", "")

@@ -5,9 +5,9 @@ import math
 import duckdb
 import pytest
 
-from fluvial.plans import documents, queries
+from fluvial.plans import documents, queries, reviews
 
-QUERIES, ORACLES = queries.QUERIES | documents.QUERIES, queries.ORACLES | documents.ORACLES
+QUERIES, ORACLES = queries.QUERIES | documents.QUERIES | reviews.QUERIES, queries.ORACLES | documents.ORACLES | reviews.ORACLES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
