@@ -1,9 +1,9 @@
 """Exact deduplication by salted digest groups, with DataFrame functions only.
 
-1. A slim table has every row's digest and a row number; grouping it by digest finds the digests that hold over
-   1/HOT_GROUPS of all rows, HOT_GROUPS at most.
+1. A slim table has every row's digest and a row number; grouping it by digest finds the hot ones, those that hold more
+   than their part of all rows (staging.hot_groups). Salts are for these alone: any other digest has one salt.
 2. Texts are grouped by (digest, salt, full text): each task first deduplicates its own rows, and only then are
-   texts shuffled, once. A hot digest's rows are spread over salts; any other has one salt and is settled here.
+   texts shuffled, once. A hot digest's rows are spread over salts; any other is settled here.
 3. The winners of a hot digest's salts are grouped by (digest, full text).
 Every grouping compares full texts, so a digest with two texts would show as two groups; its rows then get their
 group by digest and text, all others by digest alone.
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluvial.staging import HOT_GROUPS, materialize, pick
+from fluvial.staging import discard, hot_groups, join_skewed, materialize, pick
 
 WHITESPACE = r"[\x20\x09-\x0D]+"
 SALTS = 32
@@ -30,12 +30,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are equal when their normalised forms are; keep_id is the least doc_id of a group (null only if all are
     null). Exactly one row of a group is kept: the one with keep_id, and of rows that repeat that doc_id, any one.
-    A null or empty text is a text like another. An empty table gives an empty result; other columns are ignored.
+    A null or empty text is a text like another; texts of any length are compared whole. An empty table gives an empty
+    result; other columns, whatever their names, are ignored.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), normalized(F.col(text_col)).alias("_text"))
     source = source.withColumn("sha", F.unhex(F.sha2(F.col("_text").cast("binary"), 256)))
     slim = materialize(source.select("doc_id", "sha", F.monotonically_increasing_id().alias("_row")), "digests")
-    floor = max(slim.count() // HOT_GROUPS, 1000)
+    floor = max(slim.count() // hot_groups(docs.sparkSession), 1000)
     hot = materialize(slim.groupBy("sha").count().filter(F.col("count") > floor).select("sha"), "hot")
 
     salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
@@ -48,20 +49,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     clashing = groups.groupBy("sha").count().filter("count > 1").select("sha")
     if not clashing.isEmpty():  # two texts with one SHA-256: their rows are grouped by text itself
         return _by_text(source)
-    return _mark(slim, groups, hot)
+    return _mark(slim, groups)
 
 
-def _mark(slim: DataFrame, groups: DataFrame, hot: DataFrame) -> DataFrame:
-    """Give each row its group. Hot groups are broadcast, HOT_GROUPS at most; no other group is a large share of the rows."""
-    hot_groups = F.broadcast(groups.join(F.broadcast(hot), "sha", "left_semi"))
-    in_hot = slim.join(hot_groups, "sha")
-    first = in_hot.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("sha").agg(F.min("_row").alias("_first"))
-    in_hot = in_hot.join(F.broadcast(first), "sha").withColumn("kept", F.col("_row") == F.col("_first")).drop("_first")
-    rest = slim.join(F.broadcast(hot), "sha", "left_anti").join(groups.hint("shuffle_merge"), "sha")
-    turn = F.row_number().over(Window.partitionBy("sha", "doc_id").orderBy("_row"))
-    rest = rest.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (turn == 1))
-    out = in_hot.unionByName(rest)
-    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+def _mark(slim: DataFrame, groups: DataFrame) -> DataFrame:
+    """Give each row its group, whatever share of the rows a group holds, and mark one row of each."""
+    full = materialize(join_skewed(slim, groups, ["sha"], ["_row"]), "grouped")
+    own = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    first = full.filter(own).groupBy("sha").agg(F.min("_row").alias("_row")).select("_row", F.lit(True).alias("_first"))
+    out = full.join(first, "_row", "left")
+    return out.select("doc_id", "keep_id", "group_size", F.col("_first").isNotNull().alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def _by_text(source: DataFrame) -> DataFrame:
@@ -78,22 +75,25 @@ def _by_text(source: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact_groups keeps, with all their columns.
+    """The rows of docs that exact_groups keeps, with all their columns, whatever their names.
 
     Rows go by doc_id alone, and texts stay where they are if the dropped ids are few enough to broadcast. An id that
-    has kept and dropped rows (it repeats, or is null) is settled by digest; of its equal rows one stays.
+    has kept and dropped rows (it repeats, or is null) is settled by digest; of its equal rows one stays. Null and empty
+    texts are texts like others. An empty table gives an empty result.
     """
-    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("_key")
-    rows = materialize(exact_groups(docs).select(key, "kept", F.unhex("text_sha256").alias("_sha")), "marks")
-    dropped = materialize(rows.filter(~F.col("kept")).select("_key").distinct(), "dropped")
-    both = materialize(rows.filter("kept").join(dropped, "_key", "left_semi").select("_key", "_sha"), "both")
-    keyed = docs.select("*", key)
-    out = pick(keyed, dropped, "_key", "left_anti").drop("_key")
+    key = F.struct(F.col("doc_id").cast("long").alias("id")).alias("key")  # a null id is an id
+    marks = materialize(exact_groups(docs).select(key, "kept", F.unhex("text_sha256").alias("sha")), "marks")
+    dropped = materialize(marks.filter(~F.col("kept")).select("key").distinct(), "dropped")
+    both = materialize(marks.filter("kept").join(dropped, "key", "left_semi").select("key", "sha"), "both")
+    discard(marks)
+    rows = docs.select(key, F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    out = pick(rows, dropped, "key", "left_anti").select("row.*")
     if both.isEmpty():
         return out
-    again = pick(keyed, both.select("_key").distinct(), "_key").withColumn("_sha", F.unhex(F.sha2(normalized(F.col("text")).cast("binary"), 256)))
-    again = again.join(both, ["_key", "_sha"], "left_semi").dropDuplicates(["_key", "_sha"])
-    return out.unionByName(again.drop("_key", "_sha"))
+    ids = materialize(both.select("key").distinct(), "ids")
+    again = pick(rows, ids, "key").withColumn("sha", F.unhex(F.sha2(normalized(F.col("row.text")).cast("binary"), 256)))
+    again = again.join(both, ["key", "sha"], "left_semi").dropDuplicates(["key", "sha"])
+    return out.unionByName(again.select("row.*"))
 
 
 ORACLE = r"""

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluvial.llm.bpe import encoder, share_vocabulary, texts
+from fluvial.staging import bounded_batches
 
 CAPACITY, SMALL, END_ID = 2048, 64, 1
 COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -89,9 +90,11 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each document is its ids and END_ID; null and empty texts are END_ID alone. Every id is in exactly one piece.
-    sequence_id joins the worker's number and its bin's; offsets in a sequence are gapless. Rows that repeat are
-    packed each by itself; an empty table gives an empty result; other columns are ignored.
+    sequence_id joins the worker's number and its bin's; offsets in a sequence are gapless. Texts of any length are
+    packed whole. Rows that repeat are packed each by itself; an empty table gives an empty result; other columns,
+    whatever their names, are ignored.
     """
+    bounded_batches(docs.sparkSession)
     spec = share_vocabulary(docs.sparkSession, vocabulary)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -98,8 +98,8 @@ def shard_documents(docs: DataFrame, tree: Sequence[Shard], grown: Sequence[Shar
 
     Returns doc_id, size (UTF-8 bytes of the text, none for null, plus 8), text_crc32 (0 for null), law, shard, slot
     (gapless from 0 in doc_id order, null first; ties by checksum and size) and grown_shard. Rows with equal doc_id
-    share a shard; a null doc_id is a key like any other. An empty table gives an empty result. Other columns of
-    docs are ignored.
+    share a shard; a null doc_id is a key like any other. Texts of any length are measured whole; repeated rows have slots
+    of their own. An empty table gives an empty result. Other columns of docs, whatever their names, are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))

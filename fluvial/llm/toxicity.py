@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fluvial.staging import bounded_batches
+
 MAX_ROWS, MAX_BYTES = 12_000, 32 << 20
 #: A feature must be in so many toxic documents of the sample; so many features are kept.
 MIN_TOXIC, MAX_FEATURES = 3, 4_000
@@ -185,8 +187,9 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted, n_offending, offending (places of sentences of 0.5 or more).
 
     Null and empty texts, and texts without a word, score 0. Repeated rows get equal scores; an empty table gives an
-    empty result; other columns, and those named as the result's, are ignored.
+    empty result; other columns, and those named as the result's, are ignored. Texts of any length are scored whole.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_FEATURES weights
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +205,12 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs that are not predicted toxic, with all their columns."""
+    """The rows of docs that are not predicted toxic, with all their columns, whatever their names.
+
+    Null and empty texts and those without a word stay; equal texts go or stay together; texts of any length are scored
+    whole; an empty table gives an empty result.
+    """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

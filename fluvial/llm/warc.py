@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluvial.llm.shingles import byte_arrays
-from fluvial.staging import materialize
+from fluvial.staging import bounded_batches, join_skewed, materialize
 
 CHUNK = 1 << 20
 #: Digests with more than one record that are broadcast at most (some 60 bytes each).
@@ -89,13 +89,16 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, size: int = CHUN
 
     Of equal payloads of at least `least` bytes, rows with the largest page_id are responses and the others revisit
     it. A null html is an empty payload. Only a row with a null page_id, among others with one, revisits without
-    being named itself; rows with null page_ids alone are all responses.
+    being named itself; rows with null page_ids alone are all responses. Repeated rows are records of their own, of
+    which none revisits itself. Payloads of any length go slice by slice. An empty table gives an archive without
+    records; other columns, whatever their names, are ignored.
     """
+    bounded_batches(pages.sparkSession)
     shared = materialize(last_of_equals(pages, least), "shared")
     few = shared.count() <= SHARED
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", "html", F.unhex(F.sha2(payload.cast("binary"), 256)).alias("sha"))
-    rows = rows.join(F.broadcast(shared) if few else shared.hint("shuffle_merge"), "sha", "left")
+    rows = rows.join(F.broadcast(shared), "sha", "left") if few else join_skewed(rows, shared, ["sha"], ["page_id", "url"], "left")
     refers = F.when(~F.col("last_id").eqNullSafe(F.col("page_id")) & F.col("last_id").isNotNull() & (F.octet_length(payload) >= least), F.col("last_id"))
     rows = rows.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", refers.cast("long").alias("refers_to"))
 
@@ -197,8 +200,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of the archives at `path`: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Records of one chunk are read where they are; only the chunks of longer ones are brought together.
+    Records of one chunk are read where they are; only the chunks of longer ones are brought together, in order, and read
+    one by one. An archive without records gives an empty result.
     """
+    bounded_batches(spark)
     chunks = spark.read.schema(CHUNKS).parquet(path)
     one = chunks.filter("chunk = 0 and last").mapInArrow(_read, RECORDS)
     more = chunks.filter("chunk > 0 or not last").repartition("archive", "record").sortWithinPartitions("archive", "record", "chunk")

@@ -52,6 +52,30 @@ def test_keep_first(spark):
     assert got == want and exact_dedup.keep_first(docs).columns == docs.columns
 
 
+def test_keep_first_with_clashing_names(spark):
+    """Columns named as the operator's own, in any case, and a null in them."""
+    names = ["_key", "_sha", "key", "sha", "row", "keep_id", "_text", "_salt", "kept"]
+    docs = spark.createDataFrame([(i, t, *([None] * len(names))) for i, t in ROWS], f"doc_id long, text string, {', '.join(f'`{n}` string' for n in names)}")
+    got = exact_dedup.keep_first(docs)
+    assert got.columns == docs.columns
+    plain = exact_dedup.keep_first(docs.select("doc_id", "text"))
+    norm = lambda rows: Counter((r.doc_id, re.sub(r"\s+", " ", r.text or "")) for r in rows)
+    assert norm(got.collect()) == norm(plain.collect())
+    assert exact_dedup.keep_first(docs.limit(0)).count() == 0
+
+
+def test_two_texts_of_one_digest_take_the_slow_way(spark, monkeypatch):
+    """Every text gets the same digest, so groups must come from the texts alone."""
+    real = exact_dedup.F.sha2
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda column, bits: real(exact_dedup.F.lit("x"), bits))
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string")
+    got = Counter(tuple(r)[:4] for r in exact_dedup.exact_groups(docs).collect())
+    want = Counter()
+    for k, n in expected(ROWS).items():
+        want[k[:4]] += n
+    assert got == want
+
+
 def test_no_python_in_plan(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string")
     plan = exact_dedup.exact_groups(docs)._jdf.queryExecution().toString()

@@ -85,3 +85,31 @@ def test_long_labelled_rows_are_learnt_from(spark):
     few = t.training_rows(docs, labels, max_bytes=200_000)
     assert few and sum(len(r.text) for r in few) <= 200_000 and all(len(r.text) >= 40_000 for r in few)
     assert t.training_rows(docs, labels, max_bytes=1) == []
+
+
+def test_scores_equal_brute_force(spark):
+    """Noisy-or by its definition, in plain Python."""
+    import math
+    import re
+
+    rng = random.Random(4)
+    weights = {"=bad": 3.0, "bad": 1.5, "=awful": 2.0, "awf": 1.0, "=mild": 0.5, "goo": -2.0}
+    model = t.Model(-4.0, weights)
+    words = ["bad", "Bad", "badly", "awful", "awfully", "mild", "good", "plain", "x1", "é", "BAD!", "a"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", ". ", "! ", "\n", "? "]) for _ in range(rng.choice([0, 1, 5, 40, 300]))) for _ in range(120)] + [None, "", " ", "...", "bad " * 50_000]
+
+    def brute(text):
+        out = []
+        for sentence in re.split(r"[.!?\n。！？]", text or ""):
+            found = {w for w in re.findall(r"[^\W\d_]+", sentence.lower())}
+            own = {w: sum(weights.get(f, 0) for f in ["=" + w] + [w[:n] for n in range(3, 9) if n < len(w)]) for w in found}
+            if any(own.values()):
+                out.append(1 / (1 + math.exp(4.0 - sum(own.values()))))
+        return max([0, *out, 1 - math.prod(1 - s for s in out if s >= 0.1)]), sum(s >= 0.5 for s in out)
+
+    docs = spark.createDataFrame([(i, x, 1, "a") for i, x in enumerate(texts)] + [(None, "bad", 1, "a"), (3, texts[3], 1, "a")], "doc_id long, text string, score int, held_out string")
+    got = t.score_documents(docs, model).collect()
+    assert len(got) == len(texts) + 2
+    for r in got:
+        score, n = brute("bad" if r.doc_id is None else texts[r.doc_id])
+        assert r.score == pytest.approx(score, abs=1e-9) and r.predicted == (score >= 0.5) and r.n_offending == n

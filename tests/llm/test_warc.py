@@ -56,3 +56,26 @@ def test_empty(spark):
     path = new_path(spark, "archives")
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert warc.read_archives(spark, path).count() == 0 and os.sep in path
+
+
+def test_long_payloads_of_many_production_chunks(spark):
+    rows = [(1, "u", "xy" * 1_700_000), (2, "u", "xy" * 1_700_000), (3, "u", "é" * 600_000), (4, "u", "z" * warc.CHUNK), (4, "u", "z" * warc.CHUNK)]
+    path = new_path(spark, "archives")
+    warc.write_archives(spark.createDataFrame([(*r, 5, "a") for r in rows], "page_id long, url string, html string, archive int, crc string"), path)
+    got = Counter(tuple(r) for r in warc.read_archives(spark, path).collect())
+    digest = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    assert got == Counter([(1, 3_400_000, digest(rows[0][2]), "revisit", 2), (2, 3_400_000, digest(rows[0][2]), "response", None), (3, 1_200_000, digest(rows[2][2]), "response", None)] + 2 * [(4, warc.CHUNK, digest(rows[3][2]), "response", None)])
+    assert spark.read.parquet(path).filter("chunk > 2").count() == 1
+
+
+def test_many_shared_digests_are_joined_by_shuffle(spark, monkeypatch):
+    from fluvial import staging
+
+    monkeypatch.setattr(warc, "SHARED", 0)
+    monkeypatch.setattr(staging, "LEAST_HOT", 10)
+    monkeypatch.setattr(staging, "hot_groups", lambda spark: 10**9)
+    rows = [(i, "u", "same") for i in range(200)] + [(1000 + i, "u", f"own {i // 2}") for i in range(60)]
+    path = new_path(spark, "archives")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.read_archives(spark, path).collect()}
+    assert got == {i: ("response", None) if i == 199 else ("revisit", 199) for i in range(200)} | {1000 + i: ("response", None) if i % 2 else ("revisit", 1001 + i) for i in range(60)}
