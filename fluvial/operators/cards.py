@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluvial.functions.text import collapsed, folded, jaccard, tokens, trigrams
-from fluvial.staging import discard, materialize
+from fluvial.staging import discard, join_skewed, materialize
 
 
 def from_conversations(turns: DataFrame) -> DataFrame:
@@ -36,11 +36,12 @@ def numbered(rows: DataFrame, *names: str) -> DataFrame:
 def mark_duplicates(cards: DataFrame) -> DataFrame:
     """Add duplicate: true for all but the first card, by card_id, with a folded front and back; cards with neither are none.
 
-    The first of each key is an aggregate with partial sums, so a key that many cards share is no hot group.
+    The first of each key is an aggregate with partial sums, and rows meet it through salts, so many cards may share a key.
     """
     keyed = cards.withColumn("_key", F.sha2(F.concat_ws("\n", folded(F.col("front")), folded(F.col("back"))), 256)).withColumn("_none", (folded(F.col("front")) == "") & (folded(F.col("back")) == ""))
+    keyed = materialize(keyed, "keyed_cards")
     first = keyed.groupBy("_key").agg(F.min("card_id").alias("_first"))
-    return keyed.join(first, "_key").withColumn("duplicate", ~F.col("_none") & (F.col("card_id") > F.col("_first"))).drop("_key", "_none", "_first")
+    return join_skewed(keyed, first, ["_key"], ["card_id"]).withColumn("duplicate", ~F.col("_none") & (F.col("card_id") > F.col("_first"))).drop("_key", "_none", "_first")
 
 
 def match_existing(cards: DataFrame, notes: DataFrame) -> DataFrame:

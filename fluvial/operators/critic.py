@@ -12,7 +12,7 @@ from fluvial.operators.quality import BLOCKING
 STOPWORDS = "and are but for from has have into not that the this was what when where which with".split()
 WORD_SHARE, PAIR_SHARE = 0.6, 0.5
 ACTIONS = ("pass", "flag", "repair", "reject")
-REASON = r"^[A-Za-z0-9][A-Za-z0-9_.:-]{0,127}$"
+REASON = r"^[a-z][a-z0-9_]{0,119}$"
 MOST_REASONS = 32
 
 

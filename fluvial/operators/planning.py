@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluvial.functions.text import language, letters_only
+from fluvial.staging import BROADCAST_KEYS, number_within
 
 # Characters of a point, points of a document, points of a plan, batches of a run.
 POINT_CHARS, MOST_POINTS, PLAN_POINTS, MOST_BATCHES = 800, 96, 96, 3
@@ -14,8 +15,8 @@ POINT_CHARS, MOST_POINTS, PLAN_POINTS, MOST_BATCHES = 800, 96, 96, 3
 def analyze(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per document: counts, estimated points and language in one aggregation. Blank blocks count as blocks alone."""
     n = F.length("text")
-    full = F.trim(F.col("text")) != ""
-    cjk, latin = (F.sum(F.when(full, n - F.length(F.regexp_replace("text", p, ""))).otherwise(0)) for p in (r"[\x{3400}-\x{9fff}]+", "[A-Za-z]+"))
+    full = F.col("text").rlike(r"(?U)\S")
+    cjk, latin = (F.sum(F.when(full, n - F.length(F.regexp_replace("text", p, ""))).otherwise(0)) for p in (r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]+", "[A-Za-z]+"))
     return blocks.groupBy(key).agg(
         F.count("*").alias("block_count"),
         F.sum(F.when(full, n).otherwise(0)).cast("long").alias("characters"),
@@ -40,12 +41,12 @@ def round_robin(chunks: DataFrame, limit: int = PLAN_POINTS) -> DataFrame:
     """Points from chunks (section, chunk_ord, title), a chunk of every section in turn: section, chunk_ord, title, priority, point_ord.
 
     Sections come in the order of their first chunks. Blank titles and those that an earlier point has are left out;
-    the first point of a section is of high priority. Only the rows of one turn matter for the limit, so a section's
-    chunks are ranked within it and the rest is a top-k.
+    the first point of a section is of high priority. Chunks are numbered by ranges, so a section may hold most of them;
+    the rest is a top-k.
     """
-    turn = F.row_number().over(Window.partitionBy("section").orderBy("chunk_ord"))
     order = chunks.groupBy("section").agg(F.min("chunk_ord").alias("section_ord"))
-    rows = chunks.withColumn("turn", turn).join(order, "section").withColumn("key", letters_only(F.col("title"))).filter("key <> ''")
+    rows = number_within(chunks.select("section", "chunk_ord", "title"), "section", ["chunk_ord"], "turn")
+    rows = rows.join(F.broadcast(order) if order.count() <= BROADCAST_KEYS else order, "section").withColumn("key", letters_only(F.col("title"))).filter("key <> ''")
     first = rows.groupBy("key").agg(F.min_by(F.struct("section", "chunk_ord", "title", "turn", "section_ord"), F.struct("turn", "section_ord")).alias("p")).select("p.*")
     top = first.orderBy("turn", "section_ord").limit(limit)
     high = F.row_number().over(Window.partitionBy("section").orderBy("turn")) == 1

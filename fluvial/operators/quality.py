@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluvial.functions.text import cjk_pairs, clean
+from fluvial.functions.text import cjk_pairs, clean, collapsed
 
 # Patterns, limits and weights of the rules.
 GENERIC_FRONT = (
@@ -136,3 +136,45 @@ def structural_gate(cards: DataFrame) -> DataFrame:
     errors = F.array(*map(F.lit, ("unsupported_card_type", "empty_front", "empty_back")))
     out = cards.withColumn("codes", F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in checks.items()))))
     return out.withColumn("passed", ~F.arrays_overlap("codes", errors))
+
+
+def evaluate_batch(cards: DataFrame, batch: str, source: Column, mode: Column, limit: Column, duplicates: DataFrame | None = None, **settings: bool) -> DataFrame:
+    """`evaluate` with the rules of a whole batch: duplicate_candidate and too_many_cards_from_short_source.
+
+    duplicates: card_id of cards that repeat another; without it, all but the first card of a batch with a folded front
+    and back. A source of 1 to 120 characters has too many cards beyond `limit`, and 3 at least.
+    """
+    rated = evaluate(cards, source, mode, **settings)
+    if duplicates is None:
+        key = F.struct(F.col(batch), F.lower(collapsed(F.col("front"))).alias("f"), F.lower(collapsed(F.col("back"))).alias("b"))
+        first = rated.groupBy(key.alias("_key")).agg(F.min("card_id").alias("_first"))
+        rated = rated.withColumn("_key", key).join(first, "_key").withColumn("_again", (F.col("card_id") > F.col("_first")) & ((F.col("_key.f") != "") | (F.col("_key.b") != ""))).drop("_key", "_first")
+    else:
+        rated = rated.join(duplicates.select("card_id", F.lit(True).alias("_again")).distinct(), "card_id", "left").withColumn("_again", F.coalesce("_again", F.lit(False)))
+    rated = add_issue(rated, "duplicate_candidate", F.col("_again")).drop("_again")
+    sizes = cards.groupBy(batch).agg(F.count("*").alias("_cards"))
+    rated = rated.join(sizes, batch)
+    short = F.length(clean(source)).between(1, 120) & (F.col("_cards") > F.greatest(F.lit(3), limit))
+    return add_issue(rated, "too_many_cards_from_short_source", F.coalesce(short, F.lit(False))).drop("_cards")
+
+
+# The buckets of a summary, those without cards too.
+BUCKETS = {"score": ("high", "medium", "low"), "status": ("ready", "review", "blocked"), "duplicate": ("exact", "canonical", "similar")}
+
+
+def distributions(rated: DataFrame) -> DataFrame:
+    """(what, name, n): cards by score (high from 0.85, medium from 0.5), status and duplicate_kind, all buckets; and by rule that was hit."""
+    score = F.when(F.col("score") >= 0.85, "high").when(F.col("score") >= 0.5, "medium").otherwise("low")
+    pair = lambda what, name: F.struct(F.lit(what).alias("what"), name.alias("name"))
+    own = F.array(pair("score", score), pair("status", F.col("status")), pair("duplicate", F.col("duplicate_kind")))
+    told = rated.select(F.explode(F.concat(own, F.transform("rule_ids", lambda r: pair("rule", r)))).alias("x")).select("x.*").filter("name is not null")
+    empty = rated.sparkSession.createDataFrame([(w, n) for w, names in BUCKETS.items() for n in names], "what string, name string")
+    counts = told.withColumn("one", F.lit(1)).unionByName(empty.withColumn("one", F.lit(0)))
+    return counts.groupBy("what", "name").agg(F.sum("one").alias("n"))
+
+
+def compare_outcomes(actual: DataFrame, expected: DataFrame, key: str = "card_id") -> DataFrame:
+    """key, matches: whether status, rule_ids in order and duplicate_kind are those expected; a card that is on one side alone doesn't match."""
+    told = lambda df: df.select(key, F.struct("status", "rule_ids", "duplicate_kind").alias("o"))
+    both = told(actual).withColumnRenamed("o", "a").join(told(expected), key, "full")
+    return both.select(key, (F.col("a").isNotNull() & F.col("a").eqNullSafe(F.col("o"))).alias("matches"))

@@ -64,13 +64,13 @@ def structural_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.numbered(C.deduplicate(base._cards(spark, sf_dir)), "card_id", "matched_id")
+    return C.numbered(C.deduplicate(base._changed(spark, sf_dir)), "card_id", "matched_id")
 
 
 def critic_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each card judged against its front; every third was repaired before, the model flags every fourth."""
+    """Each card judged against its front; every third was repaired before, the model flags every fourth and gives reasons, some of them no codes."""
     rated = Q.evaluate(base._cards(spark, sf_dir), F.col("front"), F.lit("concept"))
-    out = critic.decide(rated, F.col("front"), F.when(F.col("section") % 4 == 0, "flag"), F.lit(None).cast("array<string>"), F.col("section") % 3 == 0)
+    out = critic.decide(rated, F.col("front"), F.when(F.col("section") % 4 == 0, "flag"), F.array(F.lit("weak_answer"), F.lit("Bad-Reason"), F.lit("weak_answer"), F.lit("too.long"), F.concat(F.lit("r"), F.col("section").cast("string"))), F.col("section") % 3 == 0)
     return C.numbered(out, "card_id").select("card_id", "action", F.array_join("reason_codes", ",").alias("reason_codes"), "local_blocking")
 
 
@@ -149,6 +149,12 @@ QUERIES = {
     )
 }
 ORACLES = {
+    "run_stages": f"""WITH RECURSIVE e AS (SELECT user_id AS run_id, {list(_LEVELS)}[user_id % 3 + 1] AS level, ['analyzing', 'planning', 'generating', 'reviewing', 'repairing', 'checking_coverage', 'deduplicating', 'completed'][event_id % 8 + 1] AS stage, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+s AS (SELECT DISTINCT run_id, level, CAST(0 AS BIGINT) AS n, 'analyzing' AS stage, 0 AS accepted, 0 AS refused FROM e UNION ALL
+SELECT run_id, level, n, CASE WHEN ok THEN new ELSE stage END, accepted + CASE WHEN ok THEN 1 ELSE 0 END, refused + CASE WHEN ok THEN 0 ELSE 1 END FROM (
+SELECT s.run_id, s.level, e.n, s.stage, e.stage AS new, s.accepted, s.refused, (s.stage, e.stage) IN (('analyzing', 'planning'), ('planning', 'generating'), ('generating', 'reviewing'), ('reviewing', 'repairing'), ('reviewing', 'checking_coverage'), ('repairing', 'reviewing'), ('repairing', 'checking_coverage'), ('checking_coverage', 'deduplicating'), ('deduplicating', 'completed')) AND NOT (s.level = 'fast' AND e.stage = 'repairing') AS ok
+FROM s JOIN e ON e.run_id = s.run_id AND e.n = s.n + 1))
+SELECT run_id, stage, accepted, refused FROM s QUALIFY n = max(n) OVER (PARTITION BY run_id)""",
     "document_signals": f"{_SIGNALS} SELECT * FROM s",
     "document_routes": f"""{_SIGNALS}, m AS (SELECT doc_id, confidence, CASE WHEN doc_id % 7 = 0 THEN 'exam' END AS asked, CASE WHEN doc_id % 5 = 0 THEN 'process_steps' END AS point, string_split(modes, ',')[1] AS doc FROM s),
 r AS (SELECT *, coalesce(asked, point, doc) AS mode FROM m)
@@ -171,7 +177,7 @@ w AS (SELECT card_id, section, back, front, list_filter({_WORDS.format("back")},
 g AS (SELECT *, (len(own) = 0 OR len(list_intersect(own, src)) / len(own) < 0.6) AND back <> '' AND front <> '' AS loose FROM w),
 r AS (SELECT g.*, list_filter(string_split(rule_ids, ','), lambda r: list_contains({list(Q.BLOCKING)}, r)) || CASE WHEN loose OR list_contains(string_split(rule_ids, ','), 'source_not_grounded_simple') THEN ['source_not_grounded'] ELSE [] END AS local FROM g JOIN q USING (card_id))
 SELECT card_id, CASE WHEN len(local) > 0 THEN CASE WHEN section % 3 = 0 THEN 'reject' ELSE 'repair' END WHEN section % 4 = 0 THEN 'flag' ELSE 'pass' END AS action,
-array_to_string(CASE WHEN len(local) > 0 AND section % 3 = 0 THEN local || ['repair_failed_local_validation'] ELSE local END, ',') AS reason_codes, len(local) > 0 AS local_blocking FROM r""",
+array_to_string(CASE WHEN len(local) > 0 AND section % 3 = 0 THEN local || ['repair_failed_local_validation'] WHEN len(local) > 0 THEN local WHEN section % 4 = 0 THEN ['weak_answer', 'r' || section] ELSE [] END, ',') AS reason_codes, len(local) > 0 AS local_blocking FROM r""",
     "quality_counts": f"SELECT count(*) AS cards, count_if(status = 'ready') AS ready, count_if(status = 'review') AS review, count_if(status = 'blocked') AS blocked FROM ({base.ORACLES['card_quality']})",
     "first_cards": f"WITH {base._CARDS_SQL} SELECT * FROM cards QUALIFY row_number() OVER (PARTITION BY section ORDER BY card_id) <= 2",
     "block_sizes": f"""WITH {base._PARAGRAPHS}, k(class, low, high) AS (VALUES ('0-32', 0, 32), ('33-64', 33, 64), ('65-128', 65, 128), ('129+', 129, 2000000000))

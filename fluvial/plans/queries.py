@@ -25,16 +25,22 @@ def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations of one parity stand in for notes that exist."""
-    return _cards(spark, sf_dir).filter("section % 2 = 0").withColumnRenamed("card_id", "note_id")
+    """All cards stand in for notes that exist; the fronts of odd conversations and the backs of those that 3 doesn't divide were changed since."""
+    rows = _cards(spark, sf_dir).withColumnRenamed("card_id", "note_id")
+    return rows.withColumns({"front": F.when(F.col("section") % 2 != 0, F.concat("front", F.lit(" (old)"))).otherwise(F.col("front")), "back": F.when(F.col("section") % 3 != 0, F.concat("back", F.lit(" (old)"))).otherwise(F.col("back"))})
+
+
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a blank line behind each sentence, so that they have more than one block."""
+    return _docs(spark, sf_dir).withColumn("text", F.replace("text", F.lit(". "), F.lit(".\n\n")))
 
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return islands.blocks(_docs(spark, sf_dir))
+    return islands.blocks(_sentences(spark, sf_dir))
 
 
 def code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return islands.blocks(_docs(spark, sf_dir), "code")
+    return islands.blocks(_sentences(spark, sf_dir), "code")
 
 
 def document_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +57,8 @@ def card_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def structural_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cards(spark, sf_dir).withColumn("card_type", F.lit("basic")).withColumn("source", F.col("section").cast("string"))
+    """Cards of two types, some without a source."""
+    rows = _cards(spark, sf_dir).withColumn("card_type", F.when(F.col("section") % 6 == 0, "cloze").otherwise("basic")).withColumn("source", F.when(F.col("section") % 5 != 0, F.col("section").cast("string")))
     return C.numbered(Q.structural_gate(rows), "card_id").select("card_id", F.array_join("codes", ",").alias("codes"), "passed")
 
 
@@ -67,8 +74,15 @@ def notes_to_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.numbered(C.to_append(_cards(spark, sf_dir), _notes(spark, sf_dir)), "card_id")
 
 
+def _changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cards and, as later turns, each of them with a word more; in three sections."""
+    rows = _cards(spark, sf_dir).withColumn("section", F.col("section") % 3)
+    later = F.struct(F.col("card_id.conv_id").alias("conv_id"), (F.col("card_id.turn") + 5_000).alias("turn"))
+    return rows.unionByName(rows.withColumns({"card_id": later, "back": F.concat("back", F.lit(" again"))}))
+
+
 def similar_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.numbered(C.similar_pairs(_cards(spark, sf_dir).withColumn("section", F.lit(0)), 0.5), "first_id", "second_id")
+    return C.numbered(C.similar_pairs(_changed(spark, sf_dir), 0.5), "first_id", "second_id")
 
 
 _STATE = {"mapping_complete": "section % 2 = 0", "duplicate_check_complete": "section % 3 <> 0", "final_confirmation_confirmed": "section % 5 <> 0", "target_valid": "section % 11 <> 0", "generation_complete": "section % 7 <> 0"}
@@ -131,7 +145,7 @@ u AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS next_role, lead(tex
 cards AS (SELECT conv_id * 10000 + turn AS card_id, conv_id AS section, coalesce(text, '') AS front, coalesce(back, '') AS back FROM u WHERE role = 'user' AND next_role = 'assistant')"""
 _FOLD = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
 _BLOCKS_SQL = """
-l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line FROM documents),
+l AS (SELECT doc_id, unnest(string_split(replace(coalesce(text, ''), '. ', '.' || chr(10) || chr(10)), chr(10))) AS x, generate_subscripts(string_split(replace(coalesce(text, ''), '. ', '.' || chr(10) || chr(10)), chr(10)), 1) AS line FROM documents),
 f AS (SELECT doc_id, {x} AS x, line, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS run FROM l WHERE trim(regexp_replace(x, '\\s+', ' ', 'g')) <> ''),
 g AS (SELECT doc_id, run, string_agg(x, chr(10) ORDER BY line) AS text, CAST(min(line) AS INTEGER) AS line_start, CAST(max(line) AS INTEGER) AS line_end FROM f GROUP BY doc_id, run),
 blocks AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_start) - 1 AS INTEGER) AS block_ord, '{kind}' AS kind, text, line_start, line_end FROM g)"""
@@ -179,7 +193,7 @@ CASE WHEN list_has_any(string_split(rule_ids, ','), {list(Q.BLOCKING)}) THEN 'bl
 
 _F, _B = _FOLD.format("front"), _FOLD.format("back")
 _COLLAPSE = "trim(regexp_replace(front, '\\s+', ' ', 'g'))"
-_GATE = {"empty_front": "f = ''", "empty_back": "b = ''", "front_back_same": "f = b", "front_too_long": "length(f) > 200", "back_too_short": "length(b) < 8"}
+_GATE = {"unsupported_card_type": "section % 6 = 0", "empty_front": "f = ''", "empty_back": "b = ''", "front_back_same": "f = b", "front_too_long": "length(f) > 200", "back_too_short": "length(b) < 8", "missing_source": "section % 5 = 0"}
 _WRITE = {k: c if "count" in c else f"NOT ({_STATE[c.removeprefix('not ')]})" for k, c in C.GATES.items()}
 
 QUERIES = {f.__name__: f for f in (document_analysis, paragraphs, code_blocks, block_kinds, card_quality, structural_gate, duplicate_cards, existing_notes, notes_to_append, similar_cards, write_gates, text_chunks, json_values, round_robin_plan, chunk_batches, point_coverage, deck_style, ranked_tags, caption_sessions, latest_results)}
@@ -187,18 +201,19 @@ ORACLES = {
     "paragraphs": f"WITH {_PARAGRAPHS} SELECT * FROM blocks",
     "code_blocks": f"WITH {_BLOCKS_SQL.format(x='x', kind='code')} SELECT * FROM blocks",
     "block_kinds": f"WITH {_PARAGRAPHS} SELECT doc_id, kind, count(*) AS n FROM blocks GROUP BY doc_id, kind",
-    "document_analysis": f"""WITH {_PARAGRAPHS}, c AS (SELECT *, length(regexp_replace(text, '[^\\x{{3400}}-\\x{{9fff}}]', '', 'g')) AS zh, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS en FROM blocks)
+    "document_analysis": f"""WITH {_PARAGRAPHS}, c AS (SELECT *, length(regexp_replace(text, '[^\\x{{3400}}-\\x{{4dbf}}\\x{{4e00}}-\\x{{9fff}}]', '', 'g')) AS zh, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS en FROM blocks)
 SELECT doc_id, count(*) AS block_count, CAST(sum(length(text)) AS BIGINT) AS characters, CAST(0 AS BIGINT) AS code_blocks, least(96, CAST(sum(greatest(1, ceil(length(text) / 800))) AS BIGINT)) AS estimated_points,
 CASE WHEN sum(zh + en) = 0 THEN 'unknown' WHEN least(sum(zh), sum(en)) >= 8 OR (least(sum(zh), sum(en)) > 0 AND least(sum(zh), sum(en)) / sum(zh + en) >= 0.2) THEN 'mixed' WHEN sum(zh) > sum(en) THEN 'zh' ELSE 'en' END AS language FROM c GROUP BY doc_id""",
     "card_quality": _quality_sql(),
-    "structural_gate": f"WITH {_CARDS_SQL}, t AS (SELECT card_id, regexp_replace(front, '^\\s+|\\s+$', '', 'g') AS f, regexp_replace(back, '^\\s+|\\s+$', '', 'g') AS b FROM cards) SELECT card_id, {_hits(_GATE)} AS codes, f <> '' AND b <> '' AS passed FROM t",
+    "structural_gate": f"WITH {_CARDS_SQL}, t AS (SELECT card_id, section, regexp_replace(front, '^\\s+|\\s+$', '', 'g') AS f, regexp_replace(back, '^\\s+|\\s+$', '', 'g') AS b FROM cards) SELECT card_id, {_hits(_GATE)} AS codes, f <> '' AND b <> '' AND section % 6 <> 0 AS passed FROM t",
     "duplicate_cards": f"WITH {_CARDS_SQL} SELECT card_id, ({_F} <> '' OR {_B} <> '') AND row_number() OVER (PARTITION BY {_F}, {_B} ORDER BY card_id) > 1 AS duplicate FROM cards",
     "existing_notes": f"""WITH {_CARDS_SQL}, k AS (SELECT card_id, section, {_F} AS f, {_B} AS b FROM cards)
-SELECT c.card_id, (SELECT min(n.card_id) FROM k n WHERE n.section % 2 = 0 AND ((n.f = c.f AND c.f <> '') OR (n.b = c.b AND c.b <> ''))) AS note_id FROM k c""",
-    "notes_to_append": f"""WITH {_CARDS_SQL}, k AS (SELECT *, {_COLLAPSE} AS f FROM cards), r AS (SELECT *, row_number() OVER (PARTITION BY f, section ORDER BY card_id) AS r FROM k WHERE NOT EXISTS (SELECT 1 FROM k n WHERE n.section % 2 = 0 AND n.f = k.f AND n.section = k.section))
+SELECT c.card_id, (SELECT min(n.card_id) FROM k n WHERE (n.f || CASE WHEN n.section % 2 <> 0 THEN ' (old)' ELSE '' END = c.f AND c.f <> '') OR (n.b || CASE WHEN n.section % 3 <> 0 THEN ' (old)' ELSE '' END = c.b AND c.b <> '')) AS note_id FROM k c""",
+    "notes_to_append": f"""WITH {_CARDS_SQL}, k AS (SELECT *, {_COLLAPSE} AS f FROM cards), r AS (SELECT *, row_number() OVER (PARTITION BY f, section ORDER BY card_id) AS r FROM k WHERE NOT EXISTS (SELECT 1 FROM k n WHERE n.f || CASE WHEN n.section % 2 <> 0 THEN ' (old)' ELSE '' END = k.f AND n.section = k.section))
 SELECT card_id, section, front, back FROM r WHERE r = 1""",
-    "similar_cards": f"""WITH {_CARDS_SQL}, t AS (SELECT card_id, list_distinct(regexp_extract_all(lower(front || chr(10) || back), '[a-z0-9_]{{2,}}')) AS t FROM cards),
-p AS (SELECT a.card_id AS first_id, b.card_id AS second_id, len(list_intersect(a.t, b.t)) AS k, len(a.t) + len(b.t) AS n FROM t a JOIN t b ON a.card_id < b.card_id)
+    "similar_cards": f"""WITH {_CARDS_SQL}, o AS (SELECT card_id, section % 3 AS section, front, back FROM cards UNION ALL SELECT card_id + 5000, section % 3, front, back || ' again' FROM cards),
+t AS (SELECT card_id, section, list_distinct(regexp_extract_all(lower(front || chr(10) || back), '[a-z0-9_]{{2,}}')) AS t FROM o),
+p AS (SELECT a.card_id AS first_id, b.card_id AS second_id, len(list_intersect(a.t, b.t)) AS k, len(a.t) + len(b.t) AS n FROM t a JOIN t b ON a.card_id < b.card_id AND a.section = b.section)
 SELECT first_id, second_id, round(k / (n - k), 3) AS similarity FROM p WHERE n > k AND k / (n - k) >= 0.5""",
     "write_gates": f"WITH {_CARDS_SQL}, g AS (SELECT section, count_if(length(back) <= 500) AS kept_count, count_if(trim(back) = '') AS blocking_write_count FROM cards GROUP BY section), h AS (SELECT section, {_hits(_WRITE)} AS reasons FROM g) SELECT section, reasons, reasons = '' AS allowed FROM h",
     "json_values": "SELECT event_id, CAST(0 AS INTEGER) AS block_ord, '$.k = ' || json_extract_string(props, '$.k') AS text, CAST(NULL AS VARCHAR) AS error FROM events",

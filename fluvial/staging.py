@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Hot keys hold over 1/hot_groups of all rows each: so many at least, and at most.
@@ -106,3 +106,24 @@ def pick(rows: DataFrame, keys: DataFrame, key: str, how: str = "left_semi") ->
         return rows.join(F.broadcast(keys), key, how)
     found = join_skewed(rows, keys.withColumn("_there", F.lit(True)), [key], [c for c in rows.columns if c != key], "left")
     return found.filter(F.col("_there").isNotNull() if how == "left_semi" else F.col("_there").isNull()).select(*rows.columns)
+
+
+def number_within(rows: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """Add `name` (long): each key's rows counted from 0 without gaps, by the columns `order`, nulls first.
+
+    Rows are dealt out by ranges of (key, order, a row number), so neither a large key nor a repeated order fills one
+    task; each range then adds the count of its key's rows in the ranges before it. There are at most as many such
+    counts as ranges and keys together; they are broadcast if they are few.
+    """
+    spark = rows.sparkSession
+    rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    by = [F.col(c).asc_nulls_first() for c in (key, *order, "_row")]
+    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by)
+    at = F.monotonically_increasing_id()
+    dealt = dealt.drop("_row").withColumn("_at", at).withColumn("_part", F.shiftright("_at", 33))
+    dealt = materialize(dealt.withColumn("_key", F.struct(key)), "ranges")  # equal even if it is null
+    counts = dealt.groupBy("_part", "_key").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = materialize(counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_part", "_key", "_first", "_base"), "counts")
+    out = dealt.join(F.broadcast(counts) if counts.count() <= BROADCAST_KEYS else counts, ["_part", "_key"])
+    return out.withColumn(name, F.col("_at") - F.col("_first") + F.col("_base")).drop("_part", "_at", "_first", "_base", "_key")
