@@ -160,8 +160,21 @@ def _quote(*patterns: str) -> str:
     return "'(?i)" + "|".join(f"(?:{p})" for p in patterns).replace("'", "''") + "'"
 
 
-def _quality_sql() -> str:
-    """The rules that hold without a special mode."""
+# The rules of single modes, as literals of their own.
+_MODE_RULES = {
+    "compare_card_missing_two_sides": r"mode = 'compare_contrast' AND NOT regexp_matches(f, '(?i)\bvs\.?\b|\bversus\b|difference between|compare.+(?:and|with)|.+(?:与|和).+(?:区别|异同|相比|不同)')",
+    "process_card_missing_order": r"mode = 'process_steps' AND len(regexp_extract_all(b, '(?i)(?:首先|其次|然后|接着|最后|第一|第二|第三|\bfirst\b|\bthen\b|\bnext\b|\bfinally\b|(?:^|\n)\s*\d+[.)])')) < 2",
+    "formula_card_missing_condition": r"mode = 'formula_rule' AND NOT regexp_matches(f || chr(10) || b, '(?i)条件|适用|当.+时|在.+情况下|\bwhen\b|\bif\b|\bwhere\b|\bprovided\b|\bappl(?:y|ies)\b')",
+    "definition_card_missing_term": r"mode = 'definition' AND (length(regexp_replace(lower(f), '[\s?？!！。，,.、:：;；]', '', 'g')) < 4 OR regexp_matches(regexp_replace(lower(f), '[\s?？!！。，,.、:：;；]', '', 'g'), '^(?:(?:它|这|这个|上述内容)(?:是)?什么|what(?:is)?it)$'))",
+    "exam_card_too_vague": r"mode = 'exam' AND regexp_matches(f, '(?i)(?:讨论|分析|简述|解释)(?:上述|相关|这个|以下)?内容|\b(?:discuss|describe|explain) (?:this|the above|the material)\b')",
+    "quick_review_too_long": "mode = 'quick_review' AND (length(f) > 80 OR length(b) > 80)",
+}
+_VERBOSE = "CASE mode WHEN 'quick_review' THEN 90 WHEN 'definition' THEN 220 WHEN 'exam' THEN 280 WHEN 'compare_contrast' THEN 320 WHEN 'process_steps' THEN 360 WHEN 'mistake_trap' THEN 240 WHEN 'cloze_candidate' THEN 160 ELSE 260 END"
+_CLOZE = r"\{\{c[1-9][0-9]*::[^{}\n]+?(?:::[^{}\n]+?)?\}\}"
+
+
+def _quality_sql(cards: str = "SELECT card_id, front, back, 'concept' AS mode, front AS source FROM cards", short: bool = False, cloze: bool = False) -> str:
+    """Cards with all rules that they hit; cards: card_id, front, back, mode, source."""
     words = lambda x: f"regexp_extract_all(lower({x}), '[a-z0-9_]{{3,}}')"
     pairs = lambda x: f"list_transform(range(1, greatest(length(regexp_replace({x}, '[^\\x{{3400}}-\\x{{9fff}}]', '', 'g')), 1)), lambda i: substr(regexp_replace({x}, '[^\\x{{3400}}-\\x{{9fff}}]', '', 'g'), i, 2))"
     core = lambda x: f"regexp_replace(lower({x}), '[^a-z0-9\\x{{3400}}-\\x{{9fff}}]', '', 'g')"
@@ -170,22 +183,23 @@ def _quality_sql() -> str:
         "empty_front": "f = ''", "empty_back": "b = ''",
         "short_front": f"f <> '' AND length(regexp_replace(f, '{Q.PUNCTUATION}', '', 'g')) < 4",
         "generic_front": f"regexp_matches(f, {_quote(*Q.GENERIC_FRONT)})",
-        "long_back": "length(b) > 500",
+        "long_back": f"length(b) > CASE mode WHEN 'quick_review' THEN 140 ELSE {240 if short else 500} END",
         "multiple_questions": "length(f) - length(translate(f, '?？', '')) > 1",
         "multi_point_card": f"{bullets} >= 3 OR regexp_matches(f, {_quote(Q.SEVERAL_POINTS)})",
         "too_many_bullets": f"{bullets} >= 4",
         "boilerplate_phrase": f"regexp_matches(f || chr(10) || b, {_quote(*Q.BOILERPLATE)})",
         "markdown_residue": f"regexp_matches(f || chr(10) || b, '{Q.MARKDOWN.replace('!??', '!?')}')",
-        "answer_too_verbose_for_mode": "length(b) > 260",
-        "front_not_question_like": f"f <> '' AND NOT (contains(f, '?') OR contains(f, '？') OR regexp_matches(f, {_quote(Q.QUESTION_START)}) OR {' OR '.join(f'contains(f, {w!r})' for w in Q.QUESTION_WORDS)})",
-        "unsupported_cloze": "contains(lower(f || chr(10) || b), '{{c')",
-        "source_not_grounded_simple": f"f <> '' AND b <> '' AND NOT (list_has_any({words('b')}, {words('f')}) OR list_has_any({pairs('b')}, {pairs('f')}))",
+        "answer_too_verbose_for_mode": f"length(b) > {_VERBOSE}",
+        "front_not_question_like": f"f <> '' AND mode NOT IN ('definition', 'cloze_candidate') AND NOT (contains(f, '?') OR contains(f, '？') OR regexp_matches(f, {_quote(Q.QUESTION_START)}) OR {' OR '.join(f'contains(f, {w!r})' for w in Q.QUESTION_WORDS)})",
+        "unsupported_cloze": "FALSE" if cloze else "contains(lower(f || chr(10) || b), '{{c') OR mode = 'cloze_candidate'",
+        "cloze_syntax_invalid": f"mode = 'cloze_candidate' AND NOT (regexp_matches(f, '{_CLOZE}') AND NOT contains(lower(regexp_replace(f, '{_CLOZE}', '', 'g')), '{{{{c') AND NOT contains(regexp_replace(f, '{_CLOZE}', '', 'g'), '}}}}'))" if cloze else "FALSE",
+        "source_not_grounded_simple": f"s <> '' AND f <> '' AND b <> '' AND NOT (list_has_any({words('b')}, {words('s')}) OR list_has_any({pairs('b')}, {pairs('s')}))",
         "answer_contains_prompt_artifact": f"regexp_matches(b, {_quote(Q.PROMPT_ARTIFACT)})",
         "front_contains_answer_leak": f"length({core('b')}) >= 4 AND contains({core('f')}, {core('b')})",
         "back_contains_unnecessary_intro": f"regexp_matches(b, {_quote(Q.INTRO)})",
-    }
+    } | _MODE_RULES
     cost = "CASE " + " ".join(f"WHEN r = '{k}' THEN {v}" for k, v in Q.COSTS.items()) + f" WHEN r = '' THEN 0 ELSE {Q.DEFAULT_COST} END"
-    return f"""WITH {_CARDS_SQL}, t AS (SELECT card_id, regexp_replace(front, '^\\s+|\\s+$', '', 'g') AS f, regexp_replace(back, '^\\s+|\\s+$', '', 'g') AS b FROM cards),
+    return f"""WITH {_CARDS_SQL}, t AS (SELECT card_id, mode, regexp_replace(front, '^\\s+|\\s+$', '', 'g') AS f, regexp_replace(back, '^\\s+|\\s+$', '', 'g') AS b, regexp_replace(coalesce(source, ''), '^\\s+|\\s+$', '', 'g') AS s FROM ({cards})),
 h AS (SELECT card_id, {_hits(checks)} AS rule_ids FROM t)
 SELECT card_id, rule_ids, greatest(0, 100 - CAST(list_sum(list_transform(string_split(rule_ids, ','), lambda r: {cost})) AS BIGINT)) / 100 AS score,
 CASE WHEN list_has_any(string_split(rule_ids, ','), {list(Q.BLOCKING)}) THEN 'blocked' WHEN rule_ids <> '' THEN 'review' ELSE 'ready' END AS status FROM h"""
