@@ -79,12 +79,12 @@ def locator(columns: list[str]) -> Column:
     return F.coalesce(*out, at("document", F.lit("document")))
 
 
-def shown(label: Column, place: Column) -> Column:
-    """A label with its place: `notes.md · lines 3–5`."""
+def shown(label: Column, place: Column, most: int = 96) -> Column:
+    """A label with its place, `most` characters in all: `notes.md · lines 3–5`."""
     value = F.when(place["kind"].isin("row", "line"), F.replace(place["value"], F.lit("-"), F.lit("–"))).otherwise(place["value"])
     many = place["kind"].isin("row", "line") & place["value"].contains("-")
     name = F.when(many, F.concat(place["kind"], F.lit("s"))).when(place["kind"] == "timestamp", "time").otherwise(place["kind"])
-    return F.when(place["kind"].isin("document", "block"), label).otherwise(F.concat(label, F.lit(" · "), name, F.lit(" "), value))
+    return F.substring(F.when(place["kind"].isin("document", "block"), label).otherwise(F.concat(label, F.lit(" · "), name, F.lit(" "), value)), 1, most)
 
 
 def escaped(text: Column) -> Column:

@@ -1,7 +1,12 @@
-"""Column functions on texts. Everything stays in the JVM."""
+"""Column functions on texts. Everything stays in the JVM but what it has no function for: NFKC and the characters that HTML names."""
 
 from __future__ import annotations
 
+import html
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,3 +68,31 @@ def language(zh: Column, en: Column) -> Column:
     least = F.least(zh, en)
     mixed = (least >= 8) | ((least > 0) & (least / F.nullif(zh + en, F.lit(0)) >= 0.2))
     return F.when(zh + en == 0, "unknown").when(mixed, "mixed").when(zh > en, "zh").otherwise("en")
+
+
+def nfkc_casefold(text: Column) -> Column:
+    """Compatibility forms made one (full-width letters and marks, ligatures) and case folded; null is empty."""
+
+    def fold(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFKC", t or "").casefold())
+
+    return F.pandas_udf(fold, "string")(text)
+
+
+_HIDDEN = re.compile(r"<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)|<!--.*?(?:-->|$)", re.S | re.I)
+_BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
+_TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
+
+
+def plain_of_html(text: Column) -> Column:
+    """The text of a note's HTML: blocks and <br> by lines, no scripts and styles, characters decoded; null is empty."""
+
+    def plain(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: html.unescape(_TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub("", t or "")))))
+
+    return F.pandas_udf(plain, "string")(text)
+
+
+def note_key(field: Column) -> Column:
+    """What a note's HTML field has in common with a card's plain text: decoded, collapsed, case folded."""
+    return casefolded(collapsed(plain_of_html(field)))

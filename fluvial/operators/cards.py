@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluvial.functions.text import collapsed, folded, jaccard, tokens, trigrams
+from fluvial.functions.text import casefolded, collapsed, folded, jaccard, nfkc_casefold, note_key, tokens, trigrams
 from fluvial.staging import discard, join_skewed, materialize
 
 
@@ -44,15 +44,18 @@ def mark_duplicates(cards: DataFrame) -> DataFrame:
     return join_skewed(keyed, first, ["_key"], ["card_id"]).withColumn("duplicate", ~F.col("_none") & (F.col("card_id") > F.col("_first"))).drop("_key", "_none", "_first")
 
 
-def match_existing(cards: DataFrame, notes: DataFrame) -> DataFrame:
+def match_existing(cards: DataFrame, notes: DataFrame, html: bool = False) -> DataFrame:
     """card_id, note_id: the first note, by note_id, with the card's folded front or its folded back; null if there is none.
 
+    html: the notes' sides are HTML, whose text is compared.
+
     Two equi-joins instead of one on either key, over keys that are first reduced to their least note. Empty keys match nothing.
     """
     sides = []
+    own, key = (casefolded(collapsed(F.col("_side"))), note_key(F.col("_side"))) if html else (folded(F.col("_side")), folded(F.col("_side")))
     for side in ("front", "back"):
-        least = notes.groupBy(folded(F.col(side)).alias("key")).agg(F.min("note_id").alias("note_id")).filter("key <> ''")
-        sides.append(cards.select("card_id", folded(F.col(side)).alias("key")).join(least, "key").select("card_id", "note_id"))
+        least = notes.withColumn("_side", F.col(side)).groupBy(key.alias("key")).agg(F.min("note_id").alias("note_id")).filter("key <> ''")
+        sides.append(cards.withColumn("_side", F.col(side)).select("card_id", own.alias("key")).join(least, "key").select("card_id", "note_id"))
     found = sides[0].unionAll(sides[1]).groupBy("card_id").agg(F.min("note_id").alias("note_id"))
     return cards.select("card_id").join(found, "card_id", "left")
 
@@ -70,8 +73,8 @@ def word_set() -> Column:
 
 
 def letters(side: str) -> Column:
-    """A side in lower case without punctuation and white space; symbols stay."""
-    return F.regexp_replace(F.lower(F.coalesce(side, F.lit(""))), r"(?U)[\p{P}\p{Z}\s]", "")
+    """A side in one compatibility form and without case, punctuation and white space; symbols stay."""
+    return F.regexp_replace(nfkc_casefold(F.col(side)), r"(?U)[\p{P}\p{Z}\s]", "")
 
 
 def run_set() -> Column:

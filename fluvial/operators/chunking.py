@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Characters of a piece, wanted and at most; where to cut, best first.
-TARGET, MOST = 6_000, 12_000
+# Characters of a piece, wanted and at most, and chunks of a document; where to cut, best first.
+TARGET, MOST, MOST_CHUNKS = 6_000, 12_000, 48
+#: What places a block: blocks of different places share no chunk.
+PLACE = ("file_label", "page", "slide", "sheet", "row_start", "row_end", "cell_range", "section", "timestamp_start", "timestamp_end", "notebook_cell", "line_start", "line_end")
 SEPARATORS = ("\n\n", "\n", ". ", "。", "; ", "；", " ")
 
 
@@ -39,38 +43,25 @@ def text_chunks(docs: DataFrame, target: int = TARGET, most: int = MOST) -> Data
 
 
 def _units(blocks: list[dict], place: tuple[str, ...]) -> Iterator[dict]:
-    """Blocks that stay together: a paragraph with the code or formula below it, list items that follow each other, others alone."""
-    todo = iter(blocks)
-    held = next(todo, None)
-    while held is not None:
-        unit, after = [held], next(todo, None)
-        if held["kind"] == "paragraph" and after is not None and after["kind"] in ("code", "formula"):
-            unit.append(after)
-            after = next(todo, None)
-        while held["kind"] == "list_item" and after is not None and after["kind"] == "list_item":
-            unit.append(after)
-            after = next(todo, None)
-        yield {"blocks": unit, "text": "\n\n".join(b["text"] for b in unit), "place": tuple(unit[0].get(c) for c in place), "table": any(b["kind"] == "table" for b in unit)}
-        held = after
-
-
-def _groups(units: Iterator[dict], target: int, most: int) -> Iterator[list[dict]]:
+    """Blocks that stay together: code or a formula stays with the paragraph above it, a list item with the one above."""
+    kinds = [b["kind"] for b in blocks]
+    stays = [(x, y) == ("list_item", "list_item") or (x == "paragraph" and y in ("code", "formula")) for x, y in pairwise(kinds)]
+    starts = [0, *(i + 1 for i, s in enumerate(stays) if not s), len(blocks)] if blocks else []
+    for a, b in pairwise(starts):
+        unit = blocks[a:b]
+        yield {"blocks": unit, "text": "\n\n".join(x["text"] for x in unit), "place": tuple(unit[0].get(c) for c in place), "table": "table" in kinds[a:b]}
+
+
+def _groups(units: list[dict], target: int, most: int) -> Iterator[list[dict]]:
     """Units that share a chunk: of one place, within the target together. A table and a unit beyond the bound are alone."""
-    group: list[dict] = []
-    size = 0
-    for u in units:
-        n = len(u["text"])
-        alone = u["table"] or n > most
-        if group and (u["table"] or group[-1]["place"] != u["place"] or size + 2 + n > min(target, most)):
-            yield group
-            group = []
-        size = size + 2 + n if group else n
-        group.append(u)
-        if alone:
-            yield group
-            group = []
-    if group:
-        yield group
+    ends = list(accumulate(len(u["text"]) + 2 for u in units))  # where each unit ends in the section's text
+    alone = [u["table"] or len(u["text"]) > most for u in units]
+    first, begin = 0, 0
+    for i in range(1, len(units) + 1):
+        together = i < len(units) and not alone[i - 1] and not alone[i] and units[i]["place"] == units[i - 1]["place"] and ends[i] - 2 - begin <= min(target, most)
+        if not together:
+            yield units[first:i]
+            first, begin = i, ends[i - 1]
 
 
 def table_cuts(text: str, target: int, most: int) -> Iterator[str]:
@@ -79,23 +70,20 @@ def table_cuts(text: str, target: int, most: int) -> Iterator[str]:
     if len(text) <= most or not rows:
         yield from (text[a:b] for a, b in cuts(text, target, most))
         return
-    if len(header) + 1 >= most:
+    room, wanted = most - len(header) - 1, max(1, target - len(header) - 1)
+    if room < 1:
         raise ValueError("table header exceeds the bound")
-    room, held = most - len(header) - 1, []
-    wanted = max(1, target - len(header) - 1)
-    for row in rows:
-        if held and (sum(map(len, held)) + len(held) + len(row) > wanted or len(row) > room):
-            yield "\n".join([header, *held])
-            held = []
-        if len(row) > room:
-            yield from (f"{header}\n{row[a:b]}" for a, b in cuts(row, wanted, room))
+    ends = [0, *accumulate(len(r) + 1 for r in rows)]  # rows i to j - 1 take ends[j] - ends[i] - 1 characters
+    at = 0
+    while at < len(rows):
+        if len(rows[at]) > room:
+            yield from (f"{header}\n{rows[at][a:b]}" for a, b in cuts(rows[at], wanted, room))
+            at += 1
             continue
-        held.append(row)
-        if sum(map(len, held)) + len(held) - 1 >= wanted:
-            yield "\n".join([header, *held])
-            held = []
-    if held:
-        yield "\n".join([header, *held])
+        end = max(at + 1, bisect_right(ends, ends[at] + wanted + 1) - 1)
+        end = next((k for k in range(at + 1, end) if len(rows[k]) > room), end)
+        yield "\n".join([header, *rows[at:end]])
+        at = end
 
 
 def _pieces(group: list[dict], target: int, most: int) -> Iterator[str]:
@@ -120,12 +108,13 @@ def prefix(path: list[str]) -> tuple[str, list[str]]:
     return ("# " + " > ".join(parts) + "\n\n" if parts else ""), parts
 
 
-def structural_chunks(blocks: DataFrame, key: str = "doc_id", target: int = TARGET, most: int = MOST, place: tuple[str, ...] = ("line_start", "line_end")) -> DataFrame:
+def structural_chunks(blocks: DataFrame, key: str = "doc_id", target: int = TARGET, most: int = MOST, place: tuple[str, ...] = PLACE, max_chunks: int = MOST_CHUNKS) -> DataFrame:
     """key, sequence, section_ord, heading_path, text, block_ords, block_kinds, chunk_id, error.
 
     Blocks of a section share a chunk while they have one `place` and fit the target; what is larger than the bound is cut
     without loss, tables by rows under their header, code under its paragraph. A section whose heading or table header
-    is beyond the bound is one row with an error. Sections are dealt out one by one; no section is larger than its document.
+    is beyond the bound is one row with an error; the rows of a document of more than max_chunks chunks say too_many_chunks.
+    Sections are dealt out one by one; no section is larger than its document.
     """
     import pandas as pd
 
@@ -141,7 +130,7 @@ def structural_chunks(blocks: DataFrame, key: str = "doc_id", target: int = TARG
                 head, parts = prefix([p for p in own_path if p])
                 found, error = [], "heading_too_long" if len(head) >= most else None
                 try:
-                    for group in [] if error else _groups(_units(list(own), place), max(1, target - len(head)), most - len(head)):
+                    for group in [] if error else _groups(list(_units(list(own), place)), max(1, target - len(head)), most - len(head)):
                         inside = [b for u in group for b in u["blocks"]]
                         found += [(head + t, [b["block_ord"] for b in inside], [b["kind"] for b in inside]) for t in _pieces(group, max(1, target - len(head)), most - len(head))]
                 except ValueError:
@@ -153,6 +142,7 @@ def structural_chunks(blocks: DataFrame, key: str = "doc_id", target: int = TARG
     types = f"{key} {kinds[key].dataType.simpleString()}, section_ord int, piece int, heading_path array<string>, text string, block_ords array<int>, block_kinds array<string>, error string"
     pieces = sections.mapInPandas(cut, types)
     order = Window.partitionBy(key).orderBy("section_ord", "piece")
-    numbered = pieces.withColumn("sequence", (F.row_number().over(order) - 1).cast("int"))
+    many = F.count("*").over(Window.partitionBy(key)) > max_chunks
+    numbered = pieces.withColumn("sequence", (F.row_number().over(order) - 1).cast("int")).withColumn("error", F.coalesce("error", F.when(many, "too_many_chunks")))
     own = F.concat_ws("\x1f", F.col(key).cast("string"), F.col("section_ord").cast("string"), F.col("sequence").cast("string"), F.transform("block_ords", lambda x: x.cast("string")))
     return numbered.withColumn("chunk_id", F.concat(F.lit("chunk-"), F.substring(F.sha2(own, 256), 1, 16))).drop("piece")

@@ -31,10 +31,11 @@ def kinds(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     return blocks.groupBy(key, "kind").agg(F.count("*").alias("n"))
 
 
-def chunk_title(text: Column) -> Column:
-    """First line that is neither blank nor a heading, without list marks, cut at 240 characters."""
+def chunk_title(text: Column, kinds: Column | None = None) -> Column:
+    """First line that is neither blank nor a heading, the second one where a table is among the kinds; without list marks, cut at 240 characters."""
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: (F.trim(x) != "") & ~x.startswith("# "))
-    return F.substring(F.trim(F.regexp_replace(F.coalesce(F.get(lines, 0), F.lit("")), r"^[-*+ ]+", "")), 1, 240)
+    first = F.get(lines, 0) if kinds is None else F.when(F.array_contains(kinds, "table") & (F.size(lines) > 1), F.get(lines, 1)).otherwise(F.get(lines, 0))
+    return F.substring(F.trim(F.regexp_replace(F.coalesce(first, F.lit("")), r"^[-*+ ]+", "")), 1, 240)
 
 
 def round_robin(chunks: DataFrame, limit: int = PLAN_POINTS) -> DataFrame:

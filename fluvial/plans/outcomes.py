@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fluvial.functions import labels
 from fluvial.operators import cards as C
 from fluvial.operators import quality as Q
 from fluvial.operators import routing
@@ -99,6 +100,14 @@ def importer_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importers.choose(rows, importers.capabilities(spark, _IMPORTERS)).select("file_id", "importer", "used", "error")
 
 
+def html_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards against all cards as notes in HTML, some of them changed since."""
+    rows = C.numbered(base._cards(spark, sf_dir), "card_id")
+    wrap = lambda c: F.concat(F.lit("<div>"), labels.escaped(F.col(c)), F.lit("</div><style>p { }</style>"), F.when(F.col("section") % 2 == 0, " old").otherwise(""))
+    notes = rows.select((F.col("card_id") + 1).alias("note_id"), wrap("front").alias("front"), wrap("back").alias("back"))
+    return C.match_existing(rows, notes, html=True)
+
+
 _IMPORTERS = [
     ("md", "native_structured", [".md"], ["plain"], True),
     ("plain", "native_text", [".txt", ".log"], [], True),
@@ -108,7 +117,7 @@ _IMPORTERS = [
     ("paper", "unsupported", [".pdf"], [], True),
 ]
 
-QUERIES = {f.__name__: f for f in (card_quality_modes, card_quality_plain, batch_quality, quality_distributions, outcome_matches, local_plan, text_reads, importer_choices)}
+QUERIES = {f.__name__: f for f in (card_quality_modes, card_quality_plain, batch_quality, quality_distributions, outcome_matches, local_plan, text_reads, importer_choices, html_notes)}
 _RATED = base.ORACLES["card_quality"]
 ORACLES = {
     "card_quality_modes": base._quality_sql(_MODED, short=True, cloze=True),
@@ -128,6 +137,8 @@ SELECT 'point-' || substr(sha256(section || chr(31) || chunk_ord || chr(31) || p
     "text_reads": """WITH d AS (SELECT doc_id, doc_id % 7 AS n, coalesce(text, '') AS t FROM documents), e AS (SELECT doc_id, n, CASE n WHEN 0 THEN replace(t, ' ', chr(10)) ELSE t END AS t, CASE WHEN n IN (2, 6) THEN NULL ELSE strlen(t) END AS bytes FROM d),
 k AS (SELECT *, CASE WHEN n = 5 THEN 'empty_file' WHEN n = 1 OR (n = 0 AND t = '') THEN 'empty_file' WHEN n = 4 THEN 'binary_file' WHEN trim(t) = '' THEN 'empty_file' WHEN length(t) > 20000 THEN 'document_too_complex' END AS error FROM e)
 SELECT doc_id, CASE WHEN error IS NULL THEN CASE n WHEN 2 THEN 'utf-16-le' WHEN 3 THEN 'utf-8-sig' WHEN 6 THEN 'utf-16-be' ELSE 'utf-8' END END AS encoding, CAST(CASE WHEN error IS NULL THEN length(t) END AS INTEGER) AS n_chars, CASE WHEN error IS NULL THEN md5(t) END AS digest, error FROM k""",
+    "html_notes": f"""WITH {base._CARDS_SQL}, k AS (SELECT card_id, section, replace({base._FOLD.format("front")}, 'ß', 'ss') AS f, replace({base._FOLD.format("back")}, 'ß', 'ss') AS b FROM cards)
+SELECT card_id, (SELECT min(n.card_id) + 1 FROM k n WHERE n.section % 2 <> 0 AND (n.f = c.f AND c.f <> '' OR n.b = c.b AND c.b <> '')) AS note_id FROM k c""",
     "importer_choices": """WITH f AS (SELECT p_partkey AS i, ['markdown', 'text', 'json', 'pdf', 'html'][p_partkey % 5 + 1] AS t, ['.md', '.txt', '.log', '.json'][(p_partkey // 5) % 4 + 1] AS x, CASE p_partkey % 6 WHEN 0 THEN 'plain' WHEN 1 THEN 'nothing' END AS w, p_partkey % 3 = 0 AS failed, CASE p_partkey % 9 WHEN 0 THEN 'plain' WHEN 3 THEN 'web' END AS fb FROM part),
 m(name, level, place, ext, others, av) AS (VALUES ('md', 'native_structured', 1, ['.md'], ['plain'], TRUE), ('plain', 'native_text', 2, ['.txt', '.log'], [], TRUE), ('notes', 'native_text', 2, ['.txt'], ['plain'], TRUE), ('data', 'native_structured', 1, ['.json'], ['plain', 'web'], TRUE), ('web', 'native_structured', 1, ['.html'], ['plain'], FALSE), ('paper', 'unsupported', 4, ['.pdf'], [], TRUE)),
 k AS (SELECT f.*, m.*, list_has_any(ext, CASE t WHEN 'markdown' THEN ['.md', '.markdown'] WHEN 'text' THEN ['.txt'] WHEN 'json' THEN ['.json'] WHEN 'pdf' THEN ['.pdf'] ELSE ['.html', '.htm'] END) AS typed, t IN ('markdown', 'text', 'html') AND list_contains(ext, x) AS own FROM f, m),

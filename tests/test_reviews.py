@@ -93,3 +93,46 @@ def test_card_limits(spark):
 def test_scrubbed_keys(spark):
     m = F.create_map(*(F.lit(x) for x in ("Api-Key", "1", "AUTH orization", "2", "plain", "3", "x_token_y", "4")))
     assert spark.range(1).select(fields.scrubbed(m).alias("m")).first().m == {"plain": "3"}
+
+
+def test_full_width_and_folded_cards_are_canonical_copies(spark):
+    from fluvial.operators import cards
+
+    rows = spark.createDataFrame([(1, 1, "What is Straße?", "A way!"), (2, 1, "Ｗｈａｔ　ｉｓ STRASSE", "a  way"), (3, 1, "What is C++?", "b"), (4, 1, "What is C?", "b")], "card_id long, section long, front string, back string")
+    got = [tuple(r)[:3] for r in cards.deduplicate(rows).collect()]
+    assert (2, 1, "canonical") in got and not any(r[0] == 4 and r[2] == "canonical" for r in got)
+
+
+def test_html_keys(spark):
+    from fluvial.functions.text import note_key
+
+    rows = spark.createDataFrame([("<div>A &amp; B</div><script>x</script><p>&lt;c&gt;<br>d</p>",), ("a & b <C> D",), (None,)], "x string")
+    assert [r[0] for r in rows.select(note_key(F.col("x"))).collect()] == ["a & b <c> d", "a & b d", ""]
+
+
+def test_number_within(spark):
+    from fluvial.staging import number_within
+
+    rows = spark.createDataFrame([(i % 3 if i % 7 else None, i) for i in range(100)] + [(1, 5)], "k int, o long").repartition(5)
+    got = number_within(rows, "k", ["o"], "n").collect()
+    want = {}
+    for r in sorted(got, key=lambda r: (str(r.k), r.o, r.n)):
+        want[r.k] = want.get(r.k, -1) + 1
+        assert r.n == want[r.k]
+    assert len(got) == 101
+
+
+def test_chunk_titles_and_bounds(spark):
+    from fluvial.operators.planning import chunk_title
+
+    rows = spark.createDataFrame([("# H\n\n- a | b\nrow", ["table"]), ("# H\n* one\ntwo", ["paragraph"]), ("only", ["table"])], "t string, k array<string>")
+    assert [r[0] for r in rows.select(chunk_title(F.col("t"), F.col("k"))).collect()] == ["row", "one", "only"]
+
+
+def test_text_reads_of_odd_bytes(spark):
+    from fluvial.sources.importers import read_text
+
+    cases = [b"\xff\xfe\x00\x00" + "hé".encode("utf-32-le"), b"\x00\x00\xfe\xff" + "hé".encode("utf-32-be"), b"\xff\xfea", b"a\r\nb\rc", b"\xff", b"", None, b" \n ", b"x" * 30, "é".encode() * 11]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, content binary")
+    got = [(r.text, r.encoding, r.error) for r in read_text(rows, "content", most_bytes=25, most_chars=10).orderBy("i").collect()]
+    assert got == [("hé", "utf-32-le", None), ("hé", "utf-32-be", None), (None, None, "binary_file"), ("a\nb\nc", "utf-8", None), (None, None, "binary_file"), (None, None, "empty_file"), (None, None, "empty_file"), (None, None, "empty_file"), (None, None, "file_too_large"), (None, None, "document_too_complex")]
