@@ -12,10 +12,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluvial.staging import materialize
+from fluvial.staging import number_within
 
 
 class Shard(NamedTuple):
@@ -72,27 +72,6 @@ def assign_shard(df: DataFrame, key: Column, tree: Sequence[Shard], out: str = "
     return df.withColumn(out, _by_parent(F.col(rack), {k: _least(key, "shard", v) for k, v in shards.items()}).cast("int")).drop(region, rack)
 
 
-def number_within_shards(rows: DataFrame, order: list[str], shard: str = "shard") -> DataFrame:
-    """Add `slot` (long): each shard's rows counted from 0 without gaps, by the columns `order`.
-
-    Rows are dealt out by ranges of (shard, order, a row number), so neither a large shard nor a repeated key fills
-    one task; each range then adds the count of its shard's rows in the ranges before it. There are at most as many
-    such counts as ranges and shards together, which is what the join broadcasts.
-    """
-    spark = rows.sparkSession
-    rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "sharded")
-    by = [F.col(c).asc_nulls_first() for c in (shard, *order, "_row")]
-    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by)
-    at = F.monotonically_increasing_id()
-    dealt = dealt.drop("_row").withColumn("_at", at).withColumn("_part", F.shiftright("_at", 33))
-    dealt = materialize(dealt, "ranges")
-    counts = dealt.groupBy("_part", shard).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    before = Window.partitionBy(shard).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    out = dealt.join(F.broadcast(counts.select("_part", shard, "_first", "_base")), ["_part", shard])
-    return out.withColumn("slot", F.col("_at") - F.col("_first") + F.col("_base")).drop("_part", "_at", "_first", "_base")
-
-
 def shard_documents(docs: DataFrame, tree: Sequence[Shard], grown: Sequence[Shard]) -> DataFrame:
     """Law `key`: doc_id and the tree decide each document's shard, now and with the grown tree.
 
@@ -105,5 +84,5 @@ def shard_documents(docs: DataFrame, tree: Sequence[Shard], grown: Sequence[Shar
     rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     rows = assign_shard(rows, F.col("doc_id"), tree)
     rows = assign_shard(rows, F.col("doc_id"), grown, "grown_shard")
-    rows = number_within_shards(rows, ["doc_id", "text_crc32", "size"])
+    rows = number_within(rows, "shard", ["doc_id", "text_crc32", "size"], "slot")
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
