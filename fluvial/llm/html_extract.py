@@ -36,7 +36,7 @@ SAMPLE, SAMPLE_BYTES = 2_000, 32 << 20
 JUDGED, NEXT, TOGETHER = 4.0, 1.0, 1.6
 FEATURES = ("one", "length", "words", "linked", "linked_before", "linked_after", "marks", "word_length", "paragraph", "item", "heading", "towards", "away")
 #: Log-odds of content before any page is seen, by feature.
-PRIOR = np.array([0.0, 2.0, 2.0, -3.0, -0.3, -0.3, 3.0, 0.0, 0.3, -0.3, 1.0, 3.4, -4.4])
+PRIOR = np.array([0.0, 2.0, 2.0, -3.0, -0.3, -0.3, 3.0, 0.0, 0.3, -0.3, 1.0, 7.0, -7.0])
 #: Elements that are no step between blocks unless they have a name.
 LEAVES = frozenset("p li h1 h2 h3 h4 h5 h6 td th tr dd dt".split())
 #: Elements between two blocks from which on their nearness in the tree costs nothing.
@@ -275,7 +275,8 @@ def described(page: list[Block]) -> np.ndarray:
         around = linked[i - 1] if i else 0.5, linked[i + 1] if i + 1 < len(page) else 0.5
         marks = min(1.0, sum(map(b.text.count, ".!?,;。，！？")) / words)
         tags = b.tag == "p", b.tag in ("li", "td", "th"), b.tag[:1] == "h" and b.tag[1:].isdigit()
-        out[i] = (1, (math.log1p(n) - 4) / 3, (math.log1p(words) - 2.5) / 3, linked[i], *around, marks, min(n / words, 30) / 10 - 0.5, *tags, b.said > 0, b.said < 0)
+        # beyond 300 characters and 50 words a text is prose, and more of it says no more
+        out[i] = (1, (math.log1p(min(n, 300)) - 4) / 3, (math.log1p(min(words, 50)) - 2.5) / 3, linked[i], *around, min(marks, 0.3), min(n / words, 30) / 10 - 0.5, *tags, b.said > 0, b.said < 0)
     return out
 
 

@@ -158,3 +158,27 @@ def test_fit_needs_no_markup_and_counts_copies_once(spark):
     assert h.main_text(html[3], w).startswith("3 t\n") and "We use" not in h.main_text(html[3], w)
     assert (h.fit(pages.limit(0)) == h.PRIOR).all()
     assert (h.fit(pages, most_bytes=10) == h.PRIOR).all()
+
+
+PROSE = "It was a long day, and they had much to do, so they began early. When it was done, nobody spoke of it again. " * 8
+LINKS = "<ul><li><a href=a>First source</a></li><li><a href=b>Second source</a></li></ul>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article><h1>Title</h1><p>{p}</p></article><section class=comments><p>{p}</p><p>{p}</p></section>",
+        "<article><h1>Title</h1><p>{p}</p><section class=comments><p>{p}</p></section></article>",
+        "<main><h1>Title</h1><p>{p}</p></main><aside><p>{p}</p><p>{p}</p></aside>",
+        "<div class=ad>{p}</div><article><h1>Title</h1><p>{p}</p></article><footer><p>{p}</p></footer>",
+        "<div class=cookie-notice><p>{p}</p></div><article><h1>Title</h1><p>{p}</p></article><form><p>{p}</p></form>",
+        "<article><h1>Title</h1><div class=ad>{p}</div><p>{p}</p></article><div id=sidebar><p>{p}</p></div>",
+    ],
+)
+def test_long_prose_in_boilerplate_stays_out(page):
+    assert h.main_text(page.format(p=PROSE)).split("\n") == ["Title", PROSE.strip()]
+
+
+@pytest.mark.parametrize("page", ["<article><h1>Title</h1><p>{p}</p>{a}</article>", "<article><h1>Title</h1>{a}<p>{p}</p></article>", "<article><h1>Title</h1><p>{p}</p>{a}<p>No.</p></article>", "<article>{a}</article>"])
+def test_lists_of_links_in_an_article_stay(page):
+    assert {"First source", "Second source"} <= set(h.main_text(page.format(p=PROSE, a=LINKS)).split("\n"))
