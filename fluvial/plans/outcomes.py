@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from fluvial.functions import labels
 from fluvial.operators import cards as C
+from fluvial.operators import overview, routing
 from fluvial.operators import quality as Q
-from fluvial.operators import routing
 from fluvial.plans import queries as base
 from fluvial.sources import importers
 
@@ -108,6 +108,39 @@ def html_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.match_existing(rows, notes, html=True)
 
 
+def plain_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = base._table(spark, sf_dir, "conversations")
+    heads = F.when(F.col("turn") % 3 == 0, F.array(F.col("role"), F.lit(" "))).when(F.col("turn") % 3 == 1, F.array(F.lit("a"), F.concat(F.lit(" "), F.col("role"))))
+    return overview.plain_points(t.select("conv_id", "turn", heads.alias("heading_path"), F.when(F.col("turn") % 5 == 4, " ").otherwise(F.col("text")).alias("text"))).drop("heading_path")
+
+
+def document_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters, summary line, warnings and span of each document."""
+    docs, blocks = base._docs(spark, sf_dir), base.paragraphs(spark, sf_dir)
+    counts = blocks.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.min("line_start").alias("line"))
+    n = F.col("doc_id") % 4
+    place = lambda v: F.struct(F.lit("line").alias("kind"), v.cast("string").alias("value"))
+    none = F.lit(None).cast("struct<kind:string,value:string>")
+    places = F.array(F.when(n < 2, place(F.col("line"))).otherwise(none), F.when(n == 0, place(F.col("line"))).when(n == 1, place(F.col("line") + 1)).otherwise(none))
+    rows = docs.join(counts, "doc_id").join(overview.text_chars(docs, blocks, "doc_id", ["source", "lang"]), "doc_id")
+    ids = F.when(n == 2, F.array(F.lit("b1"))).otherwise(F.array(F.lit("b1"), F.lit("b2")))
+    at = overview.span(F.col("doc_id"), ids, overview.unique_places(places))
+    warnings = overview.warning_count(F.when(n == 1, F.array(F.lit("w"))), F.when(n < 2, F.array(F.lit("v"), F.lit("w"))))
+    return rows.select("doc_id", "text_chars", overview.summary_line(F.lit(1), F.col("blocks"), F.col("text_chars")).alias("line"), warnings.alias("warnings"), at["kind"].alias("kind"), at["value"].alias("value"))
+
+
+def batch_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = routing.estimate(base._docs(spark, sf_dir).select("source", F.lit(2).cast("long").alias("chunks"), (F.col("doc_id") % 9).alias("estimated_points")))
+    return overview.batch_estimate(rows, "source", F.when(F.col("level") != "deep", F.when(F.col("level") == "fast", 40).otherwise(96)))
+
+
+def removed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many turns of each conversation go with a flag, and how many stay."""
+    t = base._table(spark, sf_dir, "conversations")
+    kept, removed = overview.without_flagged(t, "conv_id", F.when(F.col("role") != "system", F.col("turn") % 3 == 0))
+    return overview.padded(removed, kept.groupBy("conv_id").agg(F.count("*").alias("kept")), "conv_id")
+
+
 _IMPORTERS = [
     ("md", "native_structured", [".md"], ["plain"], True),
     ("plain", "native_text", [".txt", ".log"], [], True),
@@ -117,7 +150,7 @@ _IMPORTERS = [
     ("paper", "unsupported", [".pdf"], [], True),
 ]
 
-QUERIES = {f.__name__: f for f in (card_quality_modes, card_quality_plain, batch_quality, quality_distributions, outcome_matches, local_plan, text_reads, importer_choices, html_notes)}
+QUERIES = {f.__name__: f for f in (card_quality_modes, card_quality_plain, batch_quality, quality_distributions, outcome_matches, local_plan, text_reads, importer_choices, html_notes, plain_points, document_overview, batch_estimates, removed_turns)}
 _RATED = base.ORACLES["card_quality"]
 ORACLES = {
     "card_quality_modes": base._quality_sql(_MODED, short=True, cloze=True),
@@ -137,6 +170,13 @@ SELECT 'point-' || substr(sha256(section || chr(31) || chunk_ord || chr(31) || p
     "text_reads": """WITH d AS (SELECT doc_id, doc_id % 7 AS n, coalesce(text, '') AS t FROM documents), e AS (SELECT doc_id, n, CASE n WHEN 0 THEN replace(t, ' ', chr(10)) ELSE t END AS t, CASE WHEN n IN (2, 6) THEN NULL ELSE strlen(t) END AS bytes FROM d),
 k AS (SELECT *, CASE WHEN n = 5 THEN 'empty_file' WHEN n = 1 OR (n = 0 AND t = '') THEN 'empty_file' WHEN n = 4 THEN 'binary_file' WHEN trim(t) = '' THEN 'empty_file' WHEN length(t) > 20000 THEN 'document_too_complex' END AS error FROM e)
 SELECT doc_id, CASE WHEN error IS NULL THEN CASE n WHEN 2 THEN 'utf-16-le' WHEN 3 THEN 'utf-8-sig' WHEN 6 THEN 'utf-16-be' ELSE 'utf-8' END END AS encoding, CAST(CASE WHEN error IS NULL THEN length(t) END AS INTEGER) AS n_chars, CASE WHEN error IS NULL THEN md5(t) END AS digest, error FROM k""",
+    "plain_points": """SELECT conv_id, turn, trim(text) AS explanation, CASE WHEN turn % 3 < 2 THEN role ELSE 'Untitled' END AS title, trim(text) AS evidence, 'medium' AS importance FROM conversations WHERE turn % 5 <> 4 AND trim(coalesce(text, '')) <> ''""",
+    "document_overview": f"""WITH {base._PARAGRAPHS}, c AS (SELECT doc_id, count(*) AS blocks, min(line_start) AS line, sum(length(text)) AS n FROM blocks GROUP BY doc_id), r AS (SELECT doc_id, doc_id % 4 AS m, blocks, line, CAST(length(source) + length(lang) + n AS BIGINT) AS text_chars FROM documents JOIN c USING (doc_id))
+SELECT doc_id, text_chars, '1 section · ' || blocks || CASE WHEN blocks = 1 THEN ' block' ELSE ' blocks' END || ' · ' || text_chars || CASE WHEN text_chars = 1 THEN ' character' ELSE ' characters' END AS line, CAST(CASE m WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 0 END AS INTEGER) AS warnings,
+CASE m WHEN 0 THEN 'line' WHEN 2 THEN 'block' ELSE 'document' END AS kind, CASE m WHEN 0 THEN CAST(line AS VARCHAR) WHEN 2 THEN 'b1' ELSE CAST(doc_id AS VARCHAR) END AS value FROM r""",
+    "batch_estimates": """WITH v(level, low, high, most) AS (VALUES ('fast', 0.5, 1.0, 40), ('standard', 0.75, 1.25, 96), ('deep', 1.0, 1.5, NULL)), e AS (SELECT source, level, most, doc_id % 9 AS p, CASE WHEN doc_id % 9 = 0 THEN 0 ELSE greatest(1, ceil(doc_id % 9 * low)) END AS a, CASE WHEN doc_id % 9 = 0 THEN 0 ELSE greatest(ceil(doc_id % 9 * high), greatest(1, ceil(doc_id % 9 * low))) END AS b FROM documents, v)
+SELECT source, level, count(*) AS documents, 2 * count(*) AS chunks, CAST(least(sum(a), coalesce(any_value(most), sum(a))) AS BIGINT) AS card_min, CAST(least(sum(b), coalesce(any_value(most), sum(b))) AS BIGINT) AS card_max FROM e GROUP BY source, level""",
+    "removed_turns": """WITH r AS (SELECT conv_id, count(CASE WHEN role <> 'system' AND turn % 3 = 0 THEN 1 END) AS removed, count(*) AS n FROM conversations GROUP BY conv_id) SELECT conv_id, removed, nullif(n - removed, 0) AS kept FROM r""",
     "html_notes": f"""WITH {base._CARDS_SQL}, k AS (SELECT card_id, section, replace({base._FOLD.format("front")}, 'ß', 'ss') AS f, replace({base._FOLD.format("back")}, 'ß', 'ss') AS b FROM cards)
 SELECT card_id, (SELECT min(n.card_id) + 1 FROM k n WHERE n.section % 2 <> 0 AND (n.f = c.f AND c.f <> '' OR n.b = c.b AND c.b <> '')) AS note_id FROM k c""",
     "importer_choices": """WITH f AS (SELECT p_partkey AS i, ['markdown', 'text', 'json', 'pdf', 'html'][p_partkey % 5 + 1] AS t, ['.md', '.txt', '.log', '.json'][(p_partkey // 5) % 4 + 1] AS x, CASE p_partkey % 6 WHEN 0 THEN 'plain' WHEN 1 THEN 'nothing' END AS w, p_partkey % 3 = 0 AS failed, CASE p_partkey % 9 WHEN 0 THEN 'plain' WHEN 3 THEN 'web' END AS fb FROM part),

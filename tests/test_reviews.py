@@ -136,3 +136,14 @@ def test_text_reads_of_odd_bytes(spark):
     rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, content binary")
     got = [(r.text, r.encoding, r.error) for r in read_text(rows, "content", most_bytes=25, most_chars=10).orderBy("i").collect()]
     assert got == [("hé", "utf-32-le", None), ("hé", "utf-32-be", None), (None, None, "binary_file"), ("a\nb\nc", "utf-8", None), (None, None, "binary_file"), (None, None, "empty_file"), (None, None, "empty_file"), (None, None, "empty_file"), (None, None, "file_too_large"), (None, None, "document_too_complex")]
+
+
+def test_files_in_order_and_first_rows(spark):
+    from fluvial.operators import overview
+
+    a, b = spark.createDataFrame([("s1", 1), ("s2", 2)], "section_id string, n int"), spark.createDataFrame([("s1", 3)], "section_id string, n int")
+    rows = overview.in_file_order([a, b]).collect()
+    assert len({r.section_id for r in rows}) == 3 and [r.file_ord for r in sorted(rows, key=lambda r: r.n)] == [0, 0, 1]
+    assert [r.n for r in overview.first_rows(a, "n", 1).collect()] == [1]
+    kept, removed = overview.without_flagged(a.withColumn("k", F.lit(1)), "k", F.col("n") == 1, invert=True)
+    assert [r.n for r in kept.collect()] == [1] and removed.first().removed == 1
