@@ -17,7 +17,7 @@ import math
 import re
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from fluvial.staging import bounded_batches
 
-MAX_ROWS, MAX_BYTES = 12_000, 32 << 20
+MAX_ROWS, MAX_BYTES = 12_000, 24 << 20
 #: A feature must be in so many toxic documents of the sample; so many features are kept.
 MIN_TOXIC, MAX_FEATURES = 3, 4_000
 #: A sentence of a lower score adds nothing to others.
@@ -60,7 +60,30 @@ def sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
             yield m.start(), m.end(), words
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> list:
+class Example(NamedTuple):
+    text: str
+    toxic: int
+
+
+class Examples(Sequence):
+    """Labelled texts in Arrow memory, of which one at a time becomes a Python string."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.texts, self.toxic = table["text"], table["toxic"].to_pylist()
+
+    def __len__(self) -> int:
+        return len(self.toxic)
+
+    def __getitem__(self, i: int) -> Example:
+        if i >= len(self):
+            raise IndexError(i)
+        return Example(self.texts[i].as_py(), self.toxic[i])
+
+    def __iter__(self) -> Iterator[Example]:
+        return (Example(t.as_py(), y) for t, y in zip(self.texts, self.toxic, strict=True))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Sequence[Example]:
     """(text, toxic) of the sample. Labels without a doc_id or a value take no part."""
     known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
     drawn = known.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows)
@@ -75,10 +98,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
     if not taken:
         return []
     ids = docs.sparkSession.createDataFrame(taken, sizes.select("doc_id").schema)
-    return texts.join(F.broadcast(few.join(F.broadcast(ids), "doc_id")), "doc_id").orderBy("doc_id", "text").select("text", "toxic").collect()
+    return Examples(texts.join(F.broadcast(few.join(F.broadcast(ids), "doc_id")), "doc_id").orderBy("doc_id", "text").select("text", "toxic").toArrow())
 
 
-def select_features(rows: list) -> list[str]:
+def select_features(rows: Sequence[Example]) -> list[str]:
     """Features that set toxic documents apart most, by a log-likelihood ratio of their document counts."""
     toxic: Counter[str] = Counter()
     for text, y in rows:
@@ -108,9 +131,10 @@ def select_features(rows: list) -> list[str]:
     return sorted((f for f in counts if gain(f) > 6), key=lambda f: (-gain(f), f))[:MAX_FEATURES]
 
 
-def fit(rows: list, steps: int = 300, rate: float = 0.1, ridge: float = 2e-5) -> Model:
+def fit(rows: Sequence[Example], steps: int = 300, rate: float = 0.1, ridge: float = 2e-5) -> Model:
     """Weights by Adam on the noisy-or likelihood of document labels. Without both labels: a model that scores 0."""
-    if len({bool(y) for _, y in rows}) < 2:
+    labels = np.array([bool(y) for y in (rows.toxic if isinstance(rows, Examples) else [y for _, y in rows])], float)
+    if len(set(labels.tolist())) < 2:
         return Model(-math.inf, {})
     names = select_features(rows)
     index = {f: i for i, f in enumerate(names)}
@@ -129,7 +153,7 @@ def fit(rows: list, steps: int = 300, rate: float = 0.1, ridge: float = 2e-5) ->
                 at.extend([sent] * len(own))
                 doc_of.append(d)
                 sent += 1
-    y = np.array([bool(t) for _, t in rows], float)
+    y = labels
     del of_word
     cols_, at_, doc_ = (np.frombuffer(x, np.int64) if x else np.empty(0, np.int64) for x in (cols, at, doc_of))
     theta = np.append(np.full(len(names), 1.5), -6.0)
