@@ -89,12 +89,18 @@ def similar_pairs(cards: DataFrame, threshold: float = 0.86, elements: Column |
     sets = cards.select("card_id", "section", F.explode(word_set() if elements is None else elements).alias("token"))
     often = sets.groupBy("token").agg(F.count("*").alias("often"))
     ordered = sets.join(often, "token").groupBy("section", "card_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "token"))), lambda x: x["token"]).alias("t"))
-    length = F.size("t") - F.ceil(F.lit(threshold) * F.size("t") - 1e-9).cast("int") + 1
-    prefix = ordered.select("section", "card_id", "t", F.explode(F.slice("t", 1, length)).alias("token"))
-    other = prefix.select("section", F.col("card_id").alias("second_id"), F.col("t").alias("u"), "token")
-    close = F.least(F.size("t"), F.size("u")) >= F.lit(threshold) * F.greatest(F.size("t"), F.size("u")) - 1e-9
-    pairs = prefix.join(other, ["section", "token"]).filter(F.col("card_id") < F.col("second_id")).filter(close)
-    pairs = pairs.select(F.col("card_id").alias("first_id"), "second_id", "t", "u").dropDuplicates(["first_id", "second_id"])
+    ordered = materialize(ordered.withColumn("n", F.size("t")), "ordered_sets")
+    length = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1
+    prefix = ordered.select("section", "card_id", "n", F.posexplode(F.slice("t", 1, length)).alias("pos", "token"))
+    other = prefix.select("section", F.col("card_id").alias("second_id"), F.col("n").alias("m"), F.col("pos").alias("pos2"), "token")
+    close = F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m") - 1e-9
+    room = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("pos2"))  # what they may share from here on
+    enough = room >= F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("m")) - 1e-9
+    met = prefix.join(other, ["section", "token"]).filter(F.col("card_id") < F.col("second_id")).filter(close)
+    # their first common element stands for the pair; ids alone are shuffled until the pairs are few
+    first = met.groupBy("card_id", "second_id").agg(F.min_by(enough, "pos").alias("enough")).filter("enough").select(F.col("card_id").alias("first_id"), "second_id")
+    sides = [ordered.select(F.col("card_id").alias(c), F.col("t").alias(t)) for c, t in (("first_id", "t"), ("second_id", "u"))]
+    pairs = first.join(sides[0], "first_id").join(sides[1], "second_id")
     return pairs.withColumn("similarity", jaccard(F.col("t"), F.col("u"))).filter(F.col("similarity") >= threshold).select("first_id", "second_id", F.round("similarity", 3).alias("similarity"))
 
 

@@ -221,6 +221,7 @@ def test_cards_of_a_long_conversation_have_ids_of_their_own(spark):
     assert len({r.card_id for r in marked}) == len(marked) == 5_012 and [r.card_id for r in marked if r.duplicate] == [20_006]
     notes = queries.existing_notes(spark, folder).collect()
     assert len(notes) == 5_012 and {r.card_id: r.note_id for r in notes if r.note_id is not None} == {20_000 + t: 20_000 + t for t in range(0, 12, 2)} | {late(10_006): 20_006}
-    assert [tuple(r) for r in queries.similar_cards(spark, folder).collect()] == [(late(10_006), 20_006, 1.0)]
+    own = cards.from_conversations(spark.read.parquet(f"{folder}/conversations.parquet")).withColumn("section", F.lit(0))
+    assert [tuple(r) for r in cards.numbered(cards.similar_pairs(own, 0.5), "first_id", "second_id").collect()] == [(late(10_006), 20_006, 1.0)]
     few = cards.from_conversations(spark.createDataFrame([r for r in rows if r[1] % 10_000 < 12 and (r[0] == 2 or r[1] > 9_999)], "conv_id long, turn long, role string, text string")).withColumn("section", F.lit(0))
     assert [(tuple(r.card_id), tuple(r.matched_id), r.kind) for r in cards.deduplicate(few).collect()] == [((2, 6), (1, 10_006), "exact")]
