@@ -75,8 +75,8 @@ def notes_to_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All cards and, under the ids of the turns that answer them, each of them with a word more; in three sections."""
-    rows = _cards(spark, sf_dir).withColumn("section", F.col("section") % 3)
+    """All cards and, under the ids of the turns that answer them, each of them with a word more; a conversation is a section."""
+    rows = _cards(spark, sf_dir)
     later = F.struct(F.col("card_id.conv_id").alias("conv_id"), (F.col("card_id.turn") + 1).alias("turn"))
     return rows.unionByName(rows.withColumns({"card_id": later, "back": F.concat("back", F.lit(" again"))}))
 
@@ -225,7 +225,7 @@ CASE WHEN sum(zh + en) = 0 THEN 'unknown' WHEN least(sum(zh), sum(en)) >= 8 OR (
 SELECT c.card_id, (SELECT min(n.card_id) FROM k n WHERE (n.f || CASE WHEN n.section % 2 <> 0 THEN ' (old)' ELSE '' END = c.f AND c.f <> '') OR (n.b || CASE WHEN n.section % 3 <> 0 THEN ' (old)' ELSE '' END = c.b AND c.b <> '')) AS note_id FROM k c""",
     "notes_to_append": f"""WITH {_CARDS_SQL}, k AS (SELECT *, {_COLLAPSE} AS f FROM cards), r AS (SELECT *, row_number() OVER (PARTITION BY f, section ORDER BY card_id) AS r FROM k WHERE NOT EXISTS (SELECT 1 FROM k n WHERE n.f || CASE WHEN n.section % 2 <> 0 THEN ' (old)' ELSE '' END = k.f AND n.section = k.section))
 SELECT card_id, section, front, back FROM r WHERE r = 1""",
-    "similar_cards": f"""WITH {_CARDS_SQL}, o AS (SELECT card_id, section % 3 AS section, front, back FROM cards UNION ALL SELECT card_id + 1, section % 3, front, back || ' again' FROM cards),
+    "similar_cards": f"""WITH {_CARDS_SQL}, o AS (SELECT card_id, section, front, back FROM cards UNION ALL SELECT card_id + 1, section, front, back || ' again' FROM cards),
 t AS (SELECT card_id, section, list_distinct(regexp_extract_all(lower(front || chr(10) || back), '[a-z0-9_]{{2,}}')) AS t FROM o),
 p AS (SELECT a.card_id AS first_id, b.card_id AS second_id, len(list_intersect(a.t, b.t)) AS k, len(a.t) + len(b.t) AS n FROM t a JOIN t b ON a.card_id < b.card_id AND a.section = b.section)
 SELECT first_id, second_id, round(k / (n - k), 3) AS similarity FROM p WHERE n > k AND k / (n - k) >= 0.5""",
