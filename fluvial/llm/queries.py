@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluvial.llm import bpe, exact_dedup, html_extract, jaccard_join, packing, sharding, token_counts, topk, toxicity, warc
+from fluvial.llm import bpe, exact_dedup, html_extract, jaccard_join, packing, sharding, token_counts, topk, toxicity, vector_codes, warc
 from fluvial.staging import materialize, new_path
 
 
@@ -79,5 +79,10 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_exact_dedup, op4_jaccard_join, op5_packing, op6_token_counts, op7_warc, op8_bpe, op9_html_extract, op10_topk)}
-ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE, "op4_jaccard_join": jaccard_join.ORACLE, "op7_warc": warc.ORACLE, "op10_topk": topk.ORACLE}
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors as 16 indices into codebooks of 64 entries. Null and non-finite vectors take no part; rows and ids may repeat."""
+    return vector_codes.product_codes(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_exact_dedup, op4_jaccard_join, op5_packing, op6_token_counts, op7_warc, op8_bpe, op9_html_extract, op10_topk, op13_vector_codes)}
+ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE, "op4_jaccard_join": jaccard_join.ORACLE, "op7_warc": warc.ORACLE, "op10_topk": topk.ORACLE, "op13_vector_codes": vector_codes.ORACLE}
