@@ -68,7 +68,7 @@ def test_empty_table(spark):
     assert run(spark, [(1, None, 1)]) == []
 
 
-@pytest.mark.parametrize("scale", [3, 1000, 2**22, 2**27])
+@pytest.mark.parametrize("scale", [3, 50, 2**22, 2**27])
 def test_screening_keeps_the_nearest(scale):
     """Near ties far from the origin, where float32 can't tell entries apart."""
     rng = np.random.default_rng(scale)
