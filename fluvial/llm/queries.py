@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluvial.llm import bpe, conversation_repair, exact_dedup, html_extract, jaccard_join, packing, sharding, token_counts, topk, toxicity, vector_codes, warc
+from fluvial.llm import bpe, conversation_repair, exact_dedup, html_extract, jaccard_join, minhash, packing, sharding, token_counts, topk, toxicity, vector_codes, warc
 from fluvial.staging import materialize, new_path
 
 
@@ -79,6 +79,11 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the least document that links of minhash candidates reach. Null and empty texts link with nothing; repeated rows are copies."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations after damage: their faults, and the cheapest repair with its digest. Nulls are spaces; one conversation may hold any share of the rows."""
     return conversation_repair.repair_conversations(_table(spark, sf_dir, "conversations"))
@@ -89,5 +94,5 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.product_codes(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_exact_dedup, op4_jaccard_join, op5_packing, op6_token_counts, op7_warc, op8_bpe, op9_html_extract, op10_topk, op12_conversation_repair, op13_vector_codes)}
-ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE, "op4_jaccard_join": jaccard_join.ORACLE, "op7_warc": warc.ORACLE, "op10_topk": topk.ORACLE, "op12_conversation_repair": conversation_repair.ORACLE, "op13_vector_codes": vector_codes.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_exact_dedup, op4_jaccard_join, op5_packing, op6_token_counts, op7_warc, op8_bpe, op9_html_extract, op10_topk, op11_minhash_dedup, op12_conversation_repair, op13_vector_codes)}
+ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE, "op4_jaccard_join": jaccard_join.ORACLE, "op7_warc": warc.ORACLE, "op10_topk": topk.ORACLE, "op11_minhash_dedup": minhash.ORACLE, "op12_conversation_repair": conversation_repair.ORACLE, "op13_vector_codes": vector_codes.ORACLE}
