@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import functools
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate, pairwise
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fluvial.scans import along, last_within
+from fluvial.staging import bounded_batches, discard, join_skewed, materialize
+
 # Characters of a piece, wanted and at most, and chunks of a document; where to cut, best first.
 TARGET, MOST, MOST_CHUNKS = 6_000, 12_000, 48
 #: What places a block: blocks of different places share no chunk.
 PLACE = ("file_label", "page", "slide", "sheet", "row_start", "row_end", "cell_range", "section", "timestamp_start", "timestamp_end", "notebook_cell", "line_start", "line_end")
+#: A part of a heading path that looks like a file path.
+_PATH = r"^[/\\]|^[A-Za-z]:[/\\]|(^|[/\\])\.\.([/\\]|\z)"
 SEPARATORS = ("\n\n", "\n", ". ", "。", "; ", "；", " ")
 
 
@@ -42,28 +48,6 @@ def text_chunks(docs: DataFrame, target: int = TARGET, most: int = MOST) -> Data
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, sequence int, start int, text string")
 
 
-def _units(blocks: list[dict], place: tuple[str, ...]) -> Iterator[dict]:
-    """Blocks that stay together: code or a formula stays with the paragraph above it, a list item with the one above."""
-    kinds = [b["kind"] for b in blocks]
-    stays = [(x, y) == ("list_item", "list_item") or (x == "paragraph" and y in ("code", "formula")) for x, y in pairwise(kinds)]
-    starts = [0, *(i + 1 for i, s in enumerate(stays) if not s), len(blocks)] if blocks else []
-    for a, b in pairwise(starts):
-        unit = blocks[a:b]
-        yield {"blocks": unit, "text": "\n\n".join(x["text"] for x in unit), "place": tuple(unit[0].get(c) for c in place), "table": "table" in kinds[a:b]}
-
-
-def _groups(units: list[dict], target: int, most: int) -> Iterator[list[dict]]:
-    """Units that share a chunk: of one place, within the target together. A table and a unit beyond the bound are alone."""
-    ends = list(accumulate(len(u["text"]) + 2 for u in units))  # where each unit ends in the section's text
-    alone = [u["table"] or len(u["text"]) > most for u in units]
-    first, begin = 0, 0
-    for i in range(1, len(units) + 1):
-        together = i < len(units) and not alone[i - 1] and not alone[i] and units[i]["place"] == units[i - 1]["place"] and ends[i] - 2 - begin <= min(target, most)
-        if not together:
-            yield units[first:i]
-            first, begin = i, ends[i - 1]
-
-
 def table_cuts(text: str, target: int, most: int) -> Iterator[str]:
     """A table's rows in pieces that each repeat its header; a row beyond the bound is cut as a text."""
     header, *rows = text.split("\n")
@@ -86,63 +70,135 @@ def table_cuts(text: str, target: int, most: int) -> Iterator[str]:
         at = end
 
 
-def _pieces(group: list[dict], target: int, most: int) -> Iterator[str]:
-    text = "\n\n".join(u["text"] for u in group)
-    blocks = group[0]["blocks"]
-    context = blocks[0]["text"] + "\n\n" if len(blocks) == 2 and blocks[0]["kind"] == "paragraph" else ""
-    if len(text) <= most or len(group) > 1:
-        yield text
-    elif group[0]["table"] and len(blocks) == 1:
+def _pieces(kinds: list[str], texts: list[str], target: int, most: int) -> Iterator[str]:
+    """The pieces of a unit that is larger than the bound."""
+    text = "\n\n".join(texts)
+    context = texts[0] + "\n\n" if len(texts) == 2 and kinds[0] == "paragraph" else ""
+    if kinds == ["table"]:
         yield from table_cuts(text, target, most)
     elif context and len(context) < most:
-        code = blocks[1]["text"]
-        yield from (context + code[a:b] for a, b in cuts(code, max(1, target - len(context)), most - len(context)))
+        yield from (context + texts[1][a:b] for a, b in cuts(texts[1], max(1, target - len(context)), most - len(context)))
     else:
         yield from (text[a:b] for a, b in cuts(text, target, most))
 
 
-def prefix(path: list[str]) -> tuple[str, list[str]]:
-    """The line that opens each chunk of a section, and the parts of its path that don't look like file paths."""
-    unsafe = lambda p: p.startswith(("/", "\\")) or p[1:3] in (":/", ":\\") or ".." in p.replace("\\", "/").split("/")
-    parts = [p.strip() for p in path if p.strip() and not unsafe(p)]
-    return ("# " + " > ".join(parts) + "\n\n" if parts else ""), parts
+def heading_parts(path: Column) -> Column:
+    """The parts of a section's path that aren't blank and don't look like file paths."""
+    strip = lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+\z", "")
+    return F.transform(F.filter(path, lambda p: (strip(p) != "") & ~p.rlike(_PATH)), strip)
+
+
+def _starts(units: DataFrame, target: int) -> list[DataFrame]:
+    """Stored tables of (_key, unit), which begin chunks; units: _key, unit, run, barrier, lo, hi, bound.
+
+    A run holds the units between two barriers. A chunk that began at any unit would end with the last unit of its run that
+    ends within the bound; the unit behind it is where it points. The units that pointers reach from the run's first one
+    begin chunks: they are marked in rounds, as each round doubles both the marked units and the pointers' reach.
+    """
+    reach = last_within(units.select("_key", "run", "unit", "lo", "hi", "bound"), ["_key", "run"], F.col("hi"), F.col("lo") + F.col("bound"), target, "unit")
+    reach = materialize(reach.select("_key", "run", "unit", (F.greatest("unit", F.coalesce("_last", "unit")) + 1).alias("next")), "reach")
+    ends = materialize(units.groupBy("_key", "run").agg(F.max("unit").alias("last")), "runs")
+    jumps = materialize(join_skewed(reach, ends, ["_key", "run"], ["unit"]).filter("next <= last").select("_key", "unit", "next"), "jumps")
+    discard(reach, ends)
+    marked = [materialize(units.filter("barrier = 1").select("_key", "unit"), "heads")]
+    while True:
+        known = functools.reduce(DataFrame.unionByName, marked)
+        new = materialize(known.join(jumps, ["_key", "unit"]).select("_key", F.col("next").alias("unit")), "marked")
+        if new.isEmpty():
+            discard(new, jumps)
+            return marked
+        marked.append(new)
+        onward = jumps.select("_key", F.col("unit").alias("next"), F.col("next").alias("after"))
+        before, jumps = jumps, materialize(jumps.join(onward, ["_key", "next"]).select("_key", "unit", F.col("after").alias("next")), "jumps")
+        discard(before)
+
+
+def _places(rows: DataFrame, target: int, most: int) -> DataFrame:
+    """_key, at, unit and chunk of each block: where it goes by the order of sizes, kinds and places alone."""
+    rows = materialize(rows, "block_sizes")
+    stays = ((F.col("kind") == "list_item") & (F.col("above") == "list_item")) | (F.col("kind").isin("code", "formula") & (F.col("above") == "paragraph"))
+    begun = materialize(along(rows, ["_key"], "at", before={"above": F.col("kind")}).withColumn("begins", F.when(stays, 0).otherwise(1)), "block_starts")
+    inside = materialize(along(begun, ["_key"], "at", sums={"unit": F.col("begins")}), "block_units")
+    discard(rows, begun)
+
+    units = inside.groupBy("_key", "unit").agg((F.sum("n") + 2 * (F.count("*") - 1)).alias("n"), F.max(F.col("kind") == "table").alias("table"), F.min_by("place", F.when(F.col("place").isNotNull(), F.col("at"))).alias("place"), F.max("head_n").alias("head_n"))
+    units = materialize(units.withColumn("alone", F.col("table") | (F.col("n") > most - F.col("head_n"))), "units")
+    placed = along(units, ["_key"], "unit", sums={"end": F.col("n") + 2}, before={"alone_above": F.col("alone"), "place_above": F.col("place")})
+    barrier = F.col("alone") | F.coalesce("alone_above", F.lit(True)) | ~F.col("place").eqNullSafe(F.col("place_above"))
+    placed = materialize(placed.select("_key", "unit", (F.col("end") - 2 - F.col("n")).alias("lo"), (F.col("end") - 2).alias("hi"), F.greatest(F.lit(1), target - F.col("head_n")).alias("bound"), barrier.cast("int").alias("barrier")), "unit_ends")
+    runs = materialize(along(placed, ["_key"], "unit", sums={"run": F.col("barrier")}), "unit_runs")
+    marked = _starts(runs, target)
+    starts = functools.reduce(DataFrame.unionByName, marked).withColumn("starts", F.lit(1))
+    flagged = materialize(runs.select("_key", "unit").join(starts, ["_key", "unit"], "left"), "flagged")
+    chunks = materialize(along(flagged, ["_key"], "unit", sums={"chunk": F.coalesce("starts", F.lit(0))}).select("_key", "unit", "chunk"), "unit_chunks")
+    found = materialize(join_skewed(inside.select("_key", "at", "unit"), chunks, ["_key", "unit"], ["at"]), "block_chunks")
+    discard(inside, units, placed, runs, flagged, chunks, *marked)
+    return found
 
 
 def structural_chunks(blocks: DataFrame, key: str = "doc_id", target: int = TARGET, most: int = MOST, place: tuple[str, ...] = PLACE, max_chunks: int = MOST_CHUNKS) -> DataFrame:
     """key, sequence, section_ord, heading_path, text, block_ords, block_kinds, chunk_id, error.
 
-    Blocks of a section share a chunk while they have one `place` and fit the target; what is larger than the bound is cut
-    without loss, tables by rows under their header, code under its paragraph. A section whose heading or table header
-    is beyond the bound is one row with an error; the rows of a document of more than max_chunks chunks say too_many_chunks.
-    Sections are dealt out one by one; no section is larger than its document.
-    """
-    import pandas as pd
+    blocks: key, section_ord, block_ord (distinct in a section), heading, heading_path (alike in a section), kind, text and
+    columns of `place`. Blocks of a section share a chunk while they have one place and fit the target; code or a formula stays
+    with the paragraph above it, list items with those above, and tables are alone. What is larger than the bound is cut without
+    loss, tables by rows under their header, code under its paragraph. A section whose heading is beyond the bound is one
+    row with an error, and so is a table whose header is; the rows of a document of more than max_chunks chunks say
+    too_many_chunks. A null text is empty, a null key a document like another; no rows give none.
 
-    kinds, places = blocks.schema, [c for c in place if c in blocks.columns]
-    row = F.struct("block_ord", "kind", F.coalesce("text", F.lit("")).alias("text"), *places)
+    Where chunks begin follows from sizes, found along sections of any length (see _starts); texts come together only as
+    chunks, and only units larger than the bound go to Python.
+    """
+    bounded_batches(blocks.sparkSession)
+    target = min(target, most)
+    places = [c for c in place if c in blocks.columns]
+    where = F.struct(*places) if places else F.lit(None).cast("struct<none:int>")
     path = F.when(F.size("heading_path") > 0, F.col("heading_path")).otherwise(F.array_compact(F.array("heading")))
-    sections = blocks.groupBy(key, "section_ord").agg(F.first(path).alias("path"), F.array_sort(F.collect_list(row)).alias("blocks"))
+    parts = heading_parts(F.coalesce(path, F.array().cast("array<string>")))
+    rows = blocks.select(F.struct(F.col(key).alias("doc"), F.col("section_ord").cast("long").alias("section")).alias("_key"), F.col("block_ord").cast("long").alias("at"), "kind", F.coalesce("text", F.lit("")).alias("text"), F.when(F.coalesce(*(F.col(c).cast("string") for c in places), F.lit(None)).isNotNull() if places else F.lit(False), where).alias("place"), parts.alias("parts"))
+    rows = materialize(rows.withColumn("head", F.when(F.size("parts") > 0, F.concat(F.lit("# "), F.array_join("parts", " > "), F.lit("\n\n"))).otherwise("")), "chunk_blocks")
+    too_long = F.length("head") >= most
+    chunks = _places(rows.filter(~too_long).select("_key", "at", "kind", F.length("text").alias("n"), "place", F.length("head").alias("head_n")), target, most)
+
+    whole = rows.select("_key", "at", "kind", "text", "head", "parts").join(chunks.select("_key", "at", "chunk"), ["_key", "at"])
+    whole = whole.groupBy("_key", "chunk").agg(F.array_sort(F.collect_list(F.struct("at", "kind", "text"))).alias("blocks"), F.first("head").alias("head"), F.first("parts").alias("parts"))
+    whole = whole.select("_key", "chunk", "head", "parts", F.col("blocks.at").alias("ords"), F.col("blocks.kind").alias("kinds"), F.col("blocks.text").alias("texts"))
+    size = F.aggregate("texts", F.lit(-2), lambda n, t: n + F.length(t) + 2)
+    whole = materialize(whole.withColumn("large", size > most - F.length("head")), "chunk_texts")
+    errors = rows.filter(too_long).groupBy("_key").agg(F.first("parts").alias("parts")).select("_key", F.lit(1).cast("long").alias("chunk"), "parts", F.lit(None).cast("array<long>").alias("ords"), F.lit(None).cast("array<string>").alias("kinds"), F.array(F.lit(None).cast("string")).alias("pieces"), F.lit("heading_too_long").alias("error"))
+    fits = whole.filter("not large").select("_key", "chunk", "parts", "ords", "kinds", F.array(F.concat("head", F.array_join("texts", "\n\n"))).alias("pieces"), F.lit(None).cast("string").alias("error"))
+    names = ["_key", "chunk", "parts", "ords", "kinds", "pieces", "error"]
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, section, own_path, own in batch.itertuples(index=False):
-                head, parts = prefix([p for p in own_path if p])
-                found, error = [], "heading_too_long" if len(head) >= most else None
+            found, errors = [], []
+            for head, kinds, texts in zip(*(batch[c].to_pylist() for c in ("head", "kinds", "texts")), strict=True):
                 try:
-                    for group in [] if error else _groups(list(_units(list(own), place)), max(1, target - len(head)), most - len(head)):
-                        inside = [b for u in group for b in u["blocks"]]
-                        found += [(head + t, [b["block_ord"] for b in inside], [b["kind"] for b in inside]) for t in _pieces(group, max(1, target - len(head)), most - len(head))]
+                    found.append([head + p for p in _pieces(kinds, texts, max(1, target - len(head)), most - len(head))])
+                    errors.append(None)
                 except ValueError:
-                    error = "table_header_too_long"
-                rows = [(None, None, None)] if error else found
-                out += [(doc, section, n, parts, *r, error) for n, r in enumerate(rows)]
-            yield pd.DataFrame(out, columns=[key, "section_ord", "piece", "heading_path", "text", "block_ords", "block_kinds", "error"])
-
-    types = f"{key} {kinds[key].dataType.simpleString()}, section_ord int, piece int, heading_path array<string>, text string, block_ords array<int>, block_kinds array<string>, error string"
-    pieces = sections.mapInPandas(cut, types)
-    order = Window.partitionBy(key).orderBy("section_ord", "piece")
-    many = F.count("*").over(Window.partitionBy(key)) > max_chunks
-    numbered = pieces.withColumn("sequence", (F.row_number().over(order) - 1).cast("int")).withColumn("error", F.coalesce("error", F.when(many, "too_many_chunks")))
-    own = F.concat_ws("\x1f", F.col(key).cast("string"), F.col("section_ord").cast("string"), F.col("sequence").cast("string"), F.transform("block_ords", lambda x: x.cast("string")))
-    return numbered.withColumn("chunk_id", F.concat(F.lit("chunk-"), F.substring(F.sha2(own, 256), 1, 16))).drop("piece")
+                    found.append([None])
+                    errors.append("table_header_too_long")
+            yield pa.record_batch([*(batch[c] for c in ("_key", "chunk", "parts", "ords", "kinds")), pa.array(found, pa.list_(pa.string())), pa.array(errors, pa.string())], names)
+
+    key_type = whole.schema["_key"].dataType.simpleString()
+    large = whole.filter("large").mapInArrow(cut, f"_key {key_type}, chunk long, parts array<string>, ords array<long>, kinds array<string>, pieces array<string>, error string")
+    pieces = materialize(fits.unionByName(large).unionByName(errors), "chunk_pieces")
+    return _numbered(pieces, blocks.schema[key].dataType.simpleString(), key, max_chunks)
+
+
+def _numbered(pieces: DataFrame, kind: str, key: str, max_chunks: int) -> DataFrame:
+    """A row for each piece, numbered along its document, with the document's error."""
+    counts = materialize(pieces.select("_key", "chunk", F.size("pieces").alias("k")), "piece_counts")
+    own = along(counts, ["_key"], "chunk", sums={"until": F.col("k")})
+    sections = counts.groupBy("_key").agg(F.sum("k").alias("k")).select(F.struct("_key.doc").alias("doc"), F.col("_key.section").alias("section"), "k")
+    sections = materialize(sections, "section_counts")
+    totals = materialize(sections.groupBy("doc").agg(F.sum("k").alias("total")), "document_counts")
+    before = materialize(along(sections, ["doc"], "section", sums={"until": F.col("k")}), "section_ends")
+    before = join_skewed(before, totals, ["doc"], ["section"]).select(F.struct(F.col("doc.doc").alias("doc"), "section").alias("_key"), (F.col("until") - F.col("k")).alias("base"), "total")
+    own = materialize(own, "piece_ends")
+    first = join_skewed(own, before, ["_key"], ["chunk"]).select("_key", "chunk", (F.col("base") + F.col("until") - F.col("k")).alias("first"), "total")
+    rows = pieces.join(first, ["_key", "chunk"]).select("*", F.posexplode("pieces").alias("_i", "text"))
+    rows = rows.select(F.col("_key.doc").cast(kind).alias(key), F.col("_key.section").cast("int").alias("section_ord"), F.col("parts").alias("heading_path"), "text", F.transform("ords", lambda x: x.cast("int")).alias("block_ords"), F.col("kinds").alias("block_kinds"), F.coalesce("error", F.when(F.col("total") > max_chunks, "too_many_chunks")).alias("error"), (F.col("first") + F.col("_i")).cast("int").alias("sequence"))
+    named = F.concat_ws("\x1f", F.col(key).cast("string"), F.col("section_ord").cast("string"), F.col("sequence").cast("string"), F.transform("block_ords", lambda x: x.cast("string")))
+    return rows.withColumn("chunk_id", F.concat(F.lit("chunk-"), F.substring(F.sha2(named, 256), 1, 16)))

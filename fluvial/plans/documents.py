@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fluvial.functions import labels
 from fluvial.operators import cards as C
-from fluvial.operators import chunking, critic, render, routing, runs
+from fluvial.operators import critic, render, routing, runs
 from fluvial.operators import planning as P
 from fluvial.operators import quality as Q
 from fluvial.plans import queries as base
@@ -59,10 +59,6 @@ def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.blocks(base._table(spark, sf_dir, "pages"))
 
 
-def structural_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.structural_chunks(markdown_blocks(spark, sf_dir), target=600, most=1200)
-
-
 def duplicate_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.numbered(C.deduplicate(base._changed(spark, sf_dir)), "card_id", "matched_id")
 
@@ -144,7 +140,7 @@ _WORDS = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9_]{{3,}}'))"
 QUERIES = {
     f.__name__: f
     for f in (
-        document_signals, document_routes, generation_estimates, plain_documents, document_summary, page_labels, escaped_turns, markdown_blocks, html_blocks, structural_chunks,
+        document_signals, document_routes, generation_estimates, plain_documents, document_summary, page_labels, escaped_turns, markdown_blocks, html_blocks,
         duplicate_decisions, critic_decisions, quality_counts, first_cards, block_sizes, point_evidence, call_reservations, run_completion, run_stages, setting_revisions,
     )
 }

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluvial.operators import cards as C
-from fluvial.operators import chunking
 from fluvial.operators import planning as P
 from fluvial.operators import quality as Q
 from fluvial.sources import islands, paths
@@ -95,10 +94,6 @@ def write_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("section", F.array_join("reasons", ",").alias("reasons"), "allowed")
 
 
-def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.text_chunks(_docs(spark, sf_dir), 600, 1200)
-
-
 def json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.json_blocks(_table(spark, sf_dir, "events"), "event_id", "props")
 
@@ -210,7 +205,7 @@ _COLLAPSE = "trim(regexp_replace(front, '\\s+', ' ', 'g'))"
 _GATE = {"unsupported_card_type": "section % 6 = 0", "empty_front": "f = ''", "empty_back": "b = ''", "front_back_same": "f = b", "front_too_long": "length(f) > 200", "back_too_short": "length(b) < 8", "missing_source": "section % 5 = 0"}
 _WRITE = {k: c if "count" in c else f"NOT ({_STATE[c.removeprefix('not ')]})" for k, c in C.GATES.items()}
 
-QUERIES = {f.__name__: f for f in (document_analysis, paragraphs, code_blocks, block_kinds, card_quality, structural_gate, duplicate_cards, existing_notes, notes_to_append, similar_cards, write_gates, text_chunks, json_values, round_robin_plan, chunk_batches, point_coverage, deck_style, ranked_tags, caption_sessions, latest_results)}
+QUERIES = {f.__name__: f for f in (document_analysis, paragraphs, code_blocks, block_kinds, card_quality, structural_gate, duplicate_cards, existing_notes, notes_to_append, similar_cards, write_gates, json_values, round_robin_plan, chunk_batches, point_coverage, deck_style, ranked_tags, caption_sessions, latest_results)}
 ORACLES = {
     "paragraphs": f"WITH {_PARAGRAPHS} SELECT * FROM blocks",
     "code_blocks": f"WITH {_BLOCKS_SQL.format(x='x', kind='code')} SELECT * FROM blocks",
