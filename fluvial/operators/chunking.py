@@ -96,10 +96,9 @@ def _starts(units: DataFrame, target: int) -> list[DataFrame]:
     begin chunks: they are marked in rounds, as each round doubles both the marked units and the pointers' reach.
     """
     reach = last_within(units.select("_key", "run", "unit", "lo", "hi", "bound"), ["_key", "run"], F.col("hi"), F.col("lo") + F.col("bound"), target, "unit")
-    reach = materialize(reach.select("_key", "run", "unit", (F.greatest("unit", F.coalesce("_last", "unit")) + 1).alias("next")), "reach")
-    ends = materialize(units.groupBy("_key", "run").agg(F.max("unit").alias("last")), "runs")
-    jumps = materialize(join_skewed(reach, ends, ["_key", "run"], ["unit"]).filter("next <= last").select("_key", "unit", "next"), "jumps")
-    discard(reach, ends)
+    reach = reach.select("_key", F.col("unit").alias("from"), (F.greatest("unit", F.coalesce("_last", "unit")) + 1).alias("unit"))
+    inside = units.filter("barrier = 0").select("_key", "unit")  # a pointer to a barrier leaves its run
+    jumps = materialize(reach.join(inside, ["_key", "unit"]).select("_key", F.col("from").alias("unit"), F.col("unit").alias("next")), "jumps")
     marked = [materialize(units.filter("barrier = 1").select("_key", "unit"), "heads")]
     while True:
         known = functools.reduce(DataFrame.unionByName, marked)
@@ -114,12 +113,11 @@ def _starts(units: DataFrame, target: int) -> list[DataFrame]:
 
 
 def _places(rows: DataFrame, target: int, most: int) -> DataFrame:
-    """_key, at, unit and chunk of each block: where it goes by the order of sizes, kinds and places alone."""
-    rows = materialize(rows, "block_sizes")
+    """_key, at, unit and chunk of each of the blocks, of which columns of a stored table are given: kinds, sizes and places, not texts."""
     stays = ((F.col("kind") == "list_item") & (F.col("above") == "list_item")) | (F.col("kind").isin("code", "formula") & (F.col("above") == "paragraph"))
     begun = materialize(along(rows, ["_key"], "at", before={"above": F.col("kind")}).withColumn("begins", F.when(stays, 0).otherwise(1)), "block_starts")
     inside = materialize(along(begun, ["_key"], "at", sums={"unit": F.col("begins")}), "block_units")
-    discard(rows, begun)
+    discard(begun)
 
     units = inside.groupBy("_key", "unit").agg((F.sum("n") + 2 * (F.count("*") - 1)).alias("n"), F.max(F.col("kind") == "table").alias("table"), F.min_by("place", F.when(F.col("place").isNotNull(), F.col("at"))).alias("place"), F.max("head_n").alias("head_n"))
     units = materialize(units.withColumn("alone", F.col("table") | (F.col("n") > most - F.col("head_n"))), "units")
@@ -189,15 +187,11 @@ def structural_chunks(blocks: DataFrame, key: str = "doc_id", target: int = TARG
 
 def _numbered(pieces: DataFrame, kind: str, key: str, max_chunks: int) -> DataFrame:
     """A row for each piece, numbered along its document, with the document's error."""
-    counts = materialize(pieces.select("_key", "chunk", F.size("pieces").alias("k")), "piece_counts")
-    own = along(counts, ["_key"], "chunk", sums={"until": F.col("k")})
-    sections = counts.groupBy("_key").agg(F.sum("k").alias("k")).select(F.struct("_key.doc").alias("doc"), F.col("_key.section").alias("section"), "k")
-    sections = materialize(sections, "section_counts")
-    totals = materialize(sections.groupBy("doc").agg(F.sum("k").alias("total")), "document_counts")
-    before = materialize(along(sections, ["doc"], "section", sums={"until": F.col("k")}), "section_ends")
-    before = join_skewed(before, totals, ["doc"], ["section"]).select(F.struct(F.col("doc.doc").alias("doc"), "section").alias("_key"), (F.col("until") - F.col("k")).alias("base"), "total")
-    own = materialize(own, "piece_ends")
-    first = join_skewed(own, before, ["_key"], ["chunk"]).select("_key", "chunk", (F.col("base") + F.col("until") - F.col("k")).alias("first"), "total")
+    at = F.shiftleft(F.col("_key.section"), 32) + F.col("chunk")
+    counts = materialize(pieces.select("_key", "chunk", F.struct("_key.doc").alias("doc"), at.alias("at"), F.size("pieces").alias("k")), "piece_counts")
+    ends = materialize(along(counts, ["doc"], "at", sums={"until": F.col("k")}), "piece_ends")
+    totals = counts.groupBy("doc").agg(F.sum("k").alias("total"))
+    first = join_skewed(ends, totals, ["doc"], ["at"]).select("_key", "chunk", (F.col("until") - F.col("k")).alias("first"), "total")
     rows = pieces.join(first, ["_key", "chunk"]).select("*", F.posexplode("pieces").alias("_i", "text"))
     rows = rows.select(F.col("_key.doc").cast(kind).alias(key), F.col("_key.section").cast("int").alias("section_ord"), F.col("parts").alias("heading_path"), "text", F.transform("ords", lambda x: x.cast("int")).alias("block_ords"), F.col("kinds").alias("block_kinds"), F.coalesce("error", F.when(F.col("total") > max_chunks, "too_many_chunks")).alias("error"), (F.col("first") + F.col("_i")).cast("int").alias("sequence"))
     named = F.concat_ws("\x1f", F.col(key).cast("string"), F.col("section_ord").cast("string"), F.col("sequence").cast("string"), F.transform("block_ords", lambda x: x.cast("string")))

@@ -5,9 +5,9 @@ import math
 import duckdb
 import pytest
 
-from fluvial.plans import chunks, documents, notes, outcomes, queries, reviews, sections
+from fluvial.plans import chunks, documents, notes, outcomes, queries, reviews, sections, streams
 
-QUERIES, ORACLES = queries.QUERIES | chunks.QUERIES | documents.QUERIES | reviews.QUERIES | outcomes.QUERIES | sections.QUERIES | notes.QUERIES, queries.ORACLES | chunks.ORACLES | documents.ORACLES | reviews.ORACLES | outcomes.ORACLES | sections.ORACLES | notes.ORACLES
+QUERIES, ORACLES = queries.QUERIES | chunks.QUERIES | documents.QUERIES | reviews.QUERIES | outcomes.QUERIES | sections.QUERIES | notes.QUERIES | streams.QUERIES, queries.ORACLES | chunks.ORACLES | documents.ORACLES | reviews.ORACLES | outcomes.ORACLES | sections.ORACLES | notes.ORACLES | streams.ORACLES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
