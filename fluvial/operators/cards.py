@@ -9,6 +9,10 @@ from fluvial.functions.text import casefolded, collapsed, folded, jaccard, nfkc_
 from fluvial.staging import discard, join_skewed, materialize
 
 
+# Fixed value: what an id may be.
+SAFE_ID = r"\A[A-Za-z0-9][A-Za-z0-9._:-]{0,127}\z"
+
+
 def from_conversations(turns: DataFrame) -> DataFrame:
     """A card for each user turn that an assistant answers: card_id (its conv_id and turn), section, front, back."""
     w = Window.partitionBy("conv_id").orderBy("turn")
@@ -81,22 +85,35 @@ def run_set() -> Column:
     return trigrams(F.concat(letters("front"), F.lit("\n"), letters("back")))
 
 
-def similar_pairs(cards: DataFrame, threshold: float = 0.86, elements: Column | None = None) -> DataFrame:
-    """first_id, second_id, similarity (3 places) of cards of one section whose sets (of words, else `elements`) are at least that similar.
+def source_ids(*ids: Column, lists: tuple[Column, ...] = ()) -> Column:
+    """A card's sources, once each and in order: single ids and lists of ids. What isn't a safe id is none."""
+    every = F.concat(F.array(*(x.cast("string") for x in ids)), *(F.coalesce(x, F.array()).cast("array<string>") for x in lists))
+    return F.array_sort(F.array_distinct(F.filter(every, lambda x: x.rlike(SAFE_ID))))
+
+
+def _own_sources(sources: Column | None) -> Column:
+    return F.array_compact(F.array(F.col("section").cast("string"))) if sources is None else sources
+
+
+def similar_pairs(cards: DataFrame, threshold: float = 0.86, elements: Column | None = None, sources: Column | None = None) -> DataFrame:
+    """first_id, second_id, similarity (3 places) of cards that share a source and whose sets (of words, else `elements`) are at least that similar.
 
-    Cards meet in the rarest elements of their own (a prefix of each set in one order), not all with all.
+    sources: an array of distinct ids (see source_ids), else the section is the only one; without sources a card is similar to
+    none. Cards meet in the rarest elements of their own (a prefix of each set in one order) under each of their sources, not
+    all with all; a pair that shares several sources counts under the least of them.
     """
-    sets = cards.select("card_id", "section", F.explode(word_set() if elements is None else elements).alias("token"))
+    sets = cards.select("card_id", _own_sources(sources).alias("sources"), F.explode(word_set() if elements is None else elements).alias("token"))
     often = sets.groupBy("token").agg(F.count("*").alias("often"))
-    ordered = sets.join(often, "token").groupBy("section", "card_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "token"))), lambda x: x["token"]).alias("t"))
+    ordered = sets.join(often, "token").groupBy("sources", "card_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "token"))), lambda x: x["token"]).alias("t"))
     ordered = materialize(ordered.withColumn("n", F.size("t")), "ordered_sets")
     length = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1
-    prefix = ordered.select("section", "card_id", "n", F.posexplode(F.slice("t", 1, length)).alias("pos", "token"))
-    other = prefix.select("section", F.col("card_id").alias("second_id"), F.col("n").alias("m"), F.col("pos").alias("pos2"), "token")
+    prefix = ordered.select("sources", "card_id", "n", F.posexplode(F.slice("t", 1, length)).alias("pos", "token")).withColumn("source", F.explode("sources"))
+    other = prefix.select("source", F.col("sources").alias("sources2"), F.col("card_id").alias("second_id"), F.col("n").alias("m"), F.col("pos").alias("pos2"), "token")
     close = F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m") - 1e-9
     room = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("pos2"))  # what they may share from here on
     enough = room >= F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("m")) - 1e-9
-    met = prefix.join(other, ["section", "token"]).filter(F.col("card_id") < F.col("second_id")).filter(close)
+    met = prefix.join(other, ["source", "token"]).filter(F.col("card_id") < F.col("second_id")).filter(close)
+    met = met.filter(F.array_min(F.array_intersect("sources", "sources2")) == F.col("source"))
     # their first common element stands for the pair; ids alone are shuffled until the pairs are few
     first = met.groupBy("card_id", "second_id").agg(F.min_by(enough, "pos").alias("enough")).filter("enough").select(F.col("card_id").alias("first_id"), "second_id")
     sides = [ordered.select(F.col("card_id").alias(c), F.col("t").alias(t)) for c, t in (("first_id", "t"), ("second_id", "u"))]
@@ -122,23 +139,23 @@ def write_gates(rows: DataFrame) -> DataFrame:
     return rows.withColumn("reasons", F.array_compact(F.array(*hits))).withColumn("allowed", F.size("reasons") == 0)
 
 
-def deduplicate(cards: DataFrame, threshold: float = 0.86) -> DataFrame:
+def deduplicate(cards: DataFrame, threshold: float = 0.86, sources: Column | None = None) -> DataFrame:
     """card_id, matched_id, kind, reason, similarity: each card that repeats a kept one, decided in card_id order.
 
     A card is kept unless an earlier kept one has its texts (`exact`), has them but for case, punctuation and white
-    space (`canonical`) or, in the same section, is at least `threshold` similar in words or in runs of three letters
-    (`similar`); the first such card is its match. Null sides are empty.
+    space (`canonical`) or, with a source in common, is at least `threshold` similar in words or in runs of three letters
+    (`similar`); the first such card is its match. Null sides are empty. sources: as for similar_pairs.
 
-    Equal cards of a section share all their partners, so the first stands for them. Of the others each round decides
+    Equal cards of the same sources share all their partners, so the first stands for them. Of the others each round decides
     all whose earlier partners are decided; equal canonical texts are never paired, a group's first kept and first open
     card say all about it. A round's tables are written and the round before deleted.
     """
     canon = F.sha2(F.concat(letters("front"), F.lit("\x1f"), letters("back")), 256)
     exact = F.sha2(F.concat(F.coalesce("front", F.lit("")), F.lit("\x1f"), F.coalesce("back", F.lit(""))), 256)
-    keyed = materialize(cards.select("card_id", "section", canon.alias("canon"), exact.alias("exact"), "front", "back"), "dedup_cards")
-    first = materialize(keyed.groupBy("exact", "section").agg(F.min_by(F.struct("card_id", "canon", "front", "back"), "card_id").alias("s")).select("exact", "section", "s.*"), "dedup_first")
-    words = similar_pairs(first, threshold).withColumn("words", F.lit(True))
-    runs = similar_pairs(first, threshold, run_set()).withColumn("words", F.lit(False))
+    keyed = materialize(cards.select("card_id", _own_sources(sources).alias("sources"), canon.alias("canon"), exact.alias("exact"), "front", "back"), "dedup_cards")
+    first = materialize(keyed.groupBy("exact", "sources").agg(F.min_by(F.struct("card_id", "canon", "front", "back"), "card_id").alias("s")).select("exact", "sources", "s.*"), "dedup_first")
+    words = similar_pairs(first, threshold, sources=F.col("sources")).withColumn("words", F.lit(True))
+    runs = similar_pairs(first, threshold, run_set(), F.col("sources")).withColumn("words", F.lit(False))
     best = F.max(F.struct("similarity", "words"))  # of equal ones, the words'
     near = materialize(words.unionAll(runs).groupBy("first_id", "second_id").agg(best.alias("b")).select("first_id", F.col("second_id").alias("card_id"), "b.*"), "dedup_pairs")
     kind_of_id = cards.schema["card_id"].dataType.simpleString()
@@ -161,8 +178,8 @@ def deduplicate(cards: DataFrame, threshold: float = 0.86) -> DataFrame:
         rows = rows.select("card_id", "canon", F.coalesce("kept", now).alias("kept"), F.coalesce("_old", F.when(F.col("kept").isNull() & ~now, F.col("_hit"))).alias("hit"))
         before, state = state, materialize(rows, "dedup_state")
         discard(before)
-    stands = first.select("exact", "section", F.col("card_id").alias("_stand")).join(state.select(F.col("card_id").alias("_stand"), "hit"), "_stand")
-    rows = keyed.drop("front", "back").join(stands, (keyed["exact"] == stands["exact"]) & keyed["section"].eqNullSafe(stands["section"])).select(keyed["card_id"], keyed["exact"], keyed["canon"], "_stand", "hit")
+    stands = first.select("exact", "sources", F.col("card_id").alias("_stand")).join(state.select(F.col("card_id").alias("_stand"), "hit"), "_stand")
+    rows = keyed.drop("front", "back").join(stands, (keyed["exact"] == stands["exact"]) & (keyed["sources"] == stands["sources"])).select(keyed["card_id"], keyed["exact"], keyed["canon"], "_stand", "hit")
     rows = rows.withColumn("matched_id", F.coalesce("hit.first_id", F.when(F.col("card_id") > F.col("_stand"), F.col("_stand")))).filter("matched_id is not null")
     other = keyed.select(F.col("card_id").alias("matched_id"), F.col("exact").alias("_exact"), F.col("canon").alias("_canon"))
     rows = rows.join(other, "matched_id")
