@@ -96,7 +96,7 @@ def importer_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = base._table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_id"))
     pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (by % len(values) + 1).cast("int"))
     f = F.col("file_id")
-    rows = rows.select("file_id", pick(("markdown", "text", "json", "pdf", "html"), f).alias("file_type"), pick((".md", ".txt", ".log", ".json"), F.floor(f / 5)).alias("extension"), F.when(f % 6 == 0, "plain").when(f % 6 == 1, "nothing").alias("wanted"), (f % 3 == 0).alias("failed"), F.when(f % 9 == 0, "plain").when(f % 9 == 3, "web").alias("fallback"))
+    rows = rows.select("file_id", pick(_FILE_TYPES, f).alias("file_type"), pick(_SUFFIXES, F.floor(f / 5)).alias("extension"), F.when(f % 6 == 0, "plain").when(f % 6 == 1, "nothing").when(f % 6 == 2, "logs").alias("wanted"), (f % 3 == 0).alias("failed"), F.when(f % 9 == 0, "plain").when(f % 9 == 3, "web").alias("fallback"))
     return importers.choose(rows, importers.capabilities(spark, _IMPORTERS)).select("file_id", "importer", "used", "error")
 
 
@@ -141,6 +141,9 @@ def removed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overview.padded(removed, kept.groupBy("conv_id").agg(F.count("*").alias("kept")), "conv_id")
 
 
+#: All types that a file may be of, and one that is none; extensions of their own and of others.
+_FILE_TYPES = ("markdown", "text", "json", "pdf", "html", "yaml", "rst", "org", "latex", "csv", "tsv", "jsonl", "ipynb", "xml", "srt", "vtt", "python", "javascript", "typescript", "java", "c", "cpp", "rust", "go", "sql", "shell", "powershell", "docx", "pptx", "xlsx", "epub", "zip", "other")
+_SUFFIXES = (".md", ".txt", ".log", ".json", ".yml", ".h", "", ".xhtml", ".other")
 _IMPORTERS = [
     ("md", "native_structured", [".md"], ["plain"], True),
     ("plain", "native_text", [".txt", ".log"], [], True),
@@ -148,6 +151,8 @@ _IMPORTERS = [
     ("data", "native_structured", [".json"], ["plain", "web"], True),
     ("web", "native_structured", [".html"], ["plain"], False),
     ("paper", "unsupported", [".pdf"], [], True),
+    ("logs", "native_text", [".log"], ["plain"], True), ("settings", "native_structured", [".yaml"], ["plain", "web"], True), ("pages", "native_structured", [".xhtml"], ["plain", "web"], True),
+    ("code", "native_text", [".py", ".h", ".go", ".tex"], ["plain"], True), ("book", "optional_advanced", [".epub", ".docx"], [], True), ("cells", "native_structured", [".ipynb", ".other"], ["plain"], True),
 ]
 
 QUERIES = {f.__name__: f for f in (card_quality_modes, card_quality_plain, batch_quality, quality_distributions, outcome_matches, local_plan, text_reads, importer_choices, html_notes, plain_points, document_overview, batch_estimates, removed_turns)}
@@ -179,12 +184,16 @@ SELECT source, level, count(*) AS documents, 2 * count(*) AS chunks, CAST(least(
     "removed_turns": """WITH r AS (SELECT conv_id, count(CASE WHEN role <> 'system' AND turn % 3 = 0 THEN 1 END) AS removed, count(*) AS n FROM conversations GROUP BY conv_id) SELECT conv_id, removed, nullif(n - removed, 0) AS kept FROM r""",
     "html_notes": f"""WITH {base._CARDS_SQL}, k AS (SELECT card_id, section, replace({base._FOLD.format("front")}, 'ß', 'ss') AS f, replace({base._FOLD.format("back")}, 'ß', 'ss') AS b FROM cards)
 SELECT card_id, (SELECT min(n.card_id) + 1 FROM k n WHERE n.section % 2 <> 0 AND (n.f = c.f AND c.f <> '' OR n.b = c.b AND c.b <> '')) AS note_id FROM k c""",
-    "importer_choices": """WITH f AS (SELECT p_partkey AS i, ['markdown', 'text', 'json', 'pdf', 'html'][p_partkey % 5 + 1] AS t, ['.md', '.txt', '.log', '.json'][(p_partkey // 5) % 4 + 1] AS x, CASE p_partkey % 6 WHEN 0 THEN 'plain' WHEN 1 THEN 'nothing' END AS w, p_partkey % 3 = 0 AS failed, CASE p_partkey % 9 WHEN 0 THEN 'plain' WHEN 3 THEN 'web' END AS fb FROM part),
-m(name, level, place, ext, others, av) AS (VALUES ('md', 'native_structured', 1, ['.md'], ['plain'], TRUE), ('plain', 'native_text', 2, ['.txt', '.log'], [], TRUE), ('notes', 'native_text', 2, ['.txt'], ['plain'], TRUE), ('data', 'native_structured', 1, ['.json'], ['plain', 'web'], TRUE), ('web', 'native_structured', 1, ['.html'], ['plain'], FALSE), ('paper', 'unsupported', 4, ['.pdf'], [], TRUE)),
-k AS (SELECT f.*, m.*, list_has_any(ext, CASE t WHEN 'markdown' THEN ['.md', '.markdown'] WHEN 'text' THEN ['.txt'] WHEN 'json' THEN ['.json'] WHEN 'pdf' THEN ['.pdf'] ELSE ['.html', '.htm'] END) AS typed, t IN ('markdown', 'text', 'html') AND list_contains(ext, x) AS own FROM f, m),
+    "importer_choices": """WITH f AS (SELECT p_partkey AS i, ['markdown', 'text', 'json', 'pdf', 'html', 'yaml', 'rst', 'org', 'latex', 'csv', 'tsv', 'jsonl', 'ipynb', 'xml', 'srt', 'vtt', 'python', 'javascript', 'typescript', 'java', 'c', 'cpp', 'rust', 'go', 'sql', 'shell', 'powershell', 'docx', 'pptx', 'xlsx', 'epub', 'zip', 'other'][p_partkey % 33 + 1] AS t,
+['.md', '.txt', '.log', '.json', '.yml', '.h', '', '.xhtml', '.other'][(p_partkey // 5) % 9 + 1] AS x, CASE p_partkey % 6 WHEN 0 THEN 'plain' WHEN 1 THEN 'nothing' WHEN 2 THEN 'logs' END AS w, p_partkey % 3 = 0 AS failed, CASE p_partkey % 9 WHEN 0 THEN 'plain' WHEN 3 THEN 'web' END AS fb FROM part),
+d(t, known) AS (VALUES ('text', ['.txt', '.log']), ('markdown', ['.md', '.markdown']), ('rst', ['.rst']), ('org', ['.org']), ('latex', ['.tex', '.latex']), ('yaml', ['.yaml', '.yml']), ('csv', ['.csv']), ('tsv', ['.tsv']), ('json', ['.json']), ('jsonl', ['.jsonl']), ('ipynb', ['.ipynb']), ('xml', ['.xml']), ('html', ['.html', '.htm', '.xhtml']),
+('srt', ['.srt']), ('vtt', ['.vtt']), ('python', ['.py']), ('javascript', ['.js']), ('typescript', ['.ts']), ('java', ['.java']), ('c', ['.c', '.h']), ('cpp', ['.cpp', '.cc', '.hpp']), ('rust', ['.rs']), ('go', ['.go']), ('sql', ['.sql']), ('shell', ['.sh']), ('powershell', ['.ps1']), ('docx', ['.docx']), ('pptx', ['.pptx']), ('xlsx', ['.xlsx']), ('epub', ['.epub']), ('pdf', ['.pdf']), ('zip', ['.zip'])),
+m(name, level, place, ext, others, av) AS (VALUES ('md', 'native_structured', 1, ['.md'], ['plain'], TRUE), ('plain', 'native_text', 2, ['.txt', '.log'], [], TRUE), ('notes', 'native_text', 2, ['.txt'], ['plain'], TRUE), ('data', 'native_structured', 1, ['.json'], ['plain', 'web'], TRUE), ('web', 'native_structured', 1, ['.html'], ['plain'], FALSE), ('paper', 'unsupported', 5, ['.pdf'], [], TRUE),
+('logs', 'native_text', 2, ['.log'], ['plain'], TRUE), ('settings', 'native_structured', 1, ['.yaml'], ['plain', 'web'], TRUE), ('pages', 'native_structured', 1, ['.xhtml'], ['plain', 'web'], TRUE), ('code', 'native_text', 2, ['.py', '.h', '.go', '.tex'], ['plain'], TRUE), ('book', 'optional_advanced', 3, ['.epub', '.docx'], [], TRUE), ('cells', 'native_structured', 1, ['.ipynb', '.other'], ['plain'], TRUE)),
+k AS (SELECT f.*, m.*, list_has_any(ext, coalesce(known, CASE WHEN x <> '' THEN [x] ELSE [] END)) AS typed, f.t IN ('text', 'markdown', 'rst', 'org', 'latex', 'yaml', 'csv', 'tsv', 'jsonl', 'xml', 'html', 'srt', 'vtt', 'python', 'javascript', 'typescript', 'java', 'c', 'cpp', 'rust', 'go', 'sql', 'shell', 'powershell') AND list_contains(ext, x) AS own FROM f LEFT JOIN d ON d.t = f.t, m),
 c AS (SELECT *, CASE WHEN typed THEN 1 WHEN own AND level = 'native_text' THEN CASE WHEN t = 'text' THEN 0 ELSE 2 END END AS fit, CASE WHEN level = 'unsupported' THEN 'unsupported_type' WHEN NOT (typed OR own) THEN 'importer_does_not_support_type' WHEN NOT av THEN 'optional_importer_unavailable' END AS fault FROM k),
-b AS (SELECT i, arg_min(name, (fit, place, name)) AS best FROM c WHERE av AND level <> 'unsupported' AND fit IS NOT NULL GROUP BY i),
-e AS (SELECT f.*, CASE WHEN w = 'nothing' THEN 'unknown_importer' WHEN w = 'plain' THEN (SELECT fault FROM c WHERE c.i = f.i AND name = 'plain') WHEN best IS NULL THEN 'unsupported_type' END AS e1, coalesce(w, best) AS pick FROM f LEFT JOIN b ON b.i = f.i),
+b AS (SELECT i, arg_min(name, (fit, place, name)) AS best FROM c WHERE av AND level IN ('native_structured', 'native_text') AND fit IS NOT NULL GROUP BY i),
+e AS (SELECT f.*, CASE WHEN w = 'nothing' THEN 'unknown_importer' WHEN w IS NOT NULL THEN (SELECT fault FROM c WHERE c.i = f.i AND name = f.w) WHEN best IS NULL THEN 'unsupported_type' END AS e1, coalesce(w, best) AS pick FROM f LEFT JOIN b ON b.i = f.i),
 g AS (SELECT *, CASE WHEN e1 IS NULL THEN pick END AS importer FROM e),
 h AS (SELECT g.*, CASE WHEN failed AND importer IS NOT NULL THEN CASE WHEN fb IS NULL THEN 'import_failed' WHEN NOT list_contains((SELECT others FROM m WHERE name = importer), fb) THEN 'fallback_not_allowed' ELSE (SELECT fault FROM c WHERE c.i = g.i AND c.name = fb) END END AS e2 FROM g)
 SELECT i AS file_id, importer, CASE WHEN importer IS NOT NULL THEN CASE WHEN NOT failed THEN importer WHEN e2 IS NULL THEN fb END END AS used, coalesce(e1, e2) AS error FROM h""",

@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Levels of support in their order; the extensions that a type of file stands for; types that are texts, whose own extension may decide.
-LEVELS = ("native_structured", "native_text", "optional", "unsupported")
-EXTENSIONS = {"markdown": (".md", ".markdown"), "text": (".txt",), "json": (".json",), "html": (".html", ".htm"), "pdf": (".pdf",), "csv": (".csv",), "tsv": (".tsv",), "xml": (".xml",), "notebook": (".ipynb",), "docx": (".docx",), "pptx": (".pptx",), "xlsx": (".xlsx",), "epub": (".epub",), "srt": (".srt",), "vtt": (".vtt",)}
+LEVELS = ("native_structured", "native_text", "optional_advanced", "fallback_only", "unsupported")
+EXTENSIONS = {
+    "text": (".txt", ".log"), "markdown": (".md", ".markdown"), "rst": (".rst",), "org": (".org",), "latex": (".tex", ".latex"), "yaml": (".yaml", ".yml"), "csv": (".csv",), "tsv": (".tsv",),
+    "json": (".json",), "jsonl": (".jsonl",), "ipynb": (".ipynb",), "xml": (".xml",), "html": (".html", ".htm", ".xhtml"), "srt": (".srt",), "vtt": (".vtt",), "python": (".py",), "javascript": (".js",),
+    "typescript": (".ts",), "java": (".java",), "c": (".c", ".h"), "cpp": (".cpp", ".cc", ".hpp"), "rust": (".rs",), "go": (".go",), "sql": (".sql",), "shell": (".sh",), "powershell": (".ps1",),
+    "docx": (".docx",), "pptx": (".pptx",), "xlsx": (".xlsx",), "epub": (".epub",), "pdf": (".pdf",), "zip": (".zip",),
+}
 TEXTS = ("text", "markdown", "rst", "org", "latex", "yaml", "csv", "tsv", "jsonl", "xml", "html", "srt", "vtt", "python", "javascript", "typescript", "java", "c", "cpp", "rust", "go", "sql", "shell", "powershell")
 
 
