@@ -7,9 +7,10 @@
    with a chance below 2e-11), and the parity bitmaps must leave room for enough overlap, which is a strict bound.
 3. What passes is confirmed on the full sets, read again from the texts.
 4. Links make components by alternating large-star and small-star steps.
-A bucket never makes all of its pairs: its sets are tried against its first one, then those that are in other components
-against the set with most links. Only what is still apart is compared in blocks of TILE sets inside tasks, which give out the
-pairs that pass step 2. Copies of a set count as one set throughout.
+A bucket never makes all of its pairs: its sets are tried against its first one. Only what is then still in different
+components is compared further, in blocks inside tasks that hold the sets themselves: a pair is looked at under the first
+key that it shares, goes through steps 2 and 3 on the spot unless its sets are connected by now, and a task gives out the
+links that connect, fewer than it has sets. Copies of a set count as one set throughout.
 Words are told apart by 128 bits of a hash and shingles by 64, under a key drawn for each job (see shingles.py).
 """
 
@@ -29,8 +30,15 @@ from fluvial.staging import bounded_batches, discard, hot_keys, join_skewed, mat
 WORDS, PERCENT = 3, 85
 BANDS, ROWS = 40, 6
 MINIMA, AGREE = BANDS * ROWS, 160
-#: Shingles whose minima are taken at once, sets of a block, names that a task remembers.
-SLICE, TILE, SEEN = 1 << 15, 512, 300_000
+#: Shingles whose minima are taken at once; sets of a block and their shingles, on average; names that a task remembers.
+SLICE, TILE, TILE_SHINGLES, SEEN = 1 << 15, 512, 1 << 21, 300_000
+#: Rows of ids that make a task: tables that are counted are stored in so many rows a file at least.
+TASK_ROWS = 50_000
+
+
+def _stored(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """A stored table of at most so many short rows, in no more files than they need."""
+    return materialize(df.coalesce(max(1, -(-rows // TASK_ROWS))), name)
 
 
 def similar(overlap: int, n: int, m: int) -> bool:
@@ -137,18 +145,21 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_())).select(["x", "y"])
 
 
+def _similar_sets(p: pa.BinaryScalar, q: pa.BinaryScalar) -> bool:
+    x, y = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
+    return similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for p, q in zip(batch["shingles"], batch["shingles2"], strict=True):
-            x, y = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-            keep.append(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
+        keep = [_similar_sets(p, q) for p, q in zip(batch["shingles"], batch["shingles2"], strict=True)]
         yield batch.filter(pa.array(keep, pa.bool_())).select(["x", "y"])
 
 
 def _full_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, key: bytes) -> DataFrame:
     """sid and shingles of the sets in `wanted` (sid), read from one text of each."""
     own = materialize(sets.select("sid", "a", "b", "text_hash").join(wanted, "sid", "left_semi"), "wanted")
+    hashes = own.select("text_hash")  # of one text a set, so hardly any twice
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -164,7 +175,7 @@ def _full_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, key: bytes)
             columns = zip(*out, strict=True) if out else [()] * 3
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["a", "b", "shingles"])
 
-    rows = pick(docs.select("text", F.xxhash64("text").alias("text_hash")), materialize(own.select("text_hash").distinct(), "hashes"), "text_hash").select("text")
+    rows = pick(docs.select("text", F.xxhash64("text").alias("text_hash")), hashes, "text_hash").select("text")
     found = rows.mapInArrow(read, "a long, b long, shingles binary").dropDuplicates(["a", "b"])
     return materialize(found.join(own, ["a", "b"]).select("sid", "shingles"), "full_sets")
 
@@ -172,44 +183,48 @@ def _full_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, key: bytes)
 def _links(pairs: DataFrame, sets: DataFrame, docs: DataFrame, key: bytes) -> DataFrame:
     """Of candidate pairs (x, y) the links."""
     pairs = materialize(pairs, "pairs")
+    n = pairs.count()
     both = _with_both(pairs, sets, {"n": "m", "sig": "sig2", "bits": "bits2"})
-    near = materialize(both.select("x", "y", "n", "m", "sig", "sig2", "bits", "bits2").mapInArrow(_verified, "x long, y long"), "near")
+    near = _stored(both.select("x", "y", "n", "m", "sig", "sig2", "bits", "bits2").mapInArrow(_verified, "x long, y long"), "near", n)
     discard(pairs)
     if near.isEmpty():
         return near
     full = _full_sets(docs, sets, near.select(F.col("x").alias("sid")).union(near.select("y")).distinct(), key)
     links = _with_both(near, full, {"shingles": "shingles2"}).select("x", "y", "shingles", "shingles2").mapInArrow(_confirmed, "x long, y long")
-    links = materialize(links, "links")
+    links = _stored(links, "links", n)
     discard(near, full)
     return links
 
 
-def large_star(edges: DataFrame) -> DataFrame:
-    """Each node's larger neighbours are linked to the least of the node and its neighbours. Edges (x, y) have x > y, before and after."""
-    both = materialize(edges.union(edges.select("y", "x")).toDF("node", "other"), "both")
-    least = materialize(both.groupBy("node").agg(F.least("node", F.min("other")).alias("least")), "least")
+def large_star(edges: DataFrame, n: int) -> DataFrame:
+    """Each node's larger neighbours are linked to the least of the node and its neighbours. The n edges (x, y) have x > y, before and after."""
+    both = _stored(edges.union(edges.select("y", "x")).toDF("node", "other"), "both", 2 * n)
+    least = both.groupBy("node").agg(F.least("node", F.min("other")).alias("least"))
     out = join_skewed(both, least, ["node"], ["other"]).filter("other > node").select(F.col("other").alias("x"), F.col("least").alias("y"))
-    out = materialize(out.distinct(), "large_star")
-    discard(both, least)
+    out = _stored(out.distinct(), "large_star", n)
+    discard(both)
     return out
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, n: int) -> DataFrame:
     """Each node and its smaller neighbours are linked to the least of them."""
-    least = materialize(edges.groupBy("x").agg(F.min("y").alias("least")), "least")
-    moved = join_skewed(edges, least, ["x"], ["y"]).filter("y <> least").select(F.col("y").alias("x"), F.col("least").alias("y"))
-    out = materialize(moved.union(least.toDF("x", "y")).distinct(), "small_star")
-    discard(least)
-    return out
+    least = edges.groupBy("x").agg(F.min("y").alias("least"))
+    joined = join_skewed(edges, least, ["x"], ["y"])
+    # a node's edge to the least stays, its other neighbours get one
+    moved = joined.select(F.when(F.col("y") == F.col("least"), F.col("x")).otherwise(F.col("y")).alias("x"), F.col("least").alias("y"))
+    return _stored(moved.distinct(), "small_star", n)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """sid and label, the least sid of its component, of the sets that have links and aren't the least themselves.
 
+    known: the same of older links, which needn't be given again.
+
     Alternates large-star and small-star until neither changes an edge: then each component is a star around its least
     set. The number of rounds grows with the logarithm of the longest path. Each step's edges are written to the shared
     folder; a set with very many links is dealt over salts.
     """
+    links = links.select("x", "y") if known is None else links.select("x", "y").union(known.select("sid", "label"))
     edges = materialize(links.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).filter("x <> y").distinct(), "edges")
 
     def mark(e: DataFrame) -> tuple:
@@ -217,8 +232,8 @@ def components(links: DataFrame) -> DataFrame:
 
     now = mark(edges)
     while True:
-        large = large_star(edges)
-        after = small_star(large)
+        large = large_star(edges, now[0])
+        after = small_star(large, now[0])
         discard(edges, large)
         edges, before, now = after, now, mark(after)
         if now == before:
@@ -235,30 +250,26 @@ def _apart(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return found
 
 
-def _around_linked(apart: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs of the set with most links of each bucket with those in other components."""
-    degrees = links.select(F.col("x").alias("sid")).unionAll(links.select("y")).groupBy("sid").agg(F.count("*").alias("degree"))
-    middle = apart.join(degrees, "sid").groupBy("key").agg(F.max(F.struct("degree", "sid", "label")).alias("m"))
-    tried = join_skewed(apart, middle, ["key"], ["sid"]).filter("label <> m.label")
-    return tried.select(F.least("m.sid", "sid").alias("x"), F.greatest("m.sid", "sid").alias("y")).distinct()
-
-
 TILE_KEY = ["key", "i", "j"]
 
 
-def _left_over(apart: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of one bucket in different components that signatures allow; buckets are cut into blocks, and a task compares two."""
-    sizes = materialize(apart.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks")), "sizes")
-    rows = join_skewed(apart, sizes, ["key"], ["sid"]).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+def _left_over(apart: DataFrame, sets: DataFrame, docs: DataFrame, key: bytes) -> DataFrame:
+    """Links between different components of one bucket that connect all that its links connect; a task compares two blocks of a bucket."""
+    own = materialize(apart.join(sets.select("sid", "n"), "sid"), "sized")
+    sizes = own.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("blocks"))
+    rows = join_skewed(own, sizes, ["key"], ["sid"]).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    rows = rows.select(*TILE_KEY, "block", "sid", "label").join(sets.select("sid", "n", "sig", "bits"), "sid")
+    full = _full_sets(docs, sets, apart.select("sid").distinct(), key)
+    held = full.join(sets.select("sid", "sig", "bits", "keys"), "sid")
+    rows = rows.select(*TILE_KEY, "block", "sid", "label", "n").join(held, "sid")
     dealt = rows.repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY)
-    found = dealt.select(*TILE_KEY, "block", "sid", "label", "n", "sig", "bits").mapInArrow(_tiles, "x long, y long")
-    return found.distinct()
+    links = materialize(dealt.select(*TILE_KEY, "block", "sid", "label", "n", "sig", "bits", "keys", "shingles").mapInArrow(_tiles, "x long, y long"), "links")
+    discard(own, full)
+    return links
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The candidates of tiles, whose rows come together; the last tile of a batch waits for the next batch."""
+    """The links of tiles, whose rows come together; the last tile of a batch waits for the next batch."""
     held: pa.Table | None = None
     for batch in batches:
         rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
@@ -272,19 +283,29 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tile(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Links of one tile between sets that nothing else connects so far; a pair that shares several keys is looked at under the first of them alone, where it may have been tried already."""
     sid, label, n, block = (rows[c].to_numpy() for c in ("sid", "label", "n", "block"))
-    sig, bits = _signatures(rows["sig"].to_pylist()), rows["bits"].to_pylist()
+    sig, bits, sets = _signatures(rows["sig"].to_pylist()), rows["bits"].to_pylist(), rows["shingles"].combine_chunks()
+    keys, own = np.array(rows["keys"].to_pylist(), np.int64), rows["key"][0].as_py()
     one_block = rows["i"][0].as_py() == rows["j"][0].as_py()
+    root = label.copy()  # each set's component, by what is linked here too
+    x, y = [], []
     for at in range(len(sid)):
         later = np.arange(at + 1, len(sid))
-        later = later[(label[later] != label[at]) & (one_block | (block[later] != block[at]))]
+        later = later[(root[later] != root[at]) & (one_block | (block[later] != block[at]))]
+        common = keys[later] == keys[at]
+        later = later[keys[at][common.argmax(axis=1)] == own]
         if not len(later):
             continue
         first = np.full(len(later), at)
         keep = _may_link(sig[first], sig[later], n[first], n[later], [bits[at]] * len(later), [bits[k] for k in later.tolist()])
-        if keep.any():
-            other = later[keep]
-            yield pa.record_batch([pa.array(np.minimum(sid[at], sid[other])), pa.array(np.maximum(sid[at], sid[other]))], ["x", "y"])
+        for k in later[keep].tolist():
+            if root[k] != root[at] and _similar_sets(sets[at], sets[k]):
+                root[root == root[k]] = root[at]
+                x.append(min(sid[at], sid[k]))
+                y.append(max(sid[at], sid[k]))
+    if x:
+        yield pa.record_batch([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -305,15 +326,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = _buckets(sets)
     links = _links(buckets.filter("sid <> first").select(F.col("first").alias("x"), F.col("sid").alias("y")).distinct(), sets, docs, key)
     labels = components(links)
-    for candidates in (lambda rest: _around_linked(rest, links), lambda rest: _left_over(rest, sets)):
-        apart = _apart(buckets, labels)
-        if apart.isEmpty():
-            break
-        more = _links(candidates(apart), sets, docs, key)
-        discard(apart)
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = components(links)
+    apart = _apart(buckets, labels)
+    if not apart.isEmpty():
+        labels = components(_left_over(apart, sets, docs, key), labels)
+    discard(apart)
     discard(buckets)
 
     whole = sets.select("a", "b", "sid").join(labels, "sid", "left").select("a", "b", F.coalesce("label", "sid").alias("label"))
