@@ -41,15 +41,12 @@ PRIOR = np.array([0.0, 2.0, 2.0, -3.0, -0.3, -0.3, 3.0, 0.0, 0.3, -0.3, 1.0, 7.0
 LEAVES = frozenset("p li h1 h2 h3 h4 h5 h6 td th tr dd dt".split())
 #: Elements between two blocks from which on their nearness in the tree costs nothing.
 FAR = 8
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)"
-    r"|<(script|style|noscript|template|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|$)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|[^<]+|<",
-    re.S | re.I,
-)
+_TITLE, _TITLE_END = re.compile(r"<title\b[^>]*>", re.I), re.compile("</title", re.I)
+
+#: Elements whose content is no markup, up to their end tag; names of tags, and where they end.
+_RAW = re.compile(r"<(script|style|noscript|template|iframe|textarea|title)\b", re.I)
+_RAW_END = {x: re.compile(rf"</{x}\s*>", re.I) for x in "script style noscript template iframe textarea title".split()}
+_NAME, _NAME_END, _SPECIAL = re.compile(r"</?[a-zA-Z]"), re.compile(r"[\s/>]"), re.compile("[>\"']")
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -83,16 +80,104 @@ class Block(NamedTuple):
     depth: int = 0
 
 
-def _skips(tokens: list[re.Match]) -> dict[int, int]:
+class Token(NamedTuple):
+    text: str  # what is between tags, else empty
+    slash: str
+    tag: str  # in lower case; empty for text and for what is dropped
+    attributes: str
+
+
+def tokens_of(page: str) -> Iterator[Token]:
+    """Text and tags of a page, in order. Comments, declarations and raw elements are dropped; a `<` that begins none of these is text.
+
+    A tag ends at the first `>` outside of quotes. Where such an end, a name's end or a quote's is looked for, what was
+    found is kept for later starts, so no part of a page is read over and over, whatever it holds.
+    """
+    size, last = len(page), page.rfind(">")
+    ends: dict[int, int] = {}  # from a place outside of quotes to the tag's end, -1 if there is none
+    name_from = name_to = -1
+    quote = -1  # the first quote from a start in the name on, size if there is none
+
+    def tag_end(at: int) -> int:
+        seen = []
+        while True:
+            m = _SPECIAL.search(page, at)
+            if m is None:
+                end = -1
+                break
+            k = m.start()
+            if k in ends:
+                end = ends[k]
+                break
+            seen.append(k)
+            if m[0] == ">":
+                end = k
+                break
+            at = page.find(m[0], k + 1) + 1
+            if not at:
+                end = -1
+                break
+        ends.update(dict.fromkeys(seen, end))
+        return end
+
+    start = at = 0  # text that isn't given out yet begins at start
+    while True:
+        k = page.find("<", at)
+        if k < 0:
+            break
+        end, token = -1, Token("", "", "", "")
+        if page.startswith("<!--", k):
+            end = page.find("-->", k + 4)
+            end = size if end < 0 else end + 3
+        elif page.startswith(("<!", "<?"), k):
+            end = page.find(">", k + 2)
+            end = size if end < 0 else end + 1
+        elif k < last:
+            raw = _RAW.match(page, k)
+            if raw:
+                m = _RAW_END[raw[1].lower()].search(page, page.find(">", k) + 1)
+                end = m.end() if m else size
+            elif _NAME.match(page, k):
+                first = k + 1 + (page[k + 1] == "/")
+                if not name_from <= first < name_to:
+                    name_from, name_to, quote = first, _NAME_END.search(page, first).start(), -1
+                name_end, close = name_to, tag_end(name_to)
+                if close < 0:  # a quote within the name may be an attribute's
+                    if quote < first:
+                        m = _SPECIAL.search(page, first, name_to)
+                        quote = m.start() if m else size
+                    if quote < size:
+                        name_end, close = quote, tag_end(quote)
+                if close >= 0:
+                    end, token = close + 1, Token("", "/" if first > k + 1 else "", page[first:name_end].lower(), page[name_end:close])
+        if end < 0:
+            at = k + 1
+            continue
+        if start < k:
+            yield Token(page[start:k], "", "", "")
+        yield token
+        start = at = end
+    if start < size:
+        yield Token(page[start:], "", "", "")
+
+
+def title_of(page: str) -> str:
+    """The text of the page's first title, empty without one."""
+    m = _TITLE.search(page, 0, page.rfind(">") + 1)
+    end = m and _TITLE_END.search(page, m.end())
+    return page[m.end() : end.start()] if end else ""
+
+
+def _skips(tokens: list[Token]) -> dict[int, int]:
     """Places of opening tags of SKIPPED elements, with that of the end tag, or of the next block's tag if there is none."""
     found: dict[int, int] = {}
     around: list[tuple[str, int]] = []
     number = Counter()  # of open elements by tag
-    for i, m in enumerate(tokens):
-        if (tag := (m[3] or "").lower()) not in SKIPPED and (tag not in BLOCK or tag == "hr"):
+    for i, (_, slash, tag, attributes) in enumerate(tokens):
+        if tag not in SKIPPED and (tag not in BLOCK or tag == "hr"):
             continue
-        if not m[2]:
-            if tag != "svg" or not m[4].endswith("/"):
+        if not slash:
+            if tag != "svg" or not attributes.endswith("/"):
                 around.append((tag, i))
                 number[tag] += 1
         elif number[tag]:
@@ -106,8 +191,8 @@ def _skips(tokens: list[re.Match]) -> dict[int, int]:
                     break
     last = len(tokens)
     for i in range(len(tokens) - 1, -1, -1):
-        tag = (tokens[i][3] or "").lower()
-        if tag in SKIPPED and not tokens[i][2] and not (tag == "svg" and tokens[i][4].endswith("/")):
+        _, slash, tag, attributes = tokens[i]
+        if tag in SKIPPED and not slash and not (tag == "svg" and attributes.endswith("/")):
             found.setdefault(i, last - 1)
         elif tag in BLOCK:
             last = i
@@ -179,49 +264,52 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
-    tokens = list(TOKEN.finditer(page))
+    tokens = list(tokens_of(page))
     skips = _skips(tokens)
-    for i, m in enumerate(tokens):
+    inside = Counter({"": 1})  # open elements by tag
+
+    def push(tag: str, names: str) -> None:
+        elements.append(Element(tag, names, stack[-1][1]))
+        stack.append((tag, len(elements) - 1))
+        inside[tag] += 1
+
+    for i, (text, slash, tag, attributes) in enumerate(tokens):
         if i <= skip:
             continue
-        tag = m[3]
-        if tag is None:
-            token = m[0]
-            if token[0] != "<" or token == "<":
-                parts.append(token)
+        if not tag:
+            if text:
+                parts.append(text)
                 if in_link:
-                    linked += len(token)
+                    linked += len(text)
             continue
-        tag = tag.lower()
         if tag not in BLOCK:
             if tag == "a":
-                in_link = not m[2]
+                in_link = not slash
             elif tag == "br":
                 parts.append(" ")
-            elif tag == "button" and not m[2]:
-                elements.append(Element(tag, "", stack[-1][1]))
-                stack.append((tag, len(elements) - 1))
+            elif tag == "button" and not slash:
+                push(tag, "")
             elif tag == "button" and stack[-1][0] == "button":
                 close()
-                stack.pop()
+                inside[stack.pop()[0]] -= 1
             else:
                 skip = skips.get(i, skip)
             continue
         close()
         in_link = False
-        if m[2]:
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if at:
-                del stack[at:]
+        if slash:
+            while inside[tag]:
+                own = stack.pop()[0]
+                inside[own] -= 1
+                if own == tag:
+                    break
             continue
         if tag == "hr":
             continue
         ended = ENDED.get(tag, ("p",))
         while stack[-1][0] in ended:
-            stack.pop()
-        names = " ".join(filter(None, (x for h in HINT.findall(m[4]) for x in h))) if m[4] else ""
-        elements.append(Element(tag, names, stack[-1][1]))
-        stack.append((tag, len(elements) - 1))
+            inside[stack.pop()[0]] -= 1
+        push(tag, " ".join(filter(None, (x for h in HINT.findall(attributes) for x in h))) if attributes else "")
     close()
     said, steps = _said(elements), _steps(elements, [x[4] for x in out])
     above = _above(elements, [x[3] for x in out])
@@ -309,8 +397,7 @@ def fit(pages: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES,
         for batch in batches:
             for key, text in zip(batch["page"].to_pylist(), batch["html"], strict=True):
                 page = blocks(text.as_py())
-                m = TITLE.search(text.as_py())
-                title = " ".join(html.unescape(m[1]).split()) if m else ""
+                title = " ".join(html.unescape(title_of(text.as_py())).split())
                 hashes = [int.from_bytes(hashlib.blake2b(b.text.encode(errors="replace"), digest_size=8).digest(), "little", signed=True) for b in page]
                 yield pa.record_batch([pa.array([key] * len(page), pa.int64()), pa.array(hashes, pa.int64()), pa.array(votes(page, title)), pa.array(described(page).tolist(), pa.list_(pa.float64()))], ["page", "text", "vote", "seen"])
 

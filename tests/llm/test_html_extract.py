@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -182,3 +183,21 @@ def test_long_prose_in_boilerplate_stays_out(page):
 @pytest.mark.parametrize("page", ["<article><h1>Title</h1><p>{p}</p>{a}</article>", "<article><h1>Title</h1>{a}<p>{p}</p></article>", "<article><h1>Title</h1><p>{p}</p>{a}<p>No.</p></article>", "<article>{a}</article>"])
 def test_lists_of_links_in_an_article_stay(page):
     assert {"First source", "Second source"} <= set(h.main_text(page.format(p=PROSE, a=LINKS)).split("\n"))
+
+
+@pytest.mark.parametrize("part,end", [("<a ", ""), ("<", ""), ('<a "', ""), ('<a "', ">"), ("<script ", ""), ("<title>", ""), ("<a", ' ">'), ("<p x='", ">"), ("<!--", ""), ("<div>", "</p>" * 50_000)])
+def test_broken_markup_takes_time_in_proportion(part, end):
+    """None of these parts is a tag that ends, or none is closed; 200,000 characters and more take seconds at most."""
+    page = "<p>Some text.</p>" + part * 60_000 + end
+    start = time.perf_counter()
+    assert h.blocks(page)[0].text == "Some text." and h.title_of(page) == ""
+    assert time.perf_counter() - start < 10
+
+
+def test_tags_end_outside_of_quotes():
+    texts = lambda page: [b.text for b in h.blocks(page)]
+    assert texts("<p title='a > b'>one</p><p x=\"'>'\">two</p>") == ["one", "two"]
+    assert texts("a < b <p>c << d</p>") == ["a < b", "c << d"]
+    assert texts('<p>one <a href="x>two</p>') == ['one <a href="x>two']
+    assert texts("<p>x<!-- > --><!doctype y><script>1 < 2 > 3</script>z</p>") == ["xz"]
+    assert h.title_of("<TITLE\nx>A &amp; b</title ><title>c</title>") == "A &amp; b"
