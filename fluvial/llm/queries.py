@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 24 shards of a weighted hash tree, and in 25."""
-    return sharding.shard_documents(_table(spark, sf_dir, "documents"), sharding.topology(24), sharding.topology(25))
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"), tree := sharding.topology(24), sharding.grow(tree))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,10 +26,18 @@ class Shard(NamedTuple):
 
 
 def topology(shards: int, racks: int = 2, per_rack: int = 4) -> list[Shard]:
-    """Equal shards, numbered through: `per_rack` in a rack, `racks` in a region; the last region may be partly filled."""
+    """Equal shards, numbered through: `per_rack` in a rack, `racks` in a region; the last region may be partly filled.
+
+    A shard more changes the weight of that region, and rows that come to it may go to any of its shards: see `grow`.
+    """
     return [Shard(s // (racks * per_rack), s // per_rack, s) for s in range(shards)]
 
 
+def grow(tree: Sequence[Shard], weight: float = 1.0) -> list[Shard]:
+    """The tree and a shard more, in a region and a rack of its own: rows move into the new shard and nowhere else."""
+    return [*tree, Shard(*(max((s[i] for s in tree), default=-1) + 1 for i in range(3)), weight)]
+
+
 def draw(key: Column, name: str, weight: float) -> Column:
     """-ln(u) / weight, u in (0, 1) from 53 bits of a hash of key and name."""
     bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(name)), 11)
@@ -73,13 +81,16 @@ def assign_shard(df: DataFrame, key: Column, tree: Sequence[Shard], out: str = "
 
 
 def shard_documents(docs: DataFrame, tree: Sequence[Shard], grown: Sequence[Shard]) -> DataFrame:
-    """Law `key`: doc_id and the tree decide each document's shard, now and with the grown tree.
+    """Law `key`: doc_id and the tree decide each document's shard, now and with the grown tree, which must have a shard more in a region of its own.
 
     Returns doc_id, size (UTF-8 bytes of the text, none for null, plus 8), text_crc32 (0 for null), law, shard, slot
     (gapless from 0 in doc_id order, null first; ties by checksum and size) and grown_shard. Rows with equal doc_id
     share a shard; a null doc_id is a key like any other. Texts of any length are measured whole; repeated rows have slots
     of their own. An empty table gives an empty result. Other columns of docs, whatever their names, are ignored.
     """
+    more = set(grown) - set(tree)
+    if len(more) != 1 or len(grown) != len(tree) + 1 or any(s.region in {t.region for t in tree} for s in more):
+        raise ValueError("the grown tree must have one shard more, in a region of its own")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     rows = assign_shard(rows, F.col("doc_id"), tree)

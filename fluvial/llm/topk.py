@@ -279,10 +279,17 @@ def _meet(pairs: DataFrame, table: DataFrame, key: list[str], together: Callable
 
 
 def _routers(rows: DataFrame, counts: dict[int, int], shard_rows: int) -> dict[int, Router]:
-    """Splits for each length of vectors, from a sample: those whose ids hash lowest, SAMPLE_BYTES of all lengths together."""
-    share = SAMPLE_BYTES // (8 * max(1, sum(counts)))
-    first = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("vec_id"), "vec_id", "v"))
-    few = rows.withColumn("turn", first).filter(F.col("turn") <= F.greatest(F.lit(1), F.lit(share))).select("dim", "v").toArrow()
+    """Splits for each length of vectors, from a sample of SAMPLE_BYTES of all lengths together, or 64 vectors of each.
+
+    Each row is drawn by itself with the share that its length's count allows: nothing is sorted or shuffled for it, and
+    which rows are drawn moves the splits alone, no result.
+    """
+    share = max(64, SAMPLE_BYTES // (8 * max(1, sum(counts))))
+    drawn = rows
+    if counts:
+        of_dim = F.create_map(*(F.lit(x) for d, n in counts.items() for x in (d, min(1.0, share / n))))
+        drawn = rows.filter(F.rand(20) < of_dim[F.col("dim")])
+    few = drawn.select("dim", "v").toArrow()
     dims = few["dim"].to_numpy()
     out = {}
     for dim, n in counts.items():

@@ -1,7 +1,9 @@
 import zlib
 from collections import Counter
 
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from fluvial.llm import sharding
 
@@ -67,4 +69,17 @@ def test_documents(spark):
         keys = [(r.doc_id is not None, r.doc_id or 0, r.text_crc32, r["size"]) for r in own]
         assert keys == sorted(keys)
     assert all(r.grown_shard in (r.shard, 24) for r in got)
-    assert sharding.shard_documents(docs.limit(0), sharding.topology(2), sharding.topology(3)).count() == 0
+    assert sharding.shard_documents(docs.limit(0), sharding.topology(2), sharding.grow(sharding.topology(2))).count() == 0
+
+
+def test_a_shard_more_takes_rows_into_itself_alone_at_every_count(spark):
+    rows = spark.range(3000).withColumnRenamed("id", "doc_id")
+    for n in [*range(1, 13), 20, 23, 24, 25, 40]:
+        tree = sharding.topology(n)
+        both = sharding.assign_shard(sharding.assign_shard(rows, F.col("doc_id"), tree), F.col("doc_id"), sharding.grow(tree), "grown")
+        moved = both.filter("shard <> grown").groupBy("grown").count().collect()
+        assert [r.grown for r in moved] == [n] and 0.4 * 3000 / (n + 1) < moved[0]["count"] < 2 * 3000 / (n + 1)
+    assert sharding.grow(sharding.topology(24)) == sharding.topology(25) and sharding.grow([])[0] == sharding.Shard(0, 0, 0)
+    docs = rows.withColumn("text", F.lit("x"))
+    with pytest.raises(ValueError):
+        sharding.shard_documents(docs, sharding.topology(20), sharding.topology(21))
