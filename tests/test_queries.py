@@ -5,9 +5,9 @@ import math
 import duckdb
 import pytest
 
-from fluvial.plans import answered, chunks, dedup, documents, lifecycles, notes, outcomes, queries, reviews, sections, streams
+from fluvial.plans import answered, chunks, dedup, documents, lifecycles, notes, outcomes, queries, reviews, sections, stages, streams
 
-QUERIES, ORACLES = queries.QUERIES | chunks.QUERIES | documents.QUERIES | reviews.QUERIES | outcomes.QUERIES | sections.QUERIES | notes.QUERIES | streams.QUERIES | dedup.QUERIES | answered.QUERIES | lifecycles.QUERIES, queries.ORACLES | chunks.ORACLES | documents.ORACLES | reviews.ORACLES | outcomes.ORACLES | sections.ORACLES | notes.ORACLES | streams.ORACLES | dedup.ORACLES | answered.ORACLES | lifecycles.ORACLES
+QUERIES, ORACLES = queries.QUERIES | chunks.QUERIES | documents.QUERIES | reviews.QUERIES | outcomes.QUERIES | sections.QUERIES | notes.QUERIES | streams.QUERIES | dedup.QUERIES | answered.QUERIES | lifecycles.QUERIES | stages.QUERIES, queries.ORACLES | chunks.ORACLES | documents.ORACLES | reviews.ORACLES | outcomes.ORACLES | sections.ORACLES | notes.ORACLES | streams.ORACLES | dedup.ORACLES | answered.ORACLES | lifecycles.ORACLES | stages.ORACLES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
