@@ -46,7 +46,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = _table(spark, sf_dir, "documents")
     rollup = token_counts.Rollup(spark, new_path(spark, "token_counts"))
-    first = token_counts.estimate_tokens(docs)
+    first = materialize(token_counts.estimate_tokens(docs), "estimates")
     counts = materialize(token_counts.count_tokens(docs, "byte_bpe_50k"), "counts")
     rollup.commit("load", token_counts.inserts(first))
     rollup.commit("load", token_counts.inserts(first))  # a retry

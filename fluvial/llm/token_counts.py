@@ -1,9 +1,11 @@
 """Token counts as rollups that are kept up to date by deltas.
 
 Each batch of changes is summed to signed totals by source, language and tokenizer version and stored under its
-batch id. Storing a batch again replaces its own totals and nothing else, so a batch that is retried, or committed
-twice, counts once; so does one that is committed again with other changes, or with none left. The rollup is the sum of
-all batches: sums of sums, so its cost follows the number of groups and batches, never the corpus.
+batch id, in a store of atomic commits (fluvial/sinks.py): a reader sees a batch as it was or as it is, and a job that
+dies changes nothing. Storing a batch again replaces its own totals and nothing else, so a batch that is retried, or
+committed twice, counts once; so does one that is committed again with other changes, or with none left. The rollup is the
+sum of all batches: sums of sums, so its cost follows the number of groups and batches, never the corpus; `compact` makes
+few files of many batches.
 """
 
 from __future__ import annotations
@@ -15,11 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluvial.llm.bpe import encoder, share_vocabulary, texts
+from fluvial.sinks import BatchStore
 from fluvial.staging import bounded_batches
 
 DIMENSIONS = ("source", "lang", "tokenizer_version")
 MEASURES = ("n_docs", "n_tokens", "n_bytes")
-STORED = "batch_id string, source string, lang string, tokenizer_version string, n_docs long, n_tokens long, n_bytes long"
+STORED = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long, n_bytes long"
 
 
 def count_tokens(docs: DataFrame, version: str, vocabulary: str | None = None) -> DataFrame:
@@ -62,25 +65,22 @@ def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Totals in a folder that all executors share, one partition for each committed batch."""
+    """Totals of all committed batches in a folder that all executors share."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
-        spark.createDataFrame([], STORED).write.mode("append").partitionBy("batch_id").parquet(path)
+        self.path, self.store = path, BatchStore(spark, path, {"totals": STORED})
 
     def commit(self, batch_id: str, deltas: DataFrame) -> None:
         """Store the batch's signed totals, in place of those it may have. Of a batch without rows nothing counts any more.
 
         Deltas may repeat; each counts. Null dimensions are groups of their own, null measures count nothing.
         """
-        if not batch_id:
-            raise ValueError("a batch needs an id")
-        totals = deltas.groupBy(*DIMENSIONS).agg(*(F.sum(m).alias(m) for m in MEASURES))
-        mark = self.spark.range(1).select(*(F.lit(None).cast("string").alias(d) for d in DIMENSIONS), *(F.lit(0).cast("long").alias(m) for m in MEASURES))
-        totals = totals.unionByName(mark)  # a row of nothing, so that the batch's folder is replaced even if no rows are left
-        totals.select(*DIMENSIONS, *MEASURES, F.lit(batch_id).alias("batch_id")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(self.path)
+        self.store.commit(batch_id, {"totals": deltas.groupBy(*DIMENSIONS).agg(*(F.sum(m).alias(m) for m in MEASURES))}, replace=True)
+
+    def compact(self) -> bool:
+        """Make few files of the batches' many; all of them can still be committed again."""
+        return self.store.compact()
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer_version, n_docs, n_tokens, n_bytes of groups that have documents. Null is a group of its own."""
-        stored = self.spark.read.schema(STORED).parquet(self.path)
-        return stored.groupBy(*DIMENSIONS).agg(*(F.sum(m).alias(m) for m in MEASURES)).filter("n_docs <> 0 or n_tokens <> 0 or n_bytes <> 0")
+        return self.store.read("totals").groupBy(*DIMENSIONS).agg(*(F.sum(m).alias(m) for m in MEASURES)).filter("n_docs <> 0 or n_tokens <> 0 or n_bytes <> 0")

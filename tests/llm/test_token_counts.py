@@ -35,6 +35,9 @@ def test_rollup(spark):
     assert totals(rollup) == want
     rollup.commit("b4", token_counts.inserts(counts.limit(0)))
     assert totals(token_counts.Rollup(spark, rollup.path)) == want
+    assert rollup.compact() and totals(rollup) == want
+    rollup.commit("b1", token_counts.inserts(counts))
+    assert totals(rollup) == want
 
 
 def test_a_batch_again_with_nothing_left(spark):
