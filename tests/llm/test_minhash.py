@@ -60,7 +60,7 @@ def run(spark, rows):
     return sorted((tuple(r) for r in minhash.near_duplicates(docs).collect()), key=repr)
 
 
-@pytest.mark.parametrize("seed,tile", [(1, 512), (2, 4)])
+@pytest.mark.parametrize("seed,tile", [(2, 4)])
 def test_components(spark, monkeypatch, seed, tile):
     monkeypatch.setattr(minhash, "TILE", tile)
     texts = corpus(random.Random(seed), 260)
