@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluvial.functions.text import language, letters_only
-from fluvial.staging import BROADCAST_KEYS, number_within
+from fluvial.scans import along
+from fluvial.staging import BROADCAST_KEYS, materialize, number_within
 
 # Characters of a point, points of a document, points of a plan, batches of a run.
 POINT_CHARS, MOST_POINTS, PLAN_POINTS, MOST_BATCHES = 800, 96, 96, 3
@@ -88,11 +89,18 @@ def style(cards: DataFrame, key: str) -> DataFrame:
 
 
 def evidence(points: DataFrame, chunks: DataFrame, most: int = 12_000) -> DataFrame:
-    """(point_id, chunks, missing, text): the texts of each point's chunk_ids in their order, by lines, cut; missing ones are counted."""
-    refs = points.select("point_id", F.posexplode_outer("chunk_ids").alias("ord", "chunk_id")).join(chunks.select("chunk_id", "text"), "chunk_id", "left")
-    own = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("ord", "text"))))
-    counts = refs.groupBy("point_id").agg(F.count("text").cast("int").alias("chunks"), F.count_if(F.col("chunk_id").isNotNull() & F.col("text").isNull()).alias("missing"), own.alias("own"))
-    return counts.select("point_id", "chunks", "missing", F.substring(F.array_join(F.transform("own", lambda x: x["text"]), "\n"), 1, most).alias("text"))
+    """(point_id, chunks, missing, text): the texts of each point's chunk_ids in their order, by lines, cut; missing ones are counted.
+
+    Only chunks that begin within the first `most` characters of their point, or right behind them, come together, so a point may name any number.
+    """
+    text = chunks.select("chunk_id", F.substring("text", 1, most).alias("text"), F.length("text").alias("n"))
+    refs = points.select(F.struct("point_id").alias("_key"), F.posexplode_outer("chunk_ids").alias("ord", "chunk_id")).join(text, "chunk_id", "left")
+    refs = materialize(refs, "evidence")
+    counts = refs.groupBy("_key").agg(F.count("n").cast("int").alias("chunks"), F.count_if(F.col("chunk_id").isNotNull() & F.col("n").isNull()).alias("missing"))
+    ends = along(refs.filter("n is not null"), ["_key"], "ord", sums={"until": F.col("n") + 1})
+    first = ends.filter(F.col("until") - F.col("n") - 1 <= most).groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("own"))
+    cut = F.substring(F.array_join(F.transform("own", lambda x: x["text"]), "\n"), 1, most)
+    return counts.join(first, "_key", "left").select("_key.point_id", "chunks", "missing", F.coalesce(cut, F.lit("")).alias("text"))
 
 
 # The upper bounds of size classes.

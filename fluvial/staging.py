@@ -20,15 +20,15 @@ def hot_groups(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir, which driver and executors share.
 
-    Where it is unset, a local session gets a temporary folder and any other the warehouse.
+    Where it is unset, a local session gets a temporary folder; on a cluster that is an error, as no folder is surely shared.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    if spark.sparkContext.master.startswith("local["):
-        root = "file://" + tempfile.mkdtemp(prefix="fluvial-")
-    else:
-        root = spark.conf.get("spark.sql.warehouse.dir")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    root = "file://" + tempfile.mkdtemp(prefix="fluvial-")
     spark.conf.set("spark.checkpoint.dir", root)
     return root
 

@@ -6,8 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fluvial import limits
-from fluvial.operators import drafts, runs
+from fluvial import limits, staging
+from fluvial.operators import drafts, planning, runs
 from fluvial.sources import paths
 
 
@@ -69,3 +69,24 @@ def test_modes_places_and_drafts(spark):
     assert {r.point_id: tuple(r)[1:] for r in drafts.point_spans(asked, chunks, "all").collect()} == {
         1: (1, "1", "one", "a"), 2: (2, "1", "one", None), 3: (2, "all", "Imported material", None), 4: (1, "2", "two", "c"), **{k: (0, "all", "Imported material", None) for k in (5, 6, 7)},
     }
+
+
+def test_evidence_of_many_chunks(spark):
+    """A point that names thousands of chunks takes the first ones alone."""
+    chunks = spark.createDataFrame([(f"c{i}", "x" * (i % 7) if i % 11 else None) for i in range(3000)] + [("long", "y" * 5000)], "chunk_id string, text string")
+    points = spark.createDataFrame([(1, [f"c{i}" for i in range(3000)] + ["none"]), (2, ["c3", "long", "c5"]), (3, []), (4, None), (None, ["c1", None])], "point_id int, chunk_ids array<string>")
+    got = {r.point_id: (r.chunks, r.missing, r.text) for r in planning.evidence(points, chunks, 50).collect()}
+    texts = ["x" * (i % 7) for i in range(3000) if i % 11]
+    assert got == {1: (len(texts), 3001 - len(texts), "\n".join(texts)[:50]), 2: (3, 0, "xxx\n" + "y" * 46), 3: (0, 0, ""), 4: (0, 0, ""), None: (1, 0, "x")}
+
+
+def test_tables_need_a_shared_folder_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        staging.shared_dir(Session)
