@@ -21,7 +21,7 @@ def shared_source_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.numbered(C.deduplicate(base._changed(spark, sf_dir), 0.5, _sources()), "card_id", "matched_id")
+    return C.numbered(C.deduplicate(base._changed(spark, sf_dir), sources=_sources()), "card_id", "matched_id")
 
 
 QUERIES = {f.__name__: f for f in (shared_source_pairs, source_decisions)}

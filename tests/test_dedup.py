@@ -66,7 +66,7 @@ def test_sets_of_sources(spark):
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("query,threshold,kinds", [(dedup.source_decisions, 0.5, 4), (documents.duplicate_decisions, 0.86, 1)])
+@pytest.mark.parametrize("query,threshold,kinds", [(dedup.source_decisions, 0.86, 4), (documents.duplicate_decisions, 0.86, 1)])
 def test_queries_against_greedy(spark, query, threshold, kinds):
     """The tables' cards, decided by the plain loop."""
     rows = []
