@@ -39,28 +39,31 @@ def letters_only(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]", "")
 
 
+def _pairs(text: Column) -> Column:
+    together = F.regexp_replace(text, r"[^\x{3400}-\x{9fff}]", "")
+    return F.regexp_extract_all(together, F.lit("(?=(.{2}))."), F.lit(1))
+
+
 def cjk_pairs(text: Column) -> Column:
     """Each two neighbours of all CJK characters of the text, put together."""
-    together = F.regexp_replace(text, r"[^\x{3400}-\x{9fff}]", "")
-    return F.array_distinct(F.regexp_extract_all(together, F.lit("(?=(.{2}))."), F.lit(1)))
+    return F.array_distinct(_pairs(text))
 
 
-def tokens(text: Column) -> Column:
-    """The set of a text: words of two or more of a-z, 0-9 and _, and CJK pairs."""
+def words(text: Column) -> Column:
+    """A text's words of two or more of a-z, 0-9 and _, and its CJK pairs, as often as they come."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_distinct(F.concat(F.regexp_extract_all(low, F.lit("[a-z0-9_]{2,}"), F.lit(0)), cjk_pairs(low)))
+    return F.concat(F.regexp_extract_all(low, F.lit("[a-z0-9_]{2,}"), F.lit(0)), _pairs(low))
 
 
-def trigrams(text: Column) -> Column:
-    """The set of runs of three characters; a shorter text is its own only run."""
-    runs = F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))."), F.lit(1)))
-    return F.when(F.length(text) >= 3, runs).otherwise(F.filter(F.array(text), lambda x: x != ""))
+def tokens(text: Column) -> Column:
+    """The set of a text's words."""
+    return F.array_distinct(words(text))
 
 
-def jaccard(x: Column, y: Column) -> Column:
-    """Shared over all elements of two sets; of two empty ones, 0."""
-    union = F.size(F.array_union(x, y))
-    return F.when(union > 0, F.size(F.array_intersect(x, y)) / union).otherwise(F.lit(0.0))
+def runs(text: Column) -> Column:
+    """A text's runs of three characters, as often as they come; a shorter text is its own only run."""
+    found = F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))."), F.lit(1))
+    return F.when(F.length(text) >= 3, found).otherwise(F.filter(F.array(text), lambda x: x != ""))
 
 
 def language(zh: Column, en: Column) -> Column:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluvial.functions.text import casefolded, collapsed, folded, jaccard, nfkc_casefold, note_key, tokens, trigrams
-from fluvial.staging import discard, join_skewed, materialize
+from fluvial.functions.text import casefolded, collapsed, folded, nfkc_casefold, note_key, runs, words
+from fluvial.staging import bounded_batches, discard, join_skewed, joins_by_rows, materialize, pick
 
 
 # Fixed value: what an id may be.
@@ -72,8 +78,8 @@ def to_append(cards: DataFrame, notes: DataFrame) -> DataFrame:
     return first.select("c.card_id", "section", "c.front", "c.back")
 
 
-def word_set() -> Column:
-    return tokens(F.concat_ws("\n", "front", "back"))
+def word_list() -> Column:
+    return words(F.concat_ws("\n", "front", "back"))
 
 
 def letters(side: str) -> Column:
@@ -81,8 +87,8 @@ def letters(side: str) -> Column:
     return F.regexp_replace(nfkc_casefold(F.col(side)), r"(?U)[\p{P}\p{Z}\s]", "")
 
 
-def run_set() -> Column:
-    return trigrams(F.concat(letters("front"), F.lit("\n"), letters("back")))
+def run_list() -> Column:
+    return runs(F.concat(letters("front"), F.lit("\n"), letters("back")))
 
 
 def source_ids(*ids: Column, lists: tuple[Column, ...] = ()) -> Column:
@@ -95,30 +101,117 @@ def _own_sources(sources: Column | None) -> Column:
     return F.array_compact(F.array(F.col("section").cast("string"))) if sources is None else sources
 
 
+#: A source of so many cards or fewer compares them all with all; a larger one's meet in their rarest elements.
+ALL_WITH_ALL = 64
+#: Elements are put in order by how often those of their bucket occur; a set's signature has so many bits.
+BUCKETS, SIGNATURE = 1 << 16, 512
+
+
 def similar_pairs(cards: DataFrame, threshold: float = 0.86, elements: Column | None = None, sources: Column | None = None) -> DataFrame:
-    """first_id, second_id, similarity (3 places) of cards that share a source and whose sets (of words, else `elements`) are at least that similar.
+    """first_id, second_id, similarity (3 places) of cards that share a source and whose sets (of words, else of the list `elements`) are at least that similar.
 
     sources: an array of distinct ids (see source_ids), else the section is the only one; without sources a card is similar to
-    none. Cards meet in the rarest elements of their own (a prefix of each set in one order) under each of their sources, not
-    all with all; a pair that shares several sources counts under the least of them.
+    none. Cards of a small source are compared where their sets meet, once shuffled by source; for those of larger ones see
+    `_met`. A pair that shares several sources counts once.
     """
-    sets = cards.select("card_id", _own_sources(sources).alias("sources"), F.explode(word_set() if elements is None else elements).alias("token"))
-    often = sets.groupBy("token").agg(F.count("*").alias("often"))
-    ordered = sets.join(often, "token").groupBy("sources", "card_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "token"))), lambda x: x["token"]).alias("t"))
-    ordered = materialize(ordered.withColumn("n", F.size("t")), "ordered_sets")
-    length = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1
-    prefix = ordered.select("sources", "card_id", "n", F.posexplode(F.slice("t", 1, length)).alias("pos", "token")).withColumn("source", F.explode("sources"))
-    other = prefix.select("source", F.col("sources").alias("sources2"), F.col("card_id").alias("second_id"), F.col("n").alias("m"), F.col("pos").alias("pos2"), "token")
+    spark = cards.sparkSession
+    joins_by_rows(spark)
+    sets = cards.select("card_id", _own_sources(sources).alias("sources"), (word_list() if elements is None else elements).alias("t"))
+    sets = materialize(_signed(sets), "card_sets").filter((F.col("n") > 0) & (F.size("sources") > 0))
+    sizes = sets.select(F.explode("sources").alias("source")).groupBy("source").count()
+    large = materialize(sizes.filter(F.col("count") > ALL_WITH_ALL).select("source"), "large_sources")
+    any_large = not large.isEmpty()
+
+    held = sets.select("*", F.explode("sources").alias("source"))
+    few = pick(held, large, "source", "left_anti") if any_large else held
+    other = few.select("source", F.col("sources").alias("sources2"), F.col("card_id").alias("second_id"), F.col("n").alias("m"), F.col("t").alias("u"), *(F.col(w).alias(f"{w}_") for w in _WORDS))
     close = F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m") - 1e-9
-    room = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("pos2"))  # what they may share from here on
-    enough = room >= F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("m")) - 1e-9
-    met = prefix.join(other, ["source", "token"]).filter(F.col("card_id") < F.col("second_id")).filter(close)
-    met = met.filter(F.array_min(F.array_intersect("sources", "sources2")) == F.col("source"))
-    # their first common element stands for the pair; ids alone are shuffled until the pairs are few
-    first = met.groupBy("card_id", "second_id").agg(F.min_by(enough, "pos").alias("enough")).filter("enough").select(F.col("card_id").alias("first_id"), "second_id")
-    sides = [ordered.select(F.col("card_id").alias(c), F.col("t").alias(t)) for c, t in (("first_id", "t"), ("second_id", "u"))]
-    pairs = first.join(sides[0], "first_id").join(sides[1], "second_id")
-    return pairs.withColumn("similarity", jaccard(F.col("t"), F.col("u"))).filter(F.col("similarity") >= threshold).select("first_id", "second_id", F.round("similarity", 3).alias("similarity"))
+    near = few.withColumnRenamed("card_id", "first_id").join(other, "source").filter((F.col("first_id") < F.col("second_id")) & close & _room(threshold))
+    if sources is not None:
+        near = near.filter(F.array_min(F.array_intersect("sources", "sources2")) == F.col("source"))
+    pairs = _similar(near, threshold)
+    if any_large:
+        sides = [sets.select(F.col("card_id").alias(c), F.col("t").alias(t), F.col("n").alias(n), F.col("sources").alias(x)) for c, t, n, x in (("first_id", "t", "n", "sources"), ("second_id", "u", "m", "sources2"))]
+        met = materialize(_met(sets, large, threshold), "met_pairs")
+        met = met.join(sides[0], "first_id").join(sides[1], "second_id").filter(F.arrays_overlap("sources", "sources2"))
+        pairs = pairs.unionByName(_similar(met, threshold)).groupBy("first_id", "second_id").agg(F.max("similarity").alias("similarity"))
+    return pairs
+
+
+def _similar(pairs: DataFrame, threshold: float) -> DataFrame:
+    """first_id, second_id, similarity of the pairs whose sets t and u, of n and m elements, are similar."""
+
+    def common(t: pd.Series, u: pd.Series) -> pd.Series:
+        return pd.Series([len(set(a).intersection(b)) for a, b in zip(t, u, strict=True)], dtype="int32")
+
+    k = F.pandas_udf(common, "int")("t", "u")  # a set of strings per row, as array_intersect compares all with all
+    rows = pairs.select("first_id", "second_id", k.alias("k"), (F.col("n") + F.col("m")).alias("both")).withColumn("similarity", F.col("k") / (F.col("both") - F.col("k")))
+    return rows.filter(F.col("similarity") >= threshold).select("first_id", "second_id", F.round("similarity", 3).alias("similarity"))
+
+
+_WORDS = [f"b{k}" for k in range(SIGNATURE // 64)]
+
+
+def _signed(sets: DataFrame) -> DataFrame:
+    """Make sets of the lists t and add n (their size) and their signature: for each bit the parity of the elements that fall on it."""
+    bounded_batches(sets.sparkSession)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [dict(zip(t or (), h or (), strict=True)) for t, h in zip(batch["t"].to_pylist(), batch["h"].to_pylist(), strict=True)]
+            n = np.fromiter(map(len, found), np.int32, len(found))
+            row, bit = np.repeat(np.arange(len(n)), n), (np.fromiter((h for x in found for h in x.values()), np.int64) >> 16) & (SIGNATURE - 1)
+            bits = np.zeros((len(n), SIGNATURE // 64), np.uint64)
+            np.bitwise_xor.at(bits, (row, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+            yield pa.record_batch([batch["card_id"], batch["sources"], pa.array([list(x) for x in found], pa.list_(pa.string())), pa.array(n), *(pa.array(bits[:, k].view(np.int64)) for k in range(SIGNATURE // 64))], ["card_id", "sources", "t", "n", *_WORDS])
+
+    kind = sets.schema["card_id"].dataType.simpleString()
+    rows = sets.select("card_id", "sources", "t").withColumn("h", F.transform("t", lambda x: F.xxhash64(x)))
+    return rows.mapInArrow(sign, f"card_id {kind}, sources array<string>, t array<string>, n int, {', '.join(f'{w} long' for w in _WORDS)}")
+
+
+def _room(threshold: float) -> Column:
+    """Whether sets of n and m elements may be that similar: the bits in which their signatures differ are no more than the elements in which they do."""
+    differ = functools.reduce(lambda x, y: x + y, (F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_"))) for w in _WORDS))
+    return F.col("n") + F.col("m") - differ >= F.lit(2 * threshold / (1 + threshold)) * (F.col("n") + F.col("m")) - 1e-9
+
+
+def _met(sets: DataFrame, large: DataFrame, threshold: float) -> DataFrame:
+    """first_id, second_id: the pairs of a large source that may be similar, all that are among them.
+
+    A pair's first common element, in one order of all elements from rare to frequent, is within a prefix of both sets (the
+    smaller set's is the shorter one). Prefixes meet by a hash of source and element; what they may still share from there on
+    and their signatures must leave room for the threshold, so hardly a pair that isn't similar is shuffled. Elements
+    stand by 64 bits here; two that fall together count as two, which may add a pair but lose none.
+    """
+    hashed = sets.select("card_id", "sources", "n", *_WORDS, F.transform("t", lambda x: F.xxhash64(x)).alias("h"))
+    often = np.zeros(BUCKETS, np.int64)
+    for bucket, count in hashed.select(F.explode("h").alias("h")).groupBy(F.pmod("h", F.lit(BUCKETS)).alias("b")).count().collect():  # BUCKETS rows at most
+        often[bucket] = count
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch["n"].to_numpy()
+            row, values = np.repeat(np.arange(len(n)), n), batch["h"].flatten().to_numpy()
+            values = values[np.lexsort((values, often[values & (BUCKETS - 1)], row))]
+            at = np.arange(len(values)) - (np.cumsum(n) - n)[row]
+            length = n - np.ceil(threshold * n - 1e-9).astype(n.dtype) + 1
+            prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), pa.array(values[at < length[row]]))
+            yield pa.record_batch([*(batch[c] for c in names), prefix], [*names, "prefix"])
+
+    names = ["card_id", "sources", "n", *_WORDS]
+    kind = sets.schema["card_id"].dataType.simpleString()
+    rows = hashed.mapInArrow(ordered, f"card_id {kind}, sources array<string>, n int, {', '.join(f'{w} long' for w in _WORDS)}, prefix array<long>")
+    rows = pick(rows.withColumn("source", F.explode("sources")).drop("sources"), large, "source")
+    rows = rows.select("card_id", "n", *_WORDS, "source", F.posexplode("prefix").alias("pos", "element")).withColumn("key", F.xxhash64("source", "element")).drop("source", "element")
+    shorter = F.col("pos") <= F.col("n") - F.ceil(F.lit(2 * threshold / (1 + threshold)) * F.col("n") - 1e-9)
+    other = rows.select("key", F.col("card_id").alias("other_id"), F.col("n").alias("m"), F.col("pos").alias("pos2"), *(F.col(w).alias(f"{w}_") for w in _WORDS))
+    met = rows.filter(shorter).join(other, "key").filter((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("card_id") < F.col("other_id"))))
+    met = met.filter(F.col("n") >= F.lit(threshold) * F.col("m") - 1e-9)
+    met = met.filter(F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("pos2")) >= F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("m")) - 1e-9)
+    turned = F.col("card_id") > F.col("other_id")
+    ends = (F.when(turned, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("other_id", "card_id", "first_id"), ("card_id", "other_id", "second_id")))
+    return met.filter(_room(threshold)).select(*ends).distinct()
 
 
 # What forbids a write, and the code of each, in this order.
@@ -154,10 +247,10 @@ def deduplicate(cards: DataFrame, threshold: float = 0.86, sources: Column | Non
     exact = F.sha2(F.concat(F.coalesce("front", F.lit("")), F.lit("\x1f"), F.coalesce("back", F.lit(""))), 256)
     keyed = materialize(cards.select("card_id", _own_sources(sources).alias("sources"), canon.alias("canon"), exact.alias("exact"), "front", "back"), "dedup_cards")
     first = materialize(keyed.groupBy("exact", "sources").agg(F.min_by(F.struct("card_id", "canon", "front", "back"), "card_id").alias("s")).select("exact", "sources", "s.*"), "dedup_first")
-    words = similar_pairs(first, threshold, sources=F.col("sources")).withColumn("words", F.lit(True))
-    runs = similar_pairs(first, threshold, run_set(), F.col("sources")).withColumn("words", F.lit(False))
+    in_words = similar_pairs(first, threshold, sources=F.col("sources")).withColumn("words", F.lit(True))
+    in_runs = similar_pairs(first, threshold, run_list(), F.col("sources")).withColumn("words", F.lit(False))
     best = F.max(F.struct("similarity", "words"))  # of equal ones, the words'
-    near = materialize(words.unionAll(runs).groupBy("first_id", "second_id").agg(best.alias("b")).select("first_id", F.col("second_id").alias("card_id"), "b.*"), "dedup_pairs")
+    near = materialize(in_words.unionAll(in_runs).groupBy("first_id", "second_id").agg(best.alias("b")).select("first_id", F.col("second_id").alias("card_id"), "b.*"), "dedup_pairs")
     kind_of_id = cards.schema["card_id"].dataType.simpleString()
     start = first.select("card_id", "canon", F.lit(None).cast("boolean").alias("kept"), F.lit(None).cast(f"struct<first_id:{kind_of_id},similarity:double,words:boolean>").alias("hit"))
     state = materialize(start, "dedup_state")

@@ -77,3 +77,24 @@ def test_queries_against_greedy(spark, query, threshold, kinds):
     want = greedy(rows, threshold)
     got = query(spark, SF).collect()
     assert {r.card_id: (r.matched_id, r.kind) for r in got} == want and len(got) == len(want) > 0
+
+
+def test_large_sources_and_no_broadcast_by_file_size(spark, monkeypatch):
+    """Sources above and below the bound give the pairs of all with all; stored tables aren't broadcast for their small files."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(400)]
+    rows = []
+    for i in range(240):
+        own = rng.sample(words, rng.choice([1, 5, 30]))
+        if i % 2:
+            own = [*rows[-1][2].split(), *rng.sample(words, rng.choice([0, 1, 2, 9]))]
+        rows.append((i, ["all"] * (i % 5 > 0) + [f"k{i // 4}"], " ".join(own), ""))
+    df = spark.createDataFrame(rows, "card_id long, ids array<string>, front string, back string")
+    sets = [(i, set(s), set(f.split())) for i, s, f, _ in rows]
+    share = lambda a, b: len(a & b) / len(a | b)
+    for most, threshold in ((64, 0.5), (64, 0.86), (1000, 0.5), (0, 0.7)):
+        monkeypatch.setattr(cards, "ALL_WITH_ALL", most)
+        want = {(i, j): round(share(a, b), 3) for i, s, a in sets for j, t, b in sets if i < j and s & t and share(a, b) >= threshold}
+        got = cards.similar_pairs(df, threshold, sources=F.col("ids")).collect()
+        assert {(r.first_id, r.second_id): r.similarity for r in got} == want and len(got) == len(want) > 50
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
