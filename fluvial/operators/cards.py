@@ -131,8 +131,10 @@ def similar_pairs(cards: DataFrame, threshold: float = 0.86, elements: Column |
         near = near.filter(F.array_min(F.array_intersect("sources", "sources2")) == F.col("source"))
     pairs = _similar(near, threshold)
     if any_large:
-        sides = [sets.select(F.col("card_id").alias(c), F.col("t").alias(t), F.col("n").alias(n), F.col("sources").alias(x)) for c, t, n, x in (("first_id", "t", "n", "sources"), ("second_id", "u", "m", "sources2"))]
         met = materialize(_met(sets, large, threshold), "met_pairs")
+        ids = materialize(met.select(F.explode(F.array("first_id", "second_id")).alias("card_id")).distinct(), "met_cards")
+        own = pick(sets, ids, "card_id")
+        sides = [own.select(F.col("card_id").alias(c), F.col("t").alias(t), F.col("n").alias(n), F.col("sources").alias(x)) for c, t, n, x in (("first_id", "t", "n", "sources"), ("second_id", "u", "m", "sources2"))]
         met = met.join(sides[0], "first_id").join(sides[1], "second_id").filter(F.arrays_overlap("sources", "sources2"))
         pairs = pairs.unionByName(_similar(met, threshold)).groupBy("first_id", "second_id").agg(F.max("similarity").alias("similarity"))
     return pairs

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluvial.scans import along, last_within
-from fluvial.staging import bounded_batches, discard, join_skewed, materialize
+from fluvial.staging import bounded_batches, discard, join_skewed, joins_by_rows, materialize
 
 # Characters of a piece, wanted and at most, and chunks of a document; where to cut, best first.
 TARGET, MOST, MOST_CHUNKS = 6_000, 12_000, 48
@@ -148,6 +148,7 @@ def structural_chunks(blocks: DataFrame, key: str = "doc_id", target: int = TARG
     chunks, and only units larger than the bound go to Python.
     """
     bounded_batches(blocks.sparkSession)
+    joins_by_rows(blocks.sparkSession)
     target = min(target, most)
     places = [c for c in place if c in blocks.columns]
     where = F.struct(*places) if places else F.lit(None).cast("struct<none:int>")

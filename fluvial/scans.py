@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluvial.staging import joins_by_rows
+
 #: A bucket covers 2 to this power of places.
 BUCKET_BITS = 10
 
@@ -18,6 +20,7 @@ def along(rows: DataFrame, key: list[str], at: str, sums: dict[str, Column] | No
     before a bucket comes from a row per bucket, and only these are sorted by key. So a key with a third of all rows is dealt
     out. rows should be a stored table, as it is read twice; key columns must not be null (a struct of nulls isn't).
     """
+    joins_by_rows(rows.sparkSession)
     sums, before, latest, least = sums or {}, before or {}, latest or {}, least or {}
     by = [*key, "_bucket"]
     rows = rows.withColumn("_bucket", F.shiftright(F.col(at).cast("long"), BUCKET_BITS))
