@@ -45,17 +45,23 @@ def _with_values(answers: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(_values, f"_id {kind}, _value string, _listed boolean, _blank boolean").withColumnRenamed("_id", key)
 
 
-def _text(value: Column, most: int) -> Column:
+def _stripped(text: Column, blank: str | None) -> Column:
+    """Without white space at either end, or without the characters of `blank`; null is empty."""
+    return clean(text) if blank is None else F.btrim(F.coalesce(text, F.lit("")), F.lit(blank))
+
+
+def _text(value: Column, most: int, blank: str | None) -> Column:
     """A JSON string, stripped; null if it is none, blank or too long."""
     kind = F.schema_of_variant(value)
-    out = clean(F.try_variant_get(value, "$", "string"))
+    out = _stripped(F.try_variant_get(value, "$", "string"), blank)
     return F.when((kind == "STRING") & F.length(out).between(1, most), out)
 
 
-def parse_cards(answers: DataFrame, key: str = "answer_id", text: str = "text", most: int = 5) -> DataFrame:
+def parse_cards(answers: DataFrame, key: str = "answer_id", text: str = "text", most: int = 5, blank: str | None = None) -> DataFrame:
     """key, state, card_ord, front, back, source_excerpt: the first `most` cards of each answer; one card that isn't whole fails them all.
 
     state: success, empty_output, invalid_json or empty_cards; an answer without cards is one row. A null or blank text is empty_output.
+    blank: characters that are stripped off a card's texts, else all white space.
     """
     rows = _with_values(answers, key, text)
     value = F.try_parse_json("_value")
@@ -67,7 +73,7 @@ def parse_cards(answers: DataFrame, key: str = "answer_id", text: str = "text",
         get = lambda name: F.try_variant_get(x, f"$.{name}", "variant")
         given = lambda v: v.isNotNull() & ~F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("")).isin("", "0", "false")
         excerpt = F.when(given(get("source_excerpt")), get("source_excerpt")).otherwise(get("rationale"))
-        return F.struct(_text(get("front"), FRONT).alias("front"), _text(get("back"), BACK).alias("back"), _text(excerpt, EXCERPT).alias("source_excerpt"))
+        return F.struct(_text(get("front"), FRONT, blank).alias("front"), _text(get("back"), BACK, blank).alias("back"), _text(excerpt, EXCERPT, blank).alias("source_excerpt"))
 
     rows = rows.withColumn("_cards", F.when(is_list, F.transform(F.slice(cards, 1, most), card)))
     whole = F.forall("_cards", lambda c: c["front"].isNotNull() & c["back"].isNotNull() & c["source_excerpt"].isNotNull())
@@ -76,10 +82,11 @@ def parse_cards(answers: DataFrame, key: str = "answer_id", text: str = "text",
     return rows.select(key, "state", F.posexplode_outer("_cards").alias("card_ord", "_c")).select(key, "state", "card_ord", "_c.*")
 
 
-def parse_points(answers: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+def parse_points(answers: DataFrame, key: str = "chunk_id", text: str = "text", blank: str | None = None) -> DataFrame:
     """key, error, point_ord, point_id, title, explanation, evidence, importance, tags of each answer: a JSON list, or {"knowledge_points": []}.
 
     The whole text must be JSON. An answer that isn't right is one row with error invalid_json; an empty list gives no row.
+    blank: as for parse_cards.
     """
     value = F.try_parse_json(clean(F.col(text)))
     kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
@@ -87,9 +94,9 @@ def parse_points(answers: DataFrame, key: str = "chunk_id", text: str = "text")
     rows = answers.select(key, F.when(kind(listed).startswith("ARRAY"), F.try_variant_get(listed, "$", "array<variant>")).alias("_items"))
 
     def point(x: Column) -> Column:
-        get = lambda name: clean(F.try_variant_get(x, f"$.{name}", "string"))
+        get = lambda name: _stripped(F.try_variant_get(x, f"$.{name}", "string"), blank)
         tags = F.try_variant_get(x, "$.tags", "variant")
-        names = F.filter(F.transform(F.coalesce(F.try_variant_get(tags, "$", "array<string>"), F.array()), clean), lambda t: t != "")
+        names = F.filter(F.transform(F.coalesce(F.try_variant_get(tags, "$", "array<string>"), F.array()), lambda t: _stripped(t, blank)), lambda t: t != "")
         right = kind(x).startswith("OBJECT") & (get("title") != "") & (get("explanation") != "") & (tags.isNull() | kind(tags).startswith("ARRAY") | (kind(tags) == "VOID"))
         importance = F.coalesce(F.nullif(get("importance"), F.lit("")), F.lit("medium"))
         return F.struct(right.alias("right"), get("title").alias("title"), get("explanation").alias("explanation"), get("evidence").alias("evidence"), importance.alias("importance"), names.alias("tags"))
