@@ -36,16 +36,36 @@ def cuts(text: str, target: int = TARGET, most: int = MOST) -> Iterator[tuple[in
         yield at, len(text)
 
 
-def text_chunks(docs: DataFrame, target: int = TARGET, most: int = MOST) -> DataFrame:
-    """doc_id, sequence, start, text of each document's pieces, in place; an empty or null text is one empty piece."""
+#: Characters of a batch of pieces, unless one piece has more.
+PIECES = 2 << 20
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(d, k, a, t[a:b]) for d, t in zip(batch["doc_id"].to_pylist(), (x.as_py() or "" for x in batch["text"]), strict=True) for k, (a, b) in enumerate(cuts(t, target, most))]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-            yield pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.string())], ["doc_id", "sequence", "start", "text"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, sequence int, start int, text string")
+def _cut_batches(batches: Iterator[pa.RecordBatch], target: int, most: int) -> Iterator[pa.RecordBatch]:
+    """doc_id and text to doc_id, sequence, start and text of the pieces, in batches of about PIECES characters."""
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+        return pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.string())], ["doc_id", "sequence", "start", "text"])
+
+    for batch in batches:
+        rows, held = [], 0
+        for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+            text = text.as_py() or ""
+            for k, (a, b) in enumerate(cuts(text, target, most)):
+                rows.append((doc, k, a, text[a:b]))
+                held += b - a
+                if held >= PIECES:
+                    yield out(rows)
+                    rows, held = [], 0
+        if rows:
+            yield out(rows)
+
+
+def text_chunks(docs: DataFrame, target: int = TARGET, most: int = MOST) -> DataFrame:
+    """doc_id, sequence, start, text of each document's pieces, in place; an empty or null text is one empty piece."""
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(functools.partial(_cut_batches, target=target, most=most), "doc_id long, sequence int, start int, text string")
 
 
 def table_cuts(text: str, target: int, most: int) -> Iterator[str]:
