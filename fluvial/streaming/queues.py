@@ -23,7 +23,7 @@ STARTABLE = ("queued", "failure")
 ITEM = "struct<item:int,size:bigint,status:string,request:int>"
 COMMAND = "queue long, seq long, kind string, size long, at int, to int, item int, request int, outcome string"
 QUEUE = f"queue long, seq long, held int, items array<{ITEM}>, refused int, stale int"
-_STATE = f"seq long, next_item int, next_request int, refused int, stale int, items array<{ITEM}>"
+_STATE = f"seq long, held int, next_item int, next_request int, refused int, stale int, items array<{ITEM}>"
 _FIELDS = ("kind", "size", "at", "to", "item", "request", "outcome")
 
 Item = tuple[int, int, str, int | None]
@@ -78,22 +78,27 @@ class Queue:
 class _Processor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("queue", _STATE)
-        self.early = handle.getMapState("early", "seq long", ", ".join(c for c in COMMAND.split(", ") if not c.startswith(("queue", "seq"))))
+        self.early = handle.getListState("early", COMMAND.removeprefix("queue long, "))
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
-        seq, queue = -1, Queue([])
+        # each call of a state goes to the JVM and back, so there are a few for a queue in a batch, not some for each command
+        seq, held, queue = -1, 0, Queue([])
         if self.state.exists():
-            seq, *rest, items = self.state.get()
+            seq, held, *rest, items = self.state.get()
             queue = Queue([tuple(x) for x in items], *rest)
+        early = {n: fields for n, *fields in self.early.get()} if held else {}
         for row in rows:
             if row.seq is not None and row.seq > seq:
-                self.early.updateValue((row.seq,), tuple(row[f] for f in _FIELDS))
-        while self.early.containsKey((seq + 1,)):
-            queue.follow(*self.early.getValue((seq + 1,)))
-            self.early.removeKey((seq + 1,))
+                early[row.seq] = tuple(row[f] for f in _FIELDS)
+        while seq + 1 in early:
             seq += 1
-        self.state.update((seq, queue.next_item, queue.next_request, queue.refused, queue.stale, list(queue.items)))
-        held = sum(1 for _ in self.early.keys())
+            queue.follow(*early.pop(seq))
+        if early:
+            self.early.put([(n, *fields) for n, fields in early.items()])
+        elif held:
+            self.early.clear()
+        held = len(early)
+        self.state.update((seq, held, queue.next_item, queue.next_request, queue.refused, queue.stale, list(queue.items)))
         items = [Row(item=a, size=b, status=c, request=d) for a, b, c, d in queue.items]
         yield Row(queue=key[0], seq=seq, held=held, items=items, refused=queue.refused, stale=queue.stale)
 
