@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluvial.functions.text import casefolded, collapsed, folded, nfkc_casefold, note_key, runs, words
-from fluvial.staging import bounded_batches, discard, join_skewed, joins_by_rows, materialize, pick
+from fluvial.functions.text import casefolded, collapsed, folded, nfkc_casefold, note_key, words
+from fluvial.scans import along
+from fluvial.staging import bounded_batches, discard, hot_keys, join_skewed, joins_by_rows, materialize, number_within, pick
 
 
 # Fixed value: what an id may be.
@@ -87,10 +88,6 @@ def letters(side: str) -> Column:
     return F.regexp_replace(nfkc_casefold(F.col(side)), r"(?U)[\p{P}\p{Z}\s]", "")
 
 
-def run_list() -> Column:
-    return runs(F.concat(letters("front"), F.lit("\n"), letters("back")))
-
-
 def source_ids(*ids: Column, lists: tuple[Column, ...] = ()) -> Column:
     """A card's sources, once each and in order: single ids and lists of ids. What isn't a safe id is none."""
     every = F.concat(F.array(*(x.cast("string") for x in ids)), *(F.coalesce(x, F.array()).cast("array<string>") for x in lists))
@@ -101,119 +98,167 @@ def _own_sources(sources: Column | None) -> Column:
     return F.array_compact(F.array(F.col("section").cast("string"))) if sources is None else sources
 
 
-#: A source of so many cards or fewer compares them all with all; a larger one's meet in their rarest elements.
-ALL_WITH_ALL = 64
-#: Elements are put in order by how often those of their bucket occur; a set's signature has so many bits.
-BUCKETS, SIGNATURE = 1 << 16, 512
+#: Cards of a source that are compared all with all in one task; a larger source is cut into such blocks by size.
+ALL_WITH_ALL = 4_096
+#: An element's share of a block: as many elements as ELEMENTS a card fill it, too.
+ELEMENTS = 1_024
+#: Rows and columns that are compared at once, and pairs of which more is compared.
+STEP, CLOSER = (256, 1_024), 8_192
 
 
 def similar_pairs(cards: DataFrame, threshold: float = 0.86, elements: Column | None = None, sources: Column | None = None) -> DataFrame:
-    """first_id, second_id, similarity (3 places) of cards that share a source and whose sets (of words, else of the list `elements`) are at least that similar.
+    """first_id, second_id, similarity (3 places) of cards that share a source and whose sets (of words, else of the list or text `elements`) are at least that similar.
 
     sources: an array of distinct ids (see source_ids), else the section is the only one; without sources a card is similar to
-    none. Cards of a small source are compared where their sets meet, once shuffled by source; for those of larger ones see
-    `_met`. A pair that shares several sources counts once.
+    none. A text stands for its runs of three characters. A pair that shares several sources counts once.
     """
-    spark = cards.sparkSession
-    joins_by_rows(spark)
+    joins_by_rows(cards.sparkSession)
     sets = cards.select("card_id", _own_sources(sources).alias("sources"), (word_list() if elements is None else elements).alias("t"))
-    sets = materialize(_signed(sets), "card_sets").filter((F.col("n") > 0) & (F.size("sources") > 0))
-    sizes = sets.select(F.explode("sources").alias("source")).groupBy("source").count()
-    large = materialize(sizes.filter(F.col("count") > ALL_WITH_ALL).select("source"), "large_sources")
-    any_large = not large.isEmpty()
-
-    held = sets.select("*", F.explode("sources").alias("source"))
-    few = pick(held, large, "source", "left_anti") if any_large else held
-    other = few.select("source", F.col("sources").alias("sources2"), F.col("card_id").alias("second_id"), F.col("n").alias("m"), F.col("t").alias("u"), *(F.col(w).alias(f"{w}_") for w in _WORDS))
-    close = F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m") - 1e-9
-    near = few.withColumnRenamed("card_id", "first_id").join(other, "source").filter((F.col("first_id") < F.col("second_id")) & close & _room(threshold))
-    if sources is not None:
-        near = near.filter(F.array_min(F.array_intersect("sources", "sources2")) == F.col("source"))
-    pairs = _similar(near, threshold)
-    if any_large:
-        met = materialize(_met(sets, large, threshold), "met_pairs")
-        ids = materialize(met.select(F.explode(F.array("first_id", "second_id")).alias("card_id")).distinct(), "met_cards")
-        own = pick(sets, ids, "card_id")
-        sides = [own.select(F.col("card_id").alias(c), F.col("t").alias(t), F.col("n").alias(n), F.col("sources").alias(x)) for c, t, n, x in (("first_id", "t", "n", "sources"), ("second_id", "u", "m", "sources2"))]
-        met = met.join(sides[0], "first_id").join(sides[1], "second_id").filter(F.arrays_overlap("sources", "sources2"))
-        pairs = pairs.unionByName(_similar(met, threshold)).groupBy("first_id", "second_id").agg(F.max("similarity").alias("similarity"))
-    return pairs
-
-
-def _similar(pairs: DataFrame, threshold: float) -> DataFrame:
-    """first_id, second_id, similarity of the pairs whose sets t and u, of n and m elements, are similar."""
-
-    def common(t: pd.Series, u: pd.Series) -> pd.Series:
-        return pd.Series([len(set(a).intersection(b)) for a, b in zip(t, u, strict=True)], dtype="int32")
-
-    k = F.pandas_udf(common, "int")("t", "u")  # a set of strings per row, as array_intersect compares all with all
-    rows = pairs.select("first_id", "second_id", k.alias("k"), (F.col("n") + F.col("m")).alias("both")).withColumn("similarity", F.col("k") / (F.col("both") - F.col("k")))
-    return rows.filter(F.col("similarity") >= threshold).select("first_id", "second_id", F.round("similarity", 3).alias("similarity"))
-
-
-_WORDS = [f"b{k}" for k in range(SIGNATURE // 64)]
-
-
-def _signed(sets: DataFrame) -> DataFrame:
-    """Make sets of the lists t and add n (their size) and their signature: for each bit the parity of the elements that fall on it."""
-    bounded_batches(sets.sparkSession)
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [dict(zip(t or (), h or (), strict=True)) for t, h in zip(batch["t"].to_pylist(), batch["h"].to_pylist(), strict=True)]
-            n = np.fromiter(map(len, found), np.int32, len(found))
-            row, bit = np.repeat(np.arange(len(n)), n), (np.fromiter((h for x in found for h in x.values()), np.int64) >> 16) & (SIGNATURE - 1)
-            bits = np.zeros((len(n), SIGNATURE // 64), np.uint64)
-            np.bitwise_xor.at(bits, (row, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
-            yield pa.record_batch([batch["card_id"], batch["sources"], pa.array([list(x) for x in found], pa.list_(pa.string())), pa.array(n), *(pa.array(bits[:, k].view(np.int64)) for k in range(SIGNATURE // 64))], ["card_id", "sources", "t", "n", *_WORDS])
+    sets = materialize(sets.withColumn("n", _count("t")), "card_sets")
+    return _similar(sets.select("card_id", "t", "n"), sets.select("card_id", F.explode("sources").alias("source")), threshold)
 
-    kind = sets.schema["card_id"].dataType.simpleString()
-    rows = sets.select("card_id", "sources", "t").withColumn("h", F.transform("t", lambda x: F.xxhash64(x)))
-    return rows.mapInArrow(sign, f"card_id {kind}, sources array<string>, t array<string>, n int, {', '.join(f'{w} long' for w in _WORDS)}")
+
+def _elements(value: list | str | None) -> set:
+    """The elements of a list, or a text's runs of three characters; a shorter text is its own only one."""
+    if isinstance(value, str):
+        return {value[k : k + 3] for k in range(len(value) - 2)} or ({value} if value else set())
+    return set(() if value is None else value)
 
 
-def _room(threshold: float) -> Column:
-    """Whether sets of n and m elements may be that similar: the bits in which their signatures differ are no more than the elements in which they do."""
-    differ = functools.reduce(lambda x, y: x + y, (F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_"))) for w in _WORDS))
-    return F.col("n") + F.col("m") - differ >= F.lit(2 * threshold / (1 + threshold)) * (F.col("n") + F.col("m")) - 1e-9
+def _count(name: str) -> Column:
+    return F.pandas_udf(lambda t: t.map(lambda v: len(_elements(v))).astype("int32"), "int")(name)
 
 
-def _met(sets: DataFrame, large: DataFrame, threshold: float) -> DataFrame:
-    """first_id, second_id: the pairs of a large source that may be similar, all that are among them.
+def _similar(sets: DataFrame, places: DataFrame, threshold: float) -> DataFrame:
+    """first_id, second_id, similarity of the pairs in one source that are similar; sets: card_id, t, n, and places: card_id, source, both stored.
 
-    A pair's first common element, in one order of all elements from rare to frequent, is within a prefix of both sets (the
-    smaller set's is the shorter one). Prefixes meet by a hash of source and element; what they may still share from there on
-    and their signatures must leave room for the threshold, so hardly a pair that isn't similar is shuffled. Elements
-    stand by 64 bits here; two that fall together count as two, which may add a pair but lose none.
+    Cards of a source are put in blocks by their size, and two blocks meet in a task where sizes leave room for the threshold.
+    So what is shuffled is a card for each such meeting, whatever its elements and however often they come, and of the pairs
+    only those that are similar.
     """
-    hashed = sets.select("card_id", "sources", "n", *_WORDS, F.transform("t", lambda x: F.xxhash64(x)).alias("h"))
-    often = np.zeros(BUCKETS, np.int64)
-    for bucket, count in hashed.select(F.explode("h").alias("h")).groupBy(F.pmod("h", F.lit(BUCKETS)).alias("b")).count().collect():  # BUCKETS rows at most
-        often[bucket] = count
-
-    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch["n"].to_numpy()
-            row, values = np.repeat(np.arange(len(n)), n), batch["h"].flatten().to_numpy()
-            values = values[np.lexsort((values, often[values & (BUCKETS - 1)], row))]
-            at = np.arange(len(values)) - (np.cumsum(n) - n)[row]
-            length = n - np.ceil(threshold * n - 1e-9).astype(n.dtype) + 1
-            prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), pa.array(values[at < length[row]]))
-            yield pa.record_batch([*(batch[c] for c in names), prefix], [*names, "prefix"])
-
-    names = ["card_id", "sources", "n", *_WORDS]
+    spark = sets.sparkSession
+    bounded_batches(spark)
+    places = places.join(sets.filter("n > 0").select("card_id", "n"), "card_id")
+    places = materialize(places, "card_places")
+    budget = max(1, ALL_WITH_ALL) * ELEMENTS
+    cost = F.greatest(F.lit(ELEMENTS), F.col("n")).cast("long")
+    large = materialize(places.groupBy("source").agg(F.sum(cost).alias("cost")).filter(F.col("cost") > budget).select("source"), "large_sources")
+    whole, at_once = F.lit(0), F.lit(True)
+    if large.isEmpty():
+        rows = places.select("card_id", "source", whole.alias("i"), whole.alias("j"), at_once.alias("own"))
+    else:
+        many = materialize(number_within(pick(places, large, "source"), "source", ["n"], "rank"), "card_ranks")
+        many = along(many, ["source"], "rank", sums={"until": cost}).withColumn("block", F.floor((F.col("until") - cost) / budget).cast("int"))
+        many = materialize(many.select("card_id", "source", "n", "block"), "card_blocks")
+        blocks = materialize(many.groupBy("source", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")), "block_sizes")
+        i = blocks.select("source", F.col("block").alias("i"), "high")
+        meet = i.join(blocks.select("source", F.col("block").alias("j"), "low"), "source").filter((F.col("i") <= F.col("j")) & (F.col("high") >= F.lit(threshold) * F.col("low") - 1e-9))
+        sides = meet.select("source", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+        rows = many.join(sides, ["source", "block"]).select("card_id", "source", "i", "j", (F.col("block") == F.col("i")).alias("own"))
+        rows = pick(places, large, "source", "left_anti").select("card_id", "source", whole.alias("i"), whole.alias("j"), at_once.alias("own")).unionByName(rows)
+    by = ["source", "i", "j"]
+    # a fixed number of partitions, as the work follows the pairs, not the bytes
+    dealt = rows.join(sets.select("card_id", "t"), "card_id").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by)
     kind = sets.schema["card_id"].dataType.simpleString()
-    rows = hashed.mapInArrow(ordered, f"card_id {kind}, sources array<string>, n int, {', '.join(f'{w} long' for w in _WORDS)}, prefix array<long>")
-    rows = pick(rows.withColumn("source", F.explode("sources")).drop("sources"), large, "source")
-    rows = rows.select("card_id", "n", *_WORDS, "source", F.posexplode("prefix").alias("pos", "element")).withColumn("key", F.xxhash64("source", "element")).drop("source", "element")
-    shorter = F.col("pos") <= F.col("n") - F.ceil(F.lit(2 * threshold / (1 + threshold)) * F.col("n") - 1e-9)
-    other = rows.select("key", F.col("card_id").alias("other_id"), F.col("n").alias("m"), F.col("pos").alias("pos2"), *(F.col(w).alias(f"{w}_") for w in _WORDS))
-    met = rows.filter(shorter).join(other, "key").filter((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("card_id") < F.col("other_id"))))
-    met = met.filter(F.col("n") >= F.lit(threshold) * F.col("m") - 1e-9)
-    met = met.filter(F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("pos2")) >= F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("m")) - 1e-9)
-    turned = F.col("card_id") > F.col("other_id")
-    ends = (F.when(turned, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("other_id", "card_id", "first_id"), ("card_id", "other_id", "second_id")))
-    return met.filter(_room(threshold)).select(*ends).distinct()
+    found = dealt.mapInArrow(functools.partial(_compared, threshold=threshold), f"one {kind}, other {kind}, similarity double")
+    ends = (F.least("one", "other").alias("first_id"), F.greatest("one", "other").alias("second_id"))
+    return found.select(*ends, "similarity").groupBy("first_id", "second_id").agg(F.round(F.max("similarity"), 3).alias("similarity"))
+
+
+def _compared(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """one, other, similarity of the similar rows of each tile; rows come tile by tile, and one tile is held."""
+    held, last = [], None
+    for batch in batches:
+        keys = list(zip(*(batch[c].to_pylist() for c in ("source", "i", "j")), strict=True))
+        at = 0
+        while at < len(keys):
+            end = at + 1
+            while end < len(keys) and keys[end] == keys[at]:
+                end += 1
+            if keys[at] != last:
+                yield from _of_tile(held, threshold)
+                held, last = [], keys[at]
+            held.append(batch.slice(at, end - at))
+            at = end
+    yield from _of_tile(held, threshold)
+
+
+def _of_tile(parts: list[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Sizes leave room for few pairs, narrow signatures for fewer, wide ones for hardly any that isn't similar; elements decide."""
+    if sum(map(len, parts)) < 2:
+        return
+    rows = pa.Table.from_batches(parts)
+    ids, own = rows["card_id"].combine_chunks(), np.array(rows["own"].to_pylist(), bool)
+    numbers: dict = {}
+    codes = [_codes(x.as_py(), numbers) for x in rows["t"]]
+    n = np.fromiter(map(len, codes), np.int64, len(codes))
+    width = np.maximum(256, 1 << np.ceil(np.log2((1 if threshold >= 0.75 else 4) * n)).astype(np.int64))
+    bits = [_signature(c, w) for c, w in zip(codes, width, strict=True)]
+    wide = [_signature(c, 8 * w) for c, w in zip(codes, width, strict=True)]
+    order = np.lexsort((n, width))
+    one = order[own[order]]
+    alone = len(one) == len(order)
+    other = one if alone else order[~own[order]]
+    ratio = 2 * threshold / (1 + threshold)
+    for at, a in _steps(one, width, STEP[0]):
+        for to, b in _steps(other, width, STEP[1]):
+            if alone and to + len(b) <= at or n[a[-1]] < threshold * n[b[0]] - 1e-9 or n[b[-1]] < threshold * n[a[0]] - 1e-9:
+                continue
+            left, right, least = n[a][:, None], n[b][None, :], min(width[a[0]], width[b[0]])
+            x, y = _folded(a, bits, least), _folded(b, bits, least)
+            differ = np.zeros((len(a), len(b)), np.int32)
+            for k in range(least // 64):
+                differ += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
+            both = left + right
+            p, q = np.nonzero((both - differ >= ratio * both - 1e-9) & (np.minimum(left, right) >= threshold * np.maximum(left, right) - 1e-9))
+            if alone:
+                once = p + at < q + to
+                p, q = p[once], q[once]
+            if not len(p):
+                continue
+            x, y = _folded(a, wide, 8 * least), _folded(b, wide, 8 * least)
+            size = max(1, CLOSER * 64 // x.shape[1])
+            for k in range(0, len(p), size):
+                u, v = p[k : k + size], q[k : k + size]
+                both = n[a[u]] + n[b[v]]
+                near = both - np.bitwise_count(x[u] ^ y[v]).sum(axis=1, dtype=np.int64) >= ratio * both - 1e-9
+                u, v, both = a[u[near]], b[v[near]], both[near]
+                common = np.fromiter((len(np.intersect1d(codes[c], codes[d], assume_unique=True)) for c, d in zip(u, v, strict=True)), np.int64, len(u))
+                share = common / (both - common)
+                good = share >= threshold
+                if good.any():
+                    yield pa.record_batch([ids.take(pa.array(u[good])), ids.take(pa.array(v[good])), pa.array(share[good])], ["one", "other", "similarity"])
+
+
+def _codes(value: list | str | None, numbers: dict) -> np.ndarray:
+    """A number for each element, once each, different ones for different elements; those of a list come from `numbers`."""
+    if isinstance(value, str) and len(value) > 2:
+        c = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        return np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:])
+    return np.fromiter((-1 - numbers.setdefault(x, len(numbers)) for x in _elements(value)), np.int64)
+
+
+def _signature(codes: np.ndarray, width: int) -> bytes:
+    """For each of `width` bits, a power of two, the parity of the elements that fall on it: two sets differ in as many elements as bits, or more.
+
+    Its halves laid over each other are the signature of half the bits.
+    """
+    spots = (codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) & (width - 1)
+    return np.packbits(np.bincount(spots, minlength=width).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _steps(order: np.ndarray, width: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Parts of at most `size` rows, of one width each, and where they begin."""
+    edges = [0, *(np.flatnonzero(np.diff(width[order])) + 1), len(order)]
+    for low, high in zip(edges, edges[1:], strict=False):
+        for k in range(low, high, size):
+            yield k, order[k : min(k + size, high)]
+
+
+def _folded(rows: np.ndarray, bits: list[bytes], width: int) -> np.ndarray:
+    """The rows' signatures as words, of `width` bits each."""
+    words = np.frombuffer(b"".join(bits[k] for k in rows), np.uint64).reshape(len(rows), -1, width // 64)
+    return np.bitwise_xor.reduce(words, axis=1)
 
 
 # What forbids a write, and the code of each, in this order.
@@ -239,45 +284,68 @@ def deduplicate(cards: DataFrame, threshold: float = 0.86, sources: Column | Non
 
     A card is kept unless an earlier kept one has its texts (`exact`), has them but for case, punctuation and white
     space (`canonical`) or, with a source in common, is at least `threshold` similar in words or in runs of three letters
-    (`similar`); the first such card is its match. Null sides are empty. sources: as for similar_pairs.
+    (`similar`); the first such card is its match. Null sides are empty. sources: as for similar_pairs. A null card_id is no card.
 
-    Equal cards of the same sources share all their partners, so the first stands for them. Of the others each round decides
-    all whose earlier partners are decided; equal canonical texts are never paired, a group's first kept and first open
-    card say all about it. A round's tables are written and the round before deleted.
+    Different texts are compared once each, whatever number of cards has them: a pair of texts says for a source which kept and
+    which open card is the first there. Equal cards of the same sources share all that, so the first stands for them. Of the
+    others each round decides all whose earlier partners are decided; of equal canonical texts a group's first kept and
+    first open card say all. A round's tables are written and the round before deleted.
     """
-    canon = F.sha2(F.concat(letters("front"), F.lit("\x1f"), letters("back")), 256)
-    exact = F.sha2(F.concat(F.coalesce("front", F.lit("")), F.lit("\x1f"), F.coalesce("back", F.lit(""))), 256)
-    keyed = materialize(cards.select("card_id", _own_sources(sources).alias("sources"), canon.alias("canon"), exact.alias("exact"), "front", "back"), "dedup_cards")
-    first = materialize(keyed.groupBy("exact", "sources").agg(F.min_by(F.struct("card_id", "canon", "front", "back"), "card_id").alias("s")).select("exact", "sources", "s.*"), "dedup_first")
-    in_words = similar_pairs(first, threshold, sources=F.col("sources")).withColumn("words", F.lit(True))
-    in_runs = similar_pairs(first, threshold, run_list(), F.col("sources")).withColumn("words", F.lit(False))
-    best = F.max(F.struct("similarity", "words"))  # of equal ones, the words'
-    near = materialize(in_words.unionAll(in_runs).groupBy("first_id", "second_id").agg(best.alias("b")).select("first_id", F.col("second_id").alias("card_id"), "b.*"), "dedup_pairs")
+    joins_by_rows(cards.sparkSession)
+    canon = F.unhex(F.sha2(F.concat(letters("front"), F.lit("\x1f"), letters("back")), 256))
+    exact = F.unhex(F.sha2(F.concat(F.coalesce("front", F.lit("")), F.lit("\x1f"), F.coalesce("back", F.lit(""))), 256))
+    keyed = cards.filter("card_id is not null").select("card_id", _own_sources(sources).alias("sources"), canon.alias("canon"), exact.alias("exact"), F.array_distinct(word_list()).alias("w"), F.concat(letters("front"), F.lit("\n"), letters("back")).alias("r"))
+    keyed = materialize(keyed.withColumns({"w_n": _count("w"), "r_n": _count("r")}), "dedup_cards")
+    texts = keyed.groupBy("exact").agg(F.min("card_id").alias("text"))
+    own = materialize(join_skewed(keyed.select("card_id", "sources", "canon", "exact"), texts, ["exact"], ["card_id"]), "dedup_own")
+    first = materialize(own.groupBy("exact", "sources").agg(F.min("card_id").alias("card_id"), F.first("canon").alias("canon"), F.first("text").alias("text")), "dedup_first")
+    near = materialize(_near_texts(keyed, first, threshold), "dedup_ways")
+
+    hot = hot_keys(first, ["canon"])
+    hot = hot if hot is None else materialize(hot, "dedup_hot")
     kind_of_id = cards.schema["card_id"].dataType.simpleString()
-    start = first.select("card_id", "canon", F.lit(None).cast("boolean").alias("kept"), F.lit(None).cast(f"struct<first_id:{kind_of_id},similarity:double,words:boolean>").alias("hit"))
+    start = first.select("*", F.lit(None).cast("boolean").alias("kept"), F.lit(None).cast(f"struct<first_id:{kind_of_id},similarity:double,words:boolean>").alias("hit"))
     state = materialize(start, "dedup_state")
     while not state.filter("kept is null").isEmpty():
-        known = state.select(F.col("card_id").alias("first_id"), F.col("kept").alias("_kept"))
-        links = near.join(known, "first_id").groupBy("card_id").agg(
-            F.min(F.when(F.col("_kept"), F.struct("first_id", "similarity", "words"))).alias("near"),
-            F.min(F.when(F.col("_kept").isNull(), F.col("first_id"))).alias("near_open"),
+        placed = state.select("card_id", "kept", "text", F.explode("sources").alias("source"))
+        known = placed.filter("kept is null or kept").groupBy("text", "source").agg(F.min(F.when(F.col("kept"), F.col("card_id"))).alias("first_id"), F.min(F.when(F.col("kept").isNull(), F.col("card_id"))).alias("open_id"))
+        told = near.join(known, ["text", "source"]).groupBy(F.col("other").alias("text"), "source").agg(
+            F.min(F.when(F.col("first_id").isNotNull(), F.struct("first_id", "similarity", "words"))).alias("near"),
+            F.min("open_id").alias("near_open"),
         )
+        links = placed.filter("kept is null").join(told, ["text", "source"]).groupBy("card_id").agg(F.min("near").alias("near"), F.min("near_open").alias("near_open"))
+        own_id = F.col("card_id")
+        links = links.select("card_id", F.when(F.col("near.first_id") < own_id, F.col("near")).alias("near"), F.when(F.col("near_open") < own_id, F.col("near_open")).alias("near_open"))
         groups = state.groupBy("canon").agg(F.min(F.when(F.col("kept"), F.col("card_id"))).alias("same"), F.min(F.when(F.col("kept").isNull(), F.col("card_id"))).alias("same_open"))
-        own = F.col("card_id")
-        same = F.when(F.col("same") < own, F.struct(F.col("same").alias("first_id"), F.lit(1.0).alias("similarity"), F.lit(True).alias("words")))
+        same = F.when(F.col("same") < own_id, F.struct(F.col("same").alias("first_id"), F.lit(1.0).alias("similarity"), F.lit(True).alias("words")))
         hit = F.when(F.col("same_hit.first_id") <= F.coalesce("near.first_id", "same_hit.first_id"), F.col("same_hit")).otherwise(F.col("near"))
-        ahead = F.least("near_open", F.when(F.col("same_open") < own, F.col("same_open")))
-        rows = state.withColumnRenamed("hit", "_old").join(links, "card_id", "left").join(groups, "canon", "left")
-        rows = rows.withColumn("same_hit", same).withColumn("_hit", hit).withColumn("_ahead", ahead)
+        ahead = F.least("near_open", F.when(F.col("same_open") < own_id, F.col("same_open")))
+        rows = state.withColumnRenamed("hit", "_old")
+        rows = rows.join(groups, "canon", "left") if hot is None else join_skewed(rows, groups, ["canon"], ["card_id"], "left", hot)
+        rows = rows.join(links, "card_id", "left").withColumn("same_hit", same).withColumn("_hit", hit).withColumn("_ahead", ahead)
         now = F.when(F.col("_ahead").isNull(), F.col("_hit").isNull()).when(F.col("_hit.first_id") < F.col("_ahead"), False)
-        rows = rows.select("card_id", "canon", F.coalesce("kept", now).alias("kept"), F.coalesce("_old", F.when(F.col("kept").isNull() & ~now, F.col("_hit"))).alias("hit"))
+        rows = rows.select(*first.columns, F.coalesce("kept", now).alias("kept"), F.coalesce("_old", F.when(F.col("kept").isNull() & ~now, F.col("_hit"))).alias("hit"))
         before, state = state, materialize(rows, "dedup_state")
         discard(before)
-    stands = first.select("exact", "sources", F.col("card_id").alias("_stand")).join(state.select(F.col("card_id").alias("_stand"), "hit"), "_stand")
-    rows = keyed.drop("front", "back").join(stands, (keyed["exact"] == stands["exact"]) & (keyed["sources"] == stands["sources"])).select(keyed["card_id"], keyed["exact"], keyed["canon"], "_stand", "hit")
-    rows = rows.withColumn("matched_id", F.coalesce("hit.first_id", F.when(F.col("card_id") > F.col("_stand"), F.col("_stand")))).filter("matched_id is not null")
-    other = keyed.select(F.col("card_id").alias("matched_id"), F.col("exact").alias("_exact"), F.col("canon").alias("_canon"))
+    stands = state.select("exact", "sources", F.col("card_id").alias("_stand"), "hit")
+    rows = own.select("card_id", "exact", "sources", "canon").join(stands, ["exact", "sources"])
+    rows = rows.withColumn("matched_id", F.coalesce("hit.first_id", F.when(F.col("card_id") > F.col("_stand"), F.col("_stand")))).filter("matched_id is not null").drop("sources")
+    other = own.select(F.col("card_id").alias("matched_id"), F.col("exact").alias("_exact"), F.col("canon").alias("_canon"))
     rows = rows.join(other, "matched_id")
     kind = F.when(F.col("exact") == F.col("_exact"), "exact").when(F.col("canon") == F.col("_canon"), "canonical").otherwise("similar")
     reason = F.when(F.col("kind") == "exact", "exact_text").when(F.col("kind") == "canonical", "normalized_text").when(F.col("hit.words"), "shared_source_token_overlap").otherwise("shared_source_character_overlap")
     return rows.withColumn("kind", kind).select("card_id", "matched_id", "kind", reason.alias("reason"), F.when(F.col("kind") == "similar", F.col("hit.similarity")).otherwise(1.0).alias("similarity"))
+
+
+def _near_texts(keyed: DataFrame, first: DataFrame, threshold: float) -> DataFrame:
+    """text, source, other, similarity, words: similar texts that share the source, each pair both ways; words: by their words.
+
+    A text is the first card that has it.
+    """
+    places = materialize(first.select("text", F.explode("sources").alias("source")).distinct(), "dedup_places")
+    held = places.withColumnRenamed("text", "card_id")
+    found = (_similar(keyed.select("card_id", F.col(k).alias("t"), F.col(f"{k}_n").alias("n")), held, threshold).withColumn("words", F.lit(k == "w")) for k in "wr")
+    best = F.max(F.struct("similarity", "words"))  # of equal ones, the words'
+    rows = functools.reduce(DataFrame.unionAll, found).groupBy("first_id", "second_id").agg(best.alias("b")).select(F.col("first_id").alias("text"), F.col("second_id").alias("other"), "b.*")
+    ways = materialize(rows, "dedup_pairs").join(places, "text").join(places.withColumnRenamed("text", "other"), ["other", "source"])
+    return ways.select("text", "source", "other", "similarity", "words").union(ways.select(F.col("other").alias("text"), "source", F.col("text").alias("other"), "similarity", "words"))

@@ -98,3 +98,17 @@ def test_large_sources_and_no_broadcast_by_file_size(spark, monkeypatch):
         got = cards.similar_pairs(df, threshold, sources=F.col("ids")).collect()
         assert {(r.first_id, r.second_id): r.similarity for r in got} == want and len(got) == len(want) > 50
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
+
+
+def test_copies_in_many_sources_are_compared_once(spark, monkeypatch):
+    """Cards of two similar texts that share a source with all and have one of their own: a pair of texts, not of cards, is stored; blocks of few rows change nothing."""
+    fronts = ["cell wall energy light plant root leaf stem", "cell wall energy light plant root leaf stem x", "other words"]
+    rows = [(i, ["all", f"c{i}", *([f"k{i // 3}"] if i % 4 else [])][i % 5 == 4 :], fronts[i * i % 7 % 3], "b") for i in range(60)]
+    df = spark.createDataFrame(rows, "card_id long, ids array<string>, front string, back string")
+    want = greedy([(i, set(s), f, b) for i, s, f, b in rows], 0.7)
+    stored, keep = {}, cards.materialize
+    monkeypatch.setattr(cards, "materialize", lambda d, name: stored.setdefault(name, keep(d, name)) if name == "dedup_pairs" else keep(d, name))
+    monkeypatch.setattr(cards, "ALL_WITH_ALL", 2)
+    got = cards.deduplicate(df, 0.7, cards.source_ids(lists=(F.col("ids"),))).collect()
+    assert {r.card_id: (r.matched_id, r.kind) for r in got} == want and len(got) == len(want) > 50
+    assert stored["dedup_pairs"].count() == 1
