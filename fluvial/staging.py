@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+
+#: What was shuffled of a table may be broadcast up to so many bytes; its rows take a few times as many.
+BROADCAST_BYTES = 1 << 20
+
+
 def joins_by_rows(spark: SparkSession) -> None:
-    """From now on this session's joins are not planned by the bytes of files, only by hints and by the bytes that were shuffled.
+    """From now on this session's joins are not planned by the bytes of files, only by hints and by few bytes that were shuffled.
 
-    A stored table of ids may be hundreds of times larger in rows than in its compressed files, so Spark would take it
-    for one to broadcast and fill the driver.
+    A stored table of ids may be hundreds of times larger in rows than in its compressed files, and what was shuffled of it
+    is compressed, too, so Spark would take it for one to broadcast and fill the driver.
     """
     planned, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
-    if spark.conf.get(planned) != "-1":
-        spark.conf.set(measured, spark.conf.get(measured, None) or spark.conf.get(planned))
-        spark.conf.set(planned, "-1")
+    given = spark.conf.get(measured, None) or spark.conf.get(planned)
+    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)(?:i?b)?", given.strip().lower()).groups()
+    spark.conf.set(measured, str(min(BROADCAST_BYTES, int(number) << 10 * " kmgtp".index(unit or " "))))
+    spark.conf.set(planned, "-1")
 
 
 #: Hot keys hold over 1/hot_groups of all rows each: so many at least, and at most.

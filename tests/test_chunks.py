@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fluvial import scans
+from fluvial import scans, staging
 from fluvial.operators import chunking
 
 
@@ -187,3 +187,14 @@ def test_scans_are_not_joined_by_file_size(spark):
     df = spark.createDataFrame([(1, 0, 5), (1, 1, 6)], "key long, at long, v long")
     plan = scans.along(df, ["key"], "at", {"total": F.col("v")})._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_shuffled_tables_are_broadcast_up_to_few_bytes(spark):
+    """A session's own bound on what is broadcast once it was shuffled holds only if it is lower."""
+    measured = "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = spark.conf.get(measured, None)
+    for given, kept in (("10485760b", "1048576"), ("30m", "1048576"), ("256k", "262144"), ("1MB", "1048576"), ("-1", "-1")):
+        spark.conf.set(measured, given)
+        staging.joins_by_rows(spark)
+        assert (spark.conf.get(measured), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")) == (kept, "-1")
+    spark.conf.set(measured, before) if before else spark.conf.unset(measured)
