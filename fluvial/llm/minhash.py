@@ -8,9 +8,10 @@
 3. What passes is confirmed on the full sets, read again from the texts.
 4. Links make components by alternating large-star and small-star steps.
 A bucket never makes all of its pairs: its sets are tried against its first one. Only what is then still in different
-components is compared further, in blocks inside tasks that hold the sets themselves: a pair is looked at under the first
-key that it shares, goes through steps 2 and 3 on the spot unless its sets are connected by now, and a task gives out the
-links that connect, fewer than it has sets. Copies of a set count as one set throughout.
+components is compared further, in blocks inside tasks that hold the sets themselves: the sets of a bucket's largest
+component meet its other sets alone, not each other. A pair is looked at under the first key that it shares, goes through
+steps 2 and 3 on the spot unless its sets are connected by now, and a task gives out the links that connect, fewer than it
+has sets. Copies of a set count as one set throughout.
 Words are told apart by 128 bits of a hash and shingles by 64, under a key drawn for each job (see shingles.py).
 """
 
@@ -106,8 +107,8 @@ def scan(docs: DataFrame, key: bytes) -> DataFrame:
 
 
 def _buckets(sets: DataFrame) -> DataFrame:
-    """key, sid, first and large (three sets or more) of the buckets of several sets; first is a bucket's least sid."""
-    rows = sets.select(F.explode("keys").alias("key"), "sid")
+    """key, sid, n, first and large (three sets or more) of the buckets of several sets; first is a bucket's least sid."""
+    rows = sets.select(F.explode("keys").alias("key"), "sid", "n")
     shared = rows.groupBy("key").agg(F.min("sid").alias("first"), F.max("sid").alias("last"), F.count("*").alias("k")).filter("first <> last")
     shared = materialize(shared.select("key", "first", (F.col("k") > 2).alias("large")), "shared_keys")
     met = materialize(pick(rows, shared.select("key"), "key"), "met")
@@ -241,8 +242,8 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 
 def _apart(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, sid, label of the buckets of three sets or more that aren't in one component."""
-    known = buckets.filter("large").select("key", "sid").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    """key, sid, n, label of the buckets of three sets or more that aren't in one component."""
+    known = buckets.filter("large").select("key", "sid", "n").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     known = materialize(known, "labelled")
     open_ = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     found = materialize(join_skewed(known, open_, ["key"], ["sid"]), "apart")
@@ -253,18 +254,37 @@ def _apart(buckets: DataFrame, labels: DataFrame) -> DataFrame:
 TILE_KEY = ["key", "i", "j"]
 
 
+def _dealt(apart: DataFrame) -> DataFrame:
+    """key, i, j, block, sid, label and n of the sets of each tile, of a stored table.
+
+    A bucket of one block is a tile. In a larger one, only the sets outside its largest component meet all others: their
+    blocks come first and meet each other and those of that component, which don't meet.
+    """
+    parts = apart.groupBy("key", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    sizes = parts.groupBy("key").agg(F.max(F.struct("rows", "shingles", "label")).alias("most"), F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"))
+    blocks = lambda rows, shingles: F.greatest(F.ceil(rows / TILE), F.ceil(shingles / TILE_SHINGLES)).cast("int")
+    whole, most = blocks(F.col("rows"), F.col("shingles")) == 1, F.col("most")
+    sizes = sizes.select(
+        "key",
+        F.when(~whole, most["label"]).alias("main"),
+        F.when(whole, 1).otherwise(blocks(F.col("rows") - most["rows"], F.col("shingles") - most["shingles"])).alias("apart"),
+        F.when(whole, 0).otherwise(blocks(most["rows"], most["shingles"])).alias("together"),
+    )
+    rows = join_skewed(apart, sizes, ["key"], ["sid"])
+    inside, at = F.col("main").eqNullSafe(F.col("label")), F.xxhash64("sid")
+    rows = rows.withColumn("block", F.when(inside, F.col("apart") + F.pmod(at, F.greatest("together", F.lit(1)))).otherwise(F.pmod(at, "apart")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("apart") + F.when(inside, 0).otherwise(F.col("together")) - 1)))
+    return rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid", "label", "n")
+
+
 def _left_over(apart: DataFrame, sets: DataFrame, docs: DataFrame, key: bytes) -> DataFrame:
     """Links between different components of one bucket that connect all that its links connect; a task compares two blocks of a bucket."""
-    own = materialize(apart.join(sets.select("sid", "n"), "sid"), "sized")
-    sizes = own.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("blocks"))
-    rows = join_skewed(own, sizes, ["key"], ["sid"]).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     full = _full_sets(docs, sets, apart.select("sid").distinct(), key)
     held = full.join(sets.select("sid", "sig", "bits", "keys"), "sid")
-    rows = rows.select(*TILE_KEY, "block", "sid", "label", "n").join(held, "sid")
+    rows = _dealt(apart).join(held, "sid")
     dealt = rows.repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY)
     links = materialize(dealt.select(*TILE_KEY, "block", "sid", "label", "n", "sig", "bits", "keys", "shingles").mapInArrow(_tiles, "x long, y long"), "links")
-    discard(own, full)
+    discard(full)
     return links
 
 

@@ -174,6 +174,29 @@ def test_tiles_that_batches_cut():
         assert groups(got) == want and len(got) < 4 * 4
 
 
+def test_sets_of_the_largest_component_do_not_meet(spark, monkeypatch):
+    """Every pair of different components meets in one tile, and a large component's rows grow no faster than its sets."""
+    monkeypatch.setattr(minhash, "TILE", 8)
+    monkeypatch.setattr(minhash, "TILE_SHINGLES", 400)
+    rng = random.Random(6)
+    labels = {1: [0] * 600 + [*range(1, 7)], 2: [0, 0, 1], 3: [rng.randrange(5) for _ in range(40)], 4: list(range(20))}
+    rows = [(key, 1000 * key + at, 30, label) for key, own in labels.items() for at, label in enumerate(own)]
+    dealt = minhash._dealt(spark.createDataFrame(rows, "key long, sid long, n long, label long")).collect()
+    assert all(r.block in (r.i, r.j) for r in dealt)
+    met = {}
+    tiles = {}
+    for r in dealt:
+        tiles.setdefault((r.key, r.i, r.j), []).append(r)
+    for (key, i, j), own in tiles.items():
+        for at, a in enumerate(own):
+            for b in own[at + 1 :]:
+                if a.label != b.label and (i == j or a.block != b.block):
+                    pair = (min(a.sid, b.sid), max(a.sid, b.sid))
+                    met[pair] = met.get(pair, 0) + 1
+    assert met == {(a[1], b[1]): 1 for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[3] != b[3]}
+    assert sum(r.key == 1 for r in dealt) < 2 * len(labels[1])
+
+
 def test_query_equals_sql(spark):
     sf = "/root/testdata/sf0.001"
     got = op11_minhash_dedup(spark, sf)
