@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,12 +99,16 @@ def _own_sources(sources: Column | None) -> Column:
     return F.array_compact(F.array(F.col("section").cast("string"))) if sources is None else sources
 
 
-#: Cards of a source that are compared all with all in one task; a larger source is cut into such blocks by size.
+#: Cards of a source whose texts are compared all with all in one task; a larger source is cut into such blocks by size.
 ALL_WITH_ALL = 4_096
 #: An element's share of a block: as many elements as ELEMENTS a card fill it, too.
 ELEMENTS = 1_024
+#: A source's blocks are put in so many groups, whose signatures meet in tasks, or in more where groups would have more than MOST_BLOCKS blocks.
+GROUPS, MOST_BLOCKS = 8, 16
+#: A meeting of two blocks names the pairs that may be similar, up to so many a row of theirs, and beyond that the rows.
+PAIRS_A_ROW = 8
 #: Rows and columns that are compared at once, and pairs of which more is compared.
-STEP, CLOSER = (256, 1_024), 8_192
+STEP, CLOSER = (256, 256), 8_192
 
 
 def similar_pairs(cards: DataFrame, threshold: float = 0.86, elements: Column | None = None, sources: Column | None = None) -> DataFrame:
@@ -114,8 +119,8 @@ def similar_pairs(cards: DataFrame, threshold: float = 0.86, elements: Column |
     """
     joins_by_rows(cards.sparkSession)
     sets = cards.select("card_id", _own_sources(sources).alias("sources"), (word_list() if elements is None else elements).alias("t"))
-    sets = materialize(sets.withColumn("n", _count("t")), "card_sets")
-    return _similar(sets.select("card_id", "t", "n"), sets.select("card_id", F.explode("sources").alias("source")), threshold)
+    sets = materialize(sets.withColumn("s", _sketch("t", threshold)).select("card_id", "sources", "t", "s.*"), "card_sets")
+    return _similar(sets.select("card_id", "t", "n", "bits"), sets.select("card_id", F.explode("sources").alias("source")), threshold)
 
 
 def _elements(value: list | str | None) -> set:
@@ -125,48 +130,82 @@ def _elements(value: list | str | None) -> set:
     return set(() if value is None else value)
 
 
-def _count(name: str) -> Column:
-    return F.pandas_udf(lambda t: t.map(lambda v: len(_elements(v))).astype("int32"), "int")(name)
+def _sketch(name: str, threshold: float) -> Column:
+    """n, bits: how many elements a list or text has, and their signature, which has the same bits in each task."""
+
+    def of(t: pd.Series) -> pd.DataFrame:
+        codes = [_runs(v) if isinstance(v, str) and len(v) > 2 else np.fromiter(map(_hash, _elements(v)), np.int64) for v in t]
+        n = np.fromiter(map(len, codes), np.int64, len(codes))
+        return pd.DataFrame({"n": n, "bits": [_signature(c, w) for c, w in zip(codes, _widths(n, threshold), strict=True)]})
+
+    return F.pandas_udf(of, "n int, bits binary")(name)
+
+
+def _hash(element: object) -> int:
+    return zlib.crc32(element.encode("utf-8", "surrogatepass")) if isinstance(element, str) else hash(element)
 
 
 def _similar(sets: DataFrame, places: DataFrame, threshold: float) -> DataFrame:
-    """first_id, second_id, similarity of the pairs in one source that are similar; sets: card_id, t, n, and places: card_id, source, both stored.
+    """first_id, second_id, similarity of the pairs in one source that are similar; sets: card_id, t, n, bits (see _sketch), and places: card_id, source, both stored.
 
-    Cards of a source are put in blocks by their size, and two blocks meet in a task where sizes leave room for the threshold.
-    So what is shuffled is a card for each such meeting, whatever its elements and however often they come, and of the pairs
-    only those that are similar.
+    Cards of a source are put in blocks by their size, blocks in a few groups, and signatures of two groups meet in a task
+    where sizes leave room for the threshold. A pair whose signatures leave room, too, is compared by its elements in one of
+    the meetings of blocks that found it, whatever sources it shares. So a text is shuffled as often as there are such meetings, not as there are blocks.
     """
     spark = sets.sparkSession
     bounded_batches(spark)
-    places = places.join(sets.filter("n > 0").select("card_id", "n"), "card_id")
-    places = materialize(places, "card_places")
+    places = materialize(places.join(sets.filter("n > 0").select("card_id", "n", F.xxhash64("bits").alias("mark")), "card_id"), "card_places")
     budget = max(1, ALL_WITH_ALL) * ELEMENTS
     cost = F.greatest(F.lit(ELEMENTS), F.col("n")).cast("long")
     large = materialize(places.groupBy("source").agg(F.sum(cost).alias("cost")).filter(F.col("cost") > budget).select("source"), "large_sources")
-    whole, at_once = F.lit(0), F.lit(True)
+    signed = sets.select("card_id", "n", "bits")
+    first, kept = F.lit(0), ("card_id", "n", "bits", "source")
     if large.isEmpty():
-        rows = places.select("card_id", "source", whole.alias("i"), whole.alias("j"), at_once.alias("own"))
+        rows = places.select("card_id", "source").join(signed, "card_id").select(*kept, first.alias("i"), first.alias("j"), F.lit(True).alias("own"), first.alias("block"))
     else:
-        many = materialize(number_within(pick(places, large, "source"), "source", ["n"], "rank"), "card_ranks")
+        many = materialize(number_within(pick(places, large, "source"), "source", ["n", "mark"], "rank"), "card_ranks")  # equal sets in a row
         many = along(many, ["source"], "rank", sums={"until": cost}).withColumn("block", F.floor((F.col("until") - cost) / budget).cast("int"))
         many = materialize(many.select("card_id", "source", "n", "block"), "card_blocks")
-        blocks = materialize(many.groupBy("source", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")), "block_sizes")
-        i = blocks.select("source", F.col("block").alias("i"), "high")
-        meet = i.join(blocks.select("source", F.col("block").alias("j"), "low"), "source").filter((F.col("i") <= F.col("j")) & (F.col("high") >= F.lit(threshold) * F.col("low") - 1e-9))
-        sides = meet.select("source", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-        rows = many.join(sides, ["source", "block"]).select("card_id", "source", "i", "j", (F.col("block") == F.col("i")).alias("own"))
-        rows = pick(places, large, "source", "left_anti").select("card_id", "source", whole.alias("i"), whole.alias("j"), at_once.alias("own")).unionByName(rows)
+        blocks = many.groupBy("source", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+        each = F.least(F.lit(MOST_BLOCKS), F.ceil((F.max("block").over(Window.partitionBy("source")) + 1) / GROUPS))
+        blocks = materialize(blocks.withColumn("group", F.floor(F.col("block") / each).cast("int")), "block_sizes")
+        groups = materialize(blocks.groupBy("source", "group").agg(F.min("low").alias("low"), F.max("high").alias("high")), "group_sizes")
+        i = groups.select("source", F.col("group").alias("i"), "high")
+        meet = i.join(groups.select("source", F.col("group").alias("j"), "low"), "source").filter((F.col("i") <= F.col("j")) & (F.col("high") >= F.lit(threshold) * F.col("low") - 1e-9))
+        sides = meet.select("source", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("group"))
+        sides = sides.join(blocks.select("source", "group", "block"), ["source", "group"]).withColumn("own", F.col("group") == F.col("i"))
+        rows = many.select("card_id", "source", "block").join(signed, "card_id").join(sides, ["source", "block"]).select(*kept, "i", "j", "own", "block")
+        small = pick(places, large, "source", "left_anti").select("card_id", "source").join(signed, "card_id")
+        rows = rows.unionByName(small.select(*kept, first.alias("i"), first.alias("j"), F.lit(True).alias("own"), first.alias("block")))
     by = ["source", "i", "j"]
     # a fixed number of partitions, as the work follows the pairs, not the bytes
-    dealt = rows.join(sets.select("card_id", "t"), "card_id").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by)
-    kind = sets.schema["card_id"].dataType.simpleString()
-    found = dealt.mapInArrow(functools.partial(_compared, threshold=threshold), f"one {kind}, other {kind}, similarity double")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, *by).sortWithinPartitions(*by)
+    kind, of_source = (t.schema[c].dataType.simpleString() for t, c in ((sets, "card_id"), (places, "source")))
+    met = materialize(dealt.mapInArrow(functools.partial(_met, threshold=threshold), f"rows int, source {of_source}, i int, j int, one {kind}, other {kind}"), "card_meetings")
     ends = (F.least("one", "other").alias("first_id"), F.greatest("one", "other").alias("second_id"))
+    paired = F.col("one").isNotNull() & F.col("other").isNotNull()
+    # in the largest of its meetings, which most likely holds both cards for other pairs, too
+    once = met.filter(paired).groupBy(*ends).agg(F.max(F.struct(*met.columns)).alias("m")).select("m.*")
+    sides = F.array(F.struct(F.col("one").alias("card_id"), F.lit(True).alias("own")), F.struct(F.col("other").alias("card_id"), (F.col("i") == F.col("j")).alias("own")))
+    rows = once.unionByName(met.filter(~paired)).select(*by, F.inline(sides)).filter("card_id is not null").distinct()
+    dealt = rows.join(sets.select("card_id", "t"), "card_id").repartition(parts, *by).sortWithinPartitions(*by)
+    found = dealt.mapInArrow(functools.partial(_compared, threshold=threshold), f"one {kind}, other {kind}, similarity double")
     return found.select(*ends, "similarity").groupBy("first_id", "second_id").agg(F.round(F.max("similarity"), 3).alias("similarity"))
 
 
+def _met(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """rows, source, i, j, one, other: pairs of cards of the blocks i and j that may be similar, or a card of one of them alone, which may have similar ones in the other; rows: how many cards the blocks have."""
+    return _gathered(found for parts in _tiles(batches) for found in _of_signatures(parts, threshold))
+
+
 def _compared(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """one, other, similarity of the similar rows of each tile; rows come tile by tile, and one tile is held."""
+    """one, other, similarity of the similar rows of each tile."""
+    return _gathered(found for parts in _tiles(batches) for found in _of_tile(parts, threshold))
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of each tile (source, i, j); rows come tile by tile, and one tile is held."""
     held, last = [], None
     for batch in batches:
         keys = list(zip(*(batch[c].to_pylist() for c in ("source", "i", "j")), strict=True))
@@ -176,11 +215,80 @@ def _compared(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
             while end < len(keys) and keys[end] == keys[at]:
                 end += 1
             if keys[at] != last:
-                yield from _of_tile(held, threshold)
+                yield held
                 held, last = [], keys[at]
             held.append(batch.slice(at, end - at))
             at = end
-    yield from _of_tile(held, threshold)
+    yield held
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], most: int = 8_192) -> Iterator[pa.RecordBatch]:
+    """The same rows in fewer batches."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += len(batch)
+        if rows >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _of_signatures(parts: list[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Of two groups the blocks that sizes let meet, and of these what signatures let meet."""
+    if sum(map(len, parts)) < 2:
+        return
+    rows = pa.Table.from_batches(parts)
+    ids, bits, source = rows["card_id"].combine_chunks(), rows["bits"].to_pylist(), rows["source"][0].as_py()
+    own, n, block = (np.array(rows[c].to_pylist()) for c in ("own", "n", "block"))
+    width = np.fromiter((8 * len(b) for b in bits), np.int64, len(bits))
+    order = np.lexsort((n, width, block))
+    blocks = np.split(order, np.flatnonzero(np.diff(block[order])) + 1)
+    left, right = ([b for b in blocks if own[b[0]] == side] for side in (True, False))
+    for k, a in enumerate(left):
+        for b in right or left[k:]:
+            if n[a].max() < threshold * n[b].min() - 1e-9 or n[b].max() < threshold * n[a].min() - 1e-9:
+                continue
+            pairs, count, met = [], 0, np.zeros((2, len(n)), bool)
+            for p, q in _near(a, b, n, width, bits, threshold):
+                met[0, p] = met[1, q] = True
+                count += len(p)
+                if count <= PAIRS_A_ROW * (len(a) + len(b)):
+                    pairs.append((p, q))
+            if not count:
+                continue
+            if count <= PAIRS_A_ROW * (len(a) + len(b)):
+                one, other = (ids.take(pa.array(np.concatenate(x))) for x in zip(*pairs, strict=True))
+            else:
+                one, other = (ids.take(pa.array(np.flatnonzero(x))) for x in ((met[0] | met[1], met[0] & False) if a is b else met))
+                one, other = (pa.concat_arrays(x) for x in ((one, pa.nulls(len(other), ids.type)), (pa.nulls(len(one), ids.type), other)))
+            size, i, j = (pa.scalar(int(x), pa.int32()) for x in (len(a) + len(b), block[a[0]], block[b[0]]))
+            tile = (pa.repeat(x, len(one)) for x in (size, pa.scalar(source, rows.schema.field("source").type), i, j))
+            yield pa.record_batch([*tile, one, other], ["rows", "source", "i", "j", "one", "other"])
+
+
+def _near(one: np.ndarray, other: np.ndarray, n: np.ndarray, width: np.ndarray, bits: list[bytes], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows, a part at a time, whose sizes and signatures leave room for the threshold; each pair once if both sides are one."""
+    ratio = 2 * threshold / (1 + threshold)
+    for at, a in _steps(one, width, STEP[0]):
+        for to, b in _steps(other, width, STEP[1]):
+            if one is other and to + len(b) <= at or n[a[-1]] < threshold * n[b[0]] - 1e-9 or n[b[-1]] < threshold * n[a[0]] - 1e-9:
+                continue
+            least = min(width[a[0]], width[b[0]])
+            x, y = _folded(a, bits, least), np.ascontiguousarray(_folded(b, bits, least).T)
+            differ = np.zeros((len(a), len(b)), np.uint16 if least < 1 << 16 else np.int32)
+            for k in range(least // 64):
+                differ += np.bitwise_count(x[:, k, None] ^ y[k])
+            room = np.minimum((1 - ratio) * (n[a] + n[b[-1]]) + 1e-6, least).astype(differ.dtype)
+            p, q = np.nonzero(differ <= room[:, None])
+            left, right = n[a[p]], n[b[q]]
+            both = left + right
+            good = (both - differ[p, q] >= ratio * both - 1e-9) & (np.minimum(left, right) >= threshold * np.maximum(left, right) - 1e-9)
+            if one is other:
+                good &= p + at < q + to
+            if good.any():
+                yield a[p[good]], b[q[good]]
 
 
 def _of_tile(parts: list[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -192,58 +300,55 @@ def _of_tile(parts: list[pa.RecordBatch], threshold: float) -> Iterator[pa.Recor
     numbers: dict = {}
     codes = [_codes(x.as_py(), numbers) for x in rows["t"]]
     n = np.fromiter(map(len, codes), np.int64, len(codes))
-    width = np.maximum(256, 1 << np.ceil(np.log2((1 if threshold >= 0.75 else 4) * n)).astype(np.int64))
+    width = _widths(n, threshold)
     bits = [_signature(c, w) for c, w in zip(codes, width, strict=True)]
     wide = [_signature(c, 8 * w) for c, w in zip(codes, width, strict=True)]
     order = np.lexsort((n, width))
     one = order[own[order]]
-    alone = len(one) == len(order)
-    other = one if alone else order[~own[order]]
+    other = one if len(one) == len(order) else order[~own[order]]
     ratio = 2 * threshold / (1 + threshold)
-    for at, a in _steps(one, width, STEP[0]):
-        for to, b in _steps(other, width, STEP[1]):
-            if alone and to + len(b) <= at or n[a[-1]] < threshold * n[b[0]] - 1e-9 or n[b[-1]] < threshold * n[a[0]] - 1e-9:
-                continue
-            left, right, least = n[a][:, None], n[b][None, :], min(width[a[0]], width[b[0]])
-            x, y = _folded(a, bits, least), _folded(b, bits, least)
-            differ = np.zeros((len(a), len(b)), np.int32)
-            for k in range(least // 64):
-                differ += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
-            both = left + right
-            p, q = np.nonzero((both - differ >= ratio * both - 1e-9) & (np.minimum(left, right) >= threshold * np.maximum(left, right) - 1e-9))
-            if alone:
-                once = p + at < q + to
-                p, q = p[once], q[once]
-            if not len(p):
-                continue
-            x, y = _folded(a, wide, 8 * least), _folded(b, wide, 8 * least)
-            size = max(1, CLOSER * 64 // x.shape[1])
-            for k in range(0, len(p), size):
-                u, v = p[k : k + size], q[k : k + size]
-                both = n[a[u]] + n[b[v]]
-                near = both - np.bitwise_count(x[u] ^ y[v]).sum(axis=1, dtype=np.int64) >= ratio * both - 1e-9
-                u, v, both = a[u[near]], b[v[near]], both[near]
-                common = np.fromiter((len(np.intersect1d(codes[c], codes[d], assume_unique=True)) for c, d in zip(u, v, strict=True)), np.int64, len(u))
-                share = common / (both - common)
-                good = share >= threshold
-                if good.any():
-                    yield pa.record_batch([ids.take(pa.array(u[good])), ids.take(pa.array(v[good])), pa.array(share[good])], ["one", "other", "similarity"])
+    for p, q in _near(one, other, n, width, bits, threshold):
+        least = 8 * min(width[p].min(), width[q].min())
+        size = max(1, CLOSER * 4_096 // least)
+        for k in range(0, len(p), size):
+            u, v = p[k : k + size], q[k : k + size]
+            both = n[u] + n[v]
+            near = both - np.bitwise_count(_folded(u, wide, least) ^ _folded(v, wide, least)).sum(axis=1, dtype=np.int64) >= ratio * both - 1e-9
+            u, v, both = u[near], v[near], both[near]
+            common = np.fromiter((len(np.intersect1d(codes[c], codes[d], assume_unique=True)) for c, d in zip(u, v, strict=True)), np.int64, len(u))
+            share = common / (both - common)
+            good = share >= threshold
+            if good.any():
+                yield pa.record_batch([ids.take(pa.array(u[good])), ids.take(pa.array(v[good])), pa.array(share[good])], ["one", "other", "similarity"])
+
+
+def _runs(text: str) -> np.ndarray:
+    """A number for each run of three characters, once each."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:])
 
 
 def _codes(value: list | str | None, numbers: dict) -> np.ndarray:
     """A number for each element, once each, different ones for different elements; those of a list come from `numbers`."""
     if isinstance(value, str) and len(value) > 2:
-        c = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        return np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:])
+        return _runs(value)
     return np.fromiter((-1 - numbers.setdefault(x, len(numbers)) for x in _elements(value)), np.int64)
 
 
+def _widths(n: np.ndarray, threshold: float) -> np.ndarray:
+    """How many bits the signature of so many elements has."""
+    return np.maximum(256, 1 << np.ceil(np.log2(np.maximum(1, (1 if threshold >= 0.75 else 4) * n))).astype(np.int64))
+
+
 def _signature(codes: np.ndarray, width: int) -> bytes:
     """For each of `width` bits, a power of two, the parity of the elements that fall on it: two sets differ in as many elements as bits, or more.
 
-    Its halves laid over each other are the signature of half the bits.
+    Its halves laid over each other are the signature of half the bits. All of a code's bits decide where it falls.
     """
-    spots = (codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) & (width - 1)
+    x = codes.view(np.uint64)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    spots = (x ^ x >> np.uint64(31)).astype(np.int64) & (width - 1)
     return np.packbits(np.bincount(spots, minlength=width).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
@@ -256,7 +361,7 @@ def _steps(order: np.ndarray, width: np.ndarray, size: int) -> Iterator[tuple[in
 
 
 def _folded(rows: np.ndarray, bits: list[bytes], width: int) -> np.ndarray:
-    """The rows' signatures as words, of `width` bits each."""
+    """The rows' signatures as words, of `width` bits each; the rows are of one width."""
     words = np.frombuffer(b"".join(bits[k] for k in rows), np.uint64).reshape(len(rows), -1, width // 64)
     return np.bitwise_xor.reduce(words, axis=1)
 
@@ -295,7 +400,7 @@ def deduplicate(cards: DataFrame, threshold: float = 0.86, sources: Column | Non
     canon = F.unhex(F.sha2(F.concat(letters("front"), F.lit("\x1f"), letters("back")), 256))
     exact = F.unhex(F.sha2(F.concat(F.coalesce("front", F.lit("")), F.lit("\x1f"), F.coalesce("back", F.lit(""))), 256))
     keyed = cards.filter("card_id is not null").select("card_id", _own_sources(sources).alias("sources"), canon.alias("canon"), exact.alias("exact"), F.array_distinct(word_list()).alias("w"), F.concat(letters("front"), F.lit("\n"), letters("back")).alias("r"))
-    keyed = materialize(keyed.withColumns({"w_n": _count("w"), "r_n": _count("r")}), "dedup_cards")
+    keyed = materialize(keyed.withColumns({"w_s": _sketch("w", threshold), "r_s": _sketch("r", threshold)}), "dedup_cards")
     texts = keyed.groupBy("exact").agg(F.min("card_id").alias("text"))
     own = materialize(join_skewed(keyed.select("card_id", "sources", "canon", "exact"), texts, ["exact"], ["card_id"]), "dedup_own")
     first = materialize(own.groupBy("exact", "sources").agg(F.min("card_id").alias("card_id"), F.first("canon").alias("canon"), F.first("text").alias("text")), "dedup_first")
@@ -344,7 +449,7 @@ def _near_texts(keyed: DataFrame, first: DataFrame, threshold: float) -> DataFra
     """
     places = materialize(first.select("text", F.explode("sources").alias("source")).distinct(), "dedup_places")
     held = places.withColumnRenamed("text", "card_id")
-    found = (_similar(keyed.select("card_id", F.col(k).alias("t"), F.col(f"{k}_n").alias("n")), held, threshold).withColumn("words", F.lit(k == "w")) for k in "wr")
+    found = (_similar(keyed.select("card_id", F.col(k).alias("t"), f"{k}_s.n", f"{k}_s.bits"), held, threshold).withColumn("words", F.lit(k == "w")) for k in "wr")
     best = F.max(F.struct("similarity", "words"))  # of equal ones, the words'
     rows = functools.reduce(DataFrame.unionAll, found).groupBy("first_id", "second_id").agg(best.alias("b")).select(F.col("first_id").alias("text"), F.col("second_id").alias("other"), "b.*")
     ways = materialize(rows, "dedup_pairs").join(places, "text").join(places.withColumnRenamed("text", "other"), ["other", "source"])

@@ -2,7 +2,9 @@
 
 import random
 import re
+import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +114,59 @@ def test_copies_in_many_sources_are_compared_once(spark, monkeypatch):
     got = cards.deduplicate(df, 0.7, cards.source_ids(lists=(F.col("ids"),))).collect()
     assert {r.card_id: (r.matched_id, r.kind) for r in got} == want and len(got) == len(want) > 50
     assert stored["dedup_pairs"].count() == 1
+
+
+def count_texts(monkeypatch, folder):
+    """From now on each batch of texts that is compared leaves its number of rows in the folder."""
+    compare = cards._compared
+
+    def counted(batches, threshold):
+        def seen():
+            for batch in batches:
+                (folder / uuid.uuid4().hex).write_text(str(len(batch)))
+                yield batch
+
+        return compare(seen(), threshold)
+
+    monkeypatch.setattr(cards, "_compared", counted)
+
+
+def texts(n, rng):
+    """Cards of one large source and of small ones, of which each second is like the one before."""
+    rows = []
+    for i in range(n):
+        own = [*rows[-1][2].split(), "again"] if i % 2 else [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(20, 60))]
+        rows.append((i, ["all", f"k{i // 2}", f"m{i // 4}"], " ".join(own), ""))
+    return rows
+
+
+def test_texts_of_a_large_source_go_only_where_signatures_leave_room(spark, monkeypatch, tmp_path):
+    """Over 30 blocks of a source don't repeat its texts, and a pair in several sources is compared in one of them."""
+    rows = texts(240, random.Random(3))
+    df = spark.createDataFrame(rows, "card_id long, ids array<string>, front string, back string")
+    monkeypatch.setattr(cards, "ALL_WITH_ALL", 8)
+    count_texts(monkeypatch, tmp_path)
+    got = {(r.first_id, r.second_id) for r in cards.similar_pairs(df, 0.5, sources=F.col("ids")).collect()}
+    sets = [set(f.split()) for _, _, f, _ in rows]
+    assert got == {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and len(a & b) / len(a | b) >= 0.5} and len(got) >= 120
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) <= 300
+
+
+def test_many_similar_cards_of_a_block_are_named_as_rows(spark, monkeypatch):
+    """A cluster whose pairs are many more than its cards, beside pairs, cards of one element and empty ones."""
+    rng = random.Random(4)
+    base_words = [f"b{k}" for k in range(30)]
+    rows = texts(100, rng) + [(100 + i, ["all", "part"[: i % 5]], " ".join(w for w in base_words if rng.random() < 0.9) + " one" * (i % 3), "") for i in range(80)]
+    rows += [(180 + i, ["all"], ["", "single", "x"][i % 3], "") for i in range(9)]
+    df = spark.createDataFrame(rows, "card_id long, ids array<string>, front string, back string")
+    sets = [(i, set(s), set(re.findall(r"\w{2,}", f))) for i, s, f, _ in rows]
+    share = lambda a, b: len(a & b) / len(a | b) if a | b else 0
+    stored, keep = {}, cards.materialize
+    monkeypatch.setattr(cards, "materialize", lambda d, name: stored.setdefault(name, keep(d, name)) if name == "card_meetings" else keep(d, name))
+    for most, threshold in ((16, 0.6), (16, 0.9), (1000, 0.6)):
+        stored.clear()
+        monkeypatch.setattr(cards, "ALL_WITH_ALL", most)
+        want = {(i, j): round(share(a, b), 3) for i, s, a in sets for j, t, b in sets if i < j and s & t and share(a, b) >= threshold}
+        got = cards.similar_pairs(df, threshold, sources=F.col("ids")).collect()
+        assert {(r.first_id, r.second_id): r.similarity for r in got} == want and len(got) == len(want) > 100
+    assert 80 <= stored["card_meetings"].filter("source = 'all'").count() < len(want) / 2
