@@ -170,3 +170,22 @@ def test_many_similar_cards_of_a_block_are_named_as_rows(spark, monkeypatch):
         got = cards.similar_pairs(df, threshold, sources=F.col("ids")).collect()
         assert {(r.first_id, r.second_id): r.similarity for r in got} == want and len(got) == len(want) > 100
     assert 80 <= stored["card_meetings"].filter("source = 'all'").count() < len(want) / 2
+
+
+def test_decisions_in_a_large_source_compare_few_texts(spark, monkeypatch, tmp_path):
+    """Neither words nor runs of letters are repeated for each of a source's blocks."""
+    rows = texts(160, random.Random(6))
+    df = spark.createDataFrame(rows, "card_id long, ids array<string>, front string, back string")
+    monkeypatch.setattr(cards, "ALL_WITH_ALL", 8)
+    count_texts(monkeypatch, tmp_path)
+    got = cards.deduplicate(df, 0.7, F.col("ids")).collect()
+    want = greedy([(i, set(s), f, b) for i, s, f, b in rows], 0.7)
+    assert {r.card_id: (r.matched_id, r.kind) for r in got} == want and len(got) == len(want) == 80
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) <= 2 * 200
+
+
+def test_all_letters_of_a_run_decide_its_place():
+    """Runs that differ in their first letter alone fall on many bits of a signature."""
+    codes = np.array([ord(c) << 42 | ord("n") << 21 | ord("d") for c in "abcdefghijklmnopqrstuvwxyz"], np.int64)
+    for width in (256, 4_096):
+        assert np.bitwise_count(np.frombuffer(cards._signature(codes, width), np.uint8)).sum() > 12
